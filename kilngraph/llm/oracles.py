@@ -25,6 +25,28 @@ SELECT w.doc_id, len(a)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM w LEFT JOIN marks USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
+OP6 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+h AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS hex FROM p),
+bits AS (SELECT page_id, string_agg(lpad(bin(('0x' || hex[i])::INT), 4, '0'), '' ORDER BY i) AS s FROM h, range(1, 41) r(i) GROUP BY page_id),
+b32 AS (SELECT page_id, string_agg('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(('0b' || s[5 * i + 1 : 5 * i + 5])::INT) + 1], '' ORDER BY i) AS payload_digest
+        FROM bits, range(0, 32) r(i) GROUP BY page_id),
+top AS (SELECT hex, max(page_id) AS top_id FROM h GROUP BY hex)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> top_id THEN top_id END AS refers_to
+FROM h JOIN b32 USING (page_id) JOIN top USING (hex)
+"""
+
+OP7 = """
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos FROM conversations),
+p AS (SELECT conv_id, pos, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '') OVER (PARTITION BY conv_id ORDER BY pos) AS chat,
+             count(*) OVER (PARTITION BY conv_id) AS n_turns FROM t),
+f AS (SELECT chat, n_turns, min(conv_id) AS conv_id, count(*) AS n_copies FROM p WHERE pos = n_turns GROUP BY chat, n_turns)
+SELECT conv_id, n_turns, n_copies, chat FROM f
+WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.pos < p.n_turns AND p.pos = f.n_turns AND p.chat = f.chat)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3, "op9_decontamination": OP9}
+    return {"op3_exact_dedup": OP3, "op6_warc": OP6, "op7_chat_format": OP7, "op9_decontamination": OP9}
