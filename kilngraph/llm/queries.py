@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilngraph.llm import chat, decontaminate, exact_dedup, licenses, mixing, near_dedup, toxicity, warc
+from kilngraph.llm import chat, decontaminate, exact_dedup, language_model, licenses, mixing, near_dedup, toxicity, warc
 from kilngraph.llm.storage import table
 
 
@@ -15,6 +15,10 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.assign(table(spark, sf_dir, "documents"), shingle_words=2)
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign(table(spark, sf_dir, "documents"))
 
@@ -45,4 +49,4 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op3_exact_dedup, op4_toxicity, op6_warc, op7_chat_format, op8_source_mix, op9_decontamination, op10_license_scan)}
+    return {f.__name__: f for f in (op1_minhash, op2_language_model, op3_exact_dedup, op4_toxicity, op6_warc, op7_chat_format, op8_source_mix, op9_decontamination, op10_license_scan)}
