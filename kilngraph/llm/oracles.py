@@ -25,6 +25,22 @@ SELECT w.doc_id, len(a)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM w LEFT JOIN marks USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
+OP5 = r"""
+WITH l AS (SELECT doc_id, i AS line_no, a[i] AS line, lower(a[i]) AS low
+           FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents), range(1, len(a) + 1) r(i)),
+c AS (SELECT low, min((doc_id, line_no)) AS pl, list_distinct(regexp_extract_all(low, '[^\x20\x09-\x0D]+')) AS words FROM l
+      WHERE regexp_matches(low, '[^\x20\x09-\x0D]') GROUP BY low),
+k AS (SELECT row_number() OVER (ORDER BY pl) AS c, low, pl, len(words) AS n, words FROM c),
+w AS (SELECT c, n, unnest(words) AS w FROM k),
+p AS (SELECT x.c AS a, y.c AS b, x.n AS n_a, y.n AS n_b, count(*) AS shared FROM w x JOIN w y ON x.w = y.w AND x.c < y.c
+      AND 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n) GROUP BY ALL),
+gone AS (SELECT DISTINCT b FROM p WHERE 9 * shared >= 4 * (n_a + n_b)),
+s AS (SELECT pl.doc_id, pl.line_no FROM (SELECT {'doc_id': pl[1], 'line_no': pl[2]} AS pl FROM k WHERE c NOT IN (SELECT b FROM gone))),
+f AS (SELECT l.*, s.line_no IS NOT NULL OR NOT regexp_matches(low, '[^\x20\x09-\x0D]') AS stays FROM l LEFT JOIN s USING (doc_id, line_no))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_removed,
+       coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (stays), '') AS text FROM f GROUP BY doc_id
+"""
+
 OP6 = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 h AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS hex FROM p),
@@ -49,4 +65,4 @@ WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.pos < p.n_turns AND p.pos = f.n_turns
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3, "op6_warc": OP6, "op7_chat_format": OP7, "op9_decontamination": OP9}
+    return {"op3_exact_dedup": OP3, "op5_line_dedup": OP5, "op6_warc": OP6, "op7_chat_format": OP7, "op9_decontamination": OP9}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilngraph.llm import chat, decontaminate, exact_dedup, language_model, licenses, mixing, near_dedup, toxicity, warc
+from kilngraph.llm import chat, decontaminate, exact_dedup, language_model, licenses, line_dedup, mixing, near_dedup, toxicity, warc
 from kilngraph.llm.storage import table
 
 
@@ -27,6 +27,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
@@ -49,4 +53,4 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_language_model, op3_exact_dedup, op4_toxicity, op6_warc, op7_chat_format, op8_source_mix, op9_decontamination, op10_license_scan)}
+    return {f.__name__: f for f in (op1_minhash, op2_language_model, op3_exact_dedup, op4_toxicity, op5_line_dedup, op6_warc, op7_chat_format, op8_source_mix, op9_decontamination, op10_license_scan)}

@@ -6,6 +6,7 @@ nothing else.  Only where that setting is absent (local tests) a folder below ``
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,3 +43,9 @@ def fresh(taken: list[str], name: str) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop shuffle files whose plans are out of use; it acts on the driver's garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
