@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from kilngraph.llm.storage import materialise
+from kilngraph.llm.storage import materialise, release
 
 FOLDS, HELD_FOLD = 5, 1
 #: Tokens after which a shard is closed, and keys that a range holds on average.
@@ -123,9 +123,10 @@ class Shard:
 
 
 SHARD_COLUMNS = ("hashes", "tokens", "ends", "train")
-SHARD_DDL = "shard long, kind int, span int, ids binary, hashes binary, tokens binary, ends binary, train binary, keys binary, counts binary"
-#: Kinds of rows: a shard, and its unigram and bigram requests.
-IS_SHARD, UNIGRAM, BIGRAM = 0, 1, 2
+SHARD_DDL = "shard long, ids binary, hashes binary, tokens binary, ends binary, train binary"
+REQUEST_DDL = "shard long, kind int, span int, keys binary, counts binary"
+#: Kinds of requests.
+UNIGRAM, BIGRAM = 1, 2
 
 
 def _spans(keys: np.ndarray, spans: int) -> np.ndarray:
@@ -145,14 +146,34 @@ def _ids(data: bytes) -> pa.Array:
     return pa.ipc.open_stream(_inflate(data)).read_all().column(0).combine_chunks()
 
 
-def _cut(spans: int, shard_tokens: int):
-    """Cuts a task's documents into shards; each yields its own row and its requests."""
+def _requests(spans: int):
+    """A shard's distinct words and bigrams with their training counts, one row per key range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("shard", pa.int64()), ("kind", pa.int32()), ("span", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+        for batch in batches:
+            for row in batch.to_pylist():
+                shard, rows = Shard.load(row), []
+                uni, bi, at_uni, at_bi = shard.keys()
+                learns = shard.train[shard.doc]
+                for kind, keys, at in ((UNIGRAM, uni, at_uni), (BIGRAM, bi, at_bi)):
+                    counts, edges = np.bincount(at[learns], minlength=len(keys)), _spans(keys, spans)
+                    for s, (b, e) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+                        if e > b:
+                            rows.append({"shard": row["shard"], "kind": kind, "span": s, "keys": pack_sorted(keys[b:e]), "counts": pack(counts[b:e])})
+                yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return run
+
+
+def _cut(shard_tokens: int):
+    """Cuts a task's documents into shards, one row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
-        schema = pa.schema([("shard", pa.int64()), ("kind", pa.int32()), ("span", pa.int32()), *[(c, pa.binary()) for c in ("ids", *SHARD_COLUMNS, "keys", "counts")]])
+        schema = pa.schema([("shard", pa.int64()), *[(c, pa.binary()) for c in ("ids", *SHARD_COLUMNS)]])
         vocabulary: dict[bytes, int] = {}
         hashes: list[int] = [int(_END)]
         tokens: list[np.ndarray] = []
@@ -164,15 +185,7 @@ def _cut(spans: int, shard_tokens: int):
         def close() -> pa.RecordBatch:
             nonlocal number, size
             shard = Shard(np.array(hashes, np.uint64), np.concatenate(tokens), np.array(ends, np.int64), np.array(train, bool))
-            uni, bi, at_uni, at_bi = shard.keys()
-            learns = shard.train[shard.doc]
-            none = dict.fromkeys((*SHARD_COLUMNS, "ids", "keys", "counts"))
-            rows = [none | {"shard": number, "kind": IS_SHARD, "span": 0, "ids": _serialise_ids(pa.concat_arrays(ids))} | shard.dump()]
-            for kind, keys, at in ((UNIGRAM, uni, at_uni), (BIGRAM, bi, at_bi)):
-                counts, edges = np.bincount(at[learns], minlength=len(keys)), _spans(keys, spans)
-                for s, (b, e) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-                    if e > b:
-                        rows.append(none | {"shard": number, "kind": kind, "span": s, "keys": pack_sorted(keys[b:e]), "counts": pack(counts[b:e])})
+            rows = [{"shard": number, "ids": _serialise_ids(pa.concat_arrays(ids))} | shard.dump()]
             number, size = number + 1, 0
             for part in (vocabulary, tokens, ends, train, ids):
                 part.clear()
@@ -341,16 +354,19 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), in_training(id_col).alias("train"))
     size, starts = rows.agg(F.sum(F.octet_length("text")), F.count_if("train")).first()
     spans = max(16, math.ceil((size or 0) / (BYTES_PER_KEY * range_keys)))
-    cut = materialise(rows.mapInArrow(_cut(spans, shard_tokens), SHARD_DDL), "lm-shards")
-    requests = cut.where(F.col("kind") != IS_SHARD).select("shard", "kind", "span", "keys", "counts")
+    shards = materialise(rows.mapInArrow(_cut(shard_tokens), SHARD_DDL), "lm-shards")
+    requests = shards.select("shard", *SHARD_COLUMNS).mapInArrow(_requests(spans), REQUEST_DDL)
     answers = materialise(requests.groupBy("kind", "span").applyInArrow(_answer, ANSWER_DDL), "lm-answers")
+    del requests
+    release(spark)
     found = answers.where(F.col("kind") == UNIGRAM).agg(F.sum("tokens"), F.sum("types")).first()
     n, v = (int(x or 0) for x in found)
-    shards = cut.where(F.col("kind") == IS_SHARD).select("shard", "ids", *SHARD_COLUMNS)
     both = lambda: shards.groupBy("shard").cogroup(answers.select("shard", "kind", "span", "totals").groupBy("shard"))
     cells = both().applyInArrow(_statistics(n, v, starts), "cell long, many long").groupBy("cell").agg(F.sum("many").alias("many"))
     # Bounded: CONTEXT_BUCKETS * (STEPS * OCTAVES + 1)^2 cells at the very most.
     got = cells.toPandas()
+    del cells
+    release(spark)
     order = np.argsort(got.cell.to_numpy())
     weights = learn_weights(got.cell.to_numpy()[order], got.many.to_numpy()[order], v)
     kind = rows.schema["id"].dataType.simpleString()
