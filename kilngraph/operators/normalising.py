@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from kilngraph.functions import fixed_values as fixed
 from kilngraph.functions import rules
 from kilngraph.functions.text import strip
+from kilngraph.lineage import cut
 from kilngraph.operators.linking import link
 
 _LIST_MARK = "[、，,]"
@@ -48,21 +49,17 @@ def match_relation(triples: DataFrame, relation_col: str = "relation") -> DataFr
     exact = F.broadcast(rules.exact_rule_table(spark))
     text = strip(F.coalesce(F.col(relation_col), F.lit("")))
     rows = triples.withColumn("rel_text", text).join(exact, F.col("rel_text") == F.col("rule_relation"), "left")
-    hit: Column | None = None
-    for words, name, annual in rules.keyword_rules():
-        for word in words:
-            found = F.struct(F.lit(name).cast("string").alias("id"), F.lit(annual).alias("annual"), F.lit(word).alias("word"))
-            holds = F.contains(F.col("rel_text"), F.lit(word))
-            hit = F.when(holds, found) if hit is None else hit.when(holds, found)
-    rows = rows.withColumn("kw", hit)
-    exact_hit, empty = F.col("rule_relation").isNotNull(), F.col("rel_text") == ""
-    by_word = F.col("kw").isNotNull()
+    table = [(word, name, annual) for words, name, annual in rules.keyword_rules() for word in words]
+    chain = " ".join(f"WHEN contains(rel_text, '{word}') THEN {i}" for i, (word, _, _) in enumerate(table, 1))
+    rows = rows.withColumn("kw", F.expr(f"CASE {chain} END"))
+    pick = lambda values, kind: F.element_at(F.expr(f"array({', '.join(values)})").cast(f"array<{kind}>"), F.col("kw"))
+    exact_hit, empty, by_word = F.col("rule_relation").isNotNull(), F.col("rel_text") == "", F.col("kw").isNotNull()
     rows = rows.withColumns(
         {
-            "relation_id": F.when(exact_hit, F.col("rule_id")).when(by_word, F.col("kw.id")),
+            "relation_id": F.when(exact_hit, F.col("rule_id")).when(by_word, pick([f"'{n}'" if n else "NULL" for _, n, _ in table], "string")),
             "rel_confidence": F.when(empty, 0.0).when(exact_hit, 0.99).when(by_word, 0.85).otherwise(0.4),
-            "is_annual": F.when(empty, False).when(exact_hit, F.col("rule_annual")).when(by_word, F.col("kw.annual")).otherwise(rules.contains_any(F.col("rel_text"), fixed.YEARLY_WORDS)),
-            "rel_method": F.when(empty, "none").when(exact_hit, "exact").when(by_word, F.concat(F.lit("keyword:"), F.col("kw.word"))).otherwise("heuristic"),
+            "is_annual": F.when(empty, False).when(exact_hit, F.col("rule_annual")).when(by_word, pick([str(a) for _, _, a in table], "boolean")).otherwise(rules.contains_any(F.col("rel_text"), fixed.YEARLY_WORDS)),
+            "rel_method": F.when(empty, "none").when(exact_hit, "exact").when(by_word, F.concat(F.lit("keyword:"), pick([f"'{w}'" for w, _, _ in table], "string"))).otherwise("heuristic"),
         }
     )
     return rows.drop("rel_text", "rule_relation", "rule_id", "rule_annual", "kw")
@@ -109,6 +106,7 @@ def normalise(triples: DataFrame, index: DataFrame | None = None) -> DataFrame:
     name = strip(F.coalesce(F.col("subject"), F.lit("")))
     base = base.withColumn("subject", name)
     if index is not None:
+        index = cut(index)  # looked up several times below
         base = link(base, index, "subject").withColumn("subject", F.coalesce("standardized", "subject")).withColumnRenamed("matched", "subject_known").drop("original", "standardized", "method", "confidence")
     else:
         base = base.withColumn("subject_known", F.lit(False))

@@ -228,7 +228,7 @@ def normalise_triples(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def dedupe_triples(spark: SparkSession, sf: str) -> DataFrame:
-    return bind.triples(spark, sf).select("seq", "part", "subject", "relation", "object", "year", "confidence")
+    return normalising.deduplicate(bind.normalised(spark, sf)).select("seq", "part", "subject", "relation", "object", "year", "confidence")
 
 
 @query
@@ -247,12 +247,12 @@ def norm_report(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def graph_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return bind.nodes(spark, sf)
+    return graph.build_nodes(bind.triples(spark, sf), digits=32)
 
 
 @query
 def graph_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return bind.edges(spark, sf)
+    return graph.build_edges(bind.triples(spark, sf), digits=32)
 
 
 @query

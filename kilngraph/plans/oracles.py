@@ -191,11 +191,11 @@ ORACLES["entity_series"] = _SERIES("s.label = 'HydrologicalStation' AND contains
 ORACLES["zone_series"] = _SERIES("s.label = 'Reservoir' AND e.year = 1997", "s.name AS s_name, e.year, e.rel AS indicator, d.value", 500)
 ORACLES["triple_search"] = f"{_G} SELECT s.name AS subject, rel AS predicate, o.name AS object, confidence FROM edges JOIN nodes s ON s.id = src JOIN nodes o ON o.id = dst WHERE contains(s.name, 'NATION_7') OR contains(o.name, 'NATION_7') ORDER BY confidence DESC NULLS FIRST, src, rel, dst LIMIT 50"
 ORACLES["trace_document"] = f"{_G} SELECT s.name AS subject, rel AS predicate, o.name AS object, confidence, context FROM edges JOIN nodes s ON s.id = src JOIN nodes o ON o.id = dst WHERE source_doc = 'bulletin_1996.pdf' ORDER BY 1, 2, 3 LIMIT 100"
-ORACLES["shortest_path"] = """WITH RECURSIVE e AS (SELECT 'N' || n_nationkey AS a, 'R' || n_regionkey AS b, 'belongs to' AS rel FROM nation UNION ALL SELECT 'C' || c_custkey, 'N' || c_nationkey, 'located in' FROM customer UNION ALL SELECT 'S' || s_suppkey, 'N' || s_nationkey, 'located in' FROM supplier),
+ORACLES["shortest_path"] = """WITH RECURSIVE e AS (SELECT 'N' || n_nationkey AS a, 'R' || n_regionkey AS b, 'belongs to' AS rel FROM nation UNION ALL SELECT 'C' || c_custkey, 'N' || c_nationkey, 'located in' FROM customer UNION ALL SELECT 'S' || s_suppkey, 'N' || s_nationkey, 'located in' FROM supplier UNION ALL SELECT 'R' || r_regionkey, 'W', 'part of' FROM region),
 u AS (SELECT a, b, rel FROM e UNION SELECT b, a, rel FROM e),
 hub AS (SELECT * FROM u WHERE (a NOT LIKE 'C%' OR a = 'C1') AND (b NOT LIKE 'C%' OR b = 'C1') AND (a NOT LIKE 'S%' OR a = 'S2') AND (b NOT LIKE 'S%' OR b = 'S2')),
-p AS (SELECT 'C1' AS at, ['C1'] AS nodes, []::VARCHAR[] AS rels, 0 AS depth UNION ALL SELECT b, list_append(nodes, b), list_append(rels, rel), depth + 1 FROM p JOIN hub ON a = at WHERE depth < 6 AND NOT list_contains(nodes, b)),
-f AS (SELECT * FROM p WHERE at = 'S2')
+p AS (SELECT 'C1' AS head, ['C1'] AS nodes, []::VARCHAR[] AS rels, 0 AS depth UNION ALL SELECT b, list_append(nodes, b), list_append(rels, rel), depth + 1 FROM p JOIN hub ON a = head WHERE depth < 6 AND NOT list_contains(nodes, b)),
+f AS (SELECT * FROM p WHERE head = 'S2')
 SELECT array_to_string(nodes, '>') AS nodes, array_to_string(rels, '>') AS rels, depth FROM f WHERE depth = (SELECT min(depth) FROM f) ORDER BY nodes, rels LIMIT 5"""
 _CIDS = ", ".join(text(x) for ids in fixed.CONSTRAINT_IDS.values() for x in ids)
 ORACLES["constraints_union"] = f"""{_G}, r AS (SELECT id FROM nodes WHERE label = 'Reservoir' ORDER BY name, id LIMIT 5)
