@@ -112,7 +112,8 @@ class ZipReader:
         tail_at = max(0, size - 22 - FULL16)
         tail = self.source.read(tail_at, size - tail_at)
         at = tail.rfind(END)
-        while at >= 0 and len(tail) - at >= 22 and tail_at + at + 22 + struct.unpack_from("<H", tail, at + 20)[0] > size:
+        # The mark may also occur inside the archive's comment; only the real record's comment ends with the file.
+        while at >= 0 and (len(tail) - at < 22 or at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail)):
             at = tail.rfind(END, 0, at)
         if at < 0:
             raise ValueError("no end-of-central-directory record")
