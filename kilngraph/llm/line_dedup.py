@@ -3,14 +3,16 @@
 A line's set is its distinct words (runs of anything but U+0020 and U+0009-U+000D, lower-cased).  Lines are ordered by
 (id, text hash, line number).  A line is removed if an earlier line has a Jaccard similarity of 4/5 or more with it.
 
-1. Equal lines (after lower-casing) form a class; its first line stands for it, every later one is removed.
-2. The words of a class are ordered by rarity.  Rarity is read from word counts in a table of fixed size, hashed, over all
-   classes; words that share an entry are ordered by hash.  Any fixed order gives exact results.
-3. The prefix filter keeps the n - ceil(4n/5) + 1 rarest words; two similar lines share one of them.  Pairs under a word
-   must pass the length filter, the positional filter, and a parity filter: each word flips one of 31 bits, and as many
-   bits as differ must fit into the allowed symmetric difference.
-4. First every class is tried against one hub for each of its prefix words, the earliest line of about its length; most
-   near copies are settled here without forming their pairs.  Then only unsettled classes meet all earlier ones.
+1. Equal lines (after lower-casing) form a class; its first line stands for it, every later one is removed.  A class is
+   stored with its words' 48-bit hashes, distinct and sorted; all later steps compare these.
+2. Near copies are settled first, without forming their pairs: classes that share one of up to four keys (three
+   neighbouring word hashes from the low or high end) are compared with the earliest class under that key.
+3. The words of a class are ordered by rarity.  Rarity is read from word counts over all classes in a hashed table of
+   fixed size; words that share an entry are ordered by hash.  Any fixed order gives exact results.
+4. The prefix filter keeps the n - ceil(4n/5) + 1 rarest words; two similar lines share one of them.  Every class that is
+   not settled meets all earlier classes under its prefix words; a pair must pass the length filter, the positional
+   filter, and a parity filter: each word flips one of 63 bits, and as many bits as differ must fit into the allowed
+   symmetric difference.
 5. Candidate pairs are verified on the full word sets.
 
 Defined cases: a null text is the empty text; lines without words stay; a null id ranks first; rows that repeat id and
@@ -30,106 +32,116 @@ from kilngraph.llm.storage import materialise, release
 SHARE = (4, 5)
 #: Entries of the rarity table.
 RARITY_ENTRIES = 1 << 17
-SPACE = "[\\x20\\x09-\\x0D]+"
+#: Tables of at most so many rows of one number are broadcast; longer ones are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+SPACE, NOT_BLANK = "[\\x20\\x09-\\x0D]+", "[^\\x20\\x09-\\x0D]"
 
 
 def word_set(line: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(line), SPACE), lambda w: w != ""))
+    """Distinct 48-bit hashes of the line's words, sorted."""
+    words = F.array_remove(F.split(F.lower(line), SPACE), "")
+    return F.sort_array(F.array_distinct(F.transform(words, lambda w: F.shiftrightunsigned(F.xxhash64(w), 16))))
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.select("id", F.xxhash64("text").alias("doc"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+def _if_few(df: DataFrame) -> DataFrame:
+    """A broadcast hint for a written table whose row count is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _classes(lines: DataFrame) -> DataFrame:
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """cid, words, n, parity and the place (id, doc, line_no) of the first line of each class."""
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    lines = rows.select("id", F.xxhash64("text").alias("doc"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     low = F.lower("line")
-    named = lines.where(F.col("line").rlike("[^\\x20\\x09-\\x0D]")).withColumns({"h1": F.xxhash64(low), "h2": F.xxhash64(F.lit(1), low)})
-    first = named.groupBy("h1", "h2").agg(F.min(F.struct("id", "doc", "line_no", "line")).alias("first"))
-    return materialise(first.select("first.*").withColumn("cid", F.monotonically_increasing_id()), "line-classes")
+    named = lines.where(F.col("line").rlike(NOT_BLANK)).select("id", "doc", "line_no", F.xxhash64(low).alias("h1"), F.xxhash64(F.lit(1), low).alias("h2"), word_set(F.col("line")).alias("words"))
+    first = named.groupBy("h1", "h2").agg(F.min(F.struct("id", "doc", "line_no", "words")).alias("f")).select("f.*")
+    parity = F.expr("aggregate(words, 0L, (a, w) -> a ^ shiftleft(1L, cast(w % 63 as int)))")
+    return materialise(first.withColumns({"n": F.size("words"), "parity": parity, "cid": F.monotonically_increasing_id()}), "line-classes", compression="zstd")
 
 
-def _rarity(classes: DataFrame) -> Column:
-    """Levels of the hashed word counts, as one constant array of RARITY_ENTRIES numbers."""
-    words = classes.select(F.explode(word_set(F.col("line"))).alias("w")).groupBy(F.pmod(F.xxhash64("w"), F.lit(RARITY_ENTRIES)).cast("int").alias("entry")).count()
-    levels = ["0"] * RARITY_ENTRIES
-    for entry, n in words.collect():  # RARITY_ENTRIES rows at most
-        levels[entry] = str(int(8 * math.log2(n + 1)))
-    return F.split(F.lit(",".join(levels)), ",").cast("array<int>")
-
-
-def _prefixes(classes: DataFrame) -> DataFrame:
-    """word, cid, id, line_no, pos, n, parity for each prefix word of each class."""
-    levels = _rarity(classes)
-    key = lambda w: F.shiftleft(F.element_at(levels, (F.pmod(F.xxhash64(w), F.lit(RARITY_ENTRIES)) + 1).cast("int")).cast("long"), 32).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit(0xFFFFFFFF)))
-    rows = classes.select("cid", "id", "line_no", F.sort_array(F.transform(word_set(F.col("line")), key)).alias("words"))
-    rows = rows.withColumn("n", F.size("words")).withColumn("parity", F.expr("aggregate(words, 0L, (a, w) -> a ^ shiftleft(1L, cast(w % 31 as int)))"))
-    length = F.expr(f"n - cast(floor(({SHARE[0]} * n + {SHARE[1] - 1}) / {SHARE[1]}) as int) + 1")
-    return rows.select("cid", "id", "line_no", "n", F.col("parity").cast("int").alias("parity"), F.posexplode(F.slice("words", F.lit(1), length)).alias("pos", "word"))
-
-
-def _may_match(x: str, y: str) -> Column:
-    """Length, positional and parity filters for two rows under one prefix word, as columns x_n, y_n and so on."""
+def _alike(x: str, y: str) -> Column:
+    """Length and parity filters for columns x_n, x_parity and y_n, y_parity."""
     num, den = SHARE
     n_x, n_y = F.col(f"{x}n").cast("long"), F.col(f"{y}n").cast("long")
-    least = num * (n_x + n_y)
-    overlap = 1 + F.least(n_x - 1 - F.col(f"{x}pos"), n_y - 1 - F.col(f"{y}pos"))
     differ = F.bit_count(F.col(f"{x}parity").bitwiseXOR(F.col(f"{y}parity")))
-    return (den * F.least(n_x, n_y) >= num * F.greatest(n_x, n_y)) & ((num + den) * overlap >= least) & ((num + den) * (n_x + n_y - differ) >= 2 * least)
+    return (den * F.least(n_x, n_y) >= num * F.greatest(n_x, n_y)) & ((num + den) * (n_x + n_y - differ) >= 2 * num * (n_x + n_y))
 
 
-def _verified(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+def _settled(classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The later class of every pair whose full word sets are similar; ``pairs`` has cids a, b in any order."""
-    wanted = pairs.select(F.col("a").alias("want")).unionByName(pairs.select(F.col("b").alias("want"))).distinct()
-    lines = materialise(classes.join(wanted, F.col("cid") == F.col("want")).drop("want"), "line-wanted")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("want")).distinct()
+    sets = materialise(classes.join(_if_few(materialise(wanted, "line-wanted")), F.col("cid") == F.col("want"), "left_semi").select("cid", "id", "doc", "line_no", "words"), "line-sets")
     rows = pairs
     for c in ("a", "b"):
-        side = lines.select(F.col("cid").alias(f"cid_{c}"), F.struct("id", "doc", "line_no").alias(f"at_{c}"), F.col("line").alias(f"line_{c}"))
+        side = sets.select(F.col("cid").alias(f"cid_{c}"), F.struct("id", "doc", "line_no").alias(f"at_{c}"), F.col("words").alias(f"set_{c}"))
         rows = rows.join(side, F.col(c) == F.col(f"cid_{c}")).drop(f"cid_{c}")
-    rows = rows.select("a", "b", "at_a", "at_b", word_set(F.col("line_a")).alias("set_a"), word_set(F.col("line_b")).alias("set_b"))
     both = F.size(F.array_intersect("set_a", "set_b"))
     similar = (SHARE[0] + SHARE[1]) * both >= SHARE[0] * (F.size("set_a") + F.size("set_b"))
     later = F.when(F.col("at_a") > F.col("at_b"), F.col("a")).when(F.col("at_b") > F.col("at_a"), F.col("b"))
-    return materialise(rows.where(similar).select(later.alias("cid")).where("cid is not null").distinct(), "line-settled")
+    return materialise(rows.where(similar).select(later.alias("done")).where("done is not null").distinct(), "line-settled")
 
 
 def _near_copies(classes: DataFrame) -> DataFrame:
-    """cids of the classes that an earlier class is similar to."""
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(SHARE[1] / SHARE[0])))
-    order = Window.partitionBy("word", "band").orderBy("id", "line_no", "cid")
-    rows = _prefixes(classes).withColumn("band", band).withColumn("under", F.count("*").over(Window.partitionBy("word"))).where("under > 1").drop("under")
-    rows = rows.withColumn("hub", F.first(F.struct("cid", "n", "pos", "parity")).over(order)).drop("band")
-    index = materialise(rows, "line-index")
-    release(classes.sparkSession)
-    stars = index.where(F.col("hub.cid") != F.col("cid")).select("*", *[F.col(f"hub.{c}").alias(f"h_{c}") for c in ("cid", "n", "pos", "parity")])
-    stars = materialise(stars.where(_may_match("", "h_")).select(F.col("cid").alias("a"), F.col("h_cid").alias("b")).distinct(), "line-stars")
-    settled = _verified(classes, stars)
-    release(classes.sparkSession)
-    open_ = index.drop("hub").join(settled.withColumnRenamed("cid", "done"), F.col("cid") == F.col("done"), "left_anti")
-    x = open_.select(*[F.col(c).alias(f"x_{c}") for c in ("word", "cid", "id", "line_no", "n", "pos", "parity")])
-    y = index.select(*[F.col(c).alias(f"y_{c}") for c in ("word", "cid", "id", "line_no", "n", "pos", "parity")])
-    before = (F.struct("y_id", "y_line_no") <= F.struct("x_id", "x_line_no")) & (F.col("x_cid") != F.col("y_cid"))
-    pairs = x.join(y, (F.col("x_word") == F.col("y_word")) & before & _may_match("x_", "y_")).select(F.col("x_cid").alias("a"), F.col("y_cid").alias("b")).distinct()
-    pairs = materialise(pairs.join(stars, ["a", "b"], "left_anti"), "line-pairs")
-    release(classes.sparkSession)
-    found = _verified(classes, pairs)
-    release(classes.sparkSession)
-    return settled.unionByName(found).distinct()
+    """cids (done) of classes that the earliest class under one of their keys is similar to."""
+    n = F.col("n")
+    tail = lambda back: F.when(n >= 6, F.xxhash64(F.lit(back), F.slice("words", n - back, F.lit(3))))
+    keys = F.array(F.xxhash64(F.lit(1), F.slice("words", 1, 3)), F.when(n >= 6, F.xxhash64(F.lit(4), F.slice("words", 4, 3))), tail(2), tail(5))
+    rows = classes.where("n > 3").select(F.explode(F.array_compact(keys)).alias("key"), "id", "line_no", "cid", "n", "parity")
+    hubs = rows.groupBy("key").agg(F.min(F.struct("id", "line_no", "cid", "n", "parity")).alias("h"), F.count("*").alias("under")).where("under > 1")
+    hubs = hubs.select(F.col("key").alias("hub_key"), F.col("h.cid").alias("h_cid"), F.col("h.n").alias("h_n"), F.col("h.parity").alias("h_parity"))
+    pairs = rows.join(hubs, F.col("key") == F.col("hub_key")).where((F.col("cid") != F.col("h_cid")) & _alike("", "h_"))
+    return _settled(classes, materialise(pairs.select(F.col("cid").alias("a"), F.col("h_cid").alias("b")).distinct(), "line-stars"))
+
+
+def _rarity(classes: DataFrame) -> Column:
+    """Levels of the hashed word counts, as one constant array of RARITY_ENTRIES numbers."""
+    words = classes.select(F.explode("words").alias("w")).groupBy((F.col("w") % RARITY_ENTRIES).cast("int").alias("entry")).count()
+    levels = ["0"] * RARITY_ENTRIES
+    for entry, n in words.collect():  # RARITY_ENTRIES rows at most
+        levels[entry] = str(int(8 * math.log2(n + 1)))
+    return F.split(F.lit(",".join(levels)), ",").cast("array<int>")
+
+
+def _prefixes(classes: DataFrame, settled: DataFrame) -> DataFrame:
+    """word, cid, id, line_no, pos, n, parity for each prefix word; ``most`` is the longest partner, -1 for settled classes."""
+    levels = _rarity(classes)
+    key = lambda w: F.shiftleft(F.element_at(levels, ((w % RARITY_ENTRIES) + 1).cast("int")).cast("long"), 48).bitwiseOR(w)
+    rows = classes.join(_if_few(settled), F.col("cid") == F.col("done"), "left")
+    most = F.when(F.col("done").isNull(), F.floor(F.col("n") * F.lit(SHARE[1]) / F.lit(SHARE[0])).cast("int")).otherwise(-1)
+    length = F.expr(f"n - cast(floor(({SHARE[0]} * n + {SHARE[1] - 1}) / {SHARE[1]}) as int) + 1")
+    return rows.select("cid", "id", "line_no", "n", "parity", most.alias("most"), F.posexplode(F.slice(F.sort_array(F.transform("words", key)), F.lit(1), length)).alias("pos", "word"))
+
+
+def _similar_to_earlier(classes: DataFrame, settled: DataFrame) -> DataFrame:
+    """cids (done) of open classes that any earlier class is similar to."""
+    num, den = SHARE
+    index = _prefixes(classes, settled)
+    columns = ["word", "cid", "id", "line_no", "n", "pos", "parity", "most"]
+    x, y = (index.select(*[F.col(c).alias(f"{s}{c}") for c in columns]) for s in ("x_", "y_"))
+    # ``x_most`` both bounds the partner's length and shuts out settled classes; both sides stay one shuffle.
+    before = (F.struct("y_id", "y_line_no") <= F.struct("x_id", "x_line_no")) & (F.col("x_cid") != F.col("y_cid")) & (F.col("y_n") <= F.col("x_most"))
+    overlap = 1 + F.least(F.col("x_n") - 1 - F.col("x_pos"), F.col("y_n") - 1 - F.col("y_pos"))
+    fits = (num + den) * overlap >= num * (F.col("x_n") + F.col("y_n"))
+    pairs = x.join(y, (F.col("x_word") == F.col("y_word")) & before & fits & _alike("x_", "y_"))
+    return _settled(classes, materialise(pairs.select(F.col("x_cid").alias("a"), F.col("y_cid").alias("b")).distinct(), "line-pairs"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_lines, n_removed and the text of the lines that stay."""
-    lines = _lines(docs, id_col, text_col)
-    classes = _classes(lines)
-    release(docs.sparkSession)
-    gone = _near_copies(classes).withColumnRenamed("cid", "gone")
-    stay = classes.join(gone, F.col("cid") == F.col("gone"), "left_anti")
-    stay = stay.groupBy(F.col("id").alias("stay_id"), F.col("doc").alias("stay_doc")).agg(F.collect_list(F.struct("line_no", "line")).alias("stay"))
+    spark = docs.sparkSession
+    classes = _classes(docs, id_col, text_col)
+    release(spark)
+    copies = _near_copies(classes)
+    release(spark)
+    gone = copies.unionByName(_similar_to_earlier(classes, copies)).distinct()
+    release(spark)
+    stay = classes.select("cid", "id", "doc", "line_no").join(gone, F.col("cid") == F.col("done"), "left_anti")
+    stay = stay.groupBy(F.col("id").alias("stay_id"), F.col("doc").alias("stay_doc")).agg(F.collect_list("line_no").alias("stay"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    place = F.transform(F.split(text, "\n"), lambda line, i: F.struct(i.alias("line_no"), line.alias("line")))
-    blank = F.filter(place, lambda p: ~p["line"].rlike("[^\\x20\\x09-\\x0D]"))
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("doc"), F.size(F.split(text, "\n")).cast("long").alias("n_lines"), blank.alias("blank"))
-    rows = rows.join(stay, (F.col("doc") == F.col("stay_doc")) & F.col("id").eqNullSafe(F.col("stay_id")), "left")
-    kept = F.array_sort(F.concat("blank", F.coalesce("stay", F.array().cast("array<struct<line_no:int,line:string>>"))))
-    rows = rows.withColumn("kept", kept)
-    return rows.select(F.col("id").alias(id_col), "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_removed"), F.array_join(F.transform("kept", lambda p: p["line"]), "\n").alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("doc"), text.alias("text"))
+    rows = rows.join(stay, (F.col("doc") == F.col("stay_doc")) & F.col("id").eqNullSafe(F.col("stay_id")), "left").withColumn("lines", F.split("text", "\n"))
+    blank = F.filter(F.transform("lines", lambda line, i: F.when(~line.rlike(NOT_BLANK), i)), lambda i: i.isNotNull())
+    kept = F.array_sort(F.concat(blank, F.coalesce("stay", F.array().cast("array<int>"))))
+    rows = rows.select("id", "lines", kept.alias("kept"))
+    n_lines = F.size("lines").cast("long")
+    return rows.select(F.col("id").alias(id_col), n_lines.alias("n_lines"), (n_lines - F.size("kept")).alias("n_removed"), F.array_join(F.transform("kept", lambda i: F.element_at(F.col("lines"), i + 1)), "\n").alias("text"))
