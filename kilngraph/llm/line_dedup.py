@@ -3,8 +3,8 @@
 A line's set is its distinct words (runs of anything but U+0020 and U+0009-U+000D, lower-cased).  Lines are ordered by
 (id, text hash, line number).  A line is removed if an earlier line has a Jaccard similarity of 4/5 or more with it.
 
-1. Equal lines (after lower-casing) form a class; its first line stands for it, every later one is removed.  A class is
-   stored with its words' 48-bit hashes, distinct and sorted; all later steps compare these.
+1. Lines with equal sets form a class; its first line stands for it, every later one is removed.  A class is stored with
+   its words' 48-bit hashes, distinct and sorted; all later steps compare these.
 2. Near copies are settled first, without forming their pairs: classes that share one of up to four keys (three
    neighbouring word hashes from the low or high end) are compared with the earliest class under that key.
 3. The words of a class are ordered by rarity.  Rarity is read from word counts over all classes in a hashed table of
@@ -38,8 +38,8 @@ SPACE, NOT_BLANK = "[\\x20\\x09-\\x0D]+", "[^\\x20\\x09-\\x0D]"
 
 
 def word_set(line: Column) -> Column:
-    """Distinct 48-bit hashes of the line's words, sorted."""
-    words = F.array_remove(F.split(F.lower(line), SPACE), "")
+    """Distinct 48-bit hashes of a lower-cased line's words, sorted."""
+    words = F.array_remove(F.split(line, SPACE), "")
     return F.sort_array(F.array_distinct(F.transform(words, lambda w: F.shiftrightunsigned(F.xxhash64(w), 16))))
 
 
@@ -51,9 +51,9 @@ def _if_few(df: DataFrame) -> DataFrame:
 def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """cid, words, n, parity and the place (id, doc, line_no) of the first line of each class."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    lines = rows.select("id", F.xxhash64("text").alias("doc"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    low = F.lower("line")
-    named = lines.where(F.col("line").rlike(NOT_BLANK)).select("id", "doc", "line_no", F.xxhash64(low).alias("h1"), F.xxhash64(F.lit(1), low).alias("h2"), word_set(F.col("line")).alias("words"))
+    lines = rows.select("id", F.xxhash64("text").alias("doc"), F.posexplode(F.split(F.lower("text"), "\n")).alias("line_no", "line"))
+    sets = lines.select("id", "doc", "line_no", word_set(F.col("line")).alias("words")).where(F.size("words") > 0)
+    named = sets.withColumns({"h1": F.xxhash64("words"), "h2": F.xxhash64(F.lit(1), "words")})
     first = named.groupBy("h1", "h2").agg(F.min(F.struct("id", "doc", "line_no", "words")).alias("f")).select("f.*")
     parity = F.expr("aggregate(words, 0L, (a, w) -> a ^ shiftleft(1L, cast(w % 63 as int)))")
     return materialise(first.withColumns({"n": F.size("words"), "parity": parity, "cid": F.monotonically_increasing_id()}), "line-classes", compression="zstd")
@@ -118,8 +118,10 @@ def _similar_to_earlier(classes: DataFrame, settled: DataFrame) -> DataFrame:
     index = _prefixes(classes, settled)
     columns = ["word", "cid", "id", "line_no", "n", "pos", "parity", "most"]
     x, y = (index.select(*[F.col(c).alias(f"{s}{c}") for c in columns]) for s in ("x_", "y_"))
-    # ``x_most`` both bounds the partner's length and shuts out settled classes; both sides stay one shuffle.
+    # ``x_most`` both bounds the partner's length and shuts out settled classes.  No condition is on one side alone and both
+    # sides read the same columns (hence the last condition, which always holds), so one shuffle serves both.
     before = (F.struct("y_id", "y_line_no") <= F.struct("x_id", "x_line_no")) & (F.col("x_cid") != F.col("y_cid")) & (F.col("y_n") <= F.col("x_most"))
+    before = before & (F.col("y_most").cast("long") <= F.col("x_most").cast("long") + F.lit(1 << 40))
     overlap = 1 + F.least(F.col("x_n") - 1 - F.col("x_pos"), F.col("y_n") - 1 - F.col("y_pos"))
     fits = (num + den) * overlap >= num * (F.col("x_n") + F.col("y_n"))
     pairs = x.join(y, (F.col("x_word") == F.col("y_word")) & before & fits & _alike("x_", "y_"))
