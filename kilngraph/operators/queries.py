@@ -21,7 +21,7 @@ def _as(df: DataFrame, prefix: str, *columns: str) -> DataFrame:
 def neighbours(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
     """The node with its outgoing relations as an ordered list; without edges one entry of nulls."""
     one = nodes.where(F.col("id") == node)
-    out = edges.where(F.col("src") == node).join(_as(nodes, "t", "id", "label", "name", "value"), F.col("dst") == F.col("t_id"))
+    out = edges.where(F.col("src") == node).join(_as(nodes, "t", "id", "label", "name", "value"), F.col("dst") == F.col("t_id")).select("src", "rel", "t_label", "t_name", "t_value")
     listed = F.array_sort(F.collect_list(F.struct("rel", "t_label", "t_name", "t_value")))
     return one.join(out, F.col("id") == F.col("src"), "left").groupBy(*[F.col(c) for c in one.columns]).agg(listed.alias("relations"))
 
