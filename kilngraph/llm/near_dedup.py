@@ -14,10 +14,12 @@ similarity, so bands of registers serve as bucket keys.
    prune a pair first; then its similarity is estimated jointly, by maximum likelihood over the counts of greater, smaller
    and equal registers given both set sizes; pairs whose likelihood at the threshold is hopeless are dropped, all others
    are verified on the full shingle sets.  Verified links join components.
-4. After the star rounds, buckets of at most ``SMALL_BUCKET`` open classes are searched through: every pair between
-   different components is estimated and verified.  A crowded bucket has been compared with a hub in every round only, so
-   that its pairs are never formed; what this can lose is a link that joins a class to a component by none of its hubs in
-   any band or round.
+4. After the star rounds, every pair of different components and fitting size that shares a bucket is estimated, and
+   verified if it is worth it.  Buckets of at most ``SMALL_BUCKET`` open classes form their pairs in a join.  A crowded
+   bucket is cut into cells: the classes outside its largest component in blocks of ``BLOCK`` against all its classes in
+   such blocks.  A cell estimates its pairs in one task, each pair in the first band that both share, and writes only
+   those worth verifying, which are then verified by cell, so that a full set travels once to a cell.  No link between
+   classes that share a bucket is lost.
 
 Bands of 8 out of 512 registers miss a link of similarity 0.8 with probability 3e-6.
 
@@ -51,8 +53,10 @@ BASE, OFFSET = 1.1, 25
 #: A pair is dropped unverified if its likelihood at the threshold is below its best by so many nats.
 HOPELESS = 20.0
 STAR_ROUNDS = 4
-#: Open buckets of at most so many classes are searched through pair by pair.
+#: Open buckets of at most so many classes are searched through by a join, larger ones in cells.
 SMALL_BUCKET = 24
+#: Classes on either side of a cell, and pairs of a cell that are estimated at once.
+BLOCK, BATCH = 512, 4096
 SEED = 0x5E75CE7C
 CHUNK = 1 << 16
 #: Cached word hashes of a task.
@@ -179,6 +183,74 @@ def _estimate(threshold: float):
     return run
 
 
+def _cell(hundredths: int):
+    """The pairs (a, b) of one cell of a crowded bucket that are worth verifying; ``left`` marks the searched classes."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        node, n, comp = (cell.column(c).to_numpy() for c in ("node", "n", "comp"))
+        left = cell.column("left").to_numpy()
+        # Classes outside the largest component are on both sides; of two such, only the pair in ascending order counts.
+        minor = cell.column("minor").to_numpy()
+        regs = np.frombuffer(b"".join(cell.column("regs").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+        words, key = regs.view(np.uint64), cell.column("key")[0].as_py()
+        band = int((band_keys(regs[:1])[0].view(np.int64) == key).argmax())
+        right = np.flatnonzero(~left)
+        found: list[np.ndarray] = []
+        waiting: list[np.ndarray] = []
+
+        def estimate() -> None:
+            pairs = np.concatenate(waiting)
+            waiting.clear()
+            for begin in range(0, len(pairs), BATCH):
+                i, j = pairs[begin : begin + BATCH].T
+                good = worth_verifying(regs[i], regs[j], n[i], n[j], hundredths / 100)
+                found.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1)[good])
+
+        for i in np.flatnonzero(left):
+            fits = (comp[right] != comp[i]) & (~minor[right] | (node[right] > node[i]))
+            fits &= 100 * np.minimum(n[right], n[i]) >= hundredths * np.maximum(n[right], n[i])
+            j = right[fits]
+            j = j[(words[j] == words[i]).argmax(1) == band]
+            if len(j):
+                waiting.append(np.stack([np.full(len(j), i), j], 1))
+                if sum(map(len, waiting)) >= BATCH:
+                    estimate()
+        if waiting:
+            estimate()
+        pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
+        i, j = (pa.array(np.full(len(pairs), cell.column(c)[0].as_py()), pa.int32()) for c in ("i", "j"))
+        return pa.table({"key": pa.array(np.full(len(pairs), key)), "i": i, "j": j, "a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+    return run
+
+
+def _cell_links(hundredths: int):
+    """The links among the pairs of a cell; a pair whose ends other links of the cell have joined needs no verification."""
+
+    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        full = {n: np.frombuffer(s, np.uint64) for n, s in zip(sets.column("node").to_pylist(), sets.column("shingles").to_pylist(), strict=True)}
+        root = {n: n for n in full}
+
+        def find(n: int) -> int:
+            while root[n] != n:
+                root[n] = n = root[root[n]]
+            return n
+
+        links = []
+        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
+            if a in full and b in full and (x := find(a)) != (y := find(b)) and _linked(full[a], full[b], hundredths):
+                root[x] = y
+                links.append((a, b))
+        return pa.table({c: pa.array([link[i] for link in links], pa.int64()) for i, c in enumerate("ab")})
+
+    return run
+
+
+def _linked(x: np.ndarray, y: np.ndarray, hundredths: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= hundredths * (len(x) + len(y) - both)
+
+
 def _sets(k: int):
     """Full shingle sets of the wanted classes; a row whose text has another digest (a repeated id) is not the wanted."""
 
@@ -197,9 +269,7 @@ def _verify(hundredths: int):
         for batch in batches:
             keep = []
             for a, b in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= hundredths * (len(x) + len(y) - both))
+                keep.append(_linked(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), hundredths))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -218,16 +288,38 @@ class _Linker:
         for c in ("a", "b"):
             rows = rows.join(side(c), F.col(c) == F.col(f"node_{c}")).drop(f"node_{c}")
         hopeful = materialise(rows.mapInArrow(_estimate(self.hundredths / 100), "a long, b long"), "near-hopeful")
-        wanted = hopeful.select(F.col("a").alias("want")).unionByName(hopeful.select(F.col("b").alias("want"))).distinct()
-        wanted = self.classes.join(wanted, F.col("node") == F.col("want")).select("node", "digest", "mark", F.col("id").alias("class_id"))
-        texts = self.docs.join(wanted.withColumnRenamed("mark", "class_mark"), F.col("mark") == F.col("class_mark")).where(F.col("id").eqNullSafe(F.col("class_id")))
-        texts = texts.select("node", "digest", "text").mapInArrow(_sets(self.k), "node long, shingles binary")
-        sets = materialise(texts.dropDuplicates(["node"]), "near-sets")
-        rows = hopeful
+        sets, rows = self.full_sets(hopeful), hopeful
         for c in ("a", "b"):
             rows = rows.join(sets.select(F.col("node").alias(f"node_{c}"), F.col("shingles").alias(f"set_{c}")), F.col(c) == F.col(f"node_{c}")).drop(f"node_{c}")
         return materialise(rows.mapInArrow(_verify(self.hundredths), "a long, b long"), "near-links")
 
+    def full_sets(self, pairs: DataFrame) -> DataFrame:
+        """node, shingles of all classes in the pairs (a, b), as a written table."""
+        wanted = pairs.select(F.col("a").alias("want")).unionByName(pairs.select(F.col("b").alias("want"))).distinct()
+        wanted = self.classes.join(wanted, F.col("node") == F.col("want")).select("node", "digest", "mark", F.col("id").alias("class_id"))
+        texts = self.docs.join(wanted.withColumnRenamed("mark", "class_mark"), F.col("mark") == F.col("class_mark")).where(F.col("id").eqNullSafe(F.col("class_id")))
+        texts = texts.select("node", "digest", "text").mapInArrow(_sets(self.k), "node long, shingles binary")
+        return materialise(texts.dropDuplicates(["node"]), "near-sets")
+
+    def crowded_links(self, open_: DataFrame, tried: DataFrame) -> DataFrame:
+        """Links that join the components of open buckets (key, node, n, comp), found cell by cell, as a written table."""
+        parts = open_.groupBy("key", "comp").agg(F.count("*").alias("part"))
+        parts = parts.groupBy("key").agg(F.max(F.struct("part", "comp")).alias("top"), F.sum("part").alias("all"))
+        blocks = lambda size: F.greatest(F.ceil(size / BLOCK), F.lit(1)).cast("int")
+        parts = parts.select(F.col("key").alias("of"), F.col("top.comp").alias("main"), blocks(F.col("all") - F.col("top.part")).alias("rows"), blocks(F.col("all")).alias("cols"))
+        rows = open_.select("key", "node", "n", "comp").join(parts, F.col("key") == F.col("of")).withColumn("minor", F.col("comp") != F.col("main"))
+        place, every = (lambda size: F.pmod(F.xxhash64(F.lit(SEED), "node"), F.col(size)).cast("int")), lambda size: F.sequence(F.lit(0), F.col(size) - 1)
+        cells = F.transform(every("rows"), lambda i: F.struct(i.alias("i"), place("cols").alias("j"), F.lit(False).alias("left")))
+        search = F.transform(every("cols"), lambda j: F.struct(place("rows").alias("i"), j.alias("j"), F.lit(True).alias("left")))
+        rows = rows.select("key", "node", "n", "comp", "minor", F.explode(F.when(F.col("minor"), F.concat(cells, search)).otherwise(cells)).alias("cell"))
+        rows = rows.select("key", "cell.*", "node", "n", "comp", "minor").join(self.classes.select(F.col("node").alias("of"), "regs"), F.col("node") == F.col("of")).drop("of")
+        hopeful = rows.groupBy("key", "i", "j").applyInArrow(_cell(self.hundredths), "key long, i int, j int, a long, b long")
+        hopeful = materialise(hopeful.join(tried, ["a", "b"], "left_anti"), "near-hopeful")
+        ends = hopeful.select(F.col("key").alias("of_key"), F.col("i").alias("of_i"), F.col("j").alias("of_j"), F.explode(F.array("a", "b")).alias("node")).distinct()
+        sets = ends.join(self.full_sets(hopeful).withColumnRenamed("node", "of"), F.col("node") == F.col("of")).drop("of")
+        cells = hopeful.groupBy("key", "i", "j").cogroup(sets.groupBy("of_key", "of_i", "of_j"))
+        return materialise(cells.applyInArrow(_cell_links(self.hundredths), "a long, b long"), "near-links")
+
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels (node, comp) after joining the components at both ends of each link."""
@@ -279,11 +371,14 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, hundredths: in
         if turn and links.isEmpty():
             break
         labels = _merged(labels, links)
-    open_ = still_open().where(F.col("open_size") <= SMALL_BUCKET)
+    rest = still_open()
+    open_ = rest.where(F.col("open_size") <= SMALL_BUCKET)
     other = open_.select(F.col("key").alias("key_b"), F.col("node").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"))
     pairs = open_.withColumnRenamed("node", "a").join(other, (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & near_size(F.col("n"), F.col("n_b"))).select("a", "b").distinct()
     pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
-    labels = _merged(labels, linker.links(pairs))
+    tried = pairs if tried is None else tried.unionByName(pairs)
+    crowded = linker.crowded_links(rest.where(F.col("open_size") > SMALL_BUCKET), tried)
+    labels = _merged(labels, linker.links(pairs).unionByName(crowded))
     release(docs.sparkSession)
     named_classes = classes.select("node", "digest", "id").join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").withColumn("comp", F.coalesce("comp", "node"))
     names = named_classes.groupBy("comp").agg(F.min("id").alias("component_id")).withColumnRenamed("comp", "named")

@@ -88,6 +88,18 @@ def test_near_dedup_keeps_one_of_each_group(docs, none):
     assert near_dedup.deduplicate(none).count() == 0
 
 
+def test_near_dedup_searches_crowded_buckets(spark):
+    """400 texts of similarity 0.7974 by a common core crowd the buckets; twenty pairs among them reach 0.8003."""
+    core, rows, want = [f"core{i}" for i in range(1000)], [], {}
+    for i in range(400):
+        shared = [f"pair{i // 2}x{j}" for j in range(2)] if i < 40 else []
+        own = [f"own{i}x{j}" for j in range(127 - len(shared))]
+        rows.append((i, " ".join(core + shared + own)))
+        want[i] = i - i % 2 if i < 40 else i
+    got = near_dedup.assign(spark.createDataFrame(rows, "doc_id long, text string"), shingle_words=1).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_sketches_merge_and_estimate():
     import numpy as np
 
