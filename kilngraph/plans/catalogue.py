@@ -97,6 +97,19 @@ def doc_renumber(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.split_pages(pages, "source", "doc_id").select("source", "doc_id", "chunk_id", "char_count")
 
 
+@query
+def chunk_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """chunk_short over all documents.  No SQL form: a stateful fold; tests hold it against a plain loop."""
+    return chunking.split_text(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "chunk_id", "char_count")
+
+
+@query
+def doc_renumber_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """doc_renumber over all documents, pages of several chunks included.  No SQL form, as for chunk_whole."""
+    pages = table(spark, sf, "documents").select("source", "doc_id", "text")
+    return chunking.split_pages(pages, "source", "doc_id").select("source", "doc_id", "chunk_id", "char_count")
+
+
 # --- tables and markup ---------------------------------------------------------------------------------------------
 
 

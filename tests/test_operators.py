@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kilngraph.functions import tables as M
 from kilngraph.functions import text as T
 from kilngraph.operators import chunking, extraction, formulation, graph, normalising, paths, training
+from kilngraph.plans.catalogue import CATALOGUE
 from kilngraph.sources.config import Config
 
 
@@ -66,6 +67,20 @@ def test_chunks_match_plain_loop(spark, texts):
         assert [c for _, c in sorted(got.get(i, []))] == reference_chunks(t, 20, 5), t
 
 
+def test_whole_documents_match_plain_loop(spark, tmp_path):
+    texts = ["short", "a" * 4500, " \n", None, "line of words. " * 300, "\n\n".join("p" * n for n in (700, 1500, 2600, 10)), "end"]
+    rows = [(i, "even" if i % 2 == 0 else "odd", t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    chunks = {i: [len(c) for c in reference_chunks(t, 2000, 200)] for i, _, t in rows}
+    assert sorted(map(tuple, CATALOGUE["chunk_whole"](spark, str(tmp_path)).collect())) == [(i, f"chunk_{k:04d}", n) for i in chunks for k, n in enumerate(chunks[i])]
+    want = []
+    for source in ("even", "odd"):
+        pages = [(i, n) for i, s, _ in rows if s == source for n in chunks[i]]
+        want += [(source, i, f"chunk_{k:04d}", n) for k, (i, n) in enumerate(pages)]
+    got = CATALOGUE["doc_renumber_whole"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=lambda r: (r[0], r[2])) == want and max(len(c) for c in chunks.values()) > 1
+
+
 def test_tables(spark):
     md = "| 水库 | 库容(亿m³) |\n|---|---|\n| 龙羊峡 | 247 |\n| x | - |"
     assert one(spark, M.embed_units(F.col("m")), m=md) == "| 水库 | 库容 |\n|---|---|\n| 龙羊峡 | 247亿m³ |\n| x | - |"
