@@ -103,6 +103,14 @@ def test_parse_and_repair(spark):
     assert got[0][0].confidence == 0.85 and got[0][0].data_type == "text"
 
 
+def test_cut_answers_of_every_shape_keep_their_first_item(spark):
+    sf = "/root/testdata/sf0.001"
+    events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id", "event_type", "props").collect()
+    want = sorted((e.event_id, f"u{e.user_id}", e.event_type, str(json.loads(e.props)["k"])) for e in events)
+    assert {e.event_id % 12 for e in events} == set(range(12))
+    assert sorted(map(tuple, CATALOGUE["json_repair_shapes"](spark, sf).collect())) == want
+
+
 def test_generate_skips_blank_prompts(spark):
     rows = spark.createDataFrame([(1, "ask"), (2, " "), (3, None)], "i int, prompt string")
     got = {r.i: r.response for r in extraction.generate(rows, lambda ps, n: [p.upper() for p in ps]).collect()}
