@@ -1,23 +1,21 @@
-"""License scans: winnowed template fingerprints in an inverted index, then banded alignment.
+"""License scans: a counting filter per template, then banded alignment.
 
-Templates (short notices and passages of public licences) are tokenised and winnowed: of every ``WINNOW`` neighbouring
-``GRAM``-word hashes the smallest becomes a fingerprint, and the inverted index maps it to (template, place).  A document
-looks up all of its word grams, so a verbatim run of GRAM + WINNOW - 1 template words always hits.  Hits that lie within
-one band of diagonals form a candidate; a banded global alignment of the template against that stretch of the document
-then gives the matched words, the coverage and the span.
+Templates (short notices and passages of public licences) are tokenised.  An alignment that reaches the coverage matches
+enough of the template's words, with their multiplicity, within the stretch of the document that its band can reach; every
+diagonal whose stretch holds so many of them is aligned.  The filter loses no match, however the words between are changed.
+The banded global alignment of the template against that stretch then gives the matched words, the coverage and the span.
 
 The index is a fixed table of some kilobytes and travels with the code; documents are scanned in one pass without a
 shuffle, whole texts at a time.
 
 Defined cases: null, empty and wordless texts have no match; a template that occurs several times is reported once per
-place; of overlapping matches of one family the better covered stays (ties: the longer template, then its name); repeated
-rows are reported each; a null id is kept; an empty table gives an empty result; further columns are ignored.
+place; of overlapping matches of one family the better covered stays (ties: the longer template, then its name, then
+the shorter span); repeated rows are reported each; a null id is kept; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -26,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 
-GRAM, WINNOW, BAND = 3, 2, 8
+BAND = 8
 #: Share of a template's words that must be matched.
 COVERAGE = 0.8
 
@@ -73,63 +71,41 @@ def tokenise(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
-def gram_hashes(ids: np.ndarray) -> np.ndarray:
-    """A mixed 64-bit hash of every GRAM consecutive ids; 0 where an id is 0 (a word of no template)."""
-    n = len(ids) - GRAM + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    known = np.ones(n, dtype=bool)
-    for i in range(GRAM):
-        part = ids[i : i + n].astype(np.uint64)
-        known &= part > 0
-        out = (out + part) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    return np.where(known, out | np.uint64(1), np.uint64(0))
-
-
-def winnow(hashes: np.ndarray, window: int = WINNOW) -> list[int]:
-    """Places of the winnowed fingerprints: the rightmost smallest hash of each window."""
-    if len(hashes) <= window:
-        return [int(np.flatnonzero(hashes == hashes.min())[-1])] if len(hashes) else []
-    picked = {i + window - 1 - int(np.argmin(hashes[i : i + window][::-1])) for i in range(len(hashes) - window + 1)}
-    return sorted(picked)
-
-
 class TemplateIndex:
     def __init__(self, templates: dict[str, tuple[str, ...]] = TEMPLATES):
         self.vocabulary: dict[bytes, int] = {}
         self.templates: list[tuple[str, int, np.ndarray]] = []
-        self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for family, texts in templates.items():
             for number, text in enumerate(texts):
                 ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in tokenise(text.encode())], np.int64)
-                hashes = gram_hashes(ids)
-                for place in winnow(hashes):
-                    self.postings[int(hashes[place])].append((len(self.templates), place))
                 self.templates.append((family, number, ids))
-        self.keys = np.array(sorted(self.postings), np.uint64)
-
-    def candidates(self, ids: np.ndarray) -> list[tuple[int, int]]:
-        """(template, diagonal) of every group of hits whose diagonals lie within one band of each other."""
-        hashes = gram_hashes(ids)
-        at = np.flatnonzero(hashes)
-        at = at[np.isin(hashes[at], self.keys)]
-        by_template: dict[int, list[int]] = defaultdict(list)
-        for p in at.tolist():
-            for template, place in self.postings[int(hashes[p])]:
-                by_template[template].append(p - place)
-        out = []
-        for template, diagonals in by_template.items():
-            diagonals.sort()
-            group = [diagonals[0]]
-            for d in diagonals[1:]:
-                if d - group[0] > BAND:
-                    out.append((template, group[len(group) // 2]))
-                    group = []
-                group.append(d)
-            out.append((template, group[len(group) // 2]))
-        return out
+        self.counts = [np.unique(ids, return_counts=True) for _, _, ids in self.templates]
+        self.inside = np.zeros((len(self.templates), len(self.vocabulary) + 1), bool)
+        for t, (words, _) in enumerate(self.counts):
+            self.inside[t, words] = True
+
+    def candidates(self, ids: np.ndarray, coverage: float = COVERAGE) -> Iterator[tuple[int, int]]:
+        """(template, diagonal) of every alignment that can reach the coverage."""
+        known = np.flatnonzero(ids)
+        if not len(known):
+            return
+        for t, (_, _, template) in enumerate(self.templates):
+            size, need = len(template), int(np.ceil(coverage * len(template) - 1e-9))
+            at = known[self.inside[t, ids[known]]]
+            if len(at) < need or not size:
+                continue
+            # The stretch of diagonal d is [d - BAND, d + size + BAND); the least d that reaches each run of ``need`` hits.
+            runs = np.flatnonzero(at[need - 1 :] - at[: len(at) - need + 1] < size + 2 * BAND)
+            if not len(runs):
+                continue
+            diagonals = np.unique(np.concatenate([np.arange(at[r + need - 1] - size - BAND + 1, at[r] + BAND + 1) for r in runs.tolist()]))
+            words, most = self.counts[t]
+            total = np.zeros(len(diagonals), np.int64)
+            for w, m in zip(words.tolist(), most.tolist(), strict=True):
+                places = at[ids[at] == w]
+                total += np.minimum(np.searchsorted(places, diagonals + size + BAND) - np.searchsorted(places, diagonals - BAND), m)
+            for d in diagonals[total >= need].tolist():
+                yield t, d
 
 
 def align(template: list[int], words: list[int], diagonal: int, band: int = BAND) -> tuple[int, int, int]:
@@ -166,7 +142,7 @@ def scan_text(index: TemplateIndex, text: bytes | None, coverage: float = COVERA
     ids = np.fromiter(map(index.vocabulary.get, (split := folded.split()), repeat(0)), np.int64, len(split))
     found = []
     words: list[int] | None = None
-    for t, diagonal in index.candidates(ids):
+    for t, diagonal in index.candidates(ids, coverage):
         family, number, template = index.templates[t]
         words = ids.tolist() if words is None else words
         n, first, last = align(template.tolist(), words, diagonal)
@@ -175,7 +151,7 @@ def scan_text(index: TemplateIndex, text: bytes | None, coverage: float = COVERA
     if not found:
         return []
     kept: list[tuple] = []
-    for m in sorted(found, key=lambda m: (-m[0], -m[1], m[2], m[3], m[4])):
+    for m in sorted(set(found), key=lambda m: (-m[0], -m[1], m[2], m[3], m[5] - m[4], m[4])):
         if all(m[5] < k[4] or m[4] > k[5] for k in kept):
             kept.append(m)
     spans = [x.span() for x in _WORD.finditer(folded)]
