@@ -1,11 +1,14 @@
-"""Connected components by alternating large-star and small-star steps; edges stay in tables, never on the driver."""
+"""Connected components by alternating large-star and small-star steps; edges stay in tables, never on the driver.
+
+Defined cases: an edge from a node to itself gives no row; repeated edges count once; no edges give no rows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kilngraph.llm.storage import materialise
+from kilngraph.llm.storage import discard, materialise
 
 MAX_ROUNDS = 64
 
@@ -34,7 +37,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if not before[0]:
             break
-        pairs = materialise(_star(_star(pairs, True), False), "edges")
+        last, pairs = pairs, materialise(_star(_star(pairs, True), False), "edges")
+        discard(last)
         now = _state(pairs)
         if now == before:
             break

@@ -11,24 +11,25 @@ ignored by ``assign``.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 
-from kilngraph.llm.storage import fresh, materialise
+from kilngraph.llm.removal import without
+from kilngraph.llm.storage import discard, materialise
 
 #: Counters of a Misra-Gries summary, hence also the most rows that are ever broadcast.
 HEAVY_COUNTERS = 1024
 
 
-@F.arrow_udf(BinaryType())
-def text_digest(text: pa.Array) -> pa.Array:
-    """SHA-256 of the UTF-8 text with A-Z lower-cased (``bytes.lower`` touches ASCII only)."""
-    return pa.array([hashlib.sha256((t or b"").lower()).digest() for t in text.cast(pa.binary()).to_pylist()], pa.binary())
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def text_digest(text: Column) -> Column:
+    """SHA-256 of the UTF-8 text with A-Z lower-cased; a null text counts as empty."""
+    return F.unhex(F.sha2(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER).cast("binary"), 256))
 
 
 class MisraGries:
@@ -108,19 +109,11 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = HEAVY_COUNTERS) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns unchanged.
-
-    Copies of heavy digests are removed map-side before the text is shuffled; the shuffle then carries each remaining
-    text once.
-    """
+    """The rows of ``docs`` that stay, all columns unchanged; only narrow rows are shuffled, never a text."""
     digests = _digest_table(docs, id_col, text_col)
-    heavy = _heavy(digests, k)
-    names = docs.columns
-    dig, keep, mark = (fresh(names, x) for x in ("__digest", "__keep_id", "__rank"))
-    hot = heavy.select(F.col("digest").alias(dig), F.col("keep_id").alias(keep), F.lit(True).alias(mark))
-    rows = docs.withColumn(dig, text_digest(F.col(text_col))).join(F.broadcast(hot), dig, "left")
-    rows = rows.where(F.col(mark).isNull() | F.col(keep).eqNullSafe(F.col(id_col))).drop(keep, mark)
-    stay = _settle(digests, heavy).where("kept").select(F.col("digest").alias(dig), F.col("id").alias(keep))
-    rows = rows.join(stay, dig).where(F.col(keep).eqNullSafe(F.col(id_col)))
-    first = Window.partitionBy(dig).orderBy(F.lit(0))
-    return rows.withColumn(mark, F.row_number().over(first)).where(F.col(mark) == 1).select(names)
+    settled = _settle(digests, _heavy(digests, k))
+    # Rows that repeat an id and a digest can't be told apart by them: one of them stays if any does.
+    judged = settled.groupBy("id", F.col("digest").alias("mark")).agg(F.bool_or("kept").alias("stays"), F.count("*").alias("many"))
+    judged = materialise(judged.where("not stays or many > 1").select("id", "mark", "stays"), "exact-dropped")
+    discard(digests)
+    return without(docs, judged, id_col, text_digest(F.col(text_col)))

@@ -10,16 +10,16 @@ similarity, so bands of registers serve as bucket keys.
 2. Every class goes to one bucket per band.  Buckets of one class are left at once.
 3. Star rounds: in each bucket whose classes are in different components, each class is paired with one hub.  The first
    round takes the most central class, the one whose buckets are fullest over all bands: copies with edits of their own
-   resemble their common origin more than each other.  Later rounds take hubs in changing pseudo-random order.  Sizes
-   prune a pair first; then its similarity is estimated jointly, by maximum likelihood over the counts of greater, smaller
-   and equal registers given both set sizes; pairs whose likelihood at the threshold is hopeless are dropped, all others
-   are verified on the full shingle sets.  Verified links join components.
-4. After the star rounds, every pair of different components and fitting size that shares a bucket is estimated, and
-   verified if it is worth it.  Buckets of at most ``SMALL_BUCKET`` open classes form their pairs in a join.  A crowded
-   bucket is cut into cells: the classes outside its largest component in blocks of ``BLOCK`` against all its classes in
-   such blocks.  A cell estimates its pairs in one task, each pair in the first band that both share, and writes only
-   those worth verifying, which are then verified by cell, so that a full set travels once to a cell.  No link between
-   classes that share a bucket is lost.
+   resemble their common origin more than each other.  The next takes hubs in pseudo-random order.  Sizes prune a pair
+   first; then its similarity is estimated jointly, by maximum likelihood over the counts of greater, smaller and equal
+   registers given both set sizes; pairs whose likelihood at the threshold is hopeless are dropped, all others are
+   verified on the full shingle sets.  Verified links join components.
+4. The classes of the buckets that still hold several components are searched exactly, with no bound on a bucket: a
+   prefix join of their full sets.  Shingles are ordered by rarity among these classes.  Of a linked pair, the smaller
+   set holds a common shingle among its n - ceil(2t/(1+t) n) + 1 rarest, the larger among its n - ceil(t n) + 1 rarest
+   (t the threshold), so postings of these prefixes meet; what a crowd of texts has in common is frequent, hence behind
+   the prefixes.  Pairs pass the size and positional filters, then estimate and verification as above.  Under a shingle,
+   classes of its largest component meet only classes outside it, and frequent shingles are dealt over several tasks.
 
 Bands of 8 out of 512 registers miss a link of similarity 0.8 with probability 3e-6.
 
@@ -39,11 +39,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kilngraph.llm.components import components
-from kilngraph.llm.storage import fresh, materialise, release
+from kilngraph.llm.removal import BROADCAST_ROWS, without
+from kilngraph.llm.storage import discard, materialise, release, slices
 
 SHINGLE_WORDS = 5
 #: Link when HUNDREDTHS * union <= 100 * intersection.
@@ -52,15 +53,13 @@ REGISTERS, BAND = 512, 8
 BASE, OFFSET = 1.1, 25
 #: A pair is dropped unverified if its likelihood at the threshold is below its best by so many nats.
 HOPELESS = 20.0
-STAR_ROUNDS = 4
-#: Open buckets of at most so many classes are searched through by a join, larger ones in cells.
-SMALL_BUCKET = 24
-#: Classes on either side of a cell, and pairs of a cell that are estimated at once.
-BLOCK, BATCH = 512, 4096
+STAR_ROUNDS = 2
+#: Postings of one shingle that one task compares with all others.
+PREFIX_ROWS = 1024
 SEED = 0x5E75CE7C
-CHUNK = 1 << 16
+CHUNK = 1 << 15
 #: Cached word hashes of a task.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 
 _rng = np.random.default_rng(SEED)
 MULTIPLIERS = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32) | np.uint32(1)
@@ -150,116 +149,55 @@ def worth_verifying(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarr
 def _sketch(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
-        for batch in batches:
-            sets = [shingle_set(t, k, cache) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            sizes = np.array([len(s) for s in sets], np.int64)
-            some = np.flatnonzero(sizes)
-            digests: list[bytes | None] = [None] * len(sets)
-            regs: list[bytes | None] = [None] * len(sets)
-            for i, r in zip(some.tolist(), registers([sets[i] for i in some]) if len(some) else [], strict=True):
-                digests[i], regs[i] = set_digest(sets[i]), r.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), pa.array(sizes), pa.array(digests, pa.binary()), pa.array(regs, pa.binary())], ["id", "mark", "n", "digest", "regs"])
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                sets = [shingle_set(t, k, cache) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+                sizes = np.array([len(s) for s in sets], np.int64)
+                some = np.flatnonzero(sizes)
+                digests: list[bytes | None] = [None] * len(sets)
+                regs: list[bytes | None] = [None] * len(sets)
+                for i, r in zip(some.tolist(), registers([sets[i] for i in some]) if len(some) else [], strict=True):
+                    digests[i], regs[i] = set_digest(sets[i]), r.tobytes()
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), pa.array(sizes), pa.array(digests, pa.binary()), pa.array(regs, pa.binary())], ["id", "mark", "n", "digest", "regs"])
 
     return run
 
 
+def _registers_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, REGISTERS)
+
+
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            regs = np.frombuffer(b"".join(batch.column("regs").to_pylist()), np.uint8).reshape(-1, REGISTERS)
-            keys = band_keys(regs)
+    for whole in batches:
+        for batch in slices(whole, "regs"):
+            keys = band_keys(_registers_of(batch.column("regs")))
             nodes, sizes = (np.repeat(np.asarray(batch.column(c)), keys.shape[1]) for c in ("node", "n"))
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(nodes), pa.array(sizes)], ["key", "node", "n"])
 
 
 def _estimate(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, REGISTERS) for c in ("regs_a", "regs_b"))
+        for whole in batches:
+            for batch in slices(whole, "regs_a", 500_000):
+                a, b = (_registers_of(batch.column(c)) for c in ("regs_a", "regs_b"))
                 keep = worth_verifying(a, b, np.asarray(batch.column("n_a")), np.asarray(batch.column("n_b")), threshold)
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
     return run
 
 
-def _cell(hundredths: int):
-    """The pairs (a, b) of one cell of a crowded bucket that are worth verifying; ``left`` marks the searched classes."""
-
-    def run(cell: pa.Table) -> pa.Table:
-        node, n, comp = (cell.column(c).to_numpy() for c in ("node", "n", "comp"))
-        left = cell.column("left").to_numpy()
-        # Classes outside the largest component are on both sides; of two such, only the pair in ascending order counts.
-        minor = cell.column("minor").to_numpy()
-        regs = np.frombuffer(b"".join(cell.column("regs").to_pylist()), np.uint8).reshape(-1, REGISTERS)
-        words, key = regs.view(np.uint64), cell.column("key")[0].as_py()
-        band = int((band_keys(regs[:1])[0].view(np.int64) == key).argmax())
-        right = np.flatnonzero(~left)
-        found: list[np.ndarray] = []
-        waiting: list[np.ndarray] = []
-
-        def estimate() -> None:
-            pairs = np.concatenate(waiting)
-            waiting.clear()
-            for begin in range(0, len(pairs), BATCH):
-                i, j = pairs[begin : begin + BATCH].T
-                good = worth_verifying(regs[i], regs[j], n[i], n[j], hundredths / 100)
-                found.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1)[good])
-
-        for i in np.flatnonzero(left):
-            fits = (comp[right] != comp[i]) & (~minor[right] | (node[right] > node[i]))
-            fits &= 100 * np.minimum(n[right], n[i]) >= hundredths * np.maximum(n[right], n[i])
-            j = right[fits]
-            j = j[(words[j] == words[i]).argmax(1) == band]
-            if len(j):
-                waiting.append(np.stack([np.full(len(j), i), j], 1))
-                if sum(map(len, waiting)) >= BATCH:
-                    estimate()
-        if waiting:
-            estimate()
-        pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
-        i, j = (pa.array(np.full(len(pairs), cell.column(c)[0].as_py()), pa.int32()) for c in ("i", "j"))
-        return pa.table({"key": pa.array(np.full(len(pairs), key)), "i": i, "j": j, "a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
-
-    return run
-
-
-def _cell_links(hundredths: int):
-    """The links among the pairs of a cell; a pair whose ends other links of the cell have joined needs no verification."""
-
-    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        full = {n: np.frombuffer(s, np.uint64) for n, s in zip(sets.column("node").to_pylist(), sets.column("shingles").to_pylist(), strict=True)}
-        root = {n: n for n in full}
-
-        def find(n: int) -> int:
-            while root[n] != n:
-                root[n] = n = root[root[n]]
-            return n
-
-        links = []
-        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
-            if a in full and b in full and (x := find(a)) != (y := find(b)) and _linked(full[a], full[b], hundredths):
-                root[x] = y
-                links.append((a, b))
-        return pa.table({c: pa.array([link[i] for link in links], pa.int64()) for i, c in enumerate("ab")})
-
-    return run
-
-
-def _linked(x: np.ndarray, y: np.ndarray, hundredths: int) -> bool:
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * both >= hundredths * (len(x) + len(y) - both)
-
-
 def _sets(k: int):
     """Full shingle sets of the wanted classes; a row whose text has another digest (a repeated id) is not the wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
-        for batch in batches:
-            found = [shingle_set(t, k, cache) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            keep = [i for i, d in enumerate(batch.column("digest").to_pylist()) if len(found[i]) and set_digest(found[i]) == d]
-            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(keep, pa.int64())), pa.array([found[i].tobytes() for i in keep], pa.binary())], ["node", "shingles"])
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                found = [shingle_set(t, k, cache) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+                keep = [i for i, d in enumerate(batch.column("digest").to_pylist()) if len(found[i]) and set_digest(found[i]) == d]
+                ends = np.cumsum([0, *(len(found[i]) for i in keep)])
+                values = np.concatenate([found[i] for i in keep]).view(np.int64) if keep else np.empty(0, np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(keep, pa.int64())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))], ["node", "shingles"])
 
     return run
 
@@ -267,9 +205,12 @@ def _sets(k: int):
 def _verify(hundredths: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            (x, at), (y, to) = ((c.values.to_numpy(), c.offsets.to_numpy()) for c in (batch.column("set_a"), batch.column("set_b")))
             keep = []
-            for a, b in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
-                keep.append(_linked(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), hundredths))
+            for i in range(batch.num_rows):
+                p, q = x[at[i] : at[i + 1]], y[to[i] : to[i + 1]]
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(100 * both >= hundredths * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -281,44 +222,60 @@ class _Linker:
     def __init__(self, docs: DataFrame, classes: DataFrame, k: int, hundredths: int):
         self.docs, self.classes, self.k, self.hundredths = docs, classes, k, hundredths
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are links, as a written table."""
+    def links(self, pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+        """The pairs (a, b) that are links, as a written table; ``sets`` may hold the full sets already."""
         side = lambda c: self.classes.select(F.col("node").alias(f"node_{c}"), F.col("n").alias(f"n_{c}"), F.col("regs").alias(f"regs_{c}"))
         rows = pairs
         for c in ("a", "b"):
             rows = rows.join(side(c), F.col(c) == F.col(f"node_{c}")).drop(f"node_{c}")
-        hopeful = materialise(rows.mapInArrow(_estimate(self.hundredths / 100), "a long, b long"), "near-hopeful")
-        sets, rows = self.full_sets(hopeful), hopeful
+        rows = hopeful = materialise(rows.mapInArrow(_estimate(self.hundredths / 100), "a long, b long"), "near-hopeful")
+        own = sets is None
+        if sets is None:
+            sets = self.full_sets(hopeful.select(F.col("a").alias("node")).unionByName(hopeful.select(F.col("b").alias("node"))).distinct())
         for c in ("a", "b"):
             rows = rows.join(sets.select(F.col("node").alias(f"node_{c}"), F.col("shingles").alias(f"set_{c}")), F.col(c) == F.col(f"node_{c}")).drop(f"node_{c}")
-        return materialise(rows.mapInArrow(_verify(self.hundredths), "a long, b long"), "near-links")
-
-    def full_sets(self, pairs: DataFrame) -> DataFrame:
-        """node, shingles of all classes in the pairs (a, b), as a written table."""
-        wanted = pairs.select(F.col("a").alias("want")).unionByName(pairs.select(F.col("b").alias("want"))).distinct()
-        wanted = self.classes.join(wanted, F.col("node") == F.col("want")).select("node", "digest", "mark", F.col("id").alias("class_id"))
-        texts = self.docs.join(wanted.withColumnRenamed("mark", "class_mark"), F.col("mark") == F.col("class_mark")).where(F.col("id").eqNullSafe(F.col("class_id")))
-        texts = texts.select("node", "digest", "text").mapInArrow(_sets(self.k), "node long, shingles binary")
-        return materialise(texts.dropDuplicates(["node"]), "near-sets")
-
-    def crowded_links(self, open_: DataFrame, tried: DataFrame) -> DataFrame:
-        """Links that join the components of open buckets (key, node, n, comp), found cell by cell, as a written table."""
-        parts = open_.groupBy("key", "comp").agg(F.count("*").alias("part"))
-        parts = parts.groupBy("key").agg(F.max(F.struct("part", "comp")).alias("top"), F.sum("part").alias("all"))
-        blocks = lambda size: F.greatest(F.ceil(size / BLOCK), F.lit(1)).cast("int")
-        parts = parts.select(F.col("key").alias("of"), F.col("top.comp").alias("main"), blocks(F.col("all") - F.col("top.part")).alias("rows"), blocks(F.col("all")).alias("cols"))
-        rows = open_.select("key", "node", "n", "comp").join(parts, F.col("key") == F.col("of")).withColumn("minor", F.col("comp") != F.col("main"))
-        place, every = (lambda size: F.pmod(F.xxhash64(F.lit(SEED), "node"), F.col(size)).cast("int")), lambda size: F.sequence(F.lit(0), F.col(size) - 1)
-        cells = F.transform(every("rows"), lambda i: F.struct(i.alias("i"), place("cols").alias("j"), F.lit(False).alias("left")))
-        search = F.transform(every("cols"), lambda j: F.struct(place("rows").alias("i"), j.alias("j"), F.lit(True).alias("left")))
-        rows = rows.select("key", "node", "n", "comp", "minor", F.explode(F.when(F.col("minor"), F.concat(cells, search)).otherwise(cells)).alias("cell"))
-        rows = rows.select("key", "cell.*", "node", "n", "comp", "minor").join(self.classes.select(F.col("node").alias("of"), "regs"), F.col("node") == F.col("of")).drop("of")
-        hopeful = rows.groupBy("key", "i", "j").applyInArrow(_cell(self.hundredths), "key long, i int, j int, a long, b long")
-        hopeful = materialise(hopeful.join(tried, ["a", "b"], "left_anti"), "near-hopeful")
-        ends = hopeful.select(F.col("key").alias("of_key"), F.col("i").alias("of_i"), F.col("j").alias("of_j"), F.explode(F.array("a", "b")).alias("node")).distinct()
-        sets = ends.join(self.full_sets(hopeful).withColumnRenamed("node", "of"), F.col("node") == F.col("of")).drop("of")
-        cells = hopeful.groupBy("key", "i", "j").cogroup(sets.groupBy("of_key", "of_i", "of_j"))
-        return materialise(cells.applyInArrow(_cell_links(self.hundredths), "a long, b long"), "near-links")
+        found = materialise(rows.mapInArrow(_verify(self.hundredths), "a long, b long"), "near-links")
+        discard(hopeful, sets if own else None)
+        return found
+
+    def full_sets(self, nodes: DataFrame) -> DataFrame:
+        """node, shingles (sorted 64-bit hashes) of the classes in ``nodes``, as a written table."""
+        wanted = self.classes.join(nodes.select(F.col("node").alias("want")), F.col("node") == F.col("want")).select("node", "digest", F.col("mark").alias("class_mark"), F.col("id").alias("class_id"))
+        wanted = materialise(wanted, "near-wanted")
+        marked = wanted.count() <= BROADCAST_ROWS
+        texts = self.docs.join(F.broadcast(wanted) if marked else wanted, (F.col("mark") == F.col("class_mark")) & F.col("id").eqNullSafe(F.col("class_id")))
+        texts = texts.select("node", "digest", "text").mapInArrow(_sets(self.k), "node long, shingles array<long>")
+        found = materialise(texts.dropDuplicates(["node"]), "near-sets")
+        discard(wanted)
+        return found
+
+    def prefix_pairs(self, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+        """Pairs (a, b) of different components among ``nodes`` (node, n, comp) that the prefix join cannot rule out."""
+        h = self.hundredths
+        tokens = sets.select("node", F.explode("shingles").alias("token"))
+        counts = tokens.groupBy("token").agg(F.count("*").alias("many"))
+        ordered = tokens.join(counts.withColumnRenamed("token", "of"), F.col("token") == F.col("of")).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("many", "token"))).alias("all"))
+        n, up = F.size("all"), lambda x: F.ceil(x).cast("int")
+        probe, index = n - up(n * h / F.lit(100)) + 1, n - up(n * (2 * h) / F.lit(100 + h)) + 1
+        postings = ordered.select("node", index.alias("index"), F.posexplode(F.slice("all", F.lit(1), probe)).alias("pos", "one"))
+        postings = postings.where("one.many > 1").select("node", (F.col("pos") < F.col("index")).alias("small"), "pos", F.col("one.token").alias("token"))
+        postings = materialise(postings.join(nodes.select(F.col("node").alias("of"), "n", "comp"), F.col("node") == F.col("of")).drop("of"), "near-postings")
+        # Per shingle: its largest component, and how many postings its smaller sides have.
+        parts = postings.groupBy("token", "comp").agg(F.count("*").alias("part"), F.count_if("small").alias("smalls"))
+        parts = parts.groupBy("token").agg(F.max(F.struct("part", "comp")).alias("top"), F.sum("smalls").alias("smalls"), F.count("*").alias("comps")).where("comps > 1 and smalls > 0")
+        parts = parts.select(F.col("token").alias("of"), F.col("top.comp").alias("main"), F.ceil(F.col("smalls") / F.lit(PREFIX_ROWS)).cast("int").alias("tasks"))
+        rows = postings.join(parts, F.col("token") == F.col("of")).withColumn("inside", F.col("comp") == F.col("main"))
+        y = rows.where("small").select(F.col("token").alias("y_token"), F.col("inside").alias("y_inside"), F.pmod(F.xxhash64(F.lit(SEED), "node"), F.col("tasks")).cast("int").alias("y_task"), *[F.col(c).alias(f"y_{c}") for c in ("node", "pos", "n", "comp")])
+        # The larger side stands under "smaller side outside the main component", and again under "inside" if it is outside itself.
+        x = rows.withColumn("under", F.explode(F.when(F.col("inside"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
+        x = x.withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).select("token", "under", "task", "node", "pos", "n", "comp")
+        fits = (F.col("comp") != F.col("y_comp")) & (F.struct("n", "node") > F.struct("y_n", "y_node")) & (100 * F.col("y_n") >= h * F.col("n"))
+        overlap = 1 + F.least(F.col("n") - 1 - F.col("pos"), F.col("y_n") - 1 - F.col("y_pos"))
+        fits = fits & ((100 + h) * overlap >= h * (F.col("n") + F.col("y_n")))
+        pairs = x.join(y, (F.col("token") == F.col("y_token")) & (F.col("under") == F.col("y_inside")) & (F.col("task") == F.col("y_task")) & fits)
+        found = materialise(pairs.select(F.least("node", "y_node").alias("a"), F.greatest("node", "y_node").alias("b")).distinct(), "near-pairs")
+        discard(postings)
+        return found
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -328,7 +285,9 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     for c in ("a", "b"):
         ends = ends.join(mine(c), F.col(c) == F.col(f"node_{c}"))
     merged = components(ends, "comp_a", "comp_b").select(F.col("node").alias("old"), "label")
-    return materialise(labels.join(merged, F.col("comp") == F.col("old"), "left").select("node", "central", F.coalesce("label", "comp").alias("comp")), "near-labels")
+    found = materialise(labels.join(merged, F.col("comp") == F.col("old"), "left").select("node", "central", F.coalesce("label", "comp").alias("comp")), "near-labels")
+    discard(labels)
+    return found
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, hundredths: int) -> tuple[DataFrame, DataFrame]:
@@ -350,15 +309,13 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, hundredths: in
     def still_open() -> DataFrame:
         """key, node, n, central, comp for the buckets that hold several components."""
         rows = buckets.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of")).drop("of", "crowd")
-        split = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("open_size")).where("low < high").select(F.col("key").alias("open_key"), "open_size")
+        split = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select(F.col("key").alias("open_key"))
         return materialise(rows.join(split, F.col("key") == F.col("open_key")).drop("open_key"), "near-open")
 
     near_size = lambda x, y: 100 * F.least(x, y) >= hundredths * F.greatest(x, y)
     tried: DataFrame | None = None
     for turn in range(STAR_ROUNDS):
         open_ = still_open()
-        if open_.isEmpty():
-            break
         weight = F.col("central") if turn == 0 else F.xxhash64(F.lit(SEED + turn), "node")
         hubs = open_.groupBy("key").agg(F.max(F.struct(weight.alias("weight"), "node", "n", "comp")).alias("h"))
         hubs = hubs.select(F.col("key").alias("hub_key"), F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.comp").alias("hub_comp"))
@@ -367,23 +324,25 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, hundredths: in
         pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = linker.links(pairs)
-        release(docs.sparkSession)
-        if turn and links.isEmpty():
-            break
         labels = _merged(labels, links)
-    rest = still_open()
-    open_ = rest.where(F.col("open_size") <= SMALL_BUCKET)
-    other = open_.select(F.col("key").alias("key_b"), F.col("node").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"))
-    pairs = open_.withColumnRenamed("node", "a").join(other, (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & near_size(F.col("n"), F.col("n_b"))).select("a", "b").distinct()
-    pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
-    tried = pairs if tried is None else tried.unionByName(pairs)
-    crowded = linker.crowded_links(rest.where(F.col("open_size") > SMALL_BUCKET), tried)
-    labels = _merged(labels, linker.links(pairs).unionByName(crowded))
+        discard(open_, links)
+        release(docs.sparkSession)
+    open_ = still_open()
+    nodes = materialise(open_.select("node", "n", "comp").distinct(), "near-nodes")
+    discard(open_, buckets)
+    sets = linker.full_sets(nodes)
+    pairs = linker.prefix_pairs(nodes, sets)
+    links = linker.links(pairs.join(tried, ["a", "b"], "left_anti"), sets)
+    labels = _merged(labels, links)
+    discard(nodes, sets, pairs, links)
     release(docs.sparkSession)
     named_classes = classes.select("node", "digest", "id").join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").withColumn("comp", F.coalesce("comp", "node"))
-    names = named_classes.groupBy("comp").agg(F.min("id").alias("component_id")).withColumnRenamed("comp", "named")
+    named_classes = materialise(named_classes.select("digest", "id", "comp"), "near-named")
+    names = materialise(named_classes.groupBy(F.col("comp").alias("named")).agg(F.min("id").alias("component_id")), "near-names")
     found = named_classes.join(names, F.col("comp") == F.col("named")).select(F.col("digest").alias("class_digest"), "comp", "component_id")
-    return rows.drop("regs"), materialise(found, "near-components")
+    found = materialise(found, "near-components")
+    discard(named_classes, names, labels)
+    return rows.drop("regs"), found
 
 
 def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle_words: int = SHINGLE_WORDS, hundredths: int = HUNDREDTHS) -> DataFrame:
@@ -401,12 +360,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     all stay.
     """
     rows, found = _classes(docs, id_col, text_col, shingle_words, hundredths)
-    names = docs.columns
-    mark, ident, rank, some = (fresh(names, x) for x in ("__mark", "__id", "__rank", "__some"))
-    stay = rows.where("n > 0").join(found, F.col("digest") == F.col("class_digest"))
-    stay = stay.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "mark")).alias("top")).select("top.*")
-    stay = stay.select(F.col("id").alias(ident), F.col("mark").alias(mark), F.lit(True).alias(some))
-    empty = rows.where("n = 0").select(F.col("id").alias(ident), F.col("mark").alias(mark), F.lit(False).alias(some)).distinct()
-    tagged = docs.withColumn(mark, F.xxhash64(F.lit(SEED), F.col(text_col))).join(stay.unionByName(empty), [mark]).where(F.col(id_col).eqNullSafe(F.col(ident)))
-    first = F.row_number().over(Window.partitionBy(mark, id_col).orderBy(F.lit(0)))
-    return tagged.withColumn(rank, first).where(~F.col(some) | (F.col(rank) == 1)).select(names)
+    member = rows.where("n > 0").join(found, F.col("digest") == F.col("class_digest")).groupBy("comp", "id", "mark").agg(F.count("*").alias("many"))
+    member = materialise(member, "near-members")
+    top = member.groupBy(F.col("comp").alias("of")).agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "mark")).alias("top"))
+    judged = member.join(top, F.col("comp") == F.col("of")).withColumn("stays", F.col("id").eqNullSafe(F.col("top.id")) & (F.col("mark") == F.col("top.mark")))
+    judged = materialise(judged.where("not stays or many > 1").select("id", "mark", "stays"), "near-dropped")
+    return without(docs, judged, id_col, F.xxhash64(F.lit(SEED), F.col(text_col)))

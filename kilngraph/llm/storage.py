@@ -1,24 +1,34 @@
-"""Work tables in the folder that driver and executors share.
+"""Work tables in the folder that driver and executors share, and bounded slices of Arrow batches.
 
 Lineage is cut by writing a Parquet table below ``spark.checkpoint.dir``; a lost executor then costs a re-read and
-nothing else.  Only where that setting is absent (local tests) a folder below ``/tmp/checkpoints`` is taken.
+nothing else.  Only in local mode, where one machine does everything, an unset folder is replaced by ``/tmp/checkpoints``;
+on a cluster the setting is required.  A table that later steps no longer read is deleted with ``discard``.
 """
 
 from __future__ import annotations
 
 import gc
+import re
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 LOCAL_FALLBACK = "/tmp/checkpoints"
+#: Bytes of a column that a Python worker unpacks at once.
+SLICE_BYTES = 2_000_000
 
 
 def shared_root(spark: SparkSession) -> str:
     """Root of the shared work folder, without a trailing slash."""
     root = spark.sparkContext.getConf().get(CHECKPOINT_KEY) or spark.conf.get(CHECKPOINT_KEY, None)
-    return (root or LOCAL_FALLBACK).rstrip("/")
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"{CHECKPOINT_KEY} has to name a folder that driver and executors share")
+        root = LOCAL_FALLBACK
+    return root.rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -30,7 +40,19 @@ def materialise(df: DataFrame, name: str, compression: str | None = None) -> Dat
     """Write ``df`` as a work table and return a reader of it; the plan above starts from the files."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path, compression=compression)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.work_folder = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete work tables that nothing reads any more."""
+    for table in tables:
+        path = getattr(table, "work_folder", None)
+        if path:
+            spark = table.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def fresh(taken: list[str], name: str) -> str:
@@ -45,6 +67,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batch`` in runs whose ``column`` holds about ``most_bytes``; a longer value is a run of its own."""
+    each = max(1, batch.column(column).nbytes // max(1, batch.num_rows))
+    step = max(1, most_bytes // each)
+    for begin in range(0, batch.num_rows, step):
+        part = batch.slice(begin, step)
+        if part.num_rows > 1 and part.column(column).nbytes > 2 * most_bytes:
+            half = part.num_rows // 2
+            yield from slices(part.slice(0, half), column, most_bytes)
+            yield from slices(part.slice(half), column, most_bytes)
+        else:
+            yield part
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files whose plans are out of use; it acts on the driver's garbage collection."""
     gc.collect()
