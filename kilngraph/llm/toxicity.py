@@ -1,20 +1,30 @@
 """Toxicity scores: gradient-boosted trees over dense text features, with isotonic calibration.
 
 Features are counted over whole texts in Arrow batches: densities of insults, profanity and threats, insults close to a
-second-person word, capitals, punctuation and obfuscated spellings.  Trees and calibration are fitted on the driver from a
-bounded sample: of the labelled rows that are not held out, at most ``SAMPLE_ROWS``, chosen by hash; only their features
-(a few numbers a row) are collected.  Three quarters of the sample grow the trees, a quarter calibrates them.  Scoring is
-one pass without a shuffle.  Labels, language, source and id never enter a score.
+second-person word, capitals, punctuation and obfuscated spellings, and densities of a lexicon that is learned from the
+labels, so that languages and words beyond the fixed lists count as well.
+
+Learning uses a bounded sample: of the labelled rows that are not held out, at most ``SAMPLE_ROWS``, chosen by hash.
+
+1. Lexicon: for every word, and every beginning of ``STEMS`` bytes of longer words, Spark counts the toxic and the clean
+   sample texts it occurs in, by ``CROSS`` parts of the sample.  Entries of at least ``LEAST_TOXIC`` toxic texts and a
+   log-odds of ``LEAST_ODDS`` or more are kept, the best ``LEXICON_ENTRIES`` of them.
+2. Trees and calibration are fitted on the driver; only features (a few numbers a row) are collected.  A sample row's
+   lexicon features use weights from the other parts of the sample (cross-fitting), so that trees see how the lexicon does
+   on texts that it was not learned from.  Three quarters of the sample grow the trees, a quarter calibrates them.
+
+Scoring is one pass without a shuffle.  Labels, language, source and id never enter a score.
 
 Defined cases: null and empty texts have zero features and get the score of such texts; a null id counts as the id '' for
 the fold; labels with null are ignored, of several labels for an id the largest counts; with no usable label the score is
 0, with one class it is that class; an empty table gives an empty result; ``screen`` keeps further columns and never drops
-a row for anything but its score.
+a row for anything but its score; rows that repeat get equal scores.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -23,12 +33,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from kilngraph.llm.storage import fresh
+from kilngraph.llm.storage import discard, fresh, materialise, slices
 
 SAMPLE_ROWS = 20_000
 FOLDS, HELD_FOLD = 5, 0
 TREES, DEPTH, RATE, BINS, LEAST_LEAF = 60, 3, 0.2, 32, 8
 NEAR_WORDS = 6
+#: The learned lexicon: parts of the sample, lengths of word beginnings, least toxic texts and log-odds, most entries.
+CROSS, STEMS = 5, (4, 5, 6)
+LEAST_TOXIC, LEAST_ODDS, LEXICON_ENTRIES = 3, 1.5, 8_000
+#: Weight from which a word counts as a hit, and words whose weights a worker keeps.
+HIT_ODDS, CACHE_WORDS = 2.5, 100_000
 
 # The lexicons.
 INSULTS = frozenset("""
@@ -56,12 +71,44 @@ _MASKED = re.compile(rb"(?<![a-zA-Z0-9@$!*+|])(?:[0-9@$!*+|]+[a-zA-Z]|[a-zA-Z]+[
 _SPACED = re.compile(rb"\b(?:[a-zA-Z][.\-_ ]){3,}[a-zA-Z]\b")
 _LEET = bytes.maketrans(b"013457@$!|+", b"oieastasilt")
 _RUNS = re.compile(rb"([a-z])\1{2,}")
-FEATURES = ("log_words", "insults", "profanity", "threats", "insult_share", "profanity_share", "threat_share", "near_second", "second_share", "capitals", "punctuation", "loud", "digits", "masked_share", "masked_hits")
+FEATURES = (
+    "log_words", "insults", "profanity", "threats", "insult_share", "profanity_share", "threat_share", "near_second", "second_share", "capitals", "punctuation", "loud", "digits", "masked_share", "masked_hits",
+    "learned_hits", "learned_share", "learned_weight", "learned_best", "learned_second",
+)
+
+
+def entries(word: bytes) -> list[bytes]:
+    """What stands for a word in the learned lexicon: itself, and its beginnings, marked by a hyphen."""
+    return [word, *[word[:n] + b"-" for n in STEMS if len(word) > n]]
+
+
+class Lexicon:
+    """Log-odds of entries, one per part of the sample (learned without it) and one of all parts (the last)."""
+
+    def __init__(self, odds: dict[bytes, tuple[float, ...]] | None = None):
+        self.odds = odds or {}
+        self.known: list[dict[bytes, float]] = [{} for _ in range(CROSS + 1)]
 
+    def __getstate__(self) -> dict:
+        return {"odds": self.odds}
 
-def features(text: bytes | None) -> list[float]:
+    def __setstate__(self, state: dict) -> None:
+        self.__init__(state["odds"])
+
+    def weight(self, word: bytes, part: int = CROSS) -> float:
+        """The largest log-odds of the word's entries, 0 without any."""
+        known = self.known[part]
+        found = known.get(word)
+        if found is None:
+            if len(known) >= CACHE_WORDS:
+                known.clear()
+            found = known[word] = max([0.0, *(self.odds[e][part] for e in entries(word) if e in self.odds)])
+        return found
+
+
+def features(text: bytes | None, lexicon: Lexicon | None = None, part: int = CROSS) -> list[float]:
     """The features of one text, in the order of FEATURES."""
-    text = text or b""
+    text, lexicon = text or b"", lexicon or Lexicon()
     words = text.translate(_WORDS).split()
     n, size = max(len(words), 1), max(len(text), 1)
     hits = [(i, k) for i, k in enumerate(map(_LEXICON.get, words)) if k is not None]
@@ -73,11 +120,16 @@ def features(text: bytes | None) -> list[float]:
     hidden = sum(1 for w in plain if w in _LEXICON or w.replace(b"*", b"u") in _LEXICON or _RUNS.sub(rb"\1", w) in _LEXICON)
     without = lambda drop: (len(text) - len(text.translate(None, drop))) / size
     letters = max(without(_LETTER), 1e-9)
-    return [float(np.log1p(len(words))), *map(float, counts), *[1000.0 * c / n for c in counts], float(near), 1000.0 * second / n, without(_UPPER) / letters if letters > 1e-9 else 0.0, without(_PUNCT), without(_LOUD), without(_DIGIT), 1000.0 * len(masked) / n, float(hidden)]
+    out = [float(np.log1p(len(words))), *map(float, counts), *[1000.0 * c / n for c in counts], float(near), 1000.0 * second / n, without(_UPPER) / letters if letters > 1e-9 else 0.0, without(_PUNCT), without(_LOUD), without(_DIGIT), 1000.0 * len(masked) / n, float(hidden)]
+    found = [(x, c) for x, c in ((lexicon.weight(w, part), c) for w, c in Counter(words).items()) if x > 0] if lexicon.odds else []
+    strong = sum(c for x, c in found if x >= HIT_ODDS)
+    best = sorted((x for x, _ in found), reverse=True)[:2] + [0.0, 0.0]
+    return [*out, float(strong), 1000.0 * strong / n, sum(x * c for x, c in found) / n, best[0], best[1]]
 
 
-def feature_matrix(texts: Sequence[bytes | None]) -> np.ndarray:
-    return np.array([features(t) for t in texts], dtype=float).reshape(len(texts), len(FEATURES))
+def feature_matrix(texts: Sequence[bytes | None], lexicon: Lexicon | None = None, parts: Sequence[int] | None = None) -> np.ndarray:
+    rows = [features(t, lexicon, CROSS if parts is None else parts[i]) for i, t in enumerate(texts)]
+    return np.array(rows, dtype=float).reshape(len(texts), len(FEATURES))
 
 
 class BoostedTrees:
@@ -164,11 +216,14 @@ class Isotonic:
 
 class ToxicityModel:
     def __init__(self, constant: float | None = None, trees: BoostedTrees | None = None, isotonic: Isotonic | None = None):
-        self.constant, self.trees, self.isotonic = constant, trees, isotonic
+        self.constant, self.trees, self.isotonic, self.lexicon = constant, trees, isotonic, Lexicon()
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         return np.full(len(x), self.constant) if self.trees is None else self.isotonic(self.trees.margin(x))
 
+    def score(self, texts: Sequence[bytes | None]) -> np.ndarray:
+        return self(feature_matrix(texts, self.lexicon))
+
 
 def fit_model(x: np.ndarray, y: np.ndarray, part: np.ndarray) -> ToxicityModel:
     """``part`` 0 of 4 calibrates, the rest grows trees; too small or one-sided a part falls back to all rows."""
@@ -187,33 +242,79 @@ def fold(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct lexicon entries of each sample text, with its part and label."""
+    for whole in batches:
+        for batch in slices(whole, "text", 500_000):
+            out: list[tuple[bytes, int, float]] = []
+            for text, cross, label in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("cross").to_pylist(), batch.column("label").to_pylist(), strict=True):
+                found = {e for w in set((text or b"").translate(_WORDS).split()) for e in entries(w)}
+                out += [(e, cross, label) for e in found]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.binary(), pa.int32(), pa.float64()))], ["entry", "cross", "label"])
+
+
+def learn_lexicon(sample: DataFrame, most: int = LEXICON_ENTRIES) -> Lexicon:
+    """The lexicon of a sample with columns text, cross and label; at most ``most`` entries reach the driver."""
+    sizes = {(r.cross, r.label > 0): r["count"] for r in sample.groupBy("cross", "label").count().collect()}
+    if not any(y for _, y in sizes) or all(y for _, y in sizes):
+        return Lexicon()
+    toxic, clean = ([sizes.get((p, y), 0) for p in range(CROSS)] for y in (True, False))
+    counts = [F.count_if((F.col("cross") == p) & (F.col("label") == y)).alias(f"{'t' if y else 'c'}{p}") for y in (1, 0) for p in range(CROSS)]
+    found = sample.select("text", "cross", "label").mapInArrow(_entries, "entry binary, cross int, label double").groupBy("entry").agg(*counts)
+    total = lambda kind: sum((F.col(f"{kind}{p}") for p in range(CROSS)), F.lit(0))
+    odds = F.log((total("t") + 0.5) / (sum(toxic) + 1)) - F.log((total("c") + 0.5) / (sum(clean) + 1))
+    found = found.withColumns({"odds": odds, "toxic": total("t")}).where((F.col("toxic") >= LEAST_TOXIC) & (F.col("odds") >= LEAST_ODDS))
+    got = found.orderBy((F.col("odds") * F.sqrt("toxic")).desc(), "entry").limit(most).collect()
+
+    def weights(r) -> tuple[float, ...]:
+        out = []
+        for left in range(CROSS + 1):
+            parts = [p for p in range(CROSS) if p != left]
+            t, c, n_t, n_c = (sum(x[p] for p in parts) for x in ([r[f"t{p}"] for p in range(CROSS)], [r[f"c{p}"] for p in range(CROSS)], toxic, clean))
+            value = float(np.log((t + 0.5) / (n_t + 1)) - np.log((c + 0.5) / (n_c + 1)))
+            out.append(value if t >= LEAST_TOXIC and value >= LEAST_ODDS else 0.0)
+        return tuple(out)
+
+    return Lexicon({bytes(r.entry): weights(r) for r in got})
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """Fit on at most ``sample_rows`` labelled ids outside the held-out fold."""
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col) != HELD_FOLD)).groupBy(F.col(id_col).alias("label_id")).agg(F.max(label_col).cast("double").alias("label"))
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col) != HELD_FOLD)).groupBy(F.col(id_col).alias("label_id")).agg(F.max((F.col(label_col) > 0).cast("double")).alias("label"))
     known = known.withColumn("order", F.xxhash64(F.lit("toxicity sample"), "label_id")).orderBy("order", "label_id").limit(sample_rows)
-    side = F.broadcast(known.select("label_id", "label", F.pmod("order", F.lit(4)).cast("int").alias("part")))
+    side = F.broadcast(known.select("label_id", "label", F.pmod("order", F.lit(4)).cast("int").alias("part"), F.pmod(F.xxhash64("order"), F.lit(CROSS)).cast("int").alias("cross")))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(side, F.col("id") == F.col("label_id"))
     # Rows that repeat an id would lift the sample over its bound: the first text of an id in text order counts.
-    got = rows.select("id", "text", "label", "part").mapInArrow(_tagged, "id string, x array<double>, label double, part int")
-    got = got.groupBy("id").agg(F.min(F.struct("x", "label", "part")).alias("r")).select("r.*").collect()
+    sample = materialise(rows.groupBy("id").agg(F.min(F.struct("text", "label", "part", "cross")).alias("r")).select("r.*"), "toxicity-sample")
+    lexicon = learn_lexicon(sample)
+    got = sample.mapInArrow(_tagged(docs.sparkSession.sparkContext.broadcast(lexicon)), "x array<double>, label double, part int").collect()
+    discard(sample)
     x = np.array([r.x for r in got], dtype=float).reshape(len(got), len(FEATURES))
     order = np.lexsort(x.T) if len(got) else []
     y, part = np.array([r.label for r in got]), np.array([r.part for r in got])
-    return fit_model(x[order], y[order], part[order])
+    model = fit_model(x[order], y[order], part[order])
+    model.lexicon = lexicon
+    return model
+
 
+def _tagged(lexicon):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                x = feature_matrix(batch.column("text").cast(pa.binary()).to_pylist(), lexicon.value, batch.column("cross").to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column("label"), batch.column("part")], ["x", "label", "part"])
 
-def _tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        x = feature_matrix(batch.column("text").cast(pa.binary()).to_pylist())
-        yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.string()), pa.array(list(x), pa.list_(pa.float64())), batch.column("label"), batch.column("part")], ["id", "x", "label", "part"])
+    return run
 
 
 def scorer(spark, model: ToxicityModel):
-    """A column function text -> score; the model is a broadcast of some kilobytes."""
+    """A column function text -> score; the model is a broadcast of a few hundred kilobytes at most."""
     shared = spark.sparkContext.broadcast(model)
 
     def score(text: pa.Array) -> pa.Array:
-        return pa.array(shared.value(feature_matrix(text.cast(pa.binary()).to_pylist())), pa.float64())
+        whole = pa.RecordBatch.from_arrays([text], ["text"])
+        parts = [shared.value.score(b.column("text").cast(pa.binary()).to_pylist()) for b in slices(whole, "text")]
+        return pa.array(np.concatenate(parts) if parts else [], pa.float64())
 
     return F.arrow_udf(score, DoubleType())
 
