@@ -1,17 +1,21 @@
 """Benchmark decontamination with training suffix arrays.
 
-Each task cuts its documents into shards of whole documents and sorts a suffix array over the shard's words.  Every
-suffix of every benchmark item that starts a window is then binary-searched in it: the range of equal prefixes gives all
-places where the window occurs verbatim, and runs of such places on one diagonal give the longest match with its
-position.  Nothing is shuffled; memory is bounded by the shard (or by one document, if that is longer).
+Each task cuts its documents into shards and builds suffix arrays over a shard's words: the starts of all suffixes, sorted
+by as many words as a window has.  Names for blocks of 1, 2, 4, 8 words (prefix doubling) make that sort, and every
+comparison, one of small integers.  Every suffix of every benchmark item that starts a window is binary-searched in the
+array, all suffixes of a block of items at once: the range of equal prefixes gives all places where the window occurs
+verbatim.  Hits whose document place and item place advance together are one verbatim match; the longest of each document
+is reported with its item and both places.  Nothing is shuffled; memory is bounded by the shard (or by one document).
 
-The benchmark travels as a broadcast of at most ``BLOCK_BYTES`` of text.  A larger benchmark is split into blocks by
-item; the blocks are searched one after the other over all documents, and the marks so far ride along in work tables.
+The benchmark travels as a broadcast of about ``BLOCK_BYTES`` of text.  A larger benchmark is split into blocks of whole
+items, of which the driver holds one at a time; the blocks are searched one after the other over all documents, and the
+marks so far ride along in work tables.
 
 Defined cases: null or empty texts have no words, no hits and are not contaminated; items without words have no window;
 an item of fewer words than the window is one window; items with a null id mark words but are not listed; repeated rows
-and items are treated alike; an empty documents table gives an empty result, an empty benchmark gives no hit; further
-columns are kept by ``decontaminate``.
+and items are treated alike; of equally long matches the first in the document counts, then the least item id and place
+within a block, and the earlier block; an empty documents table gives an empty result, an empty benchmark gives no hit;
+further columns are kept by ``decontaminate``.
 """
 
 from __future__ import annotations
@@ -25,14 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from kilngraph.llm.storage import fresh, materialise
+from kilngraph.llm.storage import discard, fresh, materialise, slices
 
 WINDOW_WORDS = 13
 #: A document is contaminated if hit words * HIT_FACTOR >= words.
 HIT_FACTOR = 20
-SHARD_WORDS = 400_000
-#: Most benchmark text in one broadcast.
-BLOCK_BYTES = 32_000_000
+#: Text of a shard, and most benchmark text in one broadcast.
+SHARD_BYTES, BLOCK_BYTES = 2_000_000, 4_000_000
+#: Pairs of matching places that are followed at once; more are followed word by word.
+MOST_PAIRS = 2_000_000
 #: Words are runs of 0-9, a-z and everything beyond ASCII, after lower-casing A-Z; on UTF-8 bytes this is one table.
 FOLD = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 
@@ -41,78 +46,93 @@ def words(text: bytes | None) -> list[bytes]:
     return text.translate(FOLD).split() if text else []
 
 
+def _known_ahead(tokens: np.ndarray) -> np.ndarray:
+    """From each place, the number of tokens up to the next 0."""
+    at = np.arange(len(tokens))
+    stops = np.where(tokens == 0, at, len(tokens))
+    return np.minimum.accumulate(stops[::-1])[::-1] - at
+
+
+def _expand(begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) for every value in [begin, begin + size) of each row."""
+    row = np.repeat(np.arange(len(size)), size)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
+
+
 class SuffixArray:
-    """Suffixes of a token sequence, sorted by their first ``depth`` tokens with prefix doubling.
+    """Suffixes of a token sequence, sorted by their first words, one array per window size; token 0 matches nothing.
 
-    Only suffixes that start at ``starts`` are kept in the array: those whose first two words occur in that order in the
-    benchmark (or are a whole window).  No other suffix can match a window.
+    Block names of 2^j words are dense integers in the blocks' lexicographic order.  A window of s words is the pair of
+    names of its first and of its last 2^j words (2^j <= s < 2^(j+1)), and pairs sort as the windows do.
     """
 
-    def __init__(self, tokens: np.ndarray, depth: int, starts: np.ndarray):
-        self.tokens, self.at = tokens, starts
-        self.order = np.empty(0, np.int64)
-        if len(starts):
-            # Compare the first `depth` tokens as big-endian bytes: memcmp order is token order.
-            padded = np.concatenate([tokens, np.zeros(depth, tokens.dtype)]).astype(">u4")
-            self.order = self._sort(padded, starts, depth)
-
-    @staticmethod
-    def _sort(padded: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
-        """Radix-doubling: rank by one token, then by pairs of ranks of twice the span until ``depth`` is covered."""
-        rank = padded.astype(np.int64)
-        span = 1
-        while span < depth:
-            ahead = np.concatenate([rank[span:], np.zeros(min(span, len(rank)), np.int64)])
-            pair = rank * (int(rank.max()) + 1) + ahead
-            rank = np.unique(pair, return_inverse=True)[1].reshape(-1)
-            span *= 2
-        return starts[np.argsort(rank[starts], kind="stable")]
-
-    def find(self, query: np.ndarray) -> np.ndarray:
-        """Start positions of every suffix that begins with ``query``: two binary searches."""
-        lo, hi = self._bound(query, False), self._bound(query, True)
-        return self.order[lo:hi]
-
-    def _bound(self, query: np.ndarray, upper: bool) -> int:
-        lo, hi, n = 0, len(self.order), len(query)
-        key = query.tolist()
-        while lo < hi:
-            mid = (lo + hi) // 2
-            have = self.tokens[self.order[mid] : self.order[mid] + n].tolist()
-            if have < key or (upper and have == key):
-                lo = mid + 1
-            else:
-                hi = mid
-        return lo
+    def __init__(self, tokens: np.ndarray, depth: int):
+        ahead = _known_ahead(tokens)
+        self.ahead, self.names, self.keys = ahead, [tokens], []
+        while 2 << len(self.keys) <= depth:
+            half, last = 1 << len(self.keys), self.names[-1]
+            at = np.flatnonzero(ahead >= 2 * half)
+            width = int(last.max(initial=0)) + 1
+            keys, names = np.unique(last[at] * width + last[at + half], return_inverse=True)
+            self.keys.append((keys, width))
+            self.names.append(np.zeros(len(tokens), np.int64))
+            self.names[-1][at] = names.reshape(-1) + 1
+
+    def find(self, query: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Binary search of the windows query[i : i + size], i in ``at``: (order, low, high), places are order[low:high]."""
+        level = size.bit_length() - 1
+        span, names = 1 << level, self.names[level]
+        starts = np.flatnonzero(self.ahead >= size)
+        width = int(names.max(initial=0)) + 1
+        keys = names[starts] * width + names[starts + size - span]
+        order = np.argsort(keys, kind="stable")
+        keys, order = keys[order], starts[order]
+        first, last = self._named(query, at, level), self._named(query, at + size - span, level)
+        want = np.where((first > 0) & (last > 0), first * width + last, -1)
+        return order, np.searchsorted(keys, want), np.searchsorted(keys, want, side="right")
+
+    def _named(self, query: np.ndarray, at: np.ndarray, level: int) -> np.ndarray:
+        """This sequence's names for the blocks of 2^level words of another, 0 for blocks that it doesn't have."""
+        if not level:
+            return query[at]
+        out = np.zeros(len(at), np.int64)
+        first = self._named(query, at, level - 1)
+        alive = np.flatnonzero(first)
+        second = self._named(query, at[alive] + (1 << (level - 1)), level - 1)
+        keys, width = self.keys[level - 1]
+        alive, second = alive[second > 0], second[second > 0]
+        # A token of the other sequence may lie beyond this one's tokens; it then equals none.
+        fits = (first[alive] < width) & (second < width)
+        alive, want = alive[fits], first[alive[fits]] * width + second[fits]
+        place = np.searchsorted(keys, want)
+        same = np.flatnonzero(place < len(keys))
+        same = same[keys[place[same]] == want[same]]
+        out[alive[same]] = place[same] + 1
+        return out
 
 
 class Benchmark:
-    """Windows of a block of items over a vocabulary of its own; token 0 is any other word or a document's end."""
+    """A block of items as one token sequence over a vocabulary of its own; token 0 is any other word or an item's end."""
 
     def __init__(self, items: list[tuple[str | None, bytes | None]], window: int = WINDOW_WORDS):
         self.vocabulary: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
+        stream: list[int] = []
+        starts: dict[int, list[np.ndarray]] = {}
+        self.items: list[str | None] = []
+        self.begins: list[int] = []
+        for item, text in sorted(items, key=lambda x: (x[0] is None, x[0] or "", x[1] or b"")):
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
-            for i in range(max(len(ids) - window, 0) + 1 if ids else 0):
-                owners.setdefault(tuple(ids[i : i + window]), set()).update([item] if item is not None else [])
-        self.windows = [np.array(w, np.int64) for w in owners]
-        self.owners = [sorted(o) for o in owners.values()]
-        self.depth = max(map(len, owners), default=0)
-        pairs = {w[0] * (1 << 32) + (w[1] if len(w) > 1 else 0) for w in owners}
-        self.pairs = np.array(sorted(pairs), np.int64)
-        self.singles = np.array(sorted({w[0] for w in owners if len(w) == 1}), np.int64)
-
-    def starts(self, tokens: np.ndarray) -> np.ndarray:
-        ahead = np.append(tokens[1:], 0)
-        known = np.flatnonzero(tokens)
-        found = np.isin(tokens[known] * (1 << 32) + ahead[known], self.pairs)
-        if len(self.singles):
-            found |= np.isin(tokens[known], self.singles)
-        return known[found]
-
-    def search(self, texts: list[bytes | None]) -> list[tuple[np.ndarray, list[str], int, int]]:
-        """For each text: hit mask over its words, item ids, words of the longest match, and where that starts."""
+            if ids:
+                size = min(window, len(ids))
+                starts.setdefault(size, []).append(len(stream) + np.arange(len(ids) - size + 1))
+                self.items.append(item)
+                self.begins.append(len(stream))
+                stream += [*ids, 0]
+        self.tokens = np.array(stream, np.int64)
+        self.starts = {size: np.concatenate(at) for size, at in sorted(starts.items())}
+
+    def search(self, texts: list[bytes | None]) -> list[tuple]:
+        """For each text: hit mask over its words, item ids, and words, place, item and item place of the longest match."""
         get, lengths, stream = self.vocabulary.get, [], []
         for text in texts:
             ids = [get(w, 0) for w in words(text)]
@@ -123,95 +143,144 @@ class Benchmark:
         ends = np.cumsum(np.array(lengths, np.int64) + 1)
         hit = np.zeros(len(tokens) + 1, np.int64)
         found: list[set[str]] = [set() for _ in texts]
-        places = SuffixArray(tokens, self.depth, self.starts(tokens)) if len(self.windows) else None
-        for window, owners in zip(self.windows, self.owners, strict=True):
-            at = places.find(window)
-            if len(at):
-                np.add.at(hit, at, 1)
-                np.add.at(hit, at + len(window), -1)
-                for d in np.unique(np.searchsorted(ends, at, side="right")).tolist():
-                    found[d].update(owners)
+        best = [(0, -1, None, -1)] * len(texts)
+        array = SuffixArray(tokens, max(self.starts, default=1))
+        begins = np.array(self.begins, np.int64)
+        for size, at in self.starts.items():
+            order, low, high = array.find(self.tokens, at, size)
+            some = np.flatnonzero(high > low)
+            if not len(some):
+                continue
+            # Equal windows find the same range; its places are marked once, for the items of all of them.
+            ranges, one, which = np.unique(low[some], return_index=True, return_inverse=True)
+            row, places = _expand(ranges, high[some][one] - ranges)
+            places = order[places]
+            hit[: len(tokens)] += np.bincount(places, minlength=len(tokens))
+            hit -= np.bincount(places + size, minlength=len(hit))
+            owners: list[set[str]] = [set() for _ in ranges]
+            for r, i in zip(which.reshape(-1).tolist(), (np.searchsorted(begins, at[some], side="right") - 1).tolist(), strict=True):
+                if self.items[i] is not None:
+                    owners[r].add(self.items[i])
+            for r, d in np.unique(np.stack([row, np.searchsorted(ends, places, side="right")], 1), axis=0).tolist():
+                found[d] |= owners[r]
+            self._longest(best, ends, lengths, order, at[some], low[some], high[some], size, begins)
         mask = np.cumsum(hit)[: len(tokens)] > 0
-        out = []
-        for i, n in enumerate(lengths):
-            own = mask[ends[i] - n - 1 : ends[i] - 1]
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], own.view(np.int8), [0]])))
-            runs = edge[1::2] - edge[::2]
-            best = int(np.argmax(runs)) if len(runs) else -1
-            out.append((own, sorted(found[i]), int(runs[best]) if best >= 0 else 0, int(edge[2 * best]) if best >= 0 else -1))
-        return out
+        return [(mask[ends[i] - n - 1 : ends[i] - 1], sorted(found[i]), *best[i]) for i, n in enumerate(lengths)]
+
+    def _longest(self, best: list[tuple], ends, lengths, order, at, low, high, size: int, begins) -> None:
+        """Follow matching places (document p, item i) while both advance together; keep each document's longest."""
+
+        def keep(p: np.ndarray, i: np.ndarray, runs: np.ndarray) -> None:
+            """A match of ``runs`` windows that begins at document place p and item place i."""
+            d = np.searchsorted(ends, p, side="right")
+            turn = np.lexsort((i, p, -runs, d))
+            for k in turn[np.unique(d[turn], return_index=True)[1]]:
+                n, own = int(runs[k]) + size - 1, int(d[k])
+                place = int(p[k] - (ends[own] - lengths[own] - 1))
+                if n > best[own][0] or (n == best[own][0] and place < best[own][1]):
+                    item = int(np.searchsorted(begins, i[k], side="right") - 1)
+                    best[own] = (n, place, self.items[item], int(i[k] - begins[item]))
+
+        if (high - low).sum() <= MOST_PAIRS:
+            row, place = _expand(low, high - low)
+            p, i = order[place], at[row]
+            turn = np.lexsort((p, p - i))
+            p, i = p[turn], i[turn]
+            new = np.flatnonzero(np.concatenate([[True], (np.diff(p) != 1) | (np.diff(i) != 1)]))
+            keep(p[new], i[new], np.diff(np.append(new, len(p))))
+            return
+        # Many places times many items: one document place after the other, with the matches that end there.
+        by_low = np.argsort(low, kind="stable")
+        lows = low[by_low]
+        where = np.concatenate([np.arange(b, e) for b, e in np.unique(np.stack([low, high], 1), axis=0).tolist()])
+        which = {int(order[k]): k for k in where.tolist()}
+        first_of = np.unique(np.stack([low, high], 1), axis=0)
+        open_i, open_from, last = np.empty(0, np.int64), np.empty(0, np.int64), -2
+        for p in [*sorted(which), None]:
+            if p is None:
+                now = np.empty(0, np.int64)
+            else:
+                start = first_of[np.searchsorted(first_of[:, 0], which[p], side="right") - 1, 0]
+                now = np.sort(at[by_low[np.searchsorted(lows, start) : np.searchsorted(lows, start, side="right")]])
+            carried = np.isin(open_i + 1, now) if p == last + 1 else np.zeros(len(open_i), bool)
+            done = ~carried
+            if done.any():
+                keep(open_from[done], open_i[done] - (last - open_from[done]), last - open_from[done] + 1)
+            begun = np.full(len(now), -1 if p is None else p)
+            if carried.any():
+                begun[np.searchsorted(now, open_i[carried] + 1)] = open_from[carried]
+            open_i, open_from, last = now, begun, p
 
 
-def _shards(texts: list[bytes | None], most_words: int) -> Iterator[tuple[int, int]]:
-    """Ranges of whole documents with about ``most_words`` words, judged by bytes (six a word)."""
-    begin, size = 0, 0
-    for i, text in enumerate(texts):
-        size += len(text or b"") // 6 + 1
-        if size >= most_words:
-            yield begin, i + 1
-            begin, size = i + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
+#: What a block of items adds to a document; the mask becomes a count after the last block.
+MARKS = {"__n_hit": "binary", "__items": "array<string>", "__n_words": "long", "__longest": "long", "__longest_at": "long", "__longest_item": "string", "__longest_item_at": "long"}
 
 
-def _mark(block, text_col: str, marks: tuple[str, ...], schema: pa.Schema, last: bool, drop_text: bool, shard_words: int):
-    """The function that searches one block; it adds or updates the columns ``marks`` (mask, items, words, longest, at)."""
-    mask_col, items_col, words_col, long_col, at_col = marks
+def _mark(block, text_col: str, marks: tuple[str, ...], schema: pa.Schema, last: bool, shard_bytes: int):
+    """The function that searches one block; it adds or updates the columns ``marks``."""
+    mask_col, items_col, words_col, *long_cols = marks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(text_col).cast(pa.binary()).to_pylist()
-            old = [batch.column(c).to_pylist() for c in (mask_col, items_col, long_col, at_col)] if mask_col in batch.schema.names else None
-            rows = []
-            for begin, end in _shards(texts, shard_words):
-                for i, (own, items, longest, at) in enumerate(block.value.search(texts[begin:end]), begin):
+        for whole in batches:
+            for batch in slices(whole, text_col, shard_bytes):
+                old = [batch.column(c).to_pylist() for c in (mask_col, items_col, *long_cols)] if mask_col in batch.schema.names else None
+                rows = []
+                for i, (own, items, *longest) in enumerate(block.value.search(batch.column(text_col).cast(pa.binary()).to_pylist())):
                     if old:
                         own = own | np.unpackbits(np.frombuffer(old[0][i], np.uint8), count=len(own)).astype(bool)
                         items = sorted({*items, *old[1][i]})
-                        longest, at = max((longest, at), (old[2][i], old[3][i]))
-                    rows.append((own, items, longest, at))
-            got = {c: batch.column(c) for c in batch.schema.names}
-            got[mask_col] = pa.array([(np.int64(r[0].sum()).item() if last else np.packbits(r[0]).tobytes()) for r in rows], schema.field(mask_col).type)
-            got[items_col] = pa.array([r[1] for r in rows], pa.list_(pa.string()))
-            got[words_col] = pa.array([len(r[0]) for r in rows], pa.int64())
-            got[long_col], got[at_col] = pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays([got[f.name].cast(f.type) for f in schema], schema=schema)
+                        before = [c[i] for c in old[2:]]
+                        longest = longest if longest[0] > before[0] or (longest[0] == before[0] and longest[1] < before[1]) else before
+                    rows.append((np.int64(own.sum()).item() if last else np.packbits(own).tobytes(), items, len(own), *longest))
+                got = {c: batch.column(c) for c in batch.schema.names}
+                got |= {c: pa.array([r[k] for r in rows], schema.field(c).type) for k, c in enumerate(marks)}
+                yield pa.RecordBatch.from_arrays([got[f.name].cast(f.type) for f in schema], schema=schema)
 
     return run
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, most_bytes: int) -> Iterator[list[tuple[str | None, bytes | None]]]:
-    """Items in blocks of bounded text; the blocks are read one at a time.  An item longer than a block is a block."""
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, most_bytes: int) -> tuple[int, Iterator[list[tuple[str | None, bytes | None]]]]:
+    """How many blocks of whole items there are, and the blocks, read one at a time; a longer item is a block."""
     rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-size // most_bytes))
-    if parts == 1:
-        yield [(r.item, bytes(r.text) if r.text is not None else None) for r in rows.collect()]
-        return
-    rows = materialise(rows.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(2 * parts))), "benchmark-blocks")
-    for part in range(2 * parts):
-        yield [(r.item, bytes(r.text) if r.text is not None else None) for r in rows.where(F.col("part") == part).collect()]
+    parts = 1 if size <= most_bytes else 2 * -(-size // most_bytes)
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(parts)))
+
+    def read() -> Iterator[list[tuple[str | None, bytes | None]]]:
+        kept = rows if parts == 1 else materialise(rows, "benchmark-blocks")
+        for part in range(parts):
+            # Repeated items add nothing; distinct ones of a block are about ``most_bytes`` at most.
+            yield [(r.item, bytes(r.text) if r.text is not None else None) for r in kept.where(F.col("part") == part).distinct().collect()]
+        discard(kept)
 
+    return parts, read()
 
-def _marked(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, *, keep_text: bool, window: int, block_bytes: int, shard_words: int) -> tuple[DataFrame, tuple[str, ...]]:
+
+def _marked(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, *, keep_text: bool, window: int, block_bytes: int, shard_bytes: int) -> tuple[DataFrame, tuple[str, ...]]:
     spark = docs.sparkSession
-    marks = tuple(fresh(docs.columns, x) for x in ("__n_hit", "__items", "__n_words", "__longest", "__longest_at"))
-    blocks, df = list(_blocks(benchmark, item_col, item_text_col, block_bytes)), docs
+    marks = tuple(fresh(docs.columns, x) for x in MARKS)
+    count, blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
+    df, before = docs, None
     for i, items in enumerate(blocks):
-        last = i == len(blocks) - 1
+        last = i == count - 1
         block = spark.sparkContext.broadcast(Benchmark(items, window))
         fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if keep_text or not last or f.name != text_col]
-        fields += [f"`{marks[0]}` {'long' if last else 'binary'}", f"`{marks[1]}` array<string>", *[f"`{m}` long" for m in marks[2:]]]
-        ddl = ", ".join(fields)
+        ddl = ", ".join([*fields, *(f"`{m}` {'long' if last and kind == 'binary' else kind}" for m, kind in zip(marks, MARKS.values(), strict=True))])
         arrow = to_arrow_schema(spark.createDataFrame([], ddl).schema)
-        df = df.mapInArrow(_mark(block, text_col, marks, arrow, last, not keep_text, shard_words), ddl)
-        df = df if last else materialise(df, "benchmark-marks")
+        df = df.mapInArrow(_mark(block, text_col, marks, arrow, last, shard_bytes), ddl)
+        if not last:
+            df = materialise(df, "benchmark-marks")
+            discard(before)
+            before = df
     return df, marks
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, window: int = WINDOW_WORDS, factor: int = HIT_FACTOR, block_bytes: int = BLOCK_BYTES, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """One row per document: words, hit words, items found, the longest verbatim match, and the verdict."""
-    rows, (hit, items, n, longest, at) = _marked(docs.select(id_col, text_col), benchmark, text_col, item_col, item_text_col, keep_text=False, window=window, block_bytes=block_bytes, shard_words=shard_words)
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, window: int = WINDOW_WORDS, factor: int = HIT_FACTOR, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """One row per document: words, hit words, items found, the verdict, and the longest verbatim match with its places.
+
+    ``longest_match`` counts words, from word ``longest_match_at`` of the document and ``longest_item_at`` of ``longest_item``.
+    """
+    rows, (hit, items, n, longest, at, item, item_at) = _marked(docs.select(id_col, text_col), benchmark, text_col, item_col, item_text_col, keep_text=False, window=window, block_bytes=block_bytes, shard_bytes=shard_bytes)
     joined = F.array_join(F.array_sort(items), ",")
     return rows.select(
         id_col,
@@ -222,13 +291,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         ((F.col(hit) > 0) & (F.col(hit) * factor >= F.col(n))).alias("contaminated"),
         F.col(longest).alias("longest_match"),
         F.col(at).alias("longest_match_at"),
+        F.col(item).alias("longest_item"),
+        F.col(item_at).alias("longest_item_at"),
         F.col(items).alias("items"),
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, window: int = WINDOW_WORDS, factor: int = HIT_FACTOR, block_bytes: int = BLOCK_BYTES, shard_words: int = SHARD_WORDS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, window: int = WINDOW_WORDS, factor: int = HIT_FACTOR, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, all columns unchanged."""
-    rows, (hit, _, n, *_) = _marked(docs, benchmark, text_col, item_col, item_text_col, keep_text=True, window=window, block_bytes=block_bytes, shard_words=shard_words)
+    rows, (hit, _, n, *_) = _marked(docs, benchmark, text_col, item_col, item_text_col, keep_text=True, window=window, block_bytes=block_bytes, shard_bytes=shard_bytes)
     return rows.where(~((F.col(hit) > 0) & (F.col(hit) * factor >= F.col(n)))).select(docs.columns)
 
 
@@ -248,3 +319,18 @@ def brute_force(texts: list[str | None], items: list[tuple[str | None, str | Non
                         found |= {item} - {None}
         out.append((len(have), sum(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()))
     return out
+
+
+def brute_longest(text: str | None, items: list[tuple[str | None, str | None]], window: int = WINDOW_WORDS) -> int:
+    """Words of the longest verbatim match that holds a whole window, by plain comparison, for tests."""
+    have, longest = words((text or "").encode()), 0
+    for _, t in items:
+        own = words((t or "").encode())
+        for p in range(len(have)):
+            for i in range(len(own)):
+                n = 0
+                while p + n < len(have) and i + n < len(own) and have[p + n] == own[i + n]:
+                    n += 1
+                if own and n >= min(window, len(own)):
+                    longest = max(longest, n)
+    return longest

@@ -277,7 +277,7 @@ def test_decontamination(spark, docs, none):
     bench = spark.createDataFrame([(*i, 0) for i in items], "item_id long, text string, extra int")
     want = decontaminate.brute_force([t for _, t in rows], [(None if i is None else str(i), t) for i, t in items])
     for block in (decontaminate.BLOCK_BYTES, 60):
-        got = {r.doc_id: r for r in decontaminate.contamination(frame, bench, block_bytes=block, shard_words=30).collect()}
+        got = {r.doc_id: r for r in decontaminate.contamination(frame, bench, block_bytes=block, shard_bytes=180).collect()}
         assert [(got[i].n_words, got[i].n_hit, got[i].n_items, got[i].items_sha256) for i, _ in rows] == want
         assert got[1].contaminated and got[1].longest_match == 20 and got[1].longest_match_at == 0 and not got[2].contaminated
         kept = decontaminate.decontaminate(frame, bench, block_bytes=block)
