@@ -3,182 +3,183 @@
 from __future__ import annotations
 
 # Relation phrase, canonical id, whether the phrase states a yearly figure.
-RELATION_EXACT = """
-实测径流量为 | ANNUAL_RUNOFF | yearly
-当年实测径流量为 | ANNUAL_RUNOFF | yearly
-2024年实测径流量为 | ANNUAL_RUNOFF | yearly
-上年实测径流量为 | ANNUAL_RUNOFF | yearly
-当年天然河川径流量为 | ANNUAL_RUNOFF | yearly
-天然河川径流量为 | ANNUAL_RUNOFF | yearly
-当年7~10月实测径流量为 | ANNUAL_RUNOFF_FLOOD_SEASON | yearly
-1987~2016年实测径流量均值为 | LONG_TERM_AVG_RUNOFF | constant
-1956~2016年实测径流量均值为 | LONG_TERM_AVG_RUNOFF | constant
-实测输沙量为 | ANNUAL_SEDIMENT | yearly
-当年实测输沙量为 | ANNUAL_SEDIMENT | yearly
-2024年实测年输沙量为 | ANNUAL_SEDIMENT | yearly
-合计实测年输沙量为 | ANNUAL_SEDIMENT | yearly
-上年降水量为 | ANNUAL_PRECIPITATION | yearly
-当年降水量（毫米）为 | ANNUAL_PRECIPITATION | yearly
-当年降水量（亿立方米）为 | ANNUAL_PRECIPITATION | yearly
-2024年降水量（亿立方米）为 | ANNUAL_PRECIPITATION | yearly
-2024年降水量为 | ANNUAL_PRECIPITATION | yearly
-1987~2016年平均降水量为 | LONG_TERM_AVG_PRECIPITATION | constant
-1956~2016年平均降水量为 | LONG_TERM_AVG_PRECIPITATION | constant
-供水量流域内为 | WATER_SUPPLY | yearly
-供水量调出流域为 | WATER_SUPPLY | yearly
-供水量合计为 | WATER_SUPPLY | yearly
-黄河地表水供水量为 | WATER_SUPPLY | yearly
-地表水源流域内供水量为 | WATER_SUPPLY | yearly
-地表水源调出流域供水量为 | WATER_SUPPLY | yearly
-地表水源合计供水量为 | WATER_SUPPLY | yearly
-地下水源供水量为 | WATER_SUPPLY | yearly
-非常规水源供水量为 | WATER_SUPPLY | yearly
-合计供水量为 | WATER_SUPPLY | yearly
-总计供水量为 | WATER_SUPPLY | yearly
-调入流水量为 | WATER_SUPPLY | yearly
-2024年供水量为 | WATER_SUPPLY | yearly
-用水量合计总量为 | WATER_USE | yearly
-用水量农业总量为 | WATER_USE | yearly
-2024年用水总量为 | WATER_USE | yearly
-2024年地下水用水量为 | WATER_USE | yearly
-耗水量流域内为 | WATER_CONSUMPTION | yearly
-耗水量调出流域为 | WATER_CONSUMPTION | yearly
-耗水量合计为 | WATER_CONSUMPTION | yearly
-耗水量合计总量为 | WATER_CONSUMPTION | yearly
-黄河地表水耗水量为 | WATER_CONSUMPTION | yearly
-2024年耗水总量为 | WATER_CONSUMPTION | yearly
-2024年地下水耗水量为 | WATER_CONSUMPTION | yearly
-年初蓄水量为 | RESERVOIR_STORAGE_START | yearly
-年末蓄水量为 | RESERVOIR_STORAGE_END | yearly
-年蓄水变量为 | RESERVOIR_STORAGE_CHANGE | yearly
-2024年年初蓄水量为 | RESERVOIR_STORAGE_START | yearly
-2024年年末蓄水量为 | RESERVOIR_STORAGE_END | yearly
-2024年年蓄水变量为 | RESERVOIR_STORAGE_CHANGE | yearly
-2023年年末蓄水量为 | RESERVOIR_STORAGE_END | yearly
-合计蓄水变量为 | RESERVOIR_STORAGE_CHANGE | yearly
-合计水库年蓄水变量为 | RESERVOIR_STORAGE_CHANGE | yearly
-平均地下水埋深年初 | GROUNDWATER_DEPTH_START | yearly
-平均地下水埋深年末 | GROUNDWATER_DEPTH_END | yearly
-平均地下水埋深年变幅 | GROUNDWATER_DEPTH_CHANGE | yearly
-年初平均地下水埋深为 | GROUNDWATER_DEPTH_START | yearly
-年末平均地下水埋深为 | GROUNDWATER_DEPTH_END | yearly
-年变幅为 | GROUNDWATER_DEPTH_CHANGE | yearly
-平均地下水埋深年变幅为 | GROUNDWATER_DEPTH_CHANGE | yearly
-干流全长为 | RIVER_LENGTH | constant
-流域总面积为 | BASIN_AREA | constant
-控制面积为 | BASIN_AREA | constant
-计算面积为 | BASIN_AREA | constant
-面积为 | HAS_AREA | constant
-2024年面积为 | HAS_AREA | constant
-范围为 | HAS_SCOPE | constant
-供水区范围为 | HAS_SCOPE | constant
-所属行政区为 | BELONGS_TO_PROVINCE | constant
-所属水资源二级区为 | LOCATED_IN_ZONE | constant
-所属平原子 | LOCATED_IN_PLAIN | constant
-主要水文站包括 | HAS_STATION | constant
-重要支流控制水文站包括 | HAS_STATION | constant
-包括 | INCLUDES | constant
-属于 | BELONGS_TO | constant
-包含超采区序号 | HAS_OVERDRAFT_ZONE | constant
-地下水类型为 | GROUNDWATER_TYPE | constant
-与上年比较为 | COMPARE_LAST_YEAR | yearly
-与上年比较变化为 | COMPARE_LAST_YEAR | yearly
-与1987~2016年均值比较为 | COMPARE_LONG_TERM_AVG | constant
-与1956~2016年均值比较为 | COMPARE_LONG_TERM_AVG | constant
-水资源总量为 | WATER_RESOURCE_TOTAL | yearly
-2024年水资源总量为 | WATER_RESOURCE_TOTAL | yearly
-2024年入海水量为 | ANNUAL_RUNOFF_TO_SEA | yearly
-平原区浅层地下水水位上升面积为 | GW_LEVEL_RISE_AREA | yearly
-浅层地下水水位下降面积为 | GW_LEVEL_DECLINE_AREA | yearly
-深层承压水水位上升面积为 | GW_LEVEL_RISE_AREA | yearly
-死水位为 | DEAD_STORAGE_LEVEL | constant
-防洪限制水位为 | FLOOD_CONTROL_LEVEL | constant
-正常蓄水位为 | NORMAL_STORAGE_LEVEL | constant
-总库容为 | TOTAL_CAPACITY | constant
-装机容量为 | POWER_GENERATION | constant
-控制流域面积为 | BASIN_AREA | constant
-坝址以上流域面积为 | BASIN_AREA | constant
-所在河流为 | LOCATED_ON | constant
-所在河段为 | LOCATED_ON | constant
-坝址位于 | LOCATED_ON | constant
-所在地区为 | BELONGS_TO | constant
-自2023年起更名为 | STATION_RENAMED_TO | constant
-"""
+RELATION_EXACT = [
+    ("实测径流量为", "ANNUAL_RUNOFF", True),
+    ("当年实测径流量为", "ANNUAL_RUNOFF", True),
+    ("2024年实测径流量为", "ANNUAL_RUNOFF", True),
+    ("上年实测径流量为", "ANNUAL_RUNOFF", True),
+    ("当年天然河川径流量为", "ANNUAL_RUNOFF", True),
+    ("天然河川径流量为", "ANNUAL_RUNOFF", True),
+    ("当年7~10月实测径流量为", "ANNUAL_RUNOFF_FLOOD_SEASON", True),
+    ("1987~2016年实测径流量均值为", "LONG_TERM_AVG_RUNOFF", False),
+    ("1956~2016年实测径流量均值为", "LONG_TERM_AVG_RUNOFF", False),
+    ("实测输沙量为", "ANNUAL_SEDIMENT", True),
+    ("当年实测输沙量为", "ANNUAL_SEDIMENT", True),
+    ("2024年实测年输沙量为", "ANNUAL_SEDIMENT", True),
+    ("合计实测年输沙量为", "ANNUAL_SEDIMENT", True),
+    ("上年降水量为", "ANNUAL_PRECIPITATION", True),
+    ("当年降水量（毫米）为", "ANNUAL_PRECIPITATION", True),
+    ("当年降水量（亿立方米）为", "ANNUAL_PRECIPITATION", True),
+    ("2024年降水量（亿立方米）为", "ANNUAL_PRECIPITATION", True),
+    ("2024年降水量为", "ANNUAL_PRECIPITATION", True),
+    ("1987~2016年平均降水量为", "LONG_TERM_AVG_PRECIPITATION", False),
+    ("1956~2016年平均降水量为", "LONG_TERM_AVG_PRECIPITATION", False),
+    ("供水量流域内为", "WATER_SUPPLY", True),
+    ("供水量调出流域为", "WATER_SUPPLY", True),
+    ("供水量合计为", "WATER_SUPPLY", True),
+    ("黄河地表水供水量为", "WATER_SUPPLY", True),
+    ("地表水源流域内供水量为", "WATER_SUPPLY", True),
+    ("地表水源调出流域供水量为", "WATER_SUPPLY", True),
+    ("地表水源合计供水量为", "WATER_SUPPLY", True),
+    ("地下水源供水量为", "WATER_SUPPLY", True),
+    ("非常规水源供水量为", "WATER_SUPPLY", True),
+    ("合计供水量为", "WATER_SUPPLY", True),
+    ("总计供水量为", "WATER_SUPPLY", True),
+    ("调入流水量为", "WATER_SUPPLY", True),
+    ("2024年供水量为", "WATER_SUPPLY", True),
+    ("用水量合计总量为", "WATER_USE", True),
+    ("用水量农业总量为", "WATER_USE", True),
+    ("2024年用水总量为", "WATER_USE", True),
+    ("2024年地下水用水量为", "WATER_USE", True),
+    ("耗水量流域内为", "WATER_CONSUMPTION", True),
+    ("耗水量调出流域为", "WATER_CONSUMPTION", True),
+    ("耗水量合计为", "WATER_CONSUMPTION", True),
+    ("耗水量合计总量为", "WATER_CONSUMPTION", True),
+    ("黄河地表水耗水量为", "WATER_CONSUMPTION", True),
+    ("2024年耗水总量为", "WATER_CONSUMPTION", True),
+    ("2024年地下水耗水量为", "WATER_CONSUMPTION", True),
+    ("年初蓄水量为", "RESERVOIR_STORAGE_START", True),
+    ("年末蓄水量为", "RESERVOIR_STORAGE_END", True),
+    ("年蓄水变量为", "RESERVOIR_STORAGE_CHANGE", True),
+    ("2024年年初蓄水量为", "RESERVOIR_STORAGE_START", True),
+    ("2024年年末蓄水量为", "RESERVOIR_STORAGE_END", True),
+    ("2024年年蓄水变量为", "RESERVOIR_STORAGE_CHANGE", True),
+    ("2023年年末蓄水量为", "RESERVOIR_STORAGE_END", True),
+    ("合计蓄水变量为", "RESERVOIR_STORAGE_CHANGE", True),
+    ("合计水库年蓄水变量为", "RESERVOIR_STORAGE_CHANGE", True),
+    ("平均地下水埋深年初", "GROUNDWATER_DEPTH_START", True),
+    ("平均地下水埋深年末", "GROUNDWATER_DEPTH_END", True),
+    ("平均地下水埋深年变幅", "GROUNDWATER_DEPTH_CHANGE", True),
+    ("年初平均地下水埋深为", "GROUNDWATER_DEPTH_START", True),
+    ("年末平均地下水埋深为", "GROUNDWATER_DEPTH_END", True),
+    ("年变幅为", "GROUNDWATER_DEPTH_CHANGE", True),
+    ("平均地下水埋深年变幅为", "GROUNDWATER_DEPTH_CHANGE", True),
+    ("干流全长为", "RIVER_LENGTH", False),
+    ("流域总面积为", "BASIN_AREA", False),
+    ("控制面积为", "BASIN_AREA", False),
+    ("计算面积为", "BASIN_AREA", False),
+    ("面积为", "HAS_AREA", False),
+    ("2024年面积为", "HAS_AREA", False),
+    ("范围为", "HAS_SCOPE", False),
+    ("供水区范围为", "HAS_SCOPE", False),
+    ("所属行政区为", "BELONGS_TO_PROVINCE", False),
+    ("所属水资源二级区为", "LOCATED_IN_ZONE", False),
+    ("所属平原子", "LOCATED_IN_PLAIN", False),
+    ("主要水文站包括", "HAS_STATION", False),
+    ("重要支流控制水文站包括", "HAS_STATION", False),
+    ("包括", "INCLUDES", False),
+    ("属于", "BELONGS_TO", False),
+    ("包含超采区序号", "HAS_OVERDRAFT_ZONE", False),
+    ("地下水类型为", "GROUNDWATER_TYPE", False),
+    ("与上年比较为", "COMPARE_LAST_YEAR", True),
+    ("与上年比较变化为", "COMPARE_LAST_YEAR", True),
+    ("与1987~2016年均值比较为", "COMPARE_LONG_TERM_AVG", False),
+    ("与1956~2016年均值比较为", "COMPARE_LONG_TERM_AVG", False),
+    ("水资源总量为", "WATER_RESOURCE_TOTAL", True),
+    ("2024年水资源总量为", "WATER_RESOURCE_TOTAL", True),
+    ("2024年入海水量为", "ANNUAL_RUNOFF_TO_SEA", True),
+    ("平原区浅层地下水水位上升面积为", "GW_LEVEL_RISE_AREA", True),
+    ("浅层地下水水位下降面积为", "GW_LEVEL_DECLINE_AREA", True),
+    ("深层承压水水位上升面积为", "GW_LEVEL_RISE_AREA", True),
+    ("死水位为", "DEAD_STORAGE_LEVEL", False),
+    ("防洪限制水位为", "FLOOD_CONTROL_LEVEL", False),
+    ("正常蓄水位为", "NORMAL_STORAGE_LEVEL", False),
+    ("总库容为", "TOTAL_CAPACITY", False),
+    ("装机容量为", "POWER_GENERATION", False),
+    ("控制流域面积为", "BASIN_AREA", False),
+    ("坝址以上流域面积为", "BASIN_AREA", False),
+    ("所在河流为", "LOCATED_ON", False),
+    ("所在河段为", "LOCATED_ON", False),
+    ("坝址位于", "LOCATED_ON", False),
+    ("所在地区为", "BELONGS_TO", False),
+    ("自2023年起更名为", "STATION_RENAMED_TO", False),
+]
 
 # Ordered keyword rules; the first rule with a keyword in the phrase wins, within a rule the first keyword.
-RELATION_KEYWORDS = """
-径流量 径流 | ANNUAL_RUNOFF | yearly
-输沙量 输沙 | ANNUAL_SEDIMENT | yearly
-降水量 降水 | ANNUAL_PRECIPITATION | yearly
-供水量 供水 | WATER_SUPPLY | yearly
-用水量 用水 | WATER_USE | yearly
-耗水量 耗水 | WATER_CONSUMPTION | yearly
-死水位 死库容 | DEAD_STORAGE_LEVEL | constant
-防洪限制 汛限 防洪限制水位 | FLOOD_CONTROL_LEVEL | constant
-正常蓄水 正常蓄水位 | NORMAL_STORAGE_LEVEL | constant
-蓄水位 水位 | - | constant
-防洪库容 | FLOOD_CONTROL_CAPACITY | constant
-库容 总库容 | TOTAL_CAPACITY | constant
-蓄水量 蓄水变量 | RESERVOIR_STORAGE | yearly
-地下水埋深 埋深 | GROUNDWATER_DEPTH | yearly
-流域面积 控制面积 集水面积 | BASIN_AREA | constant
-面积 | HAS_AREA | constant
-长度 全长 | RIVER_LENGTH | constant
-水质 水质类别 | WATER_QUALITY | constant
-发电 出力 装机 | POWER_GENERATION | constant
-生态 环境 | ECOLOGICAL_FLOW | constant
-改为 更名为 改名 | STATION_RENAMED_TO | constant
-属于 所属 所在地区 | BELONGS_TO | constant
-岸所属行政区 左岸 右岸 南岸 北岸 | BELONGS_TO | constant
-水文站包括 水文站为 | HAS_STATION | constant
-包括 包含 划分为 | INCLUDES | constant
-比较 对比 变化 增幅 减少 偏少 增加了 | COMPARISON | yearly
-"""
+RELATION_KEYWORDS = [
+    (("径流量", "径流"), "ANNUAL_RUNOFF", True),
+    (("输沙量", "输沙"), "ANNUAL_SEDIMENT", True),
+    (("降水量", "降水"), "ANNUAL_PRECIPITATION", True),
+    (("供水量", "供水"), "WATER_SUPPLY", True),
+    (("用水量", "用水"), "WATER_USE", True),
+    (("耗水量", "耗水"), "WATER_CONSUMPTION", True),
+    (("死水位", "死库容"), "DEAD_STORAGE_LEVEL", False),
+    (("防洪限制", "汛限", "防洪限制水位"), "FLOOD_CONTROL_LEVEL", False),
+    (("正常蓄水", "正常蓄水位"), "NORMAL_STORAGE_LEVEL", False),
+    (("蓄水位", "水位"), None, False),
+    (("防洪库容",), "FLOOD_CONTROL_CAPACITY", False),
+    (("库容", "总库容"), "TOTAL_CAPACITY", False),
+    (("蓄水量", "蓄水变量"), "RESERVOIR_STORAGE", True),
+    (("地下水埋深", "埋深"), "GROUNDWATER_DEPTH", True),
+    (("流域面积", "控制面积", "集水面积"), "BASIN_AREA", False),
+    (("面积",), "HAS_AREA", False),
+    (("长度", "全长"), "RIVER_LENGTH", False),
+    (("水质", "水质类别"), "WATER_QUALITY", False),
+    (("发电", "出力", "装机"), "POWER_GENERATION", False),
+    (("生态", "环境"), "ECOLOGICAL_FLOW", False),
+    (("改为", "更名为", "改名"), "STATION_RENAMED_TO", False),
+    (("属于", "所属", "所在地区"), "BELONGS_TO", False),
+    (("岸所属行政区", "左岸", "右岸", "南岸", "北岸"), "BELONGS_TO", False),
+    (("水文站包括", "水文站为"), "HAS_STATION", False),
+    (("包括", "包含", "划分为"), "INCLUDES", False),
+    (("比较", "对比", "变化", "增幅", "减少", "偏少", "增加了"), "COMPARISON", True),
+]
+
 # Words that mark a phrase without a rule as yearly.
-YEARLY_WORDS = "径流 输沙 降水 供水 用水 耗水 蓄水 埋深 比较 变化".split()
+YEARLY_WORDS = ["径流", "输沙", "降水", "供水", "用水", "耗水", "蓄水", "埋深", "比较", "变化"]
 
 # Objects that say nothing.
 INVALID_OBJECTS = ["", "/", "1", "一", "-", "—", "无", "null", "None", "无数据"]
 
 # Name parts that mark an object as an entity.
-ENTITY_WORDS = "水库 水文站 省 自治区 市 县 河 流域 区".split()
+ENTITY_WORDS = ["水库", "水文站", "省", "自治区", "市", "县", "河", "流域", "区"]
 
-PROVINCES = "青海 四川 甘肃 宁夏 内蒙古 山西 陕西 河南 山东 河北".split()
+PROVINCES = ["青海", "四川", "甘肃", "宁夏", "内蒙古", "山西", "陕西", "河南", "山东", "河北"]
 
 # Ordered typing rules for subjects; (kind, words, type).  "sum" is a '+' together with one of the words.
 SUBJECT_TYPES = [
-    ("equals", "合计 总计", "StatisticAggregate"),
-    ("sum", "合计 总计", "StatisticAggregate"),
-    ("contains", "超采区", "GroundwaterOverdraftArea"),
-    ("contains", "盆地 平原 台地 河谷 风沙滩 谷地 景泰川 董志塬", "GroundwaterRegion"),
-    ("contains", "水库 水电站 水利枢纽", "Reservoir"),
-    ("contains", "水文站", "HydrologicalStation"),
-    ("suffix", "站", "HydrologicalStation"),
-    ("contains", "省 自治区", "Province"),
-    ("equals", " ".join(PROVINCES), "Province"),
-    ("contains", "河 江 水系", "River"),
-    ("contains", "以上 以下 至 区间 内流区", "WaterResourceZone"),
-    ("contains", "流域", "River"),
-    ("contains", "水利部 黄河水利委员会 公报 方案 规划 规程", "Document"),
+    ("equals", ("合计", "总计"), "StatisticAggregate"),
+    ("sum", ("合计", "总计"), "StatisticAggregate"),
+    ("contains", ("超采区",), "GroundwaterOverdraftArea"),
+    ("contains", ("盆地", "平原", "台地", "河谷", "风沙滩", "谷地", "景泰川", "董志塬"), "GroundwaterRegion"),
+    ("contains", ("水库", "水电站", "水利枢纽"), "Reservoir"),
+    ("contains", ("水文站",), "HydrologicalStation"),
+    ("suffix", ("站",), "HydrologicalStation"),
+    ("contains", ("省", "自治区"), "Province"),
+    ("equals", ("青海", "四川", "甘肃", "宁夏", "内蒙古", "山西", "陕西", "河南", "山东", "河北"), "Province"),
+    ("contains", ("河", "江", "水系"), "River"),
+    ("contains", ("以上", "以下", "至", "区间", "内流区"), "WaterResourceZone"),
+    ("contains", ("流域",), "River"),
+    ("contains", ("水利部", "黄河水利委员会", "公报", "方案", "规划", "规程"), "Document"),
 ]
 
 # Ordered labelling rules for graph nodes; they differ from the typing rules above.
 NODE_LABELS = [
-    ("contains", "水库 水电站 水利枢纽", "Reservoir"),
-    ("contains", "水文站", "HydrologicalStation"),
-    ("contains", "省 自治区", "Province"),
-    ("equals", " ".join(PROVINCES), "Province"),
-    ("contains", "河 江", "River"),
-    ("contains", "以上 以下", "WaterResourceZone"),
-    ("longer3", "至", "WaterResourceZone"),
-    ("equals", "内流区", "WaterResourceZone"),
-    ("contains", "超采区", "GroundwaterOverdraftArea"),
-    ("contains", "盆地 平原 台地 河谷 风沙滩 谷地 川 塬", "GroundwaterRegion"),
-    ("equals", "合计 总计", "StatisticAggregate"),
-    ("sum", "合计 总计", "StatisticAggregate"),
-    ("contains", "水利部 黄河水利委员会 公报 方案 规划 规程", "Document"),
-    ("contains", "流域", "River"),
-    ("suffix2", "区", "WaterResourceZone"),
+    ("contains", ("水库", "水电站", "水利枢纽"), "Reservoir"),
+    ("contains", ("水文站",), "HydrologicalStation"),
+    ("contains", ("省", "自治区"), "Province"),
+    ("equals", ("青海", "四川", "甘肃", "宁夏", "内蒙古", "山西", "陕西", "河南", "山东", "河北"), "Province"),
+    ("contains", ("河", "江"), "River"),
+    ("contains", ("以上", "以下"), "WaterResourceZone"),
+    ("longer3", ("至",), "WaterResourceZone"),
+    ("equals", ("内流区",), "WaterResourceZone"),
+    ("contains", ("超采区",), "GroundwaterOverdraftArea"),
+    ("contains", ("盆地", "平原", "台地", "河谷", "风沙滩", "谷地", "川", "塬"), "GroundwaterRegion"),
+    ("equals", ("合计", "总计"), "StatisticAggregate"),
+    ("sum", ("合计", "总计"), "StatisticAggregate"),
+    ("contains", ("水利部", "黄河水利委员会", "公报", "方案", "规划", "规程"), "Document"),
+    ("contains", ("流域",), "River"),
+    ("suffix2", ("区",), "WaterResourceZone"),
 ]
 
 # Label of an object whose name says nothing, by relation id.
@@ -198,23 +199,23 @@ LABEL_HINTS = {
 NEW_ENTITY_TYPES = ["Unknown", "GroundwaterOverdraftArea", "StatisticAggregate"]
 
 # Labels that statistics report.
-STAT_LABELS = "Reservoir HydrologicalStation WaterResourceZone Province River DispatchRule Constraint AnnualHydrologyData Document".split()
+STAT_LABELS = ["Reservoir", "HydrologicalStation", "WaterResourceZone", "Province", "River", "DispatchRule", "Constraint", "AnnualHydrologyData", "Document"]
 
 # Relation ids of constraints by category.
 CONSTRAINT_IDS = {
-    "water_level": "DEAD_STORAGE_LEVEL FLOOD_CONTROL_LEVEL NORMAL_STORAGE_LEVEL".split(),
-    "storage": "TOTAL_CAPACITY FLOOD_CONTROL_CAPACITY RESERVOIR_STORAGE RESERVOIR_STORAGE_START RESERVOIR_STORAGE_END RESERVOIR_STORAGE_CHANGE".split(),
-    "discharge": "ANNUAL_RUNOFF ANNUAL_RUNOFF_FLOOD_SEASON ANNUAL_RUNOFF_TO_SEA ECOLOGICAL_FLOW".split(),
-    "power": "POWER_GENERATION".split(),
-    "water_supply": "WATER_SUPPLY".split(),
-    "water_use": "WATER_USE WATER_CONSUMPTION".split(),
-    "sediment": "ANNUAL_SEDIMENT".split(),
-    "precipitation": "ANNUAL_PRECIPITATION LONG_TERM_AVG_PRECIPITATION".split(),
-    "comparison": "COMPARE_LAST_YEAR COMPARE_LONG_TERM_AVG COMPARISON".split(),
-    "area": "BASIN_AREA HAS_AREA GW_LEVEL_RISE_AREA GW_LEVEL_DECLINE_AREA".split(),
-    "length": "RIVER_LENGTH".split(),
-    "water_quality": "WATER_QUALITY".split(),
-    "ground_depth": "GROUNDWATER_DEPTH GROUNDWATER_DEPTH_START GROUNDWATER_DEPTH_END GROUNDWATER_DEPTH_CHANGE".split(),
+    "water_level": ["DEAD_STORAGE_LEVEL", "FLOOD_CONTROL_LEVEL", "NORMAL_STORAGE_LEVEL"],
+    "storage": ["TOTAL_CAPACITY", "FLOOD_CONTROL_CAPACITY", "RESERVOIR_STORAGE", "RESERVOIR_STORAGE_START", "RESERVOIR_STORAGE_END", "RESERVOIR_STORAGE_CHANGE"],
+    "discharge": ["ANNUAL_RUNOFF", "ANNUAL_RUNOFF_FLOOD_SEASON", "ANNUAL_RUNOFF_TO_SEA", "ECOLOGICAL_FLOW"],
+    "power": ["POWER_GENERATION"],
+    "water_supply": ["WATER_SUPPLY"],
+    "water_use": ["WATER_USE", "WATER_CONSUMPTION"],
+    "sediment": ["ANNUAL_SEDIMENT"],
+    "precipitation": ["ANNUAL_PRECIPITATION", "LONG_TERM_AVG_PRECIPITATION"],
+    "comparison": ["COMPARE_LAST_YEAR", "COMPARE_LONG_TERM_AVG", "COMPARISON"],
+    "area": ["BASIN_AREA", "HAS_AREA", "GW_LEVEL_RISE_AREA", "GW_LEVEL_DECLINE_AREA"],
+    "length": ["RIVER_LENGTH"],
+    "water_quality": ["WATER_QUALITY"],
+    "ground_depth": ["GROUNDWATER_DEPTH", "GROUNDWATER_DEPTH_START", "GROUNDWATER_DEPTH_END", "GROUNDWATER_DEPTH_CHANGE"],
 }
 
 # Parameter key by relation id, and by phrase where the id is missing.
@@ -236,17 +237,17 @@ PARAMETER_WORDS = [
 ]
 
 # Words that mark constraint phrases without a relation id, and yearly ones.
-CONSTRAINT_WORDS = "死水位 正常蓄水位 汛限 防洪限制 总库容 防洪库容 兴利库容".split()
-ANNUAL_WORDS = "水位 流量 库容 出力 供水 生态 汛限 死水位 蓄水位 防洪 限制 约束 上限 下限 不超过 不低于 用水 灌溉".split()
+CONSTRAINT_WORDS = ["死水位", "正常蓄水位", "汛限", "防洪限制", "总库容", "防洪库容", "兴利库容"]
+ANNUAL_WORDS = ["水位", "流量", "库容", "出力", "供水", "生态", "汛限", "死水位", "蓄水位", "防洪", "限制", "约束", "上限", "下限", "不超过", "不低于", "用水", "灌溉"]
 
 # Relation ids of an indicator word.
 INDICATOR_IDS = {
-    "径流": "ANNUAL_RUNOFF ANNUAL_RUNOFF_FLOOD_SEASON ANNUAL_RUNOFF_TO_SEA LONG_TERM_AVG_RUNOFF".split(),
-    "流量": "ANNUAL_RUNOFF ANNUAL_RUNOFF_FLOOD_SEASON ANNUAL_RUNOFF_TO_SEA ECOLOGICAL_FLOW LONG_TERM_AVG_RUNOFF".split(),
-    "入流": "ANNUAL_RUNOFF ANNUAL_RUNOFF_FLOOD_SEASON".split(),
-    "水位": "DEAD_STORAGE_LEVEL FLOOD_CONTROL_LEVEL NORMAL_STORAGE_LEVEL GROUNDWATER_DEPTH GROUNDWATER_DEPTH_START GROUNDWATER_DEPTH_END GROUNDWATER_DEPTH_CHANGE".split(),
-    "降水": "ANNUAL_PRECIPITATION LONG_TERM_AVG_PRECIPITATION".split(),
-    "来水": "ANNUAL_RUNOFF ANNUAL_RUNOFF_FLOOD_SEASON".split(),
+    "径流": ["ANNUAL_RUNOFF", "ANNUAL_RUNOFF_FLOOD_SEASON", "ANNUAL_RUNOFF_TO_SEA", "LONG_TERM_AVG_RUNOFF"],
+    "流量": ["ANNUAL_RUNOFF", "ANNUAL_RUNOFF_FLOOD_SEASON", "ANNUAL_RUNOFF_TO_SEA", "ECOLOGICAL_FLOW", "LONG_TERM_AVG_RUNOFF"],
+    "入流": ["ANNUAL_RUNOFF", "ANNUAL_RUNOFF_FLOOD_SEASON"],
+    "水位": ["DEAD_STORAGE_LEVEL", "FLOOD_CONTROL_LEVEL", "NORMAL_STORAGE_LEVEL", "GROUNDWATER_DEPTH", "GROUNDWATER_DEPTH_START", "GROUNDWATER_DEPTH_END", "GROUNDWATER_DEPTH_CHANGE"],
+    "降水": ["ANNUAL_PRECIPITATION", "LONG_TERM_AVG_PRECIPITATION"],
+    "来水": ["ANNUAL_RUNOFF", "ANNUAL_RUNOFF_FLOOD_SEASON"],
 }
 
 # Ordered category words of constraint phrases.
@@ -262,7 +263,7 @@ CATEGORY_WORDS = [
 OPERATORS_PUBLISHED = [
     ("不超过|不大于|≤|小于等于|上限|不高于|不高过|低于|小于", "<="),
     ("不低于|不小于|≥|大于等于|下限|不少于|保证|不低|高于|大于", ">="),
-    ("等于|为|维持|保持|控制在", "=="),
+    ("等于|为|维持|保持|控制在?|控制在", "=="),
     ("范围|区间|之间|～|~", "between"),
 ]
 OPERATORS_MEANT = [("不低于|不小于|不少于|不低", ">="), ("不高于|不高过|不大于|不超过", "<="), *OPERATORS_PUBLISHED]
@@ -306,7 +307,7 @@ SEPARATORS = ["\n\n", "\n", "。", ".", "；", ";", " "]
 CHUNK_SIZE, CHUNK_OVERLAP = 2000, 200
 
 # Alias categories that are indexed, in order of precedence.
-ALIAS_CATEGORIES = "reservoirs hydrological_stations water_resource_zones provinces rivers".split()
+ALIAS_CATEGORIES = ["reservoirs", "hydrological_stations", "water_resource_zones", "provinces", "rivers"]
 
 # Turn markers of chat prompts.
 CHAT_OPEN, CHAT_CLOSE = "<start_of_turn>", "<end_of_turn>"

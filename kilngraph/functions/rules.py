@@ -37,11 +37,11 @@ def holds(text: Column, kind: str, words: Sequence[str]) -> Column:
     raise ValueError(f"unknown rule kind {kind}")
 
 
-def first_match(text: Column, rules: Iterable[tuple[str, str, str]], default: str | None = None) -> Column:
-    """The result of the first rule (kind, blank-separated words, result) that holds; a null text has the default."""
+def first_match(text: Column, rules: Iterable[tuple[str, Sequence[str], str]], default: str | None = None) -> Column:
+    """The result of the first rule (kind, words, result) that holds; a null text has the default."""
     chain: Column | None = None
     for kind, words, result in rules:
-        condition = holds(text, kind, words.split())
+        condition = holds(text, kind, words)
         chain = F.when(condition, F.lit(result)) if chain is None else chain.when(condition, F.lit(result))
     return F.lit(default) if chain is None else chain.otherwise(F.lit(default))
 
@@ -65,13 +65,11 @@ def node_label(name: Column) -> Column:
 
 
 def exact_rules() -> list[tuple[str, str, bool]]:
-    rows = (line.split(" | ") for line in fixed.RELATION_EXACT.strip().splitlines())
-    return [(phrase, name, kind == "yearly") for phrase, name, kind in rows]
+    return fixed.RELATION_EXACT
 
 
-def keyword_rules() -> list[tuple[list[str], str | None, bool]]:
-    rows = (line.split(" | ") for line in fixed.RELATION_KEYWORDS.strip().splitlines())
-    return [(words.split(), None if name == "-" else name, kind == "yearly") for words, name, kind in rows]
+def keyword_rules() -> list[tuple[tuple[str, ...], str | None, bool]]:
+    return fixed.RELATION_KEYWORDS
 
 
 def exact_rule_table(spark: SparkSession) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kilngraph.functions.text import strip
+from kilngraph.functions.text import bound, strip
 
 _UNIT = "\\(([^)]+)\\)$"
 
@@ -67,3 +67,25 @@ def split_rows(markdown: Column, most: int = 8) -> Column:
     starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(most))
     parts = F.transform(starts, lambda i: F.array_join(F.concat(F.slice(lines, 1, 2), F.slice(lines, i + 3, F.lit(most))), "\n"))
     return F.when(n <= most, F.array(markdown)).otherwise(parts)
+
+
+def table_result(markdown: Column, html: Column, page: Column, ordinal: Column, published: bool = False) -> Column:
+    """A recognised table as struct(table_id, page_num, headers, rows, markdown, row_count, col_count), null if it is blank.
+
+    Recognised Markdown is taken before HTML.  Tables of a page are numbered; ``published`` gives all of them number 00.
+    """
+    text = F.coalesce(F.nullif(markdown, F.lit("")), html_to_markdown(F.coalesce(html, F.lit(""))))
+    number = F.format_string("tbl_p%d_%02d", page, F.lit(0) if published else ordinal.cast("int"))
+
+    def shaped(md: Column, r: Column) -> Column:
+        return F.struct(
+            number.alias("table_id"),
+            page.cast("int").alias("page_num"),
+            F.coalesce(r["headers"], F.array().cast("array<string>")).alias("headers"),
+            F.coalesce(r["rows"], F.array().cast("array<array<string>>")).alias("rows"),
+            md.alias("markdown"),
+            F.coalesce(r["row_count"], F.lit(0)).alias("row_count"),
+            F.coalesce(r["col_count"], F.lit(0)).alias("col_count"),
+        )
+
+    return bound(text, lambda md: F.when(strip(md) != "", bound(parse_markdown(md), lambda r: shaped(md, r))))

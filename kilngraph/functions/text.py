@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 from kilngraph.functions import fixed_values as fixed
 
 CJK = "[\\x{4e00}-\\x{9fff}]"
-_BLANK_ENDS = "(?U)^\\s+|\\s+$"
+#: The characters with the property White_Space.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(text: Column) -> Column:
     """Trim every Unicode blank, not only U+0020."""
-    return F.regexp_replace(text, _BLANK_ENDS, "")
+    return F.btrim(text, F.lit(BLANKS))
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def count_of(text: Column, pattern: str) -> Column:
@@ -27,20 +33,24 @@ def fix_known_errors(text: Column, pairs: list[tuple[str, str]] = fixed.TEXT_FIX
     return text
 
 
-def clean_line(line: Column) -> Column:
-    """The trimmed line, or null for an empty, garbled or meaningless one.
+def worth_keeping(line: Column) -> Column:
+    """Whether a trimmed line is neither empty nor garbled nor meaningless.
 
     A CJK character counts twice towards the useful share, as it is also alphanumeric.
     """
-    line = strip(line)
     cjk, alnum, size = count_of(line, CJK), count_of(line, "[\\p{L}\\p{N}]"), F.length(line)
     garbled = (size > 5) & ((cjk + alnum) / size < 0.1)
     meaningless = (size < 3) & (cjk == 0) & (alnum == 0)
-    return F.when((size > 0) & ~garbled & ~meaningless, line)
+    return (size > 0) & ~garbled & ~meaningless
+
+
+def clean_line(line: Column) -> Column:
+    """The trimmed line, or null for one that is not worth keeping."""
+    return bound(strip(line), lambda x: F.when(worth_keeping(x), x))
 
 
 def clean_lines(text: Column) -> Column:
-    return F.array_join(F.filter(F.transform(F.split(text, "\n"), clean_line), lambda x: x.isNotNull()), "\n")
+    return F.array_join(F.filter(F.transform(F.split(text, "\n"), strip), worth_keeping), "\n")
 
 
 def normalise(text: Column) -> Column:
@@ -92,8 +102,8 @@ def table_context(file: Column, page: Column) -> Column:
 
 def pieces(text: Column, separators: list[str] = fixed.SEPARATORS) -> Column:
     """Stripped non-blank pieces by the first separator that gives more than one; else null."""
-    tries = [F.filter(F.transform(F.split(text, f"\\Q{s}\\E"), strip), lambda p: p != "") for s in separators]
-    return F.coalesce(*[F.when(F.size(t) > 1, t) for t in tries])
+    cut = lambda s: bound(F.filter(F.transform(F.split(text, f"\\Q{s}\\E"), strip), lambda p: p != ""), lambda t: F.when(F.size(t) > 1, t))
+    return F.coalesce(*[F.when(F.contains(text, F.lit(s)), cut(s)) for s in separators])
 
 
 def force_split(text: Column, size: int, overlap: int) -> Column:
@@ -111,14 +121,13 @@ def merge_pieces(parts: Column, size: int, overlap: int) -> Column:
 
     def add(state: Column, piece: Column) -> Column:
         out, cur = state["out"], state["cur"]
-        slices = force_split(piece, size, overlap)
         fits = F.length(cur) + F.length(piece) + 1 <= size
         closed = F.concat(out, F.array(cur))
-        long = F.struct(F.concat(closed, F.slice(slices, F.lit(1), F.greatest(F.size(slices) - 1, F.lit(0)))).alias("out"), F.element_at(slices, -1).alias("cur"))
+        long = lambda slices: F.struct(F.concat(closed, F.slice(slices, F.lit(1), F.greatest(F.size(slices) - 1, F.lit(0)))).alias("out"), F.element_at(slices, -1).alias("cur"))
         return (
             F.when(cur.isNull(), F.struct(out.alias("out"), piece.alias("cur")))
             .when(fits, F.struct(out.alias("out"), F.concat(cur, F.lit("\n"), piece).alias("cur")))
-            .when(F.length(piece) > size, long)
+            .when(F.length(piece) > size, bound(force_split(piece, size, overlap), long))
             .otherwise(F.struct(closed.alias("out"), piece.alias("cur")))
         )
 
@@ -129,10 +138,5 @@ def merge_pieces(parts: Column, size: int, overlap: int) -> Column:
 def chunks(text: Column, size: int = fixed.CHUNK_SIZE, overlap: int = fixed.CHUNK_OVERLAP, separators: list[str] = fixed.SEPARATORS) -> Column:
     """Chunks of a text as an array; a blank text has none, a short one is one chunk as it is."""
     text = F.coalesce(text, F.lit(""))
-    parts = pieces(text, separators)
-    return (
-        F.when(strip(text) == "", F.array().cast("array<string>"))
-        .when(F.length(text) <= size, F.array(text))
-        .when(parts.isNull(), force_split(text, size, overlap))
-        .otherwise(merge_pieces(parts, size, overlap))
-    )
+    split = lambda parts: F.when(parts.isNull(), force_split(text, size, overlap)).otherwise(merge_pieces(parts, size, overlap))
+    return F.when(strip(text) == "", F.array().cast("array<string>")).when(F.length(text) <= size, F.array(text)).otherwise(bound(pieces(text, separators), split))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -26,11 +27,12 @@ def chat_prompt(content: Column, system: str = fixed.CHAT_SYSTEM) -> Column:
     return F.concat(turn("system", F.lit(system)), turn("user", content), F.lit(f"{fixed.CHAT_OPEN}model\n"))
 
 
-def fill_template(template: str, slot: str, value: Column) -> Column:
-    """``template`` with {slot} replaced; doubled braces stand for single ones."""
-    head, _, tail = template.partition("{" + slot + "}")
+def fill_template(template: str, slot: str, value: Column, **more: Column) -> Column:
+    """``template`` with {slot}, and the slots of ``more``, replaced; doubled braces stand for single ones."""
+    values = {slot: value, **more}
+    parts = re.split("\\{(" + "|".join(map(re.escape, values)) + ")\\}", template)
     plain = lambda t: F.lit(t.replace("{{", "{").replace("}}", "}"))
-    return F.concat(plain(head), value, plain(tail))
+    return F.concat(*[values[part] if i % 2 else plain(part) for i, part in enumerate(parts)])
 
 
 def generate(rows: DataFrame, generator: Generator, prompt_col: str = "prompt", out_col: str = "response", max_tokens: int = TEXT_TOKENS) -> DataFrame:
@@ -121,10 +123,11 @@ def validate(triples: Column) -> Column:
     return F.transform(F.filter(triples, full), filled)
 
 
-def extract(rows: DataFrame, response_col: str = "response", provenance: tuple[str, ...] = ("source_file", "page_num", "chunk_id")) -> DataFrame:
-    """One row per triple, with the provenance columns that ``rows`` has (page_num defaults to 1)."""
+def extract(rows: DataFrame, response_col: str = "response", provenance: tuple[str, ...] = ("source_file", "page_num", "chunk_id"), data_type: str | None = None) -> DataFrame:
+    """One row per triple, with the provenance columns that ``rows`` has (page_num defaults to 1); ``data_type`` overrides the model's."""
     have = [c for c in provenance if c in rows.columns]
     out = rows.select(*have, F.posexplode(parse_response(F.col(response_col))).alias("pos", "t")).select(*have, "pos", "t.*")
+    out = out if data_type is None else out.withColumn("data_type", F.lit(data_type))
     return out.withColumn("page_num", F.coalesce("page_num", F.lit(1))) if "page_num" in have else out
 
 

@@ -6,6 +6,9 @@ dimension tables; deduplication is the one shuffle, by (subject, year, object).
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,8 @@ from kilngraph.lineage import cut
 from kilngraph.operators.linking import link
 
 _LIST_MARK = "[、，,]"
+#: Slices in which the largest counts of a report are looked for.
+SLICES = 256
 
 
 def relation_year(relation: Column) -> Column:
@@ -65,6 +70,36 @@ def match_relation(triples: DataFrame, relation_col: str = "relation") -> DataFr
     return rows.drop("rel_text", "rule_relation", "rule_id", "rule_annual", "kw")
 
 
+#: (relation id or None, confidence) for each of a list of phrases.
+RelationResolver = Callable[[list[str]], list[tuple[str | None, float]]]
+
+
+def resolve_relations(rows: DataFrame, resolver: RelationResolver) -> DataFrame:
+    """Relations that no rule matched, named by an injected model; each distinct phrase is asked once."""
+    asked = rows.where("rel_method = 'heuristic'").select(F.col("relation").alias("asked")).distinct()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = resolver(frame["asked"].tolist()) if len(frame) else []
+            yield frame.assign(llm_id=pd.Series([x[0] for x in found], index=frame.index, dtype=object), llm_confidence=pd.Series([float(x[1]) for x in found], index=frame.index, dtype=float))
+
+    # Written once: a model is not to be asked again by a retried or repeated plan.
+    answers = cut(asked.mapInPandas(run, "asked string, llm_id string, llm_confidence double"))
+    rows = rows.join(answers, F.col("relation") == F.col("asked"), "left")
+    hit = (F.col("rel_method") == "heuristic") & F.col("llm_confidence").isNotNull()
+    yearly = F.contains("relation", F.lit("径流")) | F.contains("relation", F.lit("量"))
+    columns = {"relation_id": F.when(hit, F.col("llm_id")).otherwise(F.col("relation_id")), "rel_confidence": F.when(hit, F.col("llm_confidence")).otherwise(F.col("rel_confidence")), "is_annual": F.when(hit, yearly).otherwise(F.col("is_annual")), "rel_method": F.when(hit, F.lit("llm")).otherwise(F.col("rel_method"))}
+    return rows.withColumns(columns).drop("asked", "llm_id", "llm_confidence")
+
+
+def match_rate(triples: DataFrame) -> DataFrame:
+    """total, exact, keyword, unmatched and match_rate: the percentage of input rows whose relation a rule knows."""
+    count = lambda c: F.count_if(c).alias
+    method = F.col("rel_method")
+    rows = match_relation(triples).agg(F.count("*").alias("total"), count(method == "exact")("exact"), count(method.startswith("keyword"))("keyword"), count(method.isin("heuristic", "none"))("unmatched"))
+    return rows.withColumn("match_rate", F.round((F.col("exact") + F.col("keyword")) / F.greatest(F.col("total"), F.lit(1)) * 100, 1))
+
+
 def classify_object(obj: Column, linked: Column | None = None) -> Column:
     """invalid, composite, numerical_value or entity_reference; ``linked`` says whether an alias with 0.9 or more is known."""
     obj = strip(obj)
@@ -85,23 +120,33 @@ def has_number(obj: Column) -> Column:
 
 
 def _linked_object(rows: DataFrame, index: DataFrame | None, raw: str, out: str) -> DataFrame:
-    """``out``: the standard name of a short-number-free object, else the object; ``linked_<out>``: whether an alias is known."""
+    """``out``: the standard name of an object without a short number, else the object; ``linked_<out>``: whether an alias is known.
+
+    A standard name maps to itself, so one lookup of the name answers both.
+    """
     name = strip(F.coalesce(F.col(raw), F.lit("")))
-    numeric = name.rlike("\\d") & (F.length(name) < 50)
     if index is None:
         return rows.withColumns({out: name, f"linked_{out}": F.lit(False)})
-    rows = link(rows.withColumn("link_key", F.when(~numeric, name)), index, "link_key")
-    rows = rows.withColumn(out, F.when(F.col("matched"), F.col("standardized")).otherwise(name)).drop("link_key", "original", "standardized", "matched", "method", "confidence_")
-    # Classification looks the standard name up again: numbers too, whatever their length.
-    rows = link(rows.drop("confidence"), index, out).withColumn(f"linked_{out}", F.col("confidence") >= 0.9)
-    return rows.drop("original", "standardized", "matched", "method", "confidence")
+    numeric = name.rlike("\\d") & (F.length(name) < 50)
+    rows = link(rows.withColumn("link_key", name), index, "link_key").withColumnRenamed("matched", f"linked_{out}")
+    rows = rows.withColumn(out, F.when(F.col(f"linked_{out}") & ~numeric, F.col("standardized")).otherwise(name))
+    return rows.drop("link_key", "original", "standardized", "method", "confidence")
 
 
-def normalise(triples: DataFrame, index: DataFrame | None = None) -> DataFrame:
+NORMALISED = ("seq", "part", "subject", "subject_type", "subject_new", "relation", "relation_id", "object", "object_type", "year", "context", "confidence", "source_file", "rel_method", "is_annual")
+
+
+def normalise(triples: DataFrame, index: DataFrame | None = None, resolver: RelationResolver | None = None) -> DataFrame:
     """Normalised triples before deduplication: one row per triple, or per part of a composite object.
 
-    ``seq`` and ``part`` keep the order; invalid objects are dropped.  ``confidence`` is the raw product.
+    ``seq`` and ``part`` keep the order; invalid objects are dropped.  ``confidence`` is the raw product.  Rows that are
+    normalised already (with a subject_type, in a frame with the columns of the result) pass through unchanged, so that
+    their confidence is not multiplied again.  ``resolver`` may name relations that no rule knows.
     """
+    if {"subject_type", "relation_id"} <= set(triples.columns):
+        done = triples.where(F.col("subject_type").isNotNull()).select(*NORMALISED)
+        raw = triples.where(F.col("subject_type").isNull()).select("seq", "subject", "relation", "object", "context", "confidence", "source_file")
+        return normalise(raw, index, resolver).unionByName(done)
     base = triples.select("seq", "subject", "relation", F.col("object").alias("raw_object"), "context", F.coalesce(F.col("confidence"), F.lit(0.8)).alias("raw_confidence"), F.coalesce(F.col("source_file"), F.lit("")).alias("source_file"))
     name = strip(F.coalesce(F.col("subject"), F.lit("")))
     base = base.withColumn("subject", name)
@@ -113,6 +158,7 @@ def normalise(triples: DataFrame, index: DataFrame | None = None) -> DataFrame:
     base = base.withColumn("subject_type", F.when(F.col("subject") == "", "Unknown").otherwise(rules.subject_type(F.col("subject"))))
     base = base.withColumn("subject_new", (F.col("subject") == "") | (~F.col("subject_known") & F.col("subject_type").isin(fixed.NEW_ENTITY_TYPES)))
     base = match_relation(base)
+    base = base if resolver is None else resolve_relations(base, resolver)
     base = base.withColumn("year", determine_year(F.col("relation"), F.col("source_file"), F.col("is_annual")))
     base = _linked_object(base, index, "raw_object", "object")
     base = base.withColumn("object_type", classify_object(F.col("object"), F.col("linked_object"))).where(~F.col("object").isin(fixed.INVALID_OBJECTS))
@@ -122,7 +168,7 @@ def normalise(triples: DataFrame, index: DataFrame | None = None) -> DataFrame:
     rows = base.withColumn("whole", F.size(parts) == 1).select("*", F.posexplode(parts).alias("part", "part_object"))
     rows = _linked_object(rows.drop("object", "linked_object").withColumnRenamed("confidence", "product").withColumnRenamed("object_type", "whole_type"), index, "part_object", "object")
     rows = rows.withColumn("object_type", F.when(F.col("whole"), F.col("whole_type")).otherwise(classify_object(F.col("object"), F.col("linked_object"))))
-    return rows.select("seq", "part", "subject", "subject_type", "subject_new", "relation", "relation_id", "object", "object_type", "year", "context", F.col("product").alias("confidence"), "source_file", "rel_method", "is_annual")
+    return rows.withColumn("confidence", F.col("product")).select(*NORMALISED)
 
 
 def deduplicate(triples: DataFrame, with_relation: bool = False) -> DataFrame:
@@ -154,11 +200,18 @@ def statistics(raw: DataFrame, normalised: DataFrame, kept: DataFrame) -> DataFr
 
 
 def report(triples: DataFrame, most: int = 20) -> DataFrame:
-    """dimension, value, n: counts by subject type, relation id, year and unmatched relation, in one pass of grouping sets."""
+    """dimension, value, n: counts by subject type, relation id, year and unmatched relation.
+
+    Each row gives four narrow (dimension, value) pairs, counted map-side in one aggregation; ``rank`` is given within the
+    ``most`` largest counts of the open dimensions, which are picked by one more aggregation and not by sorting all phrases.
+    """
     rows = triples.select("subject_type", "relation_id", year_text(F.col("year")).alias("year"), F.when(F.col("relation_id").isNull(), F.col("relation")).alias("unmatched"))
     keys = ["subject_type", "relation_id", "year", "unmatched"]
     picked = F.explode(F.array(*[F.struct(F.lit(k).alias("dimension"), F.col(k).cast("string").alias("value")) for k in keys]))
     counts = rows.select(picked.alias("p")).where("p.value is not null").groupBy("p.dimension", "p.value").agg(F.count("*").alias("n"))
+    open_ = F.col("dimension").isin("relation_id", "unmatched")
+    # Phrases are free text: their largest counts are found per slice of a hash first, so no task sorts all of them.
+    slice_ = Window.partitionBy("dimension", F.pmod(F.xxhash64("value"), F.lit(SLICES))).orderBy(F.col("n").desc(), "value")
+    few = counts.withColumn("place", F.row_number().over(slice_)).where(~open_ | (F.col("place") <= most)).drop("place")
     order = Window.partitionBy("dimension").orderBy(F.col("n").desc(), "value")
-    limited = F.col("dimension").isin("relation_id", "unmatched") & (F.col("rank") > most)
-    return counts.withColumn("rank", F.row_number().over(order)).where(~limited)
+    return few.withColumn("rank", F.row_number().over(order)).where(~(open_ & (F.col("rank") > most)))

@@ -18,7 +18,7 @@ def any_of(column: str, words: Iterable[str]) -> str:
     return "(" + " OR ".join(f"contains({column}, {text(w)})" for w in words) + ")"
 
 
-def type_case(column: str, rules: list[tuple[str, str, str]], default: str | None) -> str:
+def type_case(column: str, rules: list[tuple[str, tuple[str, ...], str]], default: str | None) -> str:
     """CASE for an ordered rule table."""
     forms = {
         "contains": lambda w: any_of(column, w),
@@ -28,7 +28,7 @@ def type_case(column: str, rules: list[tuple[str, str, str]], default: str | Non
         "longer3": lambda w: f"({any_of(column, w)} AND length({column}) > 3)",
         "sum": lambda w: f"(contains({column}, '+') AND {any_of(column, w)})",
     }
-    return "CASE " + " ".join(f"WHEN {forms[kind](words.split())} THEN {text(result)}" for kind, words, result in rules) + f" ELSE {text(default)} END"
+    return "CASE " + " ".join(f"WHEN {forms[kind](words)} THEN {text(result)}" for kind, words, result in rules) + f" ELSE {text(default)} END"
 
 
 def word_case(column: str, table: Iterable[tuple[str, str]]) -> str:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kilngraph import schemas
+from kilngraph.functions import tables as M
 from kilngraph.functions import text as T
 
 #: File name patterns of the binary sources.
@@ -24,30 +25,90 @@ def binary_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path).select("path", "content")
 
 
+PAGE = "page_num int, native_text string, ocr_text string, found_tables array<struct<markdown:string,html:string>>, boxes array<struct<label:string,bbox:array<double>>>, error string"
+
+
 def parse_pages(files: DataFrame, parser: PageParser) -> DataFrame:
-    """Pages of binary files by an injected parser; a file that it cannot read yields one row with its error."""
+    """Pages of binary files by an injected parser; a file that it cannot read yields one row with its error.
+
+    A page is a dict with any of page_num, native_text, ocr_text or rec_texts (recognised lines), tables (dicts with
+    markdown and html) and boxes (dicts with label and bbox).  A parser object may hold its engine: it is made once a
+    worker process if it is a function with the attribute ``once``, which is then called without arguments.
+    """
+    columns = ["path", *(x.split(" ")[0] for x in PAGE.split(", ") if " " in x)]
+
+    def page(path: str, i: int, p: dict) -> tuple:
+        lines = p.get("ocr_text") if "ocr_text" in p else "\n".join(str(t) for t in p["rec_texts"] if t) if "rec_texts" in p else None
+        found = [{"markdown": t.get("markdown"), "html": t.get("html")} for t in p.get("tables") or []]
+        boxes = [{"label": x.get("label"), "bbox": [float(v) for v in x.get("bbox") or []]} for x in p.get("boxes") or []]
+        return (path, p.get("page_num", i + 1), p.get("native_text"), lines, found, boxes, None)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parse = parser.once() if hasattr(parser, "once") else parser
         for frame in frames:
             rows = []
             for path, content in zip(frame["path"], frame["content"], strict=True):
                 try:
-                    rows += [(path, p.get("page_num", i + 1), p.get("native_text"), p.get("ocr_text"), None) for i, p in enumerate(parser(bytes(content)))]
+                    rows += [page(path, i, p) for i, p in enumerate(parse(bytes(content)))]
                 except Exception as error:  # noqa: BLE001  a broken file must not end the job
-                    rows.append((path, 0, None, None, f"{type(error).__name__}: {error}"[:500]))
-            yield pd.DataFrame(rows, columns=["path", "page_num", "native_text", "ocr_text", "error"])
-
-    return files.mapInPandas(run, "path string, page_num int, native_text string, ocr_text string, error string")
-
-
-def page_text(pages: DataFrame) -> DataFrame:
-    """text, method, is_noise per page: native text when there is enough of it, else recognised text, cleaned."""
-    native = F.length(F.coalesce("native_text", F.lit(""))) > NATIVE_CHARS
+                    rows.append((path, 0, None, None, [], [], f"{type(error).__name__}: {error}"[:500]))
+            yield pd.DataFrame(rows, columns=columns)
+
+    return files.mapInPandas(run, f"path string, {PAGE}")
+
+
+def page_tables(pages: DataFrame, published: bool = False) -> DataFrame:
+    """``pages`` with ``tables``: the recognised tables of each page, numbered, blank ones left out."""
+    found = F.filter(F.transform("found_tables", lambda t, i: M.table_result(t["markdown"], t["html"], F.col("page_num"), i, published)), lambda t: t.isNotNull())
+    return pages.withColumn("tables", found)
+
+
+def recognised(pages: DataFrame, source_col: str = "path") -> DataFrame:
+    """Result of layout recognition per page: plain_text, markdown_text, tables, images, is_empty, char_count."""
+    plain = F.coalesce("ocr_text", F.lit(""))
+    images = F.transform(F.filter("boxes", lambda x: x["label"].isin("image", "figure")), lambda x: F.struct(x["bbox"].alias("bbox")))
+    rows = page_tables(pages)
+    parts = F.concat(F.when(plain != "", F.array(plain)).otherwise(F.array().cast("array<string>")), F.transform("tables", lambda t: t["markdown"]))
+    return rows.select(
+        source_col,
+        "page_num",
+        F.element_at(F.split(source_col, "/"), -1).alias("source_file"),
+        F.array_join(parts, "\n\n").alias("markdown_text"),
+        plain.alias("plain_text"),
+        "tables",
+        images.alias("images"),
+        ((F.length(T.strip(plain)) < 10) & (F.size("tables") == 0)).alias("is_empty"),
+        F.length(plain).alias("char_count"),
+    )
+
+
+def page_text(pages: DataFrame, layout: bool = False, doc_col: str = "path") -> DataFrame:
+    """text, method, is_noise, tables per page.
+
+    With a ``layout`` engine scanned documents take its text and tables for every page; all other documents take native
+    text where there is enough of it, else recognised text, and have no tables.
+    """
+    rows = page_tables(pages)
+    if layout:
+        whole = scanned(pages, doc_col).select(F.col(doc_col).alias("__doc"), F.col("is_scanned").alias("__scanned"))
+        rows = rows.join(whole, F.col(doc_col) == F.col("__doc"), "left").withColumn("engine", F.when(F.coalesce("__scanned", F.lit(False)), "layout").otherwise("page")).drop("__doc", "__scanned")
+    else:
+        rows = rows.withColumn("engine", F.lit("page"))
+    by_layout = F.col("engine") == "layout"
+    native = ~by_layout & (F.length(F.coalesce("native_text", F.lit(""))) > NATIVE_CHARS)
     raw = F.when(native, F.col("native_text")).otherwise(F.coalesce("ocr_text", F.lit("")))
-    rows = pages.withColumns({"method": F.when(native, "native").otherwise("ocr"), "text": T.clean(T.strip_page_frame(raw))})
+    tables = F.when(by_layout, F.col("tables")).otherwise(F.array().cast(rows.schema["tables"].dataType))
+    rows = rows.withColumns({"method": F.when(native, "native").when(by_layout, "layout").otherwise("ocr"), "text": T.clean(T.strip_page_frame(raw)), "tables": tables})
     return rows.withColumn("is_noise", T.is_noise(F.col("text")))
 
 
+def image_text(pages: DataFrame) -> DataFrame:
+    """The one page of each image: noise is judged on the cleaned text, before its first and last lines go."""
+    first = page_tables(pages).where("page_num = 1 or error is not null")
+    rows = first.withColumns({"method": F.lit("layout"), "engine": F.lit("layout"), "text": T.clean(F.coalesce("ocr_text", F.lit("")))})
+    return rows.withColumn("is_noise", T.is_noise(F.col("text"))).withColumn("text", T.strip_page_frame(F.col("text")))
+
+
 def scanned(pages: DataFrame, doc_col: str = "path") -> DataFrame:
     """doc, is_scanned: no native character on the first pages."""
     first = pages.where(F.col("page_num") <= SCAN_PAGES)
@@ -55,10 +116,13 @@ def scanned(pages: DataFrame, doc_col: str = "path") -> DataFrame:
 
 
 def documents(pages: DataFrame, doc_col: str = "path") -> DataFrame:
-    """One row per document: page_count and full_text (usable pages in order, joined by a blank line)."""
-    usable = F.when(~F.col("is_noise"), F.struct("page_num", "text"))
+    """One row per document: page_count, full_text (usable pages in order, joined by a blank line) and its tables."""
+    usable = F.when(~F.col("is_noise") & (T.strip(F.col("text")) != ""), F.struct("page_num", "text"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(usable)), lambda p: p["text"]), "\n\n")
-    return pages.groupBy(doc_col).agg(F.count("*").alias("page_count"), text.alias("full_text"))
+    parts = [F.count("*").alias("page_count"), text.alias("full_text")]
+    if "tables" in pages.columns:
+        parts.append(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("page_num", "tables"))), lambda p: p["tables"])).alias("tables"))
+    return pages.groupBy(doc_col).agg(*parts)
 
 
 def intermediate(spark: SparkSession, path: str) -> DataFrame:
