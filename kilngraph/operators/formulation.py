@@ -182,3 +182,36 @@ def compare(entities: DataFrame, parameters: DataFrame, names: list[str]) -> Dat
     long = parameters.select("entity", F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).alias("p")) for k in PARAMETER_KEYS])).alias("x"))
     long = long.join(entities.select(F.col("id").alias("entity"), "name"), "entity").select(label[F.col("x.key")].alias("parameter"), "name", F.nullif(F.concat_ws("", F.col("x.p.value").cast("string"), F.col("x.p.unit")), F.lit("")).alias("shown"))
     return long.groupBy("parameter").pivot("name", names).agg(F.max("shown"))
+
+
+def objective_hints(constraints: DataFrame) -> DataFrame:
+    """hint: direction and description of every objective candidate of any entity, each once."""
+    return objective_candidates(constraints).select(F.concat_ws("_", "direction", "description").alias("hint")).distinct()
+
+
+def solver_series(entities: DataFrame, series: DataFrame) -> DataFrame:
+    """entity, name and time_series: indicator -> entries (year, value, unit) in year order."""
+    entry = F.struct("year", "value", "unit")
+    rows = series.groupBy("entity", F.coalesce("indicator", F.lit("unknown")).alias("indicator")).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    rows = rows.groupBy("entity").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("indicator", "entries")))).alias("time_series"))
+    return rows.join(entities.select(F.col("id").alias("of"), "name"), F.col("entity") == F.col("of")).select("entity", "name", "time_series")
+
+
+def solver_document(entities: DataFrame, constraints: DataFrame, parameters: DataFrame, series: DataFrame | None = None, year: int | None = None) -> DataFrame:
+    """One row in the form a solver takes: variables, constraints, time_series by entity and indicator, hints and meta.
+
+    Series are included if a year is asked for, as published; ``entities`` is a short list given by the caller.
+    """
+    variables, listed = solver_ready(entities, constraints, parameters)
+    gather = lambda df, cols, name: df.agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
+    out = gather(variables, ["symbol", "name", "lower", "upper", "unit"], "variables").join(gather(listed, ["expression", "type", "description"], "constraints"))
+    chosen = solver_series(entities, series) if series is not None and year is not None else None
+    kind = "map<string,map<string,array<struct<year:int,value:string,unit:string>>>>"
+    if chosen is None:
+        out = out.withColumn("time_series", F.create_map().cast(kind))
+    else:
+        out = out.join(chosen.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("name"), F.map_entries("time_series").alias("e"))))).alias("m")))
+        out = out.withColumn("time_series", F.transform_values("m", lambda _, e: F.map_from_entries(e)).cast(kind)).drop("m")
+    out = out.join(objective_hints(constraints).agg(F.array_sort(F.collect_list("hint")).alias("objective_hints")))
+    meta = F.struct(F.col("n").alias("reservoir_count"), F.size("constraints").alias("constraint_count"), F.array(*[F.lit(year)] * (year is not None)).cast("array<int>").alias("time_series_years"))
+    return out.join(entities.agg(F.count("*").alias("n"))).withColumn("meta", meta).drop("n")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +62,30 @@ def link(names: DataFrame, index: DataFrame, name_col: str = "name") -> DataFram
     return rows.drop("k_raw", "s_raw", "k_low", "s_low")
 
 
+def link_counts(linked: DataFrame) -> DataFrame:
+    """total and matched over a result of ``link``."""
+    return linked.agg(F.count("*").alias("total"), F.count_if("matched").alias("matched"))
+
+
+def encode(names: DataFrame, encoder: Callable[[list[str]], list[list[float]]], name_col: str = "name", vector_col: str = "embedding") -> DataFrame:
+    """``names`` with vectors by an injected encoder, called over Arrow batches; null names are encoded as ''."""
+    columns = names.columns
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            vectors = encoder(frame[name_col].fillna("").tolist()) if len(frame) else []
+            yield frame.assign(**{vector_col: [[float(x) for x in v] for v in vectors]})[[*columns, vector_col]]
+
+    return names.mapInPandas(run, names.select("*", F.array().cast("array<float>").alias(vector_col)).schema)
+
+
+def link_fuzzy(names: DataFrame, standards: DataFrame, encoder: Callable[[list[str]], list[list[float]]], name_col: str = "name", threshold: float = 0.75) -> DataFrame:
+    """``link_by_vector`` of distinct names against distinct standard names (column standard), both encoded here."""
+    mine = encode(names.select(name_col).where(F.col(name_col).isNotNull()).distinct(), encoder, name_col)
+    anchors = encode(standards.select("standard").distinct(), encoder, "standard")
+    return link_by_vector(mine, anchors.select(F.col("standard").alias("anchor_name"), "embedding"), name_col, "embedding", "anchor_name", threshold)
+
+
 def link_triples(triples: DataFrame, index: DataFrame) -> DataFrame:
     """Subjects and objects replaced by their standard names, with the originals and link confidences.
 

@@ -13,13 +13,14 @@ MAX_DEPTH, MOST_PATHS = 4, 5
 def shortest_paths(edges: DataFrame, start: str, end: str, depth: int = MAX_DEPTH, most: int = MOST_PATHS) -> DataFrame:
     """Undirected shortest paths between two nodes: nodes, rels, depth; at most ``most`` in lexical order.
 
-    Levels are found first, one row per reached node, so hubs do not multiply paths; paths are then rebuilt backwards along
-    falling levels only.
+    Levels are found first, one row per reached node, so hubs do not multiply paths; then the nodes that lie on a shortest
+    path, and from these at most ``most`` paths per level are built.
     """
     spark = edges.sparkSession
     if start == end:
         return spark.createDataFrame([([start], [], 0)], "nodes array<string>, rels array<string>, depth int")
     sides = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "rel").unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"), "rel")).where("a <> b").distinct()
+    sides = cut(sides)
     seen = spark.createDataFrame([(start, 0)], "node string, level int")
     found = None
     for level in range(1, depth + 1):
@@ -31,8 +32,18 @@ def shortest_paths(edges: DataFrame, start: str, end: str, depth: int = MAX_DEPT
         seen = cut(seen.unionByName(reached.withColumn("level", F.lit(level))))
         if not seen.where(F.col("node") == end).isEmpty():
             found = level
-    paths = spark.createDataFrame([(end, [end], [], found)] if found is not None else [], "head string, nodes array<string>, rels array<string>, depth int")
-    for level in range((found or 0) - 1, -1, -1):
-        steps = sides.join(seen.where(F.col("level") == level), F.col("b") == F.col("node")).select("a", "b", "rel")
-        paths = paths.join(steps, F.col("head") == F.col("a")).select(F.col("b").alias("head"), F.concat(F.array("b"), "nodes").alias("nodes"), F.concat(F.array("rel"), "rels").alias("rels"), "depth")
-    return paths.select("nodes", "rels", "depth").orderBy("nodes", "rels").limit(most)
+    if found is None:
+        return spark.createDataFrame([], "nodes array<string>, rels array<string>, depth int")
+    # Backwards: the nodes of each level that lie on a shortest path.
+    useful = {found: spark.createDataFrame([(end,)], "useful string")}
+    for level in range(found - 1, 0, -1):
+        near = sides.join(useful[level + 1], F.col("a") == F.col("useful")).select(F.col("b").alias("near")).distinct()
+        useful[level] = cut(seen.where(F.col("level") == level).join(near, F.col("node") == F.col("near"), "left_semi").select(F.col("node").alias("useful")))
+    # Forwards: every beginning leads to the end, so the least ``most`` beginnings of each length are enough.
+    paths = spark.createDataFrame([([start], [], start)], "nodes array<string>, rels array<string>, head string")
+    for level in range(1, found + 1):
+        steps = sides.join(useful[level], F.col("b") == F.col("useful"), "left_semi")
+        paths = paths.join(steps, F.col("head") == F.col("a")).select(F.concat("nodes", F.array("b")).alias("nodes"), F.concat("rels", F.array("rel")).alias("rels"), F.col("b").alias("head"))
+        paths = paths.orderBy("nodes", "rels").limit(most)
+        paths = cut(paths) if level < found else paths
+    return paths.select("nodes", "rels", F.lit(found).alias("depth"))

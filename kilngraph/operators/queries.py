@@ -18,12 +18,22 @@ def _as(df: DataFrame, prefix: str, *columns: str) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{prefix}_{c}") for c in columns or df.columns])
 
 
-def neighbours(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
-    """The node with its outgoing relations as an ordered list; without edges one entry of nulls."""
-    one = nodes.where(F.col("id") == node)
-    out = edges.where(F.col("src") == node).join(_as(nodes, "t", "id", "label", "name", "value"), F.col("dst") == F.col("t_id")).select("src", "rel", "t_label", "t_name", "t_value")
+def neighbours(nodes: DataFrame, edges: DataFrame, node: str | None = None, label: str | None = None) -> DataFrame:
+    """A node, or all nodes of a label, with outgoing relations as an ordered list; without edges one entry of nulls."""
+    mine = nodes if node is None else nodes.where(F.col("id") == node)
+    mine = mine if label is None else mine.where(F.col("label") == label)
+    out = (edges if node is None else edges.where(F.col("src") == node)).join(_as(nodes, "t", "id", "label", "name", "value"), F.col("dst") == F.col("t_id")).select("src", "rel", "t_label", "t_name", "t_value")
     listed = F.array_sort(F.collect_list(F.struct("rel", "t_label", "t_name", "t_value")))
-    return one.join(out, F.col("id") == F.col("src"), "left").groupBy(*[F.col(c) for c in one.columns]).agg(listed.alias("relations"))
+    rows = mine.select("id").join(out, F.col("id") == F.col("src"), "left").groupBy(F.col("id").alias("of")).agg(listed.alias("relations"))
+    return mine.join(rows, F.col("id") == F.col("of")).drop("of")
+
+
+def dispatch_rules_of(nodes: DataFrame, edges: DataFrame, entities: list[str] | None = None) -> DataFrame:
+    """entity, name, content, applicable_period, condition, source_doc, confidence of the rules behind entities."""
+    mine = edges if entities is None else edges.where(F.col("src").isin(entities))
+    target = _as(nodes.where("label = 'DispatchRule'"), "t", "id", "name", "value", "year", "variable")
+    rows = mine.join(target, F.col("dst") == F.col("t_id"))
+    return rows.select(F.col("src").alias("entity"), F.col("t_name").alias("name"), F.coalesce("t_value", "t_name").alias("content"), F.col("t_year").cast("string").alias("applicable_period"), F.col("t_variable").alias("condition"), "source_doc", "confidence")
 
 
 def search_names(nodes: DataFrame, keyword: str, label: str | None = None, most: int = 20) -> DataFrame:
@@ -83,9 +93,9 @@ def search_triples(nodes: DataFrame, edges: DataFrame, keyword: str, most: int =
 CONSTRAINT_RELATIONS = [x for ids in fixed.CONSTRAINT_IDS.values() for x in ids]
 
 
-def constraints_of(nodes: DataFrame, edges: DataFrame, entities: list[str], constraint_words: list[str], annual_words: list[str]) -> DataFrame:
-    """Constraint and yearly edges of the entities: by relation id, or by words where the id is missing."""
-    mine = edges.where(F.col("src").isin(entities))
+def constraints_of(nodes: DataFrame, edges: DataFrame, entities: list[str] | None, constraint_words: list[str], annual_words: list[str]) -> DataFrame:
+    """Constraint and yearly edges of the entities (None: all): by relation id, or by words where the id is missing."""
+    mine = edges if entities is None else edges.where(F.col("src").isin(entities))
     known = F.col("relation_id").isin(CONSTRAINT_RELATIONS)
     parts = []
     for label, words in (("Constraint", constraint_words), ("AnnualHydrologyData", annual_words)):
@@ -143,16 +153,20 @@ def series_or_neighbours(nodes: DataFrame, edges: DataFrame, words: list[str] |
     return rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= most).drop("n")
 
 
-def upstream_pairs(nodes: DataFrame, edges: DataFrame, ids: list[str], mark: str = "距", symmetric: bool = False) -> DataFrame:
-    """(upstream, downstream) of listed entities: an edge to a constraint whose phrase holds the other's name and ``mark``.
+def upstream_pairs(nodes: DataFrame, edges: DataFrame, entities: DataFrame, mark: str = "距", symmetric: bool = False) -> DataFrame:
+    """(upstream, downstream) of entities (id, ord): an edge to a constraint whose phrase holds the other's name and ``mark``.
 
-    The ids are a short list given by the caller, so the pairs are formed from that list alone.
+    Names are found in phrases by an equi-join on the phrase's substrings of the lengths that names have, so no pair of
+    entities is formed that no phrase supports.  Unless ``symmetric``, only pairs in the order of ``ord`` count.
     """
-    spark = nodes.sparkSession
-    order = {x: i for i, x in enumerate(ids)}
-    pairs = [(a, b) for a in ids for b in ids if a != b and (symmetric or order[a] < order[b])]
-    rows = F.broadcast(spark.createDataFrame(pairs, "up string, down string"))
-    rows = rows.join(_as(nodes, "b", "id", "name"), F.col("down") == F.col("b_id"))
+    named = nodes.join(entities.select(F.col("id").alias("of"), "ord"), F.col("id") == F.col("of")).where("name <> ''").select("id", "name", "ord")
     marked = edges.where(F.contains("rel", F.lit(mark))).join(nodes.where("label = 'Constraint'").select(F.col("id").alias("c_id")), F.col("dst") == F.col("c_id"), "left_semi")
-    hit = (F.col("src") == F.col("up")) & F.contains(F.col("rel"), F.col("b_name"))
-    return rows.join(marked, hit, "left_semi").select(F.col("up").alias("upstream"), F.col("down").alias("downstream"))
+    longest = marked.agg(F.max(F.length("rel"))).first()[0] or 0
+    sizes = sorted(r.n for r in named.select(F.length("name").alias("n")).where(F.col("n") <= longest).distinct().collect())  # at most the longest phrase's length
+    at = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("rel") - n + 1, F.lit(1))), lambda i: F.substring(F.col("rel"), i, F.lit(n)))
+    empty = F.array().cast("array<string>")
+    held = marked.select("src", F.explode(F.array_distinct(F.concat(empty, *[at(n) for n in sizes]))).alias("held")).distinct()
+    up, down = _as(named, "up", "id", "ord"), _as(named, "down", "id", "name", "ord")
+    rows = held.join(up, F.col("src") == F.col("up_id")).join(down, F.col("held") == F.col("down_name")).where("up_id <> down_id")
+    rows = rows if symmetric else rows.where("up_ord < down_ord")
+    return rows.select(F.col("up_id").alias("upstream"), F.col("down_id").alias("downstream")).distinct()

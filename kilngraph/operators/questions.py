@@ -48,6 +48,13 @@ def plan(nodes: DataFrame, edges: DataFrame, slots: Slots, most: int = MOST_ROWS
     return rows.orderBy(F.col("year").desc_nulls_last(), "entity", "indicator", "value").limit(most)
 
 
+def described(slots: Slots, most: int = MOST_ROWS) -> str:
+    """The filter plan of a question as text, for display only; it is never executed."""
+    parts = [f"subject contains '{slots.entity}'"] * (slots.entity is not None) + [f"relation contains '{slots.indicator}'"] * (slots.indicator is not None)
+    parts += [f"year in {list(slots.years)}"] * bool(slots.years)
+    return f"facts where {' and '.join(parts) or 'true'}, newest first, at most {most}"
+
+
 def answer(rows: DataFrame, question: str, most: int = SHOWN_ROWS) -> DataFrame:
     """One row with the answer: up to eight bullet lines and a note on how many there are."""
     order = Window.orderBy(F.col("year").desc_nulls_last(), "entity", "indicator", "value")  # at most MOST_ROWS rows

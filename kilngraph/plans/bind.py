@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kilngraph.lineage import cut
-from kilngraph.operators import graph, linking, normalising
+from kilngraph.operators import extraction, graph, linking, normalising
+from kilngraph.sources import readers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,7 +36,7 @@ def raw_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     year, price = F.year("o_orderdate").cast("string"), F.col("o_totalprice").cast("long").cast("string")
     pick = lambda column, *values: F.element_at(F.array(*values), (column + 1).cast("int"))
     key = F.col("o_orderkey")
-    subject = pick(F.col("o_custkey") % 6, F.concat("c_name", F.lit("水库")), F.concat("c_name", F.lit("水文站")), F.concat("c_name", F.lit("河")), F.concat(F.lit("n"), "n_nationkey"), F.col("c_name"), F.concat(F.lit("S"), F.col("o_custkey") % 10))
+    subject = pick(F.col("o_custkey") % 7, F.concat("c_name", F.lit("水库")), F.concat("c_name", F.lit("水文站")), F.concat("c_name", F.lit("河")), F.concat(F.lit("n"), "n_nationkey"), F.col("c_name"), F.concat(F.lit("S"), F.col("o_custkey") % 10), F.concat("c_name", F.lit("以上")))
     relation = pick(
         key % 10, F.concat(year, F.lit("年供水量为")), F.lit("总库容为"), F.lit("死水位为"), F.lit("包括"), F.lit("上年降水量为"),
         F.lit("与1987~2016年均值相比径流偏少"), F.lit("placed by"), F.lit("所在河流为"), F.concat(F.lit("防洪限制水位不超过"), key % 500, F.lit("m")), F.lit("用水量合计总量为"),
@@ -49,17 +53,34 @@ def normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalising.normalise(raw_triples(spark, sf_dir), alias_index(spark, sf_dir))
 
 
-#: Graphs that this process has stored, by application and folder: built once, then queried, as a graph store is.
-_STORED: dict[tuple[str, str], tuple[DataFrame, DataFrame, DataFrame]] = {}
+#: Graphs that this process has stored, by application and folder, with the state of the files they were built from.
+_STORED: dict[tuple[str, str], tuple[str, tuple[DataFrame, DataFrame, DataFrame]]] = {}
+
+
+def _files_state(spark: SparkSession, sf_dir: str, stored_tables: tuple[DataFrame, ...] = ()) -> str:
+    """Sizes and times of the source files, and whether the stored tables are there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(sf_dir).getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = []
+    for name in ("orders", "customer", "nation", "region", "supplier"):
+        where = path(f"{sf_dir}/{name}.parquet")
+        parts.append(f"{system.getContentSummary(where).getLength()} {system.getFileStatus(where).getModificationTime()}")
+    here = (path(t.work_folder) for t in stored_tables)
+    return "; ".join(parts) + "".join(" gone" for p in here if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
 
 
 def stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(triples, nodes, edges) as written tables in the shared work folder."""
+    """(triples, nodes, edges) as written tables, as a graph store has them: built once, and again if anything changed."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _STORED:
-        facts = cut(normalising.deduplicate(normalised(spark, sf_dir)))
-        _STORED[key] = (facts, cut(graph.build_nodes(facts, digits=32)), cut(graph.build_edges(facts, digits=32)))
-    return _STORED[key]
+    if key in _STORED and _STORED[key][0] == _files_state(spark, sf_dir, _STORED[key][1]):
+        return _STORED[key][1]
+    _STORED[key] = (_files_state(spark, sf_dir), build(spark, sf_dir))
+    return _STORED[key][1]
+
+
+def build(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    facts = cut(normalising.deduplicate(normalised(spark, sf_dir)))
+    return facts, cut(graph.build_nodes(facts, digits=32)), cut(graph.build_edges(facts, digits=32))
 
 
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,6 +126,24 @@ def part_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.select("entity", F.explode(rows).alias("p")).select("entity", "p.key", "p.value", F.lit(None).cast("string").alias("unit"))
 
 
+def part_rules(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges): every part as a dispatch rule of its brand."""
+    part = table(spark, sf_dir, "part")
+    none = F.lit(None).cast("string")
+    nodes = part.select(F.concat(F.lit("P"), "p_partkey").alias("id"), F.lit("DispatchRule").alias("label"), F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("规则"), "p_size")).alias("value"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_size").cast("int")).alias("year"), none.alias("variable"))
+    edges = part.select(F.col("p_brand").alias("src"), F.concat(F.lit("P"), "p_partkey").alias("dst"), F.lit("调度规则").alias("rel"), none.alias("source_doc"), F.lit(0.9).alias("confidence"))
+    return nodes, edges
+
+
+def nation_series(spark: SparkSession, sf_dir: str, entity: str | None = None) -> DataFrame:
+    """Orders a year by nation and market segment; with ``entity`` 'p_brand', line items a year by brand."""
+    if entity is not None:
+        rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col(entity).alias("entity"), F.year("l_shipdate").alias("year"), F.lit("出货量").alias("indicator"))
+    else:
+        rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.concat(F.lit("N"), "c_nationkey").alias("entity"), F.year("o_orderdate").alias("year"), F.col("c_mktsegment").alias("indicator"))
+    return rows.groupBy("entity", "year", "indicator").agg(F.count("*").cast("string").alias("value")).withColumn("unit", F.lit("件"))
+
+
 def part_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One Markdown table per brand with its parts as rows, and its HTML form."""
     part = table(spark, sf_dir, "part")
@@ -113,3 +152,39 @@ def part_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.array_join(F.transform("c", lambda r: F.concat(F.lit("| "), r["n"], F.lit(" | "), r["s"], F.lit(" |"))), "\n")
     html = F.array_join(F.transform("c", lambda r: F.concat(F.lit("<tr><td>"), r["n"], F.lit("</td><td><b>"), r["s"], F.lit("</b></td></tr>"))), "")
     return rows.select("p_brand", F.concat(F.lit("| name | size(mm) |\n| --- | --- |\n"), body).alias("markdown"), F.concat(F.lit("<table><tr><th>name</th><th>size</th></tr>"), html, F.lit("</table>")).alias("html"))
+
+
+# --- documents as files --------------------------------------------------------------------------------------------
+
+
+def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path and content: every conversation as a file of native pages, every brand as a scanned file with one table."""
+    marker = F.concat(F.lit("记录"), "conv_id", F.lit("第"), "turn", F.lit("轮，供水量公报，水文站流域年度用水耗水统计结果登记备查"))
+    page = F.concat(F.lit("页眉\n"), F.coalesce("text", F.lit("")), F.lit("\n"), marker, F.lit("\n页脚"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", page.alias("native_text"))
+    pages = F.transform(F.array_sort(F.collect_list(F.struct("turn", "native_text"))), lambda p: F.struct(p["native_text"].alias("native_text")))
+    talks = turns.groupBy("conv_id").agg(pages.alias("pages")).select(F.concat(F.lit("talks/conv_"), "conv_id", F.lit(".json")).alias("path"), F.to_json(F.struct("pages")).alias("content"))
+    tables = F.array(F.struct(F.lit("").alias("ocr_text"), F.array(F.struct(F.col("markdown").alias("markdown"), F.lit(None).cast("string").alias("html"))).alias("tables")))
+    brands = part_tables(spark, sf_dir).select(F.concat(F.lit("tables/"), "p_brand", F.lit(".pdf")).alias("path"), F.to_json(F.struct(tables.alias("pages"))).alias("content"))
+    return talks.unionByName(brands).select("path", F.col("content").cast("binary").alias("content"))
+
+
+def recorded_pages(content: bytes) -> list[dict]:
+    """The pages of a file of ``document_files``."""
+    return json.loads(content)["pages"]
+
+
+def recorded_answers(prompts: list[str], max_tokens: int) -> list[str]:
+    """Answers recorded for the prompts of these files: one triple per marked page, one per data row of a table."""
+    out = []
+    for prompt in prompts:
+        lines = [x for x in prompt.split("\n") if x.startswith("| ") and "---" not in x]
+        rows = [[c.strip() for c in x.strip("|").split("|")] for x in lines[1:]] if max_tokens == extraction.TABLE_TOKENS else []
+        marks = re.findall(r"记录(\d+)第(\d+)轮", prompt) if max_tokens == extraction.TEXT_TOKENS else []
+        found = [(r[0], "尺寸为", r[1]) for r in rows] + [(f"记录{c}", "2024年供水量为", f"{t}亿m³") for c, t in marks]
+        out.append(json.dumps([dict(zip(("subject", "relation", "object"), x, strict=True)) for x in found], ensure_ascii=False))
+    return out
+
+
+def file_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.parse_pages(document_files(spark, sf_dir), recorded_pages)

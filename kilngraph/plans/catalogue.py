@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kilngraph import service
 from kilngraph.functions import fixed_values as fixed
 from kilngraph.functions import rules
 from kilngraph.functions import tables as M
 from kilngraph.functions import text as T
-from kilngraph.operators import chunking, extraction, formulation, graph, linking, normalising, paths, training
+from kilngraph.lineage import cut
+from kilngraph.operators import chunking, documents, extraction, formulation, graph, linking, normalising, paths, training
 from kilngraph.operators import queries as R
 from kilngraph.operators import questions as L
 from kilngraph.plans import bind
+from kilngraph.sources import readers
 from kilngraph.plans.bind import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 CATALOGUE: dict[str, Query] = {}
+#: A reservoir of the bound graph.
+_FIRST_RESERVOIR = "Reservoir_" + hashlib.md5("Reservoir:Customer#000000007水库".encode()).hexdigest()
 
 
 def query(f: Query) -> Query:
@@ -79,35 +85,45 @@ def chunk_pieces(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def chunk_merge(spark: SparkSession, sf: str) -> DataFrame:
-    """No SQL form: a stateful fold; tests hold it against a plain loop."""
     rows = chunking.split_text(table(spark, sf, "documents").select("doc_id", "text"), size=800, overlap=100)
     return rows.select("doc_id", "chunk_index", "chunk_id", "char_count", F.md5(F.col("content").cast("binary")).alias("digest"))
 
 
 @query
 def chunk_short(spark: SparkSession, sf: str) -> DataFrame:
-    """Texts that fit are one chunk as they are."""
-    docs = table(spark, sf, "documents").where(F.length("text") <= fixed.CHUNK_SIZE).select("doc_id", "text")
-    return chunking.split_text(docs).select("doc_id", "chunk_id", "char_count")
+    """The default chunk size: texts that fit are one chunk as they are, all others are split."""
+    return chunking.split_text(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "chunk_id", "char_count")
 
 
 @query
 def doc_renumber(spark: SparkSession, sf: str) -> DataFrame:
-    pages = table(spark, sf, "documents").where(F.length("text") <= 2000).select("source", "doc_id", "text")
+    """Documents as pages of their source: chunks of all pages are numbered through."""
+    pages = table(spark, sf, "documents").select("source", "doc_id", "text")
     return chunking.split_pages(pages, "source", "doc_id").select("source", "doc_id", "chunk_id", "char_count")
 
 
 @query
 def chunk_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """chunk_short over all documents.  No SQL form: a stateful fold; tests hold it against a plain loop."""
-    return chunking.split_text(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "chunk_id", "char_count")
+    """Default chunks with their content."""
+    rows = chunking.split_text(table(spark, sf, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "chunk_id", "char_count", F.md5(F.col("content").cast("binary")).alias("digest"))
 
 
 @query
 def doc_renumber_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """doc_renumber over all documents, pages of several chunks included.  No SQL form, as for chunk_whole."""
+    """doc_renumber with the content of the chunks."""
     pages = table(spark, sf, "documents").select("source", "doc_id", "text")
-    return chunking.split_pages(pages, "source", "doc_id").select("source", "doc_id", "chunk_id", "char_count")
+    return chunking.split_pages(pages, "source", "doc_id").select("source", "doc_id", "chunk_id", "char_count", F.md5(F.col("content").cast("binary")).alias("digest"))
+
+
+@query
+def allowed_chars(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", F.md5(T.allowed_only(F.col("text")).cast("binary")).alias("digest"))
+
+
+@query
+def table_context(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").select("page_id", T.table_context(F.col("url"), F.when(F.col("page_id") % 3 > 0, F.col("page_id"))).alias("context"))
 
 
 # --- tables and markup ---------------------------------------------------------------------------------------------
@@ -167,19 +183,45 @@ def json_parse(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query
-def json_repair_shapes(spark: SparkSession, sf: str) -> DataFrame:
-    """json_repair over the answers of all events, in every shape.  No SQL form; a test holds it against plain Python."""
+def json_repair(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers of every shape, cut off in the second item: the first survives; the second has no object and goes."""
     cut = F.substring("response", F.lit(1), F.length("response") - F.element_at(F.array(F.lit(2), F.lit(12), F.lit(30)), (F.col("event_id") % 3 + 1).cast("int")))
     rows = _answers(spark, sf).select("event_id", F.explode(extraction.parse_response(cut)).alias("t"))
     return rows.select("event_id", "t.subject", "t.relation", "t.object")
 
 
 @query
-def json_repair(spark: SparkSession, sf: str) -> DataFrame:
-    """Answers cut off in the second item: the first survives.  The second is complete but for its end where it has all parts."""
-    cut = F.substring("response", F.lit(1), F.length("response") - F.element_at(F.array(F.lit(2), F.lit(12), F.lit(30)), (F.col("event_id") % 3 + 1).cast("int")))
-    rows = _answers(spark, sf).where("event_id % 4 = 0").select("event_id", F.explode(extraction.parse_response(cut)).alias("t"))
-    return rows.select("event_id", "t.subject", "t.relation", "t.object")
+def json_repair_shapes(spark: SparkSession, sf: str) -> DataFrame:
+    """json_repair with the shape of the answer."""
+    return json_repair(spark, sf).withColumn("shape", (F.col("event_id") % 4).cast("int"))
+
+
+@query
+def page_results(spark: SparkSession, sf: str) -> DataFrame:
+    rows = readers.recognised(bind.file_pages(spark, sf))
+    return rows.select("source_file", "page_num", "is_empty", "char_count", F.size("tables").alias("n_tables"), F.size("images").alias("n_images"), F.md5(F.col("markdown_text").cast("binary")).alias("markdown"))
+
+
+@query
+def page_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Tables of scanned files with their ids and counts."""
+    rows = readers.page_text(bind.file_pages(spark, sf), layout=True).select("path", "method", F.explode("tables").alias("t"))
+    return rows.select("path", "method", "t.table_id", "t.page_num", _listed("t.headers").alias("headers"), "t.row_count", "t.col_count")
+
+
+@query
+def page_method(spark: SparkSession, sf: str) -> DataFrame:
+    """Native text where a document is not scanned, layout recognition for every page of one that is."""
+    rows = readers.page_text(bind.file_pages(spark, sf), layout=True)
+    return rows.select("path", "page_num", "engine", "method", "is_noise")
+
+
+@query
+def docs_to_triples(spark: SparkSession, sf: str) -> DataFrame:
+    """Files to pages and tables, chunks, prompts, recorded answers and raw triples with provenance."""
+    files = documents.intermediate(readers.page_text(bind.file_pages(spark, sf), layout=True))
+    rows = documents.extract(files, bind.recorded_answers)
+    return rows.select("source_file", "page_num", "table_id", "data_type", "subject", "relation", "object", "confidence")
 
 
 @query
@@ -252,9 +294,14 @@ def dedupe_triples(spark: SparkSession, sf: str) -> DataFrame:
     return normalising.deduplicate(bind.normalised(spark, sf)).select("seq", "part", "subject", "relation", "object", "year", "confidence")
 
 
+@query
+def match_rate(spark: SparkSession, sf: str) -> DataFrame:
+    return normalising.match_rate(bind.raw_triples(spark, sf))
+
+
 @query
 def norm_stats(spark: SparkSession, sf: str) -> DataFrame:
-    rows = bind.normalised(spark, sf)
+    rows = cut(bind.normalised(spark, sf))  # read twice
     return normalising.statistics(bind.raw_triples(spark, sf), rows, normalising.deduplicate(rows))
 
 
@@ -310,11 +357,20 @@ def graph_stats_all(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def neighbors_collect(spark: SparkSession, sf: str) -> DataFrame:
     """Every reservoir with its relations in one list."""
-    nodes, edges = bind.nodes(spark, sf), bind.edges(spark, sf)
-    target = nodes.select(F.col("id").alias("t_id"), F.col("label").alias("t_label"), F.col("name").alias("t_name"))
-    out = edges.join(target, F.col("dst") == F.col("t_id"))
-    rows = nodes.where("label = 'Reservoir'").join(out, F.col("id") == F.col("src"), "left")
-    return rows.groupBy("id", "name").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(">", "rel", "t_label", "t_name"))), "¦").alias("relations"))
+    rows = R.neighbours(bind.nodes(spark, sf), bind.edges(spark, sf), label="Reservoir")
+    lines = F.array_sort(F.transform("relations", lambda r: F.concat_ws(">", r["rel"], r["t_label"], r["t_name"])))
+    return rows.select("id", "name", F.array_join(lines, "¦").alias("relations"))
+
+
+@query
+def linked_constraints(spark: SparkSession, sf: str) -> DataFrame:
+    """The constraints behind one reservoir, by id."""
+    return R.linked_to(bind.nodes(spark, sf), bind.edges(spark, sf), _FIRST_RESERVOIR, "Constraint").select("rel", "relation_id", "confidence", "t_name", "t_value")
+
+
+@query
+def zone_names(spark: SparkSession, sf: str) -> DataFrame:
+    return service.GraphService(bind.nodes(spark, sf), bind.edges(spark, sf)).zones()
 
 
 @query
@@ -339,7 +395,7 @@ def entity_series(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def zone_series(spark: SparkSession, sf: str) -> DataFrame:
-    return R.series(bind.nodes(spark, sf), bind.edges(spark, sf), label="Reservoir", year=1997, most=500).select("s_name", "year", "indicator", "value")
+    return R.series(bind.nodes(spark, sf), bind.edges(spark, sf), label="WaterResourceZone", year=1997, most=500).select("s_name", "year", "indicator", "value")
 
 
 @query
@@ -361,14 +417,15 @@ def shortest_path(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def constraints_union(spark: SparkSession, sf: str) -> DataFrame:
     nodes, edges = bind.nodes(spark, sf), bind.edges(spark, sf)
-    ids = [r.id for r in nodes.where("label = 'Reservoir'").orderBy("name", "id").limit(5).collect()]
-    return R.constraints_of(nodes, edges, ids, fixed.CONSTRAINT_WORDS, fixed.ANNUAL_WORDS).select("src", "rel", "relation_id", "t_label", "t_name", "year")
+    rows = R.constraints_of(nodes, edges, None, fixed.CONSTRAINT_WORDS, fixed.ANNUAL_WORDS)
+    rows = rows.join(nodes.where("label = 'Reservoir'").select(F.col("id").alias("of")), F.col("src") == F.col("of"), "left_semi")
+    return rows.select("src", "rel", "relation_id", "t_label", "t_name", "year")
 
 
 @query
 def params_pivot(spark: SparkSession, sf: str) -> DataFrame:
     rows = R.parameters_of(bind.nodes(spark, sf), bind.edges(spark, sf))
-    return rows.groupBy("src").pivot("key", ["dead_storage_level", "flood_control_level", "total_capacity"]).agg(F.max("value"))
+    return rows.groupBy("src").pivot("key", formulation.PARAMETER_KEYS).agg(F.max("value"))
 
 
 @query
@@ -377,14 +434,29 @@ def series_fallback(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("entity", "station", "year", "value")
 
 
+def _river_of_suppliers(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, entities): every supplier names another one as its neighbour at a distance."""
+    supplier = table(spark, sf, "supplier")
+    nodes = supplier.select(F.concat(F.lit("S"), "s_suppkey").alias("id"), F.lit("Reservoir").alias("label"), F.col("s_name").alias("name")).unionByName(supplier.select(F.concat(F.lit("D"), "s_suppkey").alias("id"), F.lit("Constraint").alias("label"), F.col("s_acctbal").cast("string").alias("name")))
+    other = F.format_string("Supplier#%09d", F.pmod(F.col("s_suppkey") * 7 + 3, F.lit(50)).cast("long"))
+    edges = supplier.select(F.concat(F.lit("S"), "s_suppkey").alias("src"), F.concat(F.lit("D"), "s_suppkey").alias("dst"), F.concat(F.lit("上距"), other, F.lit("12km")).alias("rel"))
+    return nodes, edges, supplier.select(F.concat(F.lit("S"), "s_suppkey").alias("id"), F.col("s_suppkey").alias("ord"))
+
+
 @query
 def upstream_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Suppliers that name a later supplier as their downstream neighbour at a distance."""
-    supplier = table(spark, sf, "supplier").where("s_suppkey < 10")
-    nodes = supplier.select(F.concat(F.lit("S"), "s_suppkey").alias("id"), F.lit("Reservoir").alias("label"), F.col("s_name").alias("name")).unionByName(supplier.select(F.concat(F.lit("D"), "s_suppkey").alias("id"), F.lit("Constraint").alias("label"), F.col("s_acctbal").cast("string").alias("name")))
-    other = F.format_string("Supplier#%09d", F.pmod(F.col("s_suppkey") * 7 + 3, F.lit(10)).cast("long"))
-    edges = supplier.select(F.concat(F.lit("S"), "s_suppkey").alias("src"), F.concat(F.lit("D"), "s_suppkey").alias("dst"), F.concat(F.lit("距"), other).alias("rel"))
-    return R.upstream_pairs(nodes, edges, [f"S{i}" for i in range(10)])
+    return R.upstream_pairs(*_river_of_suppliers(spark, sf))
+
+
+@query
+def batch_relations(spark: SparkSession, sf: str) -> DataFrame:
+    """Upstream relations in any order of the entities, with names, as a batch formulation returns them."""
+    nodes, edges, entities = _river_of_suppliers(spark, sf)
+    pairs = R.upstream_pairs(nodes, edges, entities, symmetric=True)
+    name = lambda end: nodes.select(F.col("id").alias(f"{end}_id"), F.col("name").alias(f"{end}_name"))
+    rows = pairs.join(name("from"), F.col("upstream") == F.col("from_id")).join(name("to"), F.col("downstream") == F.col("to_id"))
+    return rows.select("from_id", "from_name", "to_id", "to_name", F.lit("upstream").alias("relation"))
 
 
 # --- formulation ---------------------------------------------------------------------------------------------------
@@ -415,7 +487,7 @@ def constraint_records(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def bounds(spark: SparkSession, sf: str) -> DataFrame:
-    return formulation.bounds(formulation.format_constraints(bind.part_constraints(spark, sf)).where("operator <> '=='"))
+    return formulation.bounds(formulation.format_constraints(bind.part_constraints(spark, sf)))
 
 
 @query
@@ -426,7 +498,7 @@ def parameters(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def decision_vars(spark: SparkSession, sf: str) -> DataFrame:
-    constraints = formulation.format_constraints(bind.part_constraints(spark, sf)).where("operator <> '=='")
+    constraints = formulation.format_constraints(bind.part_constraints(spark, sf))
     return formulation.decision_variables(constraints, formulation.format_parameters(bind.part_parameters(spark, sf))).select("entity", "symbol", "unit", "lower", "upper")
 
 
@@ -442,7 +514,7 @@ def _brands(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def solver_variables(spark: SparkSession, sf: str) -> DataFrame:
-    constraints = formulation.format_constraints(bind.part_constraints(spark, sf)).where("operator <> '=='")
+    constraints = formulation.format_constraints(bind.part_constraints(spark, sf))
     return formulation.solver_ready(_brands(spark, sf), constraints, formulation.format_parameters(bind.part_parameters(spark, sf)))[0]
 
 
@@ -454,14 +526,57 @@ def solver_constraints(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def compare_pivot(spark: SparkSession, sf: str) -> DataFrame:
-    return formulation.compare(_brands(spark, sf), formulation.format_parameters(bind.part_parameters(spark, sf)), ["name of Brand#1", "name of Brand#2", "name of Brand#3"])
+    return formulation.compare(_brands(spark, sf), formulation.format_parameters(bind.part_parameters(spark, sf)), [f"name of Brand#{i}" for i in range(1, 26)])
+
+
+def _shown(column: str, *parts: str) -> Column:
+    """A nested list as text: the named parts of each entry."""
+    return F.array_join(F.transform(column, lambda x: F.concat_ws("|", *[x[p].cast("string") for p in parts])), "¦").alias(column)
 
 
 @query
 def formulation_nested(spark: SparkSession, sf: str) -> DataFrame:
-    """No SQL oracle: nested lists; sizes are checked by the flat queries above."""
+    """One row per brand with all parts of its formulation; lists are shown as text."""
+    constraints, rules = formulation.format_constraints(bind.part_constraints(spark, sf)), R.dispatch_rules_of(*bind.part_rules(spark, sf))
+    rows = formulation.formulate(_brands(spark, sf), constraints, formulation.format_parameters(bind.part_parameters(spark, sf)), bind.nation_series(spark, sf, "p_brand"), rules)
+    return rows.select(
+        "entity",
+        F.col("problem_meta.name").alias("name"),
+        _shown("constraints", "id", "expression", "category"),
+        _shown("decision_variables", "symbol", "lower", "upper"),
+        _shown("objective_candidates", "description", "direction"),
+        F.col("parameters.total_capacity.value").alias("capacity"),
+        F.col("time_series.count").alias("n_series"),
+        F.size("dispatch_rules").alias("n_rules"),
+    )
+
+
+@query
+def dispatch_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return formulation.dispatch_rules(R.dispatch_rules_of(*bind.part_rules(spark, sf))).select("entity", _shown("dispatch_rules", "name", "content", "applicable_period", "condition"))
+
+
+@query
+def solver_series(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders a year by nation and market segment as series of the nations."""
+    nations = table(spark, sf, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    rows = formulation.solver_series(nations, bind.nation_series(spark, sf)).select("entity", "name", F.explode("time_series").alias("indicator", "entries"))
+    return rows.select("entity", "name", "indicator", _shown("entries", "year", "value", "unit"))
+
+
+@query
+def solver_hints(spark: SparkSession, sf: str) -> DataFrame:
+    return formulation.objective_hints(formulation.format_constraints(bind.part_constraints(spark, sf)))
+
+
+@query
+def solver_document(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole document of all brands for one year, by its sizes, hints and meta."""
     constraints = formulation.format_constraints(bind.part_constraints(spark, sf))
-    return formulation.formulate(_brands(spark, sf), constraints, formulation.format_parameters(bind.part_parameters(spark, sf)))
+    series = bind.nation_series(spark, sf, "p_brand").where("year = 1996")
+    row = formulation.solver_document(_brands(spark, sf), constraints, formulation.format_parameters(bind.part_parameters(spark, sf)), series, 1996)
+    years = F.array_join(F.transform("meta.time_series_years", lambda y: y.cast("string")), ",")
+    return row.select(F.size("variables").alias("n_variables"), F.size("constraints").alias("n_constraints"), F.size("time_series").alias("n_entities"), F.array_join("objective_hints", "¦").alias("hints"), "meta.reservoir_count", "meta.constraint_count", years.alias("years"))
 
 
 # --- questions and training ----------------------------------------------------------------------------------------

@@ -49,7 +49,7 @@ idx0 AS (SELECT standard AS key, standard, 0 AS kind, cat, ord FROM al UNION ALL
 idx AS (SELECT key, standard FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY kind, cat, ord) AS n FROM idx0) WHERE n = 1)"""
 
 RAW = """raw AS (SELECT o_orderkey AS seq,
-  CASE o_custkey % 6 WHEN 0 THEN c_name || '水库' WHEN 1 THEN c_name || '水文站' WHEN 2 THEN c_name || '河' WHEN 3 THEN 'n' || n_nationkey WHEN 4 THEN c_name ELSE 'S' || (o_custkey % 10) END AS subject,
+  CASE o_custkey % 7 WHEN 0 THEN c_name || '水库' WHEN 1 THEN c_name || '水文站' WHEN 2 THEN c_name || '河' WHEN 3 THEN 'n' || n_nationkey WHEN 4 THEN c_name WHEN 5 THEN 'S' || (o_custkey % 10) ELSE c_name || '以上' END AS subject,
   CASE o_orderkey % 10 WHEN 0 THEN year(o_orderdate) || '年供水量为' WHEN 1 THEN '总库容为' WHEN 2 THEN '死水位为' WHEN 3 THEN '包括' WHEN 4 THEN '上年降水量为'
     WHEN 5 THEN '与1987~2016年均值相比径流偏少' WHEN 6 THEN 'placed by' WHEN 7 THEN '所在河流为' WHEN 8 THEN '防洪限制水位不超过' || (o_orderkey % 500) || 'm' ELSE '用水量合计总量为' END AS relation,
   CASE o_orderkey % 10 WHEN 0 THEN trunc(o_totalprice)::BIGINT || '亿m³' WHEN 1 THEN (o_orderkey % 400) || '.5亿m³' WHEN 2 THEN (o_orderkey % 3000) || 'm' WHEN 3 THEN c_mktsegment || '河、' || r_name || '区，n' || n_nationkey
@@ -117,8 +117,35 @@ ORACLES["chunk_force"] = f"SELECT doc_id, md5(c) AS digest FROM (SELECT doc_id,
 _TRY = lambda s: f"list_filter(list_transform(string_split(text, {s}), lambda p: {_STRIP('p')}), lambda p: p <> '')"
 _SEPS = [f"chr(10) || chr(10)", "chr(10)", *map(text, fixed.SEPARATORS[2:])]
 ORACLES["chunk_pieces"] = f"SELECT doc_id, generate_subscripts(ps, 1) - 1 AS pos, unnest(ps) AS piece FROM (SELECT doc_id, CASE {' '.join(f'WHEN len({_TRY(s)}) > 1 THEN {_TRY(s)}' for s in _SEPS)} END AS ps FROM documents)"
-ORACLES["chunk_short"] = f"SELECT doc_id, 'chunk_0000' AS chunk_id, length(text) AS char_count FROM documents WHERE length(text) <= 2000 AND {_STRIP('text')} <> ''"
-ORACLES["doc_renumber"] = f"SELECT source, doc_id, 'chunk_' || lpad((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1)::VARCHAR, 4, '0') AS chunk_id, length(text) AS char_count FROM documents WHERE length(text) <= 2000 AND {_STRIP('text')} <> ''"
+_FORCE = lambda c, size, step: f"list_filter(list_transform(range(0, greatest(length({c}), 1), {step}), lambda j: {_STRIP(f'substr({c}, j + 1, {size})')}), lambda x: x <> '')"
+
+
+def chunk_sql(size: int, overlap: int) -> str:
+    """ch(doc_id, chunk_index, content): the greedy fold over a text's pieces as a recursion, each step giving what it closes."""
+    force = _FORCE("piece", size, size - overlap)
+    return f"""WITH RECURSIVE b AS (SELECT doc_id, coalesce(text, '') AS text, CASE {' '.join(f'WHEN len({_TRY(s)}) > 1 THEN {_TRY(s)}' for s in _SEPS)} END AS ps FROM documents),
+l AS (SELECT doc_id, ps FROM b WHERE length(text) > {size} AND {_STRIP('text')} <> '' AND ps IS NOT NULL),
+n AS (SELECT doc_id, i, ps[i] AS piece FROM l, range(1, len(ps) + 1) r(i)),
+f AS (SELECT doc_id, 1 AS i, []::VARCHAR[] AS closed, piece AS cur FROM n WHERE i = 1
+  UNION ALL SELECT doc_id, i + 1,
+    CASE WHEN length(cur) + length(piece) + 1 <= {size} THEN [] WHEN length(piece) > {size} THEN list_concat([cur], slices[1 : len(slices) - 1]) ELSE [cur] END,
+    CASE WHEN length(cur) + length(piece) + 1 <= {size} THEN cur || chr(10) || piece WHEN length(piece) > {size} THEN slices[len(slices)] ELSE piece END
+  FROM (SELECT f.doc_id, f.i, cur, piece, CASE WHEN length(piece) > {size} THEN {force} END AS slices FROM f JOIN n ON n.doc_id = f.doc_id AND n.i = f.i + 1)),
+o AS (SELECT doc_id, i, unnest(closed) AS content, generate_subscripts(closed, 1) AS j FROM f WHERE len(closed) > 0
+  UNION ALL SELECT doc_id, i, cur, 1000000 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) AS back FROM f) WHERE back = 1
+  UNION ALL SELECT doc_id, 1, text, 1 FROM b WHERE length(text) <= {size} AND {_STRIP('text')} <> ''
+  UNION ALL SELECT doc_id, 1, unnest(slices), generate_subscripts(slices, 1) FROM (SELECT doc_id, {_FORCE('text', size, size - overlap)} AS slices FROM b WHERE length(text) > {size} AND {_STRIP('text')} <> '' AND ps IS NULL)),
+ch AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS chunk_index, content FROM o)"""
+
+
+_CHUNK_ID = "'chunk_' || lpad({n}::VARCHAR, greatest(4, length({n}::VARCHAR))::INT, '0') AS chunk_id"
+ORACLES["chunk_merge"] = f"{chunk_sql(800, 100)} SELECT doc_id, chunk_index::INT AS chunk_index, {_CHUNK_ID.format(n='chunk_index')}, length(content) AS char_count, md5(content) AS digest FROM ch"
+ORACLES["chunk_short"] = f"{chunk_sql(fixed.CHUNK_SIZE, fixed.CHUNK_OVERLAP)} SELECT doc_id, {_CHUNK_ID.format(n='chunk_index')}, length(content) AS char_count FROM ch"
+ORACLES["chunk_whole"] = ORACLES["chunk_short"].replace("AS char_count FROM", "AS char_count, md5(content) AS digest FROM")
+ORACLES["doc_renumber"] = f"{chunk_sql(fixed.CHUNK_SIZE, fixed.CHUNK_OVERLAP)} SELECT source, doc_id, {_CHUNK_ID.format(n='k')}, char_count FROM (SELECT source, doc_id, length(content) AS char_count, content, row_number() OVER (PARTITION BY source ORDER BY doc_id, chunk_index) - 1 AS k FROM ch JOIN documents USING (doc_id))"
+ORACLES["doc_renumber_whole"] = ORACLES["doc_renumber"].replace("char_count FROM (", "char_count, md5(content) AS digest FROM (")
+ORACLES["allowed_chars"] = "SELECT doc_id, md5(regexp_replace(text, '[^\\x{4e00}-\\x{9fff}\\x{3000}-\\x{303f}\\x{ff00}-\\x{ffef}\\p{L}\\p{M}\\p{Nd}\\p{Pc}\\s.,%\\-+/()\\[\\]\\x{2100}-\\x{214f}]+', '', 'g')) AS digest FROM documents"
+ORACLES["table_context"] = "SELECT page_id, '来自 ' || url || ' 第' || CASE WHEN page_id % 3 > 0 THEN page_id ELSE 0 END || '页' AS context FROM pages"
 
 # --- tables and markup ---------------------------------------------------------------------------------------------
 ORACLES["html_list_items"] = f"SELECT page_id, generate_subscripts(a, 1) - 1 AS pos, {_STRIP(chr(39).join(['regexp_replace(unnest(a), ', '<[^>]+>', ', ', '', ', ', 'g', ')']))} AS item FROM (SELECT page_id, regexp_extract_all(html, '(?is)<li[^>]*>(.*?)</li>', 1) AS a FROM pages)"
@@ -134,7 +161,17 @@ ORACLES["prompt_build"] = f"""SELECT conv_id, '<start_of_turn>system' || chr(10)
   string_agg(role || ': ' || text, chr(10) ORDER BY turn, role, text) || ' .' || '<end_of_turn>' || chr(10) || '<start_of_turn>model' || chr(10) AS prompt FROM conversations GROUP BY conv_id"""
 _EVENT = "'u' || user_id AS subject, event_type AS relation, json_extract_string(props, '$.k') AS object"
 ORACLES["json_parse"] = f"SELECT event_id, {_EVENT}, 0.85::DOUBLE AS confidence, 'text' AS data_type FROM events"
-ORACLES["json_repair"] = f"SELECT event_id, {_EVENT} FROM events WHERE event_id % 4 = 0"
+ORACLES["json_repair"] = f"SELECT event_id, {_EVENT} FROM events"
+ORACLES["json_repair_shapes"] = f"SELECT event_id, {_EVENT}, (event_id % 4)::INT AS shape FROM events"
+_TALKS = "SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS page FROM conversations"
+_TABLE = "'| name | size(mm) |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || p_name || ' | ' || p_size || ' |', chr(10) ORDER BY p_partkey, p_name, p_size::VARCHAR)"
+ORACLES["page_results"] = f"""SELECT 'conv_' || conv_id || '.json' AS source_file, page::INT AS page_num, true AS is_empty, 0 AS char_count, 0 AS n_tables, 0 AS n_images, md5('') AS markdown FROM ({_TALKS})
+  UNION ALL SELECT p_brand || '.pdf', 1, false, 0, 1, 0, md5({_TABLE}) FROM part GROUP BY p_brand"""
+ORACLES["page_tables"] = "SELECT 'tables/' || p_brand || '.pdf' AS path, 'layout' AS method, 'tbl_p1_00' AS table_id, 1 AS page_num, 'name¦size(mm)' AS headers, count(*)::INT AS row_count, 2 AS col_count FROM part GROUP BY p_brand"
+ORACLES["page_method"] = f"""SELECT 'talks/conv_' || conv_id || '.json' AS path, page::INT AS page_num, 'page' AS engine, 'native' AS method, false AS is_noise FROM ({_TALKS})
+  UNION ALL SELECT DISTINCT 'tables/' || p_brand || '.pdf', 1, 'layout', 'layout', true FROM part"""
+ORACLES["docs_to_triples"] = f"""SELECT 'conv_' || conv_id || '.json' AS source_file, page::INT AS page_num, NULL AS table_id, 'text' AS data_type, '记录' || conv_id AS subject, '2024年供水量为' AS relation, turn || '亿m³' AS object, 0.85::DOUBLE AS confidence FROM ({_TALKS})
+  UNION ALL SELECT p_brand || '.pdf', 1, 'tbl_p1_00', 'tabular', p_name, '尺寸为', p_size || 'mm', 0.85::DOUBLE FROM part"""
 ORACLES["limit_chunks"] = "SELECT conv_id, turn, length(text) AS n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations) WHERE i <= 2"
 
 # --- linking -------------------------------------------------------------------------------------------------------
@@ -155,6 +192,8 @@ SELECT vec_id, arg_max(anchor, score) AS best_name, round(max(score), 6) AS simi
 
 # --- normalisation -------------------------------------------------------------------------------------------------
 ORACLES["rel_match"] = f"WITH {IDX}, {RAW}, {REL} SELECT seq, relation_id, rel_confidence, is_annual, rel_method FROM rel"
+ORACLES["match_rate"] = f"""WITH {IDX}, {RAW}, {REL}, m AS (SELECT count(*) AS total, count(*) FILTER (rel_method = 'exact') AS exact, count(*) FILTER (starts_with(rel_method, 'keyword')) AS keyword, count(*) FILTER (rel_method = 'heuristic') AS unmatched FROM rel)
+SELECT *, round((exact + keyword) / greatest(total, 1) * 100, 1) AS match_rate FROM m"""
 ORACLES["entity_type"] = f"{_R} SELECT seq, {type_case('subject', fixed.SUBJECT_TYPES, 'Unknown')} AS type, {type_case('subject', fixed.NODE_LABELS, None)} AS label FROM raw"
 ORACLES["year_extract"] = f"WITH {IDX}, {RAW}, {REL} SELECT seq, year FROM yr"
 ORACLES["classify_object"] = f"{_R} SELECT seq, {_CLASS('object', 'false')} AS kind, {_NUMERIC('object')} AS numeric FROM raw"
@@ -183,12 +222,14 @@ ORACLES["graph_stats_all"] = f"{_G} SELECT label, count(*) AS n FROM nodes GROUP
 # --- graph queries -------------------------------------------------------------------------------------------------
 ORACLES["neighbors_collect"] = f"""{_G} SELECT r.id, r.name, coalesce(string_agg(e.rel || '>' || t.label || '>' || t.name, '¦' ORDER BY e.rel || '>' || t.label || '>' || t.name), '') AS relations
   FROM nodes r LEFT JOIN edges e ON e.src = r.id LEFT JOIN nodes t ON t.id = e.dst WHERE r.label = 'Reservoir' GROUP BY r.id, r.name"""
+ORACLES["linked_constraints"] = f"{_G} SELECT rel, relation_id, confidence, t.name AS t_name, t.value AS t_value FROM edges JOIN nodes t ON t.id = dst WHERE src = 'Reservoir_' || md5('Reservoir:Customer#000000007水库') AND t.label = 'Constraint'"
+ORACLES["zone_names"] = f"{_G} SELECT name, id FROM nodes WHERE label = 'WaterResourceZone'"
 ORACLES["name_search"] = f"{_G} SELECT id, name FROM nodes WHERE label = 'Reservoir' AND contains(name, '#00000001') ORDER BY name, id LIMIT 20"
 ORACLES["label_scan"] = f"{_G} SELECT id, name FROM nodes WHERE label = 'HydrologicalStation' ORDER BY name, id LIMIT 50"
 ORACLES["reservoir_list"] = f"{_G} SELECT r.id, r.name, o.name AS neighbour FROM nodes r LEFT JOIN (SELECT src, n.name FROM edges JOIN nodes n ON n.id = dst WHERE n.label = 'River') o ON o.src = r.id WHERE r.label = 'Reservoir' ORDER BY r.name, r.id, o.name NULLS FIRST LIMIT 200"
 _SERIES = lambda where, cols, most: f"{_G} SELECT {cols} FROM edges e JOIN nodes s ON s.id = e.src JOIN nodes d ON d.id = e.dst WHERE e.year IS NOT NULL AND d.label = 'AnnualHydrologyData' AND {where} ORDER BY e.year DESC, s.id, e.rel, d.value LIMIT {most}"
 ORACLES["entity_series"] = _SERIES("s.label = 'HydrologicalStation' AND contains(e.rel, '供水')", "s.name AS s_name, e.year, e.rel AS indicator, d.value, d.unit", 100)
-ORACLES["zone_series"] = _SERIES("s.label = 'Reservoir' AND e.year = 1997", "s.name AS s_name, e.year, e.rel AS indicator, d.value", 500)
+ORACLES["zone_series"] = _SERIES("s.label = 'WaterResourceZone' AND e.year = 1997", "s.name AS s_name, e.year, e.rel AS indicator, d.value", 500)
 ORACLES["triple_search"] = f"{_G} SELECT s.name AS subject, rel AS predicate, o.name AS object, confidence FROM edges JOIN nodes s ON s.id = src JOIN nodes o ON o.id = dst WHERE contains(s.name, 'NATION_7') OR contains(o.name, 'NATION_7') ORDER BY confidence DESC NULLS FIRST, src, rel, dst LIMIT 50"
 ORACLES["trace_document"] = f"{_G} SELECT s.name AS subject, rel AS predicate, o.name AS object, confidence, context FROM edges JOIN nodes s ON s.id = src JOIN nodes o ON o.id = dst WHERE source_doc = 'bulletin_1996.pdf' ORDER BY 1, 2, 3 LIMIT 100"
 ORACLES["shortest_path"] = """WITH RECURSIVE e AS (SELECT 'N' || n_nationkey AS a, 'R' || n_regionkey AS b, 'belongs to' AS rel FROM nation UNION ALL SELECT 'C' || c_custkey, 'N' || c_nationkey, 'located in' FROM customer UNION ALL SELECT 'S' || s_suppkey, 'N' || s_nationkey, 'located in' FROM supplier UNION ALL SELECT 'R' || r_regionkey, 'W', 'part of' FROM region),
@@ -198,11 +239,11 @@ p AS (SELECT 'C1' AS head, ['C1'] AS nodes, []::VARCHAR[] AS rels, 0 AS depth UN
 f AS (SELECT * FROM p WHERE head = 'S2')
 SELECT array_to_string(nodes, '>') AS nodes, array_to_string(rels, '>') AS rels, depth FROM f WHERE depth = (SELECT min(depth) FROM f) ORDER BY nodes, rels LIMIT 5"""
 _CIDS = ", ".join(text(x) for ids in fixed.CONSTRAINT_IDS.values() for x in ids)
-ORACLES["constraints_union"] = f"""{_G}, r AS (SELECT id FROM nodes WHERE label = 'Reservoir' ORDER BY name, id LIMIT 5)
+ORACLES["constraints_union"] = f"""{_G}, r AS (SELECT id FROM nodes WHERE label = 'Reservoir')
 SELECT src, rel, relation_id, t.label AS t_label, t.name AS t_name, e.year FROM edges e JOIN r ON r.id = src JOIN nodes t ON t.id = dst
 WHERE (t.label = 'Constraint' AND (relation_id IN ({_CIDS}) OR (relation_id IS NULL AND {any_of('rel', fixed.CONSTRAINT_WORDS)}))) OR (t.label = 'AnnualHydrologyData' AND (relation_id IN ({_CIDS}) OR (relation_id IS NULL AND {any_of('rel', fixed.ANNUAL_WORDS)})))"""
 _LAST = lambda rid: f"arg_max(t.value, (rel, dst)) FILTER (relation_id = {text(rid)})"
-ORACLES["params_pivot"] = f"""{_G} SELECT src, {_LAST('DEAD_STORAGE_LEVEL')} AS dead_storage_level, {_LAST('FLOOD_CONTROL_LEVEL')} AS flood_control_level, {_LAST('TOTAL_CAPACITY')} AS total_capacity
+ORACLES["params_pivot"] = f"""{_G} SELECT src, {_LAST('DEAD_STORAGE_LEVEL')} AS dead_storage_level, {_LAST('NORMAL_STORAGE_LEVEL')} AS normal_storage_level, {_LAST('FLOOD_CONTROL_LEVEL')} AS flood_control_level, {_LAST('TOTAL_CAPACITY')} AS total_capacity, {_LAST('FLOOD_CONTROL_CAPACITY')} AS flood_control_capacity
 FROM edges JOIN nodes t ON t.id = dst WHERE t.label = 'Constraint' AND relation_id IN ({', '.join(map(text, fixed.PARAMETER_IDS))}) GROUP BY src"""
 _RAIN = ", ".join(map(text, fixed.INDICATOR_IDS["降水"]))
 ORACLES["series_fallback"] = f"""{_G}, fact AS (SELECT src, e.year, rel, d.value FROM edges e JOIN nodes d ON d.id = dst WHERE e.year IS NOT NULL AND d.label = 'AnnualHydrologyData' AND relation_id IN ({_RAIN})),
@@ -212,7 +253,8 @@ far AS (SELECT DISTINCT a.src AS entity, b.src AS station, fact.year, rel, fact.
   WHERE a.src NOT IN (SELECT entity FROM own)),
 u AS (SELECT DISTINCT * FROM own UNION ALL SELECT * FROM far)
 SELECT entity, station, year, value FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY year, rel, value, station) AS n FROM u) WHERE n <= 10"""
-ORACLES["upstream_pairs"] = """SELECT 'S' || a.s_suppkey AS upstream, 'S' || b.s_suppkey AS downstream FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND b.s_suppkey = (a.s_suppkey * 7 + 3) % 10 WHERE a.s_suppkey < 10 AND b.s_suppkey < 10"""
+ORACLES["upstream_pairs"] = """SELECT 'S' || a.s_suppkey AS upstream, 'S' || b.s_suppkey AS downstream FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND b.s_suppkey = (a.s_suppkey * 7 + 3) % 50"""
+ORACLES["batch_relations"] = """SELECT 'S' || a.s_suppkey AS from_id, a.s_name AS from_name, 'S' || b.s_suppkey AS to_id, b.s_name AS to_name, 'upstream' AS relation FROM supplier a JOIN supplier b ON a.s_suppkey <> b.s_suppkey AND b.s_suppkey = (a.s_suppkey * 7 + 3) % 50"""
 
 # --- formulation ---------------------------------------------------------------------------------------------------
 _PHRASES = "['汛限水位不超过', '死水位不低于', '总库容为', '下泄流量不小于', '出力上限', '生态流量', '供水量保证']"
@@ -227,7 +269,8 @@ ORACLES["operator_parse"] = f"SELECT p_partkey AS ord, {_SIGNS}[p_partkey % 7 +
 ORACLES["value_unit"] = f"WITH {_PC} SELECT ord, value, nullif(unit, '') AS unit FROM pc"
 _EXPR = "concat_ws(' ', relation, operator, value::VARCHAR, nullif(unit, ''))"
 ORACLES["constraint_records"] = f"WITH {_PC} SELECT entity, 'c_' || lpad(n::VARCHAR, greatest(3, length(n::VARCHAR))::INT, '0') AS id, name, {_EXPR} AS expression, category, relation AS variable, operator, value, unit FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY ord) AS n FROM pc)"
-_BND = f"{_PC}, bd AS (SELECT entity, category, max(value) FILTER (operator = '>=') AS lower, min(value) FILTER (operator = '<=') AS upper FROM pc WHERE operator <> '==' GROUP BY entity, category)"
+_BND = f"""{_PC}, eq AS (SELECT entity, category, max(ord) FILTER (operator = '==') AS k FROM pc GROUP BY entity, category),
+bd AS (SELECT entity, category, max(value) FILTER ((operator = '>=' AND (k IS NULL OR ord > k)) OR ord = k) AS lower, min(value) FILTER ((operator = '<=' AND (k IS NULL OR ord > k)) OR ord = k) AS upper FROM pc JOIN eq USING (entity, category) GROUP BY entity, category)"""
 ORACLES["bounds"] = f"WITH {_BND} SELECT * FROM bd"
 _PAR = "pa AS (SELECT p_brand AS entity, min(p_size)::DOUBLE AS dead, max(p_size)::DOUBLE AS normal, count(*) + 0.5::DOUBLE AS capacity FROM part GROUP BY p_brand)"
 ORACLES["parameters"] = f"WITH {_PAR} SELECT entity, dead, normal, capacity, '亿m³' AS unit, NULL::DOUBLE AS flood FROM pa"
@@ -243,7 +286,25 @@ ORACLES["solver_constraints"] = f"""WITH {_PC}, {_PAR}, {_BR} SELECT concat_ws('
 UNION ALL SELECT 'Z_' || i || ' >= ' || dead, 'water_level', 'name of ' || entity || ' 死水位约束' FROM pa JOIN br USING (entity)"""
 _CMP = lambda b: f"max(shown) FILTER (entity = 'Brand#{b}') AS \"name of Brand#{b}\""
 ORACLES["compare_pivot"] = f"""WITH {_PAR}, l AS (SELECT entity, unnest(['死水位', '正常蓄水位', '防洪限制水位', '总库容', '防洪库容']) AS parameter, unnest([dead || 'm', normal || 'm', NULL, capacity || '亿m³', NULL]) AS shown FROM pa)
-SELECT parameter, {_CMP(1)}, {_CMP(2)}, {_CMP(3)} FROM l GROUP BY parameter"""
+SELECT parameter, {", ".join(map(_CMP, range(1, 26)))} FROM l GROUP BY parameter"""
+
+_RULES = "ru AS (SELECT p_brand AS entity, p_name AS name, CASE WHEN p_partkey % 2 = 0 THEN '规则' || p_size ELSE p_name END AS content, CASE WHEN p_partkey % 3 = 0 THEN p_size::INT::VARCHAR ELSE '' END AS period FROM part)"
+ORACLES["dispatch_rules"] = f"WITH {_RULES} SELECT entity, string_agg(name || '|' || content || '|' || period || '|', '¦' ORDER BY name, content, period) AS dispatch_rules FROM ru GROUP BY entity"
+ORACLES["solver_series"] = """WITH c AS (SELECT c_nationkey, c_mktsegment AS indicator, year(o_orderdate) AS y, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)
+SELECT 'N' || n_nationkey AS entity, n_name AS name, indicator, string_agg(y || '|' || n || '|件', '¦' ORDER BY y) AS entries FROM c JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL"""
+ORACLES["solver_hints"] = f"WITH {_PC}, ob(category, description, direction) AS (VALUES {_OBJ}) SELECT DISTINCT direction || '_' || description AS hint FROM pc JOIN ob USING (category)"
+_SHIPPED = "(SELECT p_brand AS entity, year(l_shipdate) AS y, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)"
+_N_CONS = "(SELECT count(*) FROM pc WHERE operator <> 'unknown') + (SELECT count(*) FROM pa)"
+ORACLES["solver_document"] = f"""WITH {_DV}, {_BR}, ob(category, description, direction) AS (VALUES {_OBJ}) SELECT (SELECT count(*) FROM dv)::INT AS n_variables, ({_N_CONS})::INT AS n_constraints, (SELECT count(DISTINCT entity) FROM {_SHIPPED} WHERE y = 1996)::INT AS n_entities,
+  (SELECT string_agg(DISTINCT direction || '_' || description, '¦' ORDER BY direction || '_' || description) FROM pc JOIN ob USING (category)) AS hints, (SELECT count(*) FROM br) AS reservoir_count, ({_N_CONS})::INT AS constraint_count, '1996' AS years"""
+ORACLES["formulation_nested"] = f"""WITH {_DV}, {_RULES}, ob(category, description, direction) AS (VALUES {_OBJ}), rk(category, vname, symbol, vunit, rank) AS (VALUES {', '.join(f'({text(c)}, {text(n)}, {text(s)}, {text(u)}, {i})' for i, (c, n, s, u) in enumerate(fixed.VARIABLES))}),
+cr AS (SELECT entity, 'c_' || lpad(n::VARCHAR, greatest(3, length(n::VARCHAR))::INT, '0') AS id, {_EXPR} AS expression, category FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY ord) AS n FROM pc)),
+c AS (SELECT entity, string_agg(id || '|' || expression || '|' || category, '¦' ORDER BY id) AS constraints FROM cr GROUP BY entity),
+v AS (SELECT entity, string_agg(concat_ws('|', symbol, lower::VARCHAR, upper::VARCHAR), '¦' ORDER BY rank) AS decision_variables FROM dv JOIN rk USING (symbol) GROUP BY entity),
+o AS (SELECT entity, string_agg(description || '|' || direction, '¦' ORDER BY description, direction) AS objective_candidates FROM (SELECT DISTINCT entity, description, direction FROM pc JOIN ob USING (category)) GROUP BY entity),
+t AS (SELECT entity, count(*)::INT AS n_series FROM {_SHIPPED} GROUP BY entity), r AS (SELECT entity, count(*)::INT AS n_rules FROM ru GROUP BY entity)
+SELECT entity, 'name of ' || entity AS name, constraints, coalesce(decision_variables, '') AS decision_variables, coalesce(objective_candidates, '') AS objective_candidates, capacity, n_series, n_rules
+FROM c LEFT JOIN v USING (entity) LEFT JOIN o USING (entity) JOIN pa USING (entity) LEFT JOIN t USING (entity) LEFT JOIN r USING (entity)"""
 
 # --- questions and training ----------------------------------------------------------------------------------------
 ORACLES["nlq_answer"] = f"""{_G}, f AS (SELECT s.name AS entity, rel, coalesce(o.value, o.name) AS value, e.year FROM edges e JOIN nodes s ON s.id = src JOIN nodes o ON o.id = dst

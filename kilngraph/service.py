@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, Window
@@ -17,6 +19,23 @@ def envelope(data: Any = None, code: int = 200, message: str = "success") -> dic
     return {"code": code, "message": message, "data": data}
 
 
+def respond(read: Callable[[], Any]) -> dict[str, Any]:
+    """The envelope of a read: 400 for a bad argument, 404 for nothing found, 503 without a store, 500 for all else."""
+    try:
+        data = read()
+    except ValueError as error:
+        return envelope(None, 400, str(error))
+    except LookupError as error:
+        return envelope(None, 404, str(error) or "not found")
+    except (ConnectionError, FileNotFoundError) as error:
+        return envelope(None, 503, f"the graph store is unavailable: {error}")
+    except Exception as error:  # noqa: BLE001  a service answers whatever happens
+        return envelope(None, 503 if "PATH_NOT_FOUND" in str(error) else 500, f"internal error: {error}"[:500])
+    if isinstance(data, DataFrame):
+        data = [r.asDict(recursive=True) for r in data.collect()]
+    return data if isinstance(data, dict) and set(data) == {"code", "message", "data"} else envelope(data)
+
+
 class GraphService:
     """Named reads over one pair of node and edge tables; both are cached on first use."""
 
@@ -70,11 +89,16 @@ class GraphService:
         return graph.counts(self.nodes, self.edges, fixed.STAT_LABELS)
 
     # Optimisation ------------------------------------------------------------------------------------------------
+    def optimisation_reservoirs(self) -> DataFrame:
+        """Reservoirs that a formulation can be asked for; at most 100."""
+        return self.reservoirs(100)
+
     def _entities(self, ids: list[str]) -> DataFrame:
+        """id, name, ord of the listed nodes; a node that is missing is named by its id."""
         if not 0 < len(ids) <= MOST_BATCH:
             raise ValueError(f"from 1 to {MOST_BATCH} ids")
         order = self.nodes.sparkSession.createDataFrame([(x, i + 1) for i, x in enumerate(ids)], "wanted string, ord int")
-        return self.nodes.join(order, self.nodes["id"] == order["wanted"]).select("id", "name", "ord")
+        return order.join(self.nodes, F.col("id") == F.col("wanted"), "left").select(F.col("wanted").alias("id"), F.coalesce("name", "wanted").alias("name"), "ord")
 
     def constraints(self, ids: list[str], category: str | None = None, year: int | None = None) -> DataFrame:
         self._entities(ids)
@@ -92,21 +116,49 @@ class GraphService:
     def hydrology(self, ids: list[str], words: list[str] | None = None, year: int | None = None) -> DataFrame:
         return queries.series_or_neighbours(self.nodes, self.edges, words, year).where(F.col("entity").isin(ids))
 
-    def formulate(self, ids: list[str], with_series: bool = True, year: int | None = None) -> DataFrame:
-        series = self.hydrology(ids, year=year) if with_series else None
-        return formulation.formulate(self._entities(ids), self.constraints(ids), self.parameters(ids), series)
+    def formulate(self, ids: list[str], include_hydrology: bool = True, include_rules: bool = True, year: int | None = None) -> DataFrame:
+        """One nested row per entity; series and dispatch rules are left out on request."""
+        series = self.hydrology(ids, year=year) if include_hydrology else None
+        rules = queries.dispatch_rules_of(self.nodes, self.edges, ids) if include_rules else None
+        return formulation.formulate(self._entities(ids), self.constraints(ids, year=year), self.parameters(ids), series, rules)
+
+    def formulate_one(self, node: str, **options: Any) -> dict[str, Any]:
+        if self.nodes.where(F.col("id") == node).isEmpty():
+            raise LookupError(f"no node {node}")
+        return self.formulate([node], **options).first().asDict(recursive=True)
 
-    def solver_ready(self, ids: list[str]) -> tuple[DataFrame, DataFrame]:
+    def formulate_batch(self, ids: list[str], include_hydrology: bool = True, include_rules: bool = True) -> dict[str, Any]:
+        """Formulations by id, a stub for a missing node, and the upstream relations among the listed entities."""
+        rows = {r.entity: r.asDict(recursive=True) for r in self.formulate(ids, include_hydrology, include_rules).collect()}
+        who = self._entities(ids)
+        names = {r.id: r.name for r in who.collect()}
+        pairs = queries.upstream_pairs(self.nodes, self.edges, who).orderBy("upstream", "downstream").collect()
+        relations = [{"from": p.upstream, "from_name": names[p.upstream], "to": p.downstream, "to_name": names[p.downstream], "relation": "upstream"} for p in pairs]
+        return {"reservoirs": {i: rows[i] for i in ids}, "relations": relations}
+
+    def solver_tables(self, ids: list[str]) -> tuple[DataFrame, DataFrame]:
         return formulation.solver_ready(self._entities(ids), self.constraints(ids), self.parameters(ids))
 
+    def solver_ready(self, ids: list[str], year: int | None = None) -> DataFrame:
+        """The solver's document; series come with a year."""
+        series = self.hydrology(ids, year=year) if year is not None else None
+        return formulation.solver_document(self._entities(ids), self.constraints(ids), self.parameters(ids), series, year)
+
     def compare(self, ids: list[str]) -> DataFrame:
         who = self._entities(ids)
         return formulation.compare(who, self.parameters(ids), [r.name for r in who.orderBy("ord").collect()])
 
     # Questions ---------------------------------------------------------------------------------------------------
     def ask(self, question: str, filler: questions.SlotFiller) -> dict[str, Any]:
-        row = questions.ask(self.nodes, self.edges, question, filler).first()
-        return envelope({"answer": row.answer, "rows": row.n_rows})
+        """Answer, number of rows, the plan that the question became, and seconds per step."""
+        began = time.perf_counter()
+        slots = filler(question)
+        filled = time.perf_counter()
+        rows = questions.plan(self.nodes, self.edges, slots)
+        row = questions.answer(rows, question).first()
+        done = time.perf_counter()
+        timing = {"slots": round(filled - began, 2), "graph": round(done - filled, 2), "total": round(done - began, 2)}
+        return envelope({"answer": row.answer, "rows": row.n_rows, "query": questions.described(slots), "timing": timing})
 
     def health(self) -> dict[str, Any]:
         return envelope({"status": "ok"})
