@@ -1,23 +1,24 @@
 """Language-model scores by deleted interpolation of n-gram estimates.
 
-P(w | v) = L2[b] c(v w) / c(v) + L1[b] (c(w) + 1/2) / (N + (V + 1) / 2) + L0[b] / (V + 1), where b is the bucket (power of
-two) of the context's count c(v).  The weights L of each bucket are learned by expectation-maximisation on held-out
-counts: every training document is held out in turn, i.e. its own counts are deleted from all estimates for its tokens.
+P(w | u v) = L3[b] c(u v w) / c(u v) + L2[b] c(v w) / c(v) + L1[b] c(w) / N + L0[b] / (V + 1): maximum-likelihood estimates
+of three orders and a uniform share.  b is the bucket of the context's frequency: the power of two of c(u v), or of c(v)
+where u v was never seen.  The weights L of each bucket are learned by expectation-maximisation on held-out counts: every
+training document is held out in turn, i.e. its own counts are deleted from all estimates for its tokens.
 
 Layout.  Documents are cut into shards of bounded size; a shard is one row with its tokens as small integers over its own
-word list.  Per shard the distinct words and bigrams (64-bit hashes) with their training counts go, sorted, delta-coded
+word list.  Per shard the distinct words, bigrams and trigrams (hashes) with their training counts go, sorted, delta-coded
 and compressed, into one row per key range: a single shuffle brings each range together, sums its counts and answers every
 shard with the totals in the shard's own key order, so that an answer holds counts alone.  A key that is common everywhere
 is one entry per shard.  Shards are then joined with their answers twice: once for the statistics of the EM (a histogram
-of bounded size per task), once to score.  No count table is broadcast or collected; it grows with the corpus and stays in
-tables.
+of bounded size), once to score.  No count table is broadcast or collected; it grows with the corpus and stays in tables.
 
-Words are runs of anything but U+0020 and U+0009-U+000D after lower-casing A-Z; every text ends with one end token.  Two
-words with equal 64-bit hashes would be taken for one.
+Words are runs of anything but U+0020 and U+0009-U+000D after lower-casing A-Z; every text ends with one end token.  Words
+are 64-bit hashes.  Hashes of bigrams and trigrams have ``KEY_SLACK`` bits more than it takes to number all tokens, so a
+key shares its hash with another one with a probability of at most 2^-KEY_SLACK, at any corpus size up to 2^42 tokens.
 
 Defined cases: null and empty texts consist of the end token alone; a null id counts as the id '' for the fold; repeated
 rows are separate rows; with no training token every estimate is the uniform one (base_score then uses N = V = 0); an
-empty table gives an empty result; further columns are ignored.
+empty table gives an empty result; further columns, also with clashing names, are ignored.
 """
 
 from __future__ import annotations
@@ -37,16 +38,20 @@ from kilngraph.llm.storage import materialise, release
 
 FOLDS, HELD_FOLD = 5, 1
 #: Tokens after which a shard is closed, and keys that a range holds on average.
-SHARD_TOKENS, RANGE_KEYS = 1_000_000, 3_000_000
-#: Bytes of text per key, at least; only sizes the ranges.
+SHARD_TOKENS, RANGE_KEYS = 600_000, 1_500_000
+#: Bytes of text per key, at least; only sizes the ranges and hashes.
 BYTES_PER_KEY = 6
+#: Bits of bigram and trigram hashes beyond those that number all tokens.
+KEY_SLACK = 22
+#: Buckets of c(v), and after them of c(u v), by powers of two.
 CONTEXT_BUCKETS = 24
-#: Cells of the EM's histogram: a bigram or unigram estimate is binned to 1/8 octave over 40 octaves, 0 apart.
-STEPS, OCTAVES = 8, 40
+#: Cells of the EM's histogram: estimates are binned to 1/STEPS octaves over OCTAVES octaves, 0 apart.
+STEPS, OCTAVES = 2, 32
 EM_ROUNDS, EM_TOLERANCE = 60, 1e-7
 _END = np.uint64(0x5851F42D4C957F2D)
 _START = np.uint64(0x14057B7EF767814F)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_TRIPLE = np.uint64(0x2545F4914F6CDD1D)
 
 
 def in_training(id_col: str) -> Column:
@@ -103,14 +108,21 @@ class Shard:
         """Document number of each token."""
         return np.repeat(np.arange(len(self.ends)), np.diff(self.ends, prepend=0))
 
-    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(unigram keys, bigram keys) sorted and distinct, and each token's place in them."""
+    def before(self, back: int) -> np.ndarray:
+        """Hash of the word ``back`` places before each token; the start marker before a document's first token."""
         words = self.hashes[self.tokens]
-        before = np.concatenate([[_START], words[:-1]])
-        before[self.ends[:-1]] = _START
-        uni, at_uni = np.unique(words, return_inverse=True)
-        bi, at_bi = np.unique(bigram_keys(before, words), return_inverse=True)
-        return uni, bi, at_uni.reshape(-1), at_bi.reshape(-1)
+        out = np.concatenate([np.full(min(back, len(words)), _START), words[: max(len(words) - back, 0)]])
+        place = np.arange(len(words)) - np.repeat(np.concatenate([[0], self.ends[:-1]]), np.diff(self.ends, prepend=0))
+        out[place < back] = _START
+        return out
+
+    def keys(self, bits: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """By kind: its distinct keys, sorted, and each token's place in them; keys of longer n-grams have ``bits`` bits."""
+        words, one, two = self.hashes[self.tokens], self.before(1), self.before(2)
+        pairs = bigram_keys(one, words)
+        drop = np.uint64(64 - bits)
+        out = {UNIGRAM: words, BIGRAM: pairs >> drop, TRIGRAM: bigram_keys(two ^ _TRIPLE, pairs) >> drop}
+        return {kind: (lambda u: (u[0], u[1].reshape(-1)))(np.unique(keys, return_inverse=True)) for kind, keys in out.items()}
 
     def dump(self) -> dict[str, bytes]:
         return {"hashes": self.hashes.tobytes(), "tokens": pack(self.tokens), "ends": pack(self.ends), "train": np.packbits(self.train).tobytes()}
@@ -126,12 +138,12 @@ SHARD_COLUMNS = ("hashes", "tokens", "ends", "train")
 SHARD_DDL = "shard long, ids binary, hashes binary, tokens binary, ends binary, train binary"
 REQUEST_DDL = "shard long, kind int, span int, keys binary, counts binary"
 #: Kinds of requests.
-UNIGRAM, BIGRAM = 1, 2
+UNIGRAM, BIGRAM, TRIGRAM = 1, 2, 3
 
 
-def _spans(keys: np.ndarray, spans: int) -> np.ndarray:
-    """Where each of ``spans`` equal key ranges begins in sorted keys, and the end."""
-    edges = (np.arange(1, spans, dtype=object) * (1 << 64) // spans).astype(np.uint64)
+def _spans(keys: np.ndarray, spans: int, bits: int = 64) -> np.ndarray:
+    """Where each of ``spans`` equal ranges of ``bits``-bit keys begins in sorted keys, and the end."""
+    edges = (np.arange(1, spans, dtype=object) * (1 << bits) // spans).astype(np.uint64)
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
@@ -146,22 +158,21 @@ def _ids(data: bytes) -> pa.Array:
     return pa.ipc.open_stream(_inflate(data)).read_all().column(0).combine_chunks()
 
 
-def _requests(spans: int):
-    """A shard's distinct words and bigrams with their training counts, one row per key range."""
+def _requests(spans: int, bits: int):
+    """A shard's distinct words, bigrams and trigrams with their training counts, one row per key range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("shard", pa.int64()), ("kind", pa.int32()), ("span", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
         for batch in batches:
             for row in batch.to_pylist():
-                shard, rows = Shard.load(row), []
-                uni, bi, at_uni, at_bi = shard.keys()
+                shard = Shard.load(row)
                 learns = shard.train[shard.doc]
-                for kind, keys, at in ((UNIGRAM, uni, at_uni), (BIGRAM, bi, at_bi)):
-                    counts, edges = np.bincount(at[learns], minlength=len(keys)), _spans(keys, spans)
+                for kind, (keys, at) in shard.keys(bits).items():
+                    counts, edges, rows = np.bincount(at[learns], minlength=len(keys)), _spans(keys, spans, 64 if kind == UNIGRAM else bits), []
                     for s, (b, e) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
                         if e > b:
                             rows.append({"shard": row["shard"], "kind": kind, "span": s, "keys": pack_sorted(keys[b:e]), "counts": pack(counts[b:e])})
-                yield pa.RecordBatch.from_pylist(rows, schema)
+                    yield pa.RecordBatch.from_pylist(rows, schema)
 
     return run
 
@@ -241,40 +252,49 @@ ANSWER_DDL = "shard long, kind int, span int, totals binary, tokens long, types
 class Tokens:
     """Every token of a shard with its total counts and its own document's training counts."""
 
-    def __init__(self, shard: Shard, answers: list[dict], starts: int):
-        uni, bi, at_uni, at_bi = shard.keys()
-        total = {UNIGRAM: [], BIGRAM: []}
-        for row in sorted(answers, key=lambda r: r["span"]):
-            total[row["kind"]].append(unpack(row["totals"]).astype(np.float64))
-        c_uni, c_bi = np.concatenate(total[UNIGRAM]), np.concatenate(total[BIGRAM])
-        self.shard, self.at_uni, self.at_bi, self.uni, self.bi = shard, at_uni, at_bi, uni, bi
-        self.word, self.pair = c_uni[at_uni], c_bi[at_bi]
-        self.context = self._before(self.word, float(starts))
-        self.starts = starts
-
-    def _before(self, per_token: np.ndarray, first: float) -> np.ndarray:
+    def __init__(self, shard: Shard, answers: pa.Table, starts: int, bits: int):
+        self.shard, self.starts = shard, starts
+        self.at: dict[int, np.ndarray] = {}
+        self.size: dict[int, int] = {}
+        self.total: dict[int, np.ndarray] = {}
+        order = np.argsort(answers.column("span").to_numpy(), kind="stable")
+        kinds = answers.column("kind").to_numpy()
+        for kind, (keys, at) in shard.keys(bits).items():
+            parts = [unpack(answers.column("totals")[int(i)].as_py()) for i in order if kinds[i] == kind]
+            self.at[kind], self.size[kind] = at, len(keys)
+            self.total[kind] = np.concatenate(parts)[at].astype(np.float64)
+
+    def after(self, per_token: np.ndarray, first: float) -> np.ndarray:
+        """What ``per_token`` says of the token before each one; ``first`` at a document's first token."""
         out = np.concatenate([[first], per_token[:-1]])
         out[self.shard.ends[:-1]] = first
         return out
 
-    def own_counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """How often each token's word, pair and context occur in its own document (at most, the document's start: once)."""
+    def counts(self) -> tuple[np.ndarray, ...]:
+        """c(w), c(v w), c(u v w), c(v) and c(u v) of each token."""
+        word, pair, triple = (self.total[k] for k in (UNIGRAM, BIGRAM, TRIGRAM))
+        return word, pair, triple, self.after(word, float(self.starts)), self.after(pair, float(self.starts))
+
+    def own_counts(self) -> tuple[np.ndarray, ...]:
+        """The same within each token's own document."""
         doc = self.shard.doc.astype(np.int64)
 
-        def count(at: np.ndarray, n: int) -> np.ndarray:
-            _, where, found = np.unique(doc * n + at, return_inverse=True, return_counts=True)
+        def count(kind: int) -> np.ndarray:
+            _, where, found = np.unique(doc * self.size[kind] + self.at[kind], return_inverse=True, return_counts=True)
             return found[where.reshape(-1)].astype(np.float64)
 
-        word = count(self.at_uni, len(self.uni))
-        return word, count(self.at_bi, len(self.bi)), self._before(word, 1.0)
+        word, pair, triple = (count(k) for k in (UNIGRAM, BIGRAM, TRIGRAM))
+        return word, pair, triple, self.after(word, 1.0), self.after(pair, 1.0)
 
 
-def estimates(word, pair, context, n: float, v: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bigram and unigram estimates, and the bucket of the context's count."""
-    two = np.divide(pair, context, out=np.zeros_like(pair), where=context > 0)
-    one = (word + 0.5) / (n + 0.5 * (v + 1))
-    bucket = np.minimum(np.floor(np.log2(np.maximum(context, 0) + 1)).astype(np.int64), CONTEXT_BUCKETS - 1)
-    return two, one, bucket
+def estimates(counts: tuple[np.ndarray, ...], n: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
+    """Maximum-likelihood estimates (trigram, bigram, unigram; one row per token) and the bucket of the context."""
+    word, pair, triple, before, before2 = counts
+    ratio = lambda x, y: np.divide(x, y, out=np.zeros_like(x), where=y > 0)
+    power = lambda x: np.minimum(np.floor(np.log2(np.maximum(x, 0) + 1)).astype(np.int64), CONTEXT_BUCKETS - 1)
+    bucket = np.where(before2 > 0, CONTEXT_BUCKETS + power(before2), power(before))
+    total = np.broadcast_to(np.asarray(n, dtype=np.float64), word.shape)
+    return np.stack([ratio(triple, before2), ratio(pair, before), ratio(word, total)], 1), bucket
 
 
 def _level(p: np.ndarray) -> np.ndarray:
@@ -285,19 +305,26 @@ def _level(p: np.ndarray) -> np.ndarray:
     return out
 
 
-def _statistics(n: int, v: int, starts: int):
-    """Histogram (bucket, level of the bigram estimate, level of the unigram estimate) over held-out training tokens."""
-    levels = STEPS * OCTAVES + 1
+LEVELS = STEPS * OCTAVES + 1
+
+
+def held_out_cells(seen: Tokens, n: int) -> np.ndarray:
+    """Histogram cell (bucket, levels of the three estimates) of every training token, its own document deleted."""
+    learns = seen.shard.train[seen.shard.doc]
+    counts = tuple((total - own)[learns] for total, own in zip(seen.counts(), seen.own_counts(), strict=True))
+    length = np.diff(seen.shard.ends, prepend=0)[seen.shard.doc].astype(np.float64)
+    parts, bucket = estimates(counts, float(n) - length[learns])
+    cell = bucket
+    for k in range(parts.shape[1]):
+        cell = cell * LEVELS + _level(parts[:, k])
+    return cell
+
+
+def _statistics(n: int, starts: int, bits: int):
+    """Histogram over held-out training tokens."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        cells: list[np.ndarray] = []
-        for row in left.to_pylist():
-            seen = Tokens(Shard.load(row), right.to_pylist(), starts)
-            learns = seen.shard.train[seen.shard.doc]
-            word, pair, context = seen.own_counts()
-            length = np.diff(seen.shard.ends, prepend=0)[seen.shard.doc].astype(np.float64)
-            two, one, bucket = estimates((seen.word - word)[learns], (seen.pair - pair)[learns], (seen.context - context)[learns], float(n) - length[learns], v)
-            cells.append((bucket * levels + _level(two)) * levels + _level(one))
+        cells = [held_out_cells(Tokens(Shard.load(row), right, starts, bits), n) for row in left.to_pylist()]
         cell, many = np.unique(np.concatenate(cells), return_counts=True) if cells else (np.empty(0, np.int64), np.empty(0, np.int64))
         return pa.table({"cell": pa.array(cell, pa.int64()), "many": pa.array(many, pa.int64())})
 
@@ -305,17 +332,16 @@ def _statistics(n: int, v: int, starts: int):
 
 
 def learn_weights(cell: np.ndarray, many: np.ndarray, v: int) -> np.ndarray:
-    """EM for the weights (bigram, unigram, uniform) of each context bucket; a bucket without data leans on unigrams."""
-    levels = STEPS * OCTAVES + 1
-    weights = np.tile([0.05, 0.9, 0.05], (CONTEXT_BUCKETS, 1))
+    """EM for the weights (trigram, bigram, unigram, uniform) of each bucket; a bucket without data leans on unigrams."""
+    weights = np.tile([0.05, 0.1, 0.8, 0.05], (2 * CONTEXT_BUCKETS, 1))
     value = lambda level: np.where(level > 0, 2.0 ** (-(level - 1) / STEPS), 0.0)
-    bucket, two, one = cell // levels**2, value(cell // levels % levels), value(cell % levels)
-    parts = np.stack([two, one, np.full(len(cell), 1.0 / (v + 1))], 1)
-    for b in range(CONTEXT_BUCKETS):
+    bucket = cell // LEVELS**3
+    parts = np.stack([value(cell // LEVELS**2 % LEVELS), value(cell // LEVELS % LEVELS), value(cell % LEVELS), np.full(len(cell), 1.0 / (v + 1))], 1)
+    for b in range(2 * CONTEXT_BUCKETS):
         mine = bucket == b
         if not mine.any():
             continue
-        p, m, w = parts[mine], many[mine].astype(float), np.array([1 / 3, 1 / 3, 1 / 3])
+        p, m, w = parts[mine], many[mine].astype(float), np.full(4, 0.25)
         for _ in range(EM_ROUNDS):
             share = p * w
             share /= share.sum(1, keepdims=True)
@@ -330,18 +356,18 @@ def learn_weights(cell: np.ndarray, many: np.ndarray, v: int) -> np.ndarray:
     return weights
 
 
-def _score(n: int, v: int, starts: int, weights: np.ndarray, schema: pa.Schema):
+def _score(n: int, v: int, starts: int, bits: int, weights: np.ndarray, schema: pa.Schema):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for row in left.to_pylist():
-            seen = Tokens(Shard.load(row), right.to_pylist(), starts)
-            two, one, bucket = estimates(seen.word, seen.pair, seen.context, float(n), v)
-            w = weights[bucket]
-            p = np.log10(w[:, 0] * two + w[:, 1] * one + w[:, 2] / (v + 1))
+            seen = Tokens(Shard.load(row), right, starts, bits)
+            counts = seen.counts()
+            parts, bucket = estimates(counts, float(n))
+            p = np.log10((weights[bucket, :3] * parts).sum(1) + weights[bucket, 3] / (v + 1))
+            base = np.log10((counts[0] + 0.5) / (n + 0.5 * (v + 1)))
             begin = np.concatenate([[0], seen.shard.ends[:-1]])
             add = lambda x: np.add.reduceat(x, begin)
-            docs = len(begin)
-            columns = [_ids(row["ids"]), pa.array(~seen.shard.train), pa.array(np.diff(seen.shard.ends, prepend=0)), pa.array(add((seen.word > 0).astype(np.int64))), pa.array(np.full(docs, n)), pa.array(add(np.log10(one))), pa.array(add(p))]
+            columns = [_ids(row["ids"]), pa.array(~seen.shard.train), pa.array(np.diff(seen.shard.ends, prepend=0)), pa.array(add((counts[0] > 0).astype(np.int64))), pa.array(np.full(len(begin), n)), pa.array(add(base)), pa.array(add(p))]
             out.append(pa.table([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema))
         return pa.concat_tables(out) if out else schema.empty_table()
 
@@ -354,16 +380,17 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), in_training(id_col).alias("train"))
     size, starts = rows.agg(F.sum(F.octet_length("text")), F.count_if("train")).first()
     spans = max(16, math.ceil((size or 0) / (BYTES_PER_KEY * range_keys)))
+    bits = min(64, math.ceil(math.log2(max(2, (size or 0) / BYTES_PER_KEY))) + KEY_SLACK)
     shards = materialise(rows.mapInArrow(_cut(shard_tokens), SHARD_DDL), "lm-shards")
-    requests = shards.select("shard", *SHARD_COLUMNS).mapInArrow(_requests(spans), REQUEST_DDL)
-    answers = materialise(requests.groupBy("kind", "span").applyInArrow(_answer, ANSWER_DDL), "lm-answers")
+    requests = shards.select("shard", *SHARD_COLUMNS).mapInArrow(_requests(spans, bits), REQUEST_DDL)
+    answers = materialise(requests.repartition(3 * spans, "kind", "span").groupBy("kind", "span").applyInArrow(_answer, ANSWER_DDL), "lm-answers")
     del requests
     release(spark)
     found = answers.where(F.col("kind") == UNIGRAM).agg(F.sum("tokens"), F.sum("types")).first()
     n, v = (int(x or 0) for x in found)
     both = lambda: shards.groupBy("shard").cogroup(answers.select("shard", "kind", "span", "totals").groupBy("shard"))
-    cells = both().applyInArrow(_statistics(n, v, starts), "cell long, many long").groupBy("cell").agg(F.sum("many").alias("many"))
-    # Bounded: CONTEXT_BUCKETS * (STEPS * OCTAVES + 1)^2 cells at the very most.
+    cells = both().applyInArrow(_statistics(n, starts, bits), "cell long, many long").groupBy("cell").agg(F.sum("many").alias("many"))
+    # Bounded: 2 * CONTEXT_BUCKETS * LEVELS^3 cells, some thirteen million, at the very most.
     got = cells.toPandas()
     del cells
     release(spark)
@@ -372,4 +399,4 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = rows.schema["id"].dataType.simpleString()
     ddl = f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     schema = to_arrow_schema(spark.createDataFrame([], ddl).schema)
-    return both().applyInArrow(_score(n, v, starts, weights, schema), ddl)
+    return both().applyInArrow(_score(n, v, starts, bits, weights, schema), ddl)

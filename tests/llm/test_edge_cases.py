@@ -131,8 +131,8 @@ def test_language_model(docs, none):
 def test_em_prefers_the_better_estimate():
     import numpy as np
 
-    levels = language_model.STEPS * language_model.OCTAVES + 1
-    cell = (3 * levels + 9) * levels + 81  # bucket 3, bigram 1/2, unigram 2**-10
+    levels, step = language_model.LEVELS, language_model.STEPS
+    cell = ((3 * levels + step + 1) * levels + 4 * step + 1) * levels + 10 * step + 1  # bucket 3, trigram 1/2, bigram 1/16, unigram 2**-10
     weights = language_model.learn_weights(np.array([cell]), np.array([1000]), 10_000)
     assert weights[3, 0] > 0.99 and abs(weights.sum(1) - 1).max() < 1e-9
 
