@@ -126,8 +126,14 @@ def documents(pages: DataFrame, doc_col: str = "path") -> DataFrame:
 
 
 def intermediate(spark: SparkSession, path: str) -> DataFrame:
-    """Intermediate files: one JSON object per input with its chunks and tables."""
-    return spark.read.schema(schemas.INTERMEDIATE).option("multiLine", "true").option("pathGlobFilter", "*_intermediate.json").option("recursiveFileLookup", "true").json(path)
+    """Intermediate files: one JSON object per input with its chunks and tables.
+
+    Files named *_intermediate.json hold one object each; a folder that ``write_intermediate`` made holds one per line.
+    """
+    rows = spark.read.schema(schemas.INTERMEDIATE).option("recursiveFileLookup", "true")
+    whole = rows.option("multiLine", "true").option("pathGlobFilter", "*_intermediate.json").json(path)
+    lines = spark.read.schema(schemas.INTERMEDIATE).option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*.json").json(path)
+    return whole.unionByName(lines)
 
 
 def triples(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:

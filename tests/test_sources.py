@@ -41,7 +41,7 @@ def test_files_to_graph_to_service(spark, tmp_path, capsys):
     assert row.parameters.dead_storage_level.value == 2530.0 and {c.category for c in row.constraints} == {"storage", "water_level"}
     assert [(r.station, r.year) for r in service.hydrology([dam]).collect()] == [(ids["兰州水文站"], 2024)]
     assert service.path(dam, ids["兰州水文站"]).first().depth == 2
-    assert {r.symbol for r in service.solver_ready([dam])[0].collect()} == {"Z_1", "V_1"}
+    assert {r.symbol for r in service.solver_tables([dam])[0].collect()} == {"Z_1", "V_1"}
     assert service.compare([dam]).where("parameter = '总库容'").first()["龙羊峡水库"] == "247.0亿m³"
     filler = questions.keyword_filler(["兰州"], ["降水"])
     assert "兰州水文站(2024年)" in service.ask("兰州2024年降水？", filler)["data"]["answer"]
