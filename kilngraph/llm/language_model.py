@@ -14,7 +14,7 @@ of bounded size), once to score.  No count table is broadcast or collected; it g
 
 Words are runs of anything but U+0020 and U+0009-U+000D after lower-casing A-Z; every text ends with one end token.  Words
 are 64-bit hashes.  Hashes of bigrams and trigrams have ``KEY_SLACK`` bits more than it takes to number all tokens, so a
-key shares its hash with another one with a probability of at most 2^-KEY_SLACK, at any corpus size up to 2^42 tokens.
+key shares its hash with another one with a probability of at most 2^-KEY_SLACK, at any corpus size up to 2^48 tokens.
 
 Defined cases: null and empty texts consist of the end token alone; a null id counts as the id '' for the fold; repeated
 rows are separate rows; with no training token every estimate is the uniform one (base_score then uses N = V = 0); an
@@ -34,15 +34,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from kilngraph.llm.storage import materialise, release
+from kilngraph.llm.storage import materialise
 
 FOLDS, HELD_FOLD = 5, 1
 #: Tokens after which a shard is closed, and keys that a range holds on average.
-SHARD_TOKENS, RANGE_KEYS = 600_000, 1_500_000
+SHARD_TOKENS, RANGE_KEYS = 800_000, 1_500_000
 #: Bytes of text per key, at least; only sizes the ranges and hashes.
 BYTES_PER_KEY = 6
 #: Bits of bigram and trigram hashes beyond those that number all tokens.
-KEY_SLACK = 22
+KEY_SLACK = 16
 #: Buckets of c(v), and after them of c(u v), by powers of two.
 CONTEXT_BUCKETS = 24
 #: Cells of the EM's histogram: estimates are binned to 1/STEPS octaves over OCTAVES octaves, 0 apart.
@@ -384,16 +384,12 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shards = materialise(rows.mapInArrow(_cut(shard_tokens), SHARD_DDL), "lm-shards")
     requests = shards.select("shard", *SHARD_COLUMNS).mapInArrow(_requests(spans, bits), REQUEST_DDL)
     answers = materialise(requests.repartition(3 * spans, "kind", "span").groupBy("kind", "span").applyInArrow(_answer, ANSWER_DDL), "lm-answers")
-    del requests
-    release(spark)
     found = answers.where(F.col("kind") == UNIGRAM).agg(F.sum("tokens"), F.sum("types")).first()
     n, v = (int(x or 0) for x in found)
     both = lambda: shards.groupBy("shard").cogroup(answers.select("shard", "kind", "span", "totals").groupBy("shard"))
     cells = both().applyInArrow(_statistics(n, starts, bits), "cell long, many long").groupBy("cell").agg(F.sum("many").alias("many"))
     # Bounded: 2 * CONTEXT_BUCKETS * LEVELS^3 cells, some thirteen million, at the very most.
-    got = cells.toPandas()
-    del cells
-    release(spark)
+    got = materialise(cells, "lm-cells").toPandas()
     order = np.argsort(got.cell.to_numpy())
     weights = learn_weights(got.cell.to_numpy()[order], got.many.to_numpy()[order], v)
     kind = rows.schema["id"].dataType.simpleString()

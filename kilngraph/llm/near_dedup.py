@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from kilngraph.llm.components import components
 from kilngraph.llm.removal import BROADCAST_ROWS, without
-from kilngraph.llm.storage import discard, materialise, release, slices
+from kilngraph.llm.storage import discard, materialise, slices
 
 SHINGLE_WORDS = 5
 #: Link when HUNDREDTHS * union <= 100 * intersection.
@@ -303,7 +303,6 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, hundredths: in
     buckets = classes.select("node", "n", "regs").mapInArrow(_buckets, "key long, node long, n long")
     shared = buckets.groupBy("key").agg(F.count("*").alias("crowd")).where("crowd > 1").select(F.col("key").alias("shared_key"), "crowd")
     buckets = materialise(buckets.join(shared, F.col("key") == F.col("shared_key")).select("key", "node", "n", "crowd"), "near-buckets")
-    release(docs.sparkSession)
     labels = materialise(buckets.groupBy("node").agg(F.sum("crowd").alias("central"), F.first("node").alias("comp")), "near-labels")
 
     def still_open() -> DataFrame:
@@ -326,7 +325,6 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, hundredths: in
         links = linker.links(pairs)
         labels = _merged(labels, links)
         discard(open_, links)
-        release(docs.sparkSession)
     open_ = still_open()
     nodes = materialise(open_.select("node", "n", "comp").distinct(), "near-nodes")
     discard(open_, buckets)
@@ -335,7 +333,6 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, hundredths: in
     links = linker.links(pairs.join(tried, ["a", "b"], "left_anti"), sets)
     labels = _merged(labels, links)
     discard(nodes, sets, pairs, links)
-    release(docs.sparkSession)
     named_classes = classes.select("node", "digest", "id").join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").withColumn("comp", F.coalesce("comp", "node"))
     named_classes = materialise(named_classes.select("digest", "id", "comp"), "near-named")
     names = materialise(named_classes.groupBy(F.col("comp").alias("named")).agg(F.min("id").alias("component_id")), "near-names")

@@ -7,7 +7,6 @@ on a cluster the setting is required.  A table that later steps no longer read i
 
 from __future__ import annotations
 
-import gc
 import re
 import uuid
 from collections.abc import Iterator
@@ -16,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 LOCAL_FALLBACK = "/tmp/checkpoints"
 #: Bytes of a column that a Python worker unpacks at once.
 SLICE_BYTES = 2_000_000
@@ -37,10 +37,19 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
-    """Write ``df`` as a work table and return a reader of it; the plan above starts from the files."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path, compression=compression)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` as a work table and return a reader of it; the plan above starts from the files.
+
+    Shuffle files of the write are removed as it ends: nothing reads them again, and a lost table part is a lost file.
+    """
+    spark = df.sparkSession
+    path = new_folder(spark, name)
+    before = spark.conf.get(CLEANUP_KEY, None)
+    spark.conf.set(CLEANUP_KEY, "true")
+    try:
+        df.write.parquet(path, compression=compression)
+    finally:
+        spark.conf.unset(CLEANUP_KEY) if before is None else spark.conf.set(CLEANUP_KEY, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out.work_folder = path
     return out
 
@@ -79,9 +88,3 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = SLICE_BYTES) ->
             yield from slices(part.slice(half), column, most_bytes)
         else:
             yield part
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files whose plans are out of use; it acts on the driver's garbage collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
