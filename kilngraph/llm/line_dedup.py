@@ -3,17 +3,19 @@
 A line's set is its distinct words (runs of anything but U+0020 and U+0009-U+000D, lower-cased).  Lines are ordered by
 (id, text hash, line number).  A line is removed if an earlier line has a Jaccard similarity of 4/5 or more with it.
 
-1. Lines with equal sets form a class; its first line stands for it, every later one is removed.  A class is stored with
-   its words' 48-bit hashes, distinct and sorted; all later steps compare these.
+1. Lines with equal lower-cased text form a class; its first line stands for it, every later one is removed.  The shuffle
+   that finds them carries the text, which is shorter than its words' hashes.  A class is stored with its words' 64-bit
+   hashes, distinct and sorted; all later steps compare these.
 2. Near copies are settled first, without forming their pairs: classes that share one of up to four keys (three
    neighbouring word hashes from the low or high end) are compared with the earliest class under that key.
 3. The words of a class are ordered by rarity.  Rarity is read from word counts over all classes in a hashed table of
    fixed size; words that share an entry are ordered by hash.  Any fixed order gives exact results.
-4. The prefix filter keeps the n - ceil(4n/5) + 1 rarest words; two similar lines share one of them.  Every class that is
-   not settled meets all earlier classes under its prefix words; a pair must pass the length filter, the positional
-   filter, and a parity filter: each word flips one of 63 bits, and as many bits as differ must fit into the allowed
-   symmetric difference.
-5. Candidate pairs are verified on the full word sets.
+4. Prefix filter: of two similar lines, the smaller has a common word among its n - ceil(8n/9) + 1 rarest, the larger
+   among its n - ceil(4n/5) + 1 rarest.  Every class that is not settled meets all earlier classes under these words (a
+   word that occurs once meets nothing and is left out); a pair must pass the length filter, the positional filter, and a
+   parity filter: each word flips one of 63 bits, and as many bits as differ must fit into the allowed difference.
+5. Candidate pairs are verified on the full word sets: of each class the likeliest partner first, then all partners of
+   the classes that are still open.
 
 Defined cases: a null text is the empty text; lines without words stay; a null id ranks first; rows that repeat id and
 text are one document, reported each; an empty table gives an empty result; further columns are ignored.
@@ -21,26 +23,26 @@ text are one document, reported each; an empty table gives an empty result; furt
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kilngraph.llm.storage import materialise
+from kilngraph.llm.storage import discard, materialise
 
 #: Similar means intersection * SHARE[1] >= union * SHARE[0].
 SHARE = (4, 5)
-#: Entries of the rarity table.
-RARITY_ENTRIES = 1 << 17
+#: Entries of the rarity table, a byte each, and entries that are counted together on the way to the driver.
+RARITY_ENTRIES, RARITY_BLOCK = 1 << 20, 1 << 12
+#: Bits of a word's hash that serve as join key below its rarity.
+KEY_BITS = 56
 #: Tables of at most so many rows of one number are broadcast; longer ones are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 SPACE, NOT_BLANK = "[\\x20\\x09-\\x0D]+", "[^\\x20\\x09-\\x0D]"
 
 
 def word_set(line: Column) -> Column:
-    """Distinct 48-bit hashes of a lower-cased line's words, sorted."""
+    """Distinct 64-bit hashes of a lower-cased line's words, sorted."""
     words = F.array_remove(F.split(line, SPACE), "")
-    return F.sort_array(F.array_distinct(F.transform(words, lambda w: F.shiftrightunsigned(F.xxhash64(w), 16))))
+    return F.sort_array(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
 
 
 def _if_few(df: DataFrame) -> DataFrame:
@@ -51,11 +53,11 @@ def _if_few(df: DataFrame) -> DataFrame:
 def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """cid, words, n, parity and the place (id, doc, line_no) of the first line of each class."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    lines = rows.select("id", F.xxhash64("text").alias("doc"), F.posexplode(F.split(F.lower("text"), "\n")).alias("line_no", "line"))
-    sets = lines.select("id", "doc", "line_no", word_set(F.col("line")).alias("words")).where(F.size("words") > 0)
-    named = sets.withColumns({"h1": F.xxhash64("words"), "h2": F.xxhash64(F.lit(1), "words")})
-    first = named.groupBy("h1", "h2").agg(F.min(F.struct("id", "doc", "line_no", "words")).alias("f")).select("f.*")
-    parity = F.expr("aggregate(words, 0L, (a, w) -> a ^ shiftleft(1L, cast(w % 63 as int)))")
+    lines = rows.select("id", F.xxhash64("text").alias("doc"), F.posexplode(F.split(F.lower("text"), "\n")).alias("line_no", "line")).where(F.col("line").rlike(NOT_BLANK))
+    named = lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
+    first = named.groupBy("h1", "h2").agg(F.min(F.struct("id", "doc", "line_no", "line")).alias("f"))
+    first = first.select("f.id", "f.doc", "f.line_no", word_set(F.col("f.line")).alias("words"))
+    parity = F.expr("aggregate(words, 0L, (a, w) -> a ^ shiftleft(1L, cast(pmod(w, 63) as int)))")
     return materialise(first.withColumns({"n": F.size("words"), "parity": parity, "cid": F.monotonically_increasing_id()}), "line-classes", compression="zstd")
 
 
@@ -68,9 +70,9 @@ def _alike(x: str, y: str) -> Column:
 
 
 def _settled(classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The later class of every pair whose full word sets are similar; ``pairs`` has cids a, b in any order."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("want")).distinct()
-    sets = materialise(classes.join(_if_few(materialise(wanted, "line-wanted")), F.col("cid") == F.col("want"), "left_semi").select("cid", "id", "doc", "line_no", "words"), "line-sets")
+    """The later class of every pair whose full word sets are similar; ``pairs`` is a written table of cids a, b in any order."""
+    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("want")).distinct(), "line-wanted")
+    sets = materialise(classes.join(_if_few(wanted), F.col("cid") == F.col("want"), "left_semi").select("cid", "id", "doc", "line_no", "words"), "line-sets", compression="zstd")
     rows = pairs
     for c in ("a", "b"):
         side = sets.select(F.col("cid").alias(f"cid_{c}"), F.struct("id", "doc", "line_no").alias(f"at_{c}"), F.col("words").alias(f"set_{c}"))
@@ -78,7 +80,9 @@ def _settled(classes: DataFrame, pairs: DataFrame) -> DataFrame:
     both = F.size(F.array_intersect("set_a", "set_b"))
     similar = (SHARE[0] + SHARE[1]) * both >= SHARE[0] * (F.size("set_a") + F.size("set_b"))
     later = F.when(F.col("at_a") > F.col("at_b"), F.col("a")).when(F.col("at_b") > F.col("at_a"), F.col("b"))
-    return materialise(rows.where(similar).select(later.alias("done")).where("done is not null").distinct(), "line-settled")
+    found = materialise(rows.where(similar).select(later.alias("done")).where("done is not null").distinct(), "line-settled")
+    discard(wanted, sets)
+    return found
 
 
 def _near_copies(classes: DataFrame) -> DataFrame:
@@ -90,52 +94,85 @@ def _near_copies(classes: DataFrame) -> DataFrame:
     hubs = rows.groupBy("key").agg(F.min(F.struct("id", "line_no", "cid", "n", "parity")).alias("h"), F.count("*").alias("under")).where("under > 1")
     hubs = hubs.select(F.col("key").alias("hub_key"), F.col("h.cid").alias("h_cid"), F.col("h.n").alias("h_n"), F.col("h.parity").alias("h_parity"))
     pairs = rows.join(hubs, F.col("key") == F.col("hub_key")).where((F.col("cid") != F.col("h_cid")) & _alike("", "h_"))
-    return _settled(classes, materialise(pairs.select(F.col("cid").alias("a"), F.col("h_cid").alias("b")).distinct(), "line-stars"))
+    pairs = materialise(pairs.select(F.col("cid").alias("a"), F.col("h_cid").alias("b")).distinct(), "line-stars")
+    found = _settled(classes, pairs)
+    discard(pairs)
+    return found
+
+
+def _entry(word: Column) -> Column:
+    return F.pmod(word, F.lit(RARITY_ENTRIES)).cast("int")
 
 
-def _rarity(classes: DataFrame) -> Column:
-    """Levels of the hashed word counts, as one constant array of RARITY_ENTRIES numbers."""
-    words = classes.select(F.explode("words").alias("w")).groupBy((F.col("w") % RARITY_ENTRIES).cast("int").alias("entry")).count()
-    levels = ["0"] * RARITY_ENTRIES
-    for entry, n in words.collect():  # RARITY_ENTRIES rows at most
-        levels[entry] = str(int(8 * math.log2(n + 1)))
-    return F.split(F.lit(",".join(levels)), ",").cast("array<int>")
+def _rarity(classes: DataFrame) -> bytes:
+    """Level of each entry's word count, a byte from 1 (counted once) to 127; 0 for entries without words."""
+    words = classes.select(F.explode("words").alias("w")).groupBy(_entry(F.col("w")).alias("entry")).agg(F.count("*").alias("n"))
+    level = F.least(F.lit(127), F.floor(F.log2(F.col("n").cast("double")) * 4) + 1).cast("int")
+    code = F.lpad(F.hex((F.col("entry") % RARITY_BLOCK * 256 + level).cast("long")), 6, "0")
+    blocks = words.groupBy((F.col("entry") / RARITY_BLOCK).cast("int").alias("block")).agg(F.array_join(F.collect_list(code), "").alias("codes"))
+    table = bytearray(RARITY_ENTRIES)
+    for block, codes in blocks.collect():  # RARITY_ENTRIES / RARITY_BLOCK rows, of three bytes an entry
+        data, base = bytes.fromhex(codes), block * RARITY_BLOCK
+        for i in range(0, len(data), 3):
+            table[base + (data[i] << 8 | data[i + 1])] = data[i + 2]
+    return bytes(table)
+
+
+#: Places of n, pos and the two flags in a posting's packed number.
+_N, _POS = 28, 2
 
 
 def _prefixes(classes: DataFrame, settled: DataFrame) -> DataFrame:
-    """word, cid, id, line_no, pos, n, parity for each prefix word; ``most`` is the longest partner, -1 for settled classes."""
-    levels = _rarity(classes)
-    key = lambda w: F.shiftleft(F.element_at(levels, ((w % RARITY_ENTRIES) + 1).cast("int")).cast("long"), 48).bitwiseOR(w)
+    """word, cid, id, line_no, parity, info for each prefix word; info holds n, pos, whether open, whether in the short prefix."""
+    num, den = SHARE
+    levels = F.lit(_rarity(classes))
+    level = lambda w: F.ascii(F.substring(levels, _entry(w) + 1, F.lit(1)).cast("string")).cast("long")
+    key = lambda w: F.shiftleft(level(w), KEY_BITS).bitwiseOR(F.shiftrightunsigned(w, 64 - KEY_BITS))
     rows = classes.join(_if_few(settled), F.col("cid") == F.col("done"), "left")
-    most = F.when(F.col("done").isNull(), F.floor(F.col("n") * F.lit(SHARE[1]) / F.lit(SHARE[0])).cast("int")).otherwise(-1)
-    length = F.expr(f"n - cast(floor(({SHARE[0]} * n + {SHARE[1] - 1}) / {SHARE[1]}) as int) + 1")
-    return rows.select("cid", "id", "line_no", "n", "parity", most.alias("most"), F.posexplode(F.slice(F.sort_array(F.transform("words", key)), F.lit(1), length)).alias("pos", "word"))
+    n = F.col("n").cast("long")
+    up = lambda a, b: F.floor((a * n + (b - 1)) / F.lit(b)).cast("int")  # noqa: E731  a * n / b, rounded up
+    length, short = n.cast("int") - up(num, den) + 1, n.cast("int") - up(2 * num, num + den) + 1
+    rows = rows.select("cid", "id", "line_no", "n", "parity", short.alias("short"), F.col("done").isNull().cast("long").alias("open"), F.posexplode(F.slice(F.sort_array(F.transform("words", key)), F.lit(1), length)).alias("pos", "word"))
+    once = F.shiftright("word", KEY_BITS) == 1
+    info = F.shiftleft(n, _N).bitwiseOR(F.shiftleft(F.col("pos").cast("long"), _POS)).bitwiseOR(F.col("open") * 2).bitwiseOR((F.col("pos") < F.col("short")).cast("long"))
+    return rows.where(~once).select("word", "cid", "id", "line_no", "parity", info.alias("info"))
 
 
 def _similar_to_earlier(classes: DataFrame, settled: DataFrame) -> DataFrame:
     """cids (done) of open classes that any earlier class is similar to."""
     num, den = SHARE
     index = _prefixes(classes, settled)
-    columns = ["word", "cid", "id", "line_no", "n", "pos", "parity", "most"]
-    x, y = (index.select(*[F.col(c).alias(f"{s}{c}") for c in columns]) for s in ("x_", "y_"))
-    # ``x_most`` both bounds the partner's length and shuts out settled classes.  No condition is on one side alone and both
-    # sides read the same columns (hence the last condition, which always holds), so one shuffle serves both.
-    before = (F.struct("y_id", "y_line_no") <= F.struct("x_id", "x_line_no")) & (F.col("x_cid") != F.col("y_cid")) & (F.col("y_n") <= F.col("x_most"))
-    before = before & (F.col("y_most").cast("long") <= F.col("x_most").cast("long") + F.lit(1 << 40))
-    overlap = 1 + F.least(F.col("x_n") - 1 - F.col("x_pos"), F.col("y_n") - 1 - F.col("y_pos"))
-    fits = (num + den) * overlap >= num * (F.col("x_n") + F.col("y_n"))
-    pairs = x.join(y, (F.col("x_word") == F.col("y_word")) & before & fits & _alike("x_", "y_"))
-    return _settled(classes, materialise(pairs.select(F.col("x_cid").alias("a"), F.col("y_cid").alias("b")).distinct(), "line-pairs"))
+    x, y = (index.select(*[F.col(c).alias(f"{s}{c}") for c in index.columns]) for s in ("x_", "y_"))
+    part = lambda s: {"n": F.shiftright(F.col(f"{s}info"), _N), "pos": F.shiftright(F.col(f"{s}info"), _POS).bitwiseAND((1 << (_N - _POS)) - 1), "open": F.col(f"{s}info").bitwiseAND(2), "short": F.col(f"{s}info").bitwiseAND(1)}
+    a, b = part("x_"), part("y_")
+    # No condition is on one side alone and both sides read the same columns, so one shuffle serves both.
+    before = (F.struct("y_id", "y_line_no") <= F.struct("x_id", "x_line_no")) & (F.col("x_cid") != F.col("y_cid")) & (a["open"] * b["n"] > 0)
+    larger = (a["n"] > b["n"]) | ((a["n"] == b["n"]) & (F.col("x_cid") > F.col("y_cid")))
+    before = before & (F.when(larger, b["short"]).otherwise(a["short"]) == 1) & (den * F.least(a["n"], b["n"]) >= num * F.greatest(a["n"], b["n"]))
+    overlap = 1 + F.least(a["n"] - 1 - a["pos"], b["n"] - 1 - b["pos"])
+    fits = (num + den) * overlap >= num * (a["n"] + b["n"])
+    differ = F.bit_count(F.col("x_parity").bitwiseXOR(F.col("y_parity")))
+    near = (num + den) * (a["n"] + b["n"] - differ) >= 2 * num * (a["n"] + b["n"])
+    pairs = x.join(y, (F.col("x_word") == F.col("y_word")) & before & fits & near)
+    pairs = materialise(pairs.select(F.col("x_cid").alias("a"), F.col("y_cid").alias("b"), differ.alias("differ")).distinct(), "line-pairs")
+    likely = materialise(pairs.groupBy("a").agg(F.min(F.shiftleft(F.col("differ").cast("long"), 56).bitwiseOR(F.col("b"))).alias("best")).select("a", F.col("best").bitwiseAND((1 << 56) - 1).alias("b")), "line-likely")
+    first = _settled(classes, likely)
+    rest = pairs.join(_if_few(first), F.col("a") == F.col("done"), "left_anti").join(likely.withColumnsRenamed({"a": "la", "b": "lb"}), (F.col("a") == F.col("la")) & (F.col("b") == F.col("lb")), "left_anti")
+    rest = materialise(rest.select("a", "b"), "line-rest")
+    discard(pairs, likely)
+    second = _settled(classes, rest)
+    discard(rest)
+    return first.unionByName(second)
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_lines, n_removed and the text of the lines that stay."""
-    spark = docs.sparkSession
     classes = _classes(docs, id_col, text_col)
     copies = _near_copies(classes)
     gone = copies.unionByName(_similar_to_earlier(classes, copies)).distinct()
     stay = classes.select("cid", "id", "doc", "line_no").join(gone, F.col("cid") == F.col("done"), "left_anti")
-    stay = stay.groupBy(F.col("id").alias("stay_id"), F.col("doc").alias("stay_doc")).agg(F.collect_list("line_no").alias("stay"))
+    stay = materialise(stay.groupBy(F.col("id").alias("stay_id"), F.col("doc").alias("stay_doc")).agg(F.collect_list("line_no").alias("stay")), "line-stay")
+    discard(classes)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("doc"), text.alias("text"))
     rows = rows.join(stay, (F.col("doc") == F.col("stay_doc")) & F.col("id").eqNullSafe(F.col("stay_id")), "left").withColumn("lines", F.split("text", "\n"))
