@@ -148,15 +148,24 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
 def blend(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The documents that the mix takes words from, all columns, with what ``mixture`` says of them.
 
-    Clashing names get a trailing underscore on the added column.  Rows that repeat id and text exactly are taken alike,
-    as often as the most taken of them.
+    Clashing names get a trailing underscore on the added column.  Rows that repeat id and text exactly share out what the
+    mix takes of them: as many rows get each amount as the plan has.
     """
     names = docs.columns
-    key, ident = fresh(names, "__mix_key"), fresh(names, "__mix_id")
+    key, what, place = (fresh(names, x) for x in ("__mix_key", "__mix", "__place"))
     seed = options.get("seed", SEED)
     extra = ["size", "source_size", "target", "taken", "passes", "extra"]
     got = mixture(docs.select(id_col, text_col, source_col), id_col, text_col, source_col, **options).where("taken > 0")
-    got = got.groupBy(id_col, "key").agg(F.max(F.struct("taken", *[c for c in extra if c != "taken"])).alias("got"))
-    got = got.select(F.col(id_col).alias(ident), F.col("key").alias(key), *[F.col(f"got.{c}").alias(fresh(names, c)) for c in extra])
-    rows = docs.withColumn(key, F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)))
-    return rows.join(got, [key]).where(F.col(id_col).eqNullSafe(F.col(ident))).drop(key, ident)
+    # Repeated rows have few different amounts, so a list of amounts with their counts is short.
+    got = got.groupBy("key", *extra).agg(F.count("*").alias("n"))
+    got = got.groupBy(F.col("key").alias(key)).agg(F.sort_array(F.collect_list(F.struct("taken", "passes", "size", "source_size", "target", "extra", "n")), asc=False).alias(what))
+    got = materialise(got, "mix-taken")
+    rows = docs.withColumn(key, F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))).join(got, [key])
+    if got.where((F.size(what) > 1) | (F.col(what)[0]["n"] > 1)).isEmpty():
+        rows = rows.withColumn(what, F.col(what)[0])
+    else:
+        rows = rows.withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0))))
+        begins = F.transform(what, lambda _, i: F.aggregate(F.slice(F.col(what), F.lit(1), i), F.lit(0).cast("long"), lambda s, x: s + x["n"]))
+        mine = F.filter(F.zip_with(what, begins, lambda x, b: F.struct(x.alias("x"), b.alias("b"))), lambda z: (z["b"] < F.col(place)) & (F.col(place) <= z["b"] + z["x"]["n"]))
+        rows = rows.withColumn(what, F.get(mine, F.lit(0))["x"]).where(F.col(what).isNotNull())
+    return rows.select(*[F.col(f"`{c}`") for c in names], *[F.col(f"{what}.{c}").alias(fresh(names, c)) for c in extra])
