@@ -30,9 +30,8 @@ from typing import Any
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 
 from kilngraph.llm.storage import materialise, new_folder
 
@@ -47,9 +46,9 @@ LOCAL_FMT, CENTRAL_FMT, END_FMT, END64_FMT, LOCATOR64_FMT = "<4s5H3I2H", "<4s6H3
 FULL16, FULL32, EXTRA64 = 0xFFFF, 0xFFFFFFFF, 1
 
 
-@F.arrow_udf(BinaryType())
-def payload_sha1(html: pa.Array) -> pa.Array:
-    return pa.array([hashlib.sha1(p or b"").digest() for p in html.cast(pa.binary()).to_pylist()], pa.binary())
+def payload_sha1(html: Column) -> Column:
+    """SHA-1 of the UTF-8 payload; a null payload counts as empty."""
+    return F.unhex(F.sha1(F.coalesce(html, F.lit("")).cast("binary")))
 
 
 # --- ZIP ---------------------------------------------------------------------------------------------------------
@@ -304,7 +303,7 @@ def _read(id_type: pa.DataType, with_payload: bool, batch_rows: int = 256):
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, least_bytes: int = LEAST_BYTES, member_bytes: int = MEMBER_BYTES, archive_bytes: int = ARCHIVE_BYTES, force_zip64: bool = False) -> DataFrame:
     """Write all pages; returns the manifest (path, records), itself a written table."""
     spark = pages.sparkSession
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html")).withColumn("sha1", payload_sha1("html"))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html")).withColumn("sha1", payload_sha1(F.col("html")))
     size = F.coalesce(F.octet_length("html"), F.lit(0))
     groups = materialise(rows.select("page_id", "sha1", size.alias("bytes")), "warc-payloads")
     # One row per payload that is shared by several rows: the response's page, and how many rows repeat that very page.
