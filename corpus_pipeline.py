@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's ``docs``.  All but the last return the columns of ``docs``; the mix adds what it takes of each document.
+
+Defined cases, for every stage: an empty table stays empty, with its columns; further columns are kept, whatever their
+names; a null id is a value like any other; a null or empty text is not toxic by its words, equals every other empty one
+in the exact stage, is nobody's near copy, is not contaminated, and is never taken by the mix; texts are read whole.
 """
 
 from __future__ import annotations
@@ -15,27 +19,27 @@ from kilngraph.llm.storage import materialise, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score of 0.5 or more go."""
+    """Documents with a toxicity score of 0.5 or more go; rows that repeat go or stay together."""
     return toxicity.screen(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts (A-Z lower-cased) the row with the largest doc_id stays."""
+    """Of equal texts (A-Z lower-cased) the row with the largest doc_id stays; of rows that repeat id and text, one."""
     return exact_dedup.deduplicate(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles with a similarity of 0.8 or more, that with the smallest doc_id stays."""
+    """Of documents linked by five-word shingles with a similarity of 0.8 or more, that with the smallest doc_id stays; texts without words all stay."""
     return near_dedup.deduplicate(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth or more lies in benchmark windows go."""
+    """Documents of which a twentieth or more lies in benchmark windows go; rows that repeat go or stay together."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which the mix takes words, with how many and which."""
+    """Documents of which the mix takes words, with how many and which; rows that repeat share out what is taken of them."""
     return mixing.blend(docs)
 
 
