@@ -313,6 +313,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, hundredths: in
 
     near_size = lambda x, y: 100 * F.least(x, y) >= hundredths * F.greatest(x, y)
     tried: DataFrame | None = None
+    spent: list[DataFrame] = [classes]
     for turn in range(STAR_ROUNDS):
         open_ = still_open()
         weight = F.col("central") if turn == 0 else F.xxhash64(F.lit(SEED + turn), "node")
@@ -321,6 +322,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, hundredths: in
         pairs = open_.join(hubs, F.col("key") == F.col("hub_key")).where((F.col("comp") != F.col("hub_comp")) & near_size(F.col("n"), F.col("hub_n")))
         pairs = pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
+        spent.append(pairs)
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = linker.links(pairs)
         labels = _merged(labels, links)
@@ -338,8 +340,10 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, hundredths: in
     names = materialise(named_classes.groupBy(F.col("comp").alias("named")).agg(F.min("id").alias("component_id")), "near-names")
     found = named_classes.join(names, F.col("comp") == F.col("named")).select(F.col("digest").alias("class_digest"), "comp", "component_id")
     found = materialise(found, "near-components")
-    discard(named_classes, names, labels)
-    return rows.drop("regs"), found
+    discard(named_classes, names, labels, *spent)
+    narrow = rows.drop("regs")
+    narrow.work_folder = rows.work_folder
+    return narrow, found
 
 
 def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle_words: int = SHINGLE_WORDS, hundredths: int = HUNDREDTHS) -> DataFrame:
@@ -362,4 +366,5 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     top = member.groupBy(F.col("comp").alias("of")).agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "mark")).alias("top"))
     judged = member.join(top, F.col("comp") == F.col("of")).withColumn("stays", F.col("id").eqNullSafe(F.col("top.id")) & (F.col("mark") == F.col("top.mark")))
     judged = materialise(judged.where("not stays or many > 1").select("id", "mark", "stays"), "near-dropped")
+    discard(rows, found, member)
     return without(docs, judged, id_col, F.xxhash64(F.lit(SEED), F.col(text_col)))
