@@ -13,7 +13,7 @@ A line's set is its distinct words (runs of anything but U+0020 and U+0009-U+000
 4. Prefix filter: of two similar lines, the smaller has a common word among its n - ceil(8n/9) + 1 rarest, the larger
    among its n - ceil(4n/5) + 1 rarest.  Every class that is not settled meets all earlier classes under these words (a
    word that occurs once meets nothing and is left out); a pair must pass the length filter, the positional filter, and a
-   parity filter: each word flips one of 63 bits, and as many bits as differ must fit into the allowed difference.
+   parity filter: each word flips one of 64 bits, and as many bits as differ must fit into the allowed difference.
 5. Candidate pairs are verified on the full word sets: of each class the likeliest partner first, then all partners of
    the classes that are still open.
 
@@ -57,7 +57,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     named = lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
     first = named.groupBy("h1", "h2").agg(F.min(F.struct("id", "doc", "line_no", "line")).alias("f"))
     first = first.select("f.id", "f.doc", "f.line_no", word_set(F.col("f.line")).alias("words"))
-    parity = F.expr("aggregate(words, 0L, (a, w) -> a ^ shiftleft(1L, cast(pmod(w, 63) as int)))")
+    parity = F.expr("aggregate(words, 0L, (a, w) -> a ^ shiftleft(1L, cast(w & 63 as int)))")
     return materialise(first.withColumns({"n": F.size("words"), "parity": parity, "cid": F.monotonically_increasing_id()}), "line-classes", compression="zstd")
 
 
@@ -101,21 +101,24 @@ def _near_copies(classes: DataFrame) -> DataFrame:
 
 
 def _entry(word: Column) -> Column:
-    return F.pmod(word, F.lit(RARITY_ENTRIES)).cast("int")
+    return word.bitwiseAND(RARITY_ENTRIES - 1)
 
 
-def _rarity(classes: DataFrame) -> bytes:
-    """Level of each entry's word count, a byte from 1 (counted once) to 127; 0 for entries without words."""
+def _rarity(classes: DataFrame) -> Column:
+    """Level of each entry's word count, from 1 (counted once) to 127, 0 for entries without words: a constant array.
+
+    Eight levels are packed into a number.
+    """
     words = classes.select(F.explode("words").alias("w")).groupBy(_entry(F.col("w")).alias("entry")).agg(F.count("*").alias("n"))
     level = F.least(F.lit(127), F.floor(F.log2(F.col("n").cast("double")) * 4) + 1).cast("int")
-    code = F.lpad(F.hex((F.col("entry") % RARITY_BLOCK * 256 + level).cast("long")), 6, "0")
+    code = F.lpad(F.hex((F.col("entry") % RARITY_BLOCK * 256 + level)), 6, "0")
     blocks = words.groupBy((F.col("entry") / RARITY_BLOCK).cast("int").alias("block")).agg(F.array_join(F.collect_list(code), "").alias("codes"))
     table = bytearray(RARITY_ENTRIES)
     for block, codes in blocks.collect():  # RARITY_ENTRIES / RARITY_BLOCK rows, of three bytes an entry
         data, base = bytes.fromhex(codes), block * RARITY_BLOCK
         for i in range(0, len(data), 3):
             table[base + (data[i] << 8 | data[i + 1])] = data[i + 2]
-    return bytes(table)
+    return F.split(F.lit(",".join(map(str, memoryview(table).cast("q")))), ",").cast("array<bigint>")
 
 
 #: Places of n, pos and the two flags in a posting's packed number.
@@ -125,8 +128,8 @@ _N, _POS = 28, 2
 def _prefixes(classes: DataFrame, settled: DataFrame) -> DataFrame:
     """word, cid, id, line_no, parity, info for each prefix word; info holds n, pos, whether open, whether in the short prefix."""
     num, den = SHARE
-    levels = F.lit(_rarity(classes))
-    level = lambda w: F.ascii(F.substring(levels, _entry(w) + 1, F.lit(1)).cast("string")).cast("long")
+    levels = _rarity(classes)
+    level = lambda w: F.call_function("shiftright", F.get(levels, F.shiftright(_entry(w), 3).cast("int")), F.shiftleft(w.bitwiseAND(7), 3).cast("int")).bitwiseAND(127)
     key = lambda w: F.shiftleft(level(w), KEY_BITS).bitwiseOR(F.shiftrightunsigned(w, 64 - KEY_BITS))
     rows = classes.join(_if_few(settled), F.col("cid") == F.col("done"), "left")
     n = F.col("n").cast("long")
