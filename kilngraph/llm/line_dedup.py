@@ -40,8 +40,8 @@ SPACE, NOT_BLANK = "[\\x20\\x09-\\x0D]+", "[^\\x20\\x09-\\x0D]"
 
 
 def word_set(line: Column) -> Column:
-    """Distinct 64-bit hashes of a lower-cased line's words, sorted."""
-    words = F.array_remove(F.split(line, SPACE), "")
+    """Distinct 64-bit hashes of the words of a lower-cased line that has any, sorted."""
+    words = F.split(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), SPACE)
     return F.sort_array(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
 
 
@@ -71,7 +71,7 @@ def _alike(x: str, y: str) -> Column:
 
 def _settled(classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The later class of every pair whose full word sets are similar; ``pairs`` is a written table of cids a, b in any order."""
-    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("want")).distinct(), "line-wanted")
+    wanted = materialise(pairs.select(F.col("a").alias("want")).unionByName(pairs.select(F.col("b").alias("want"))).distinct(), "line-wanted")
     sets = materialise(classes.join(_if_few(wanted), F.col("cid") == F.col("want"), "left_semi").select("cid", "id", "doc", "line_no", "words"), "line-sets", compression="zstd")
     rows = pairs
     for c in ("a", "b"):
