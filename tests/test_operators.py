@@ -141,7 +141,7 @@ def test_dedupe_prefers_dated_then_confident_then_first(spark):
     assert normalising.deduplicate(normalising.deduplicate(frame)).count() == 2
 
 
-@pytest.mark.parametrize(("phrase", "meant", "published"), [("不低于", ">=", "<="), ("不小于", ">=", "<="), ("不少于", ">=", ">="), ("大于等于", ">=", ">="), ("小于等于", "<=", "<="), ("不高于", "<=", "<="), ("高于", ">=", ">="), ("总库容为", "==", "=="), ("正常蓄水位", None, None)])
+@pytest.mark.parametrize(("phrase", "meant", "published"), [("不低于", ">=", "<="), ("不小于", ">=", "<="), ("不少于", ">=", ">="), ("大于等于", ">=", ">="), ("小于等于", "<=", "<="), ("不高于", "<=", "<="), ("高于", ">=", ">="), ("总库容为", "==", "=="), ("出库流量控制 500m³/s", "==", "=="), ("正常蓄水位", None, None)])
 def test_operator_words(spark, phrase, meant, published):
     assert one(spark, formulation.extract_operator(F.col("p")), p=phrase) == meant
     assert one(spark, formulation.extract_operator(F.col("p"), published=True), p=phrase) == published
