@@ -1,5 +1,6 @@
 """Text, table, extraction, normalisation, formulation and graph operators on edge cases."""
 
+import hashlib
 import json
 
 import pytest
@@ -71,12 +72,12 @@ def test_whole_documents_match_plain_loop(spark, tmp_path):
     texts = ["short", "a" * 4500, " \n", None, "line of words. " * 300, "\n\n".join("p" * n for n in (700, 1500, 2600, 10)), "end"]
     rows = [(i, "even" if i % 2 == 0 else "odd", t) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    chunks = {i: [len(c) for c in reference_chunks(t, 2000, 200)] for i, _, t in rows}
-    assert sorted(map(tuple, CATALOGUE["chunk_whole"](spark, str(tmp_path)).collect())) == [(i, f"chunk_{k:04d}", n) for i in chunks for k, n in enumerate(chunks[i])]
+    chunks = {i: [(len(c), hashlib.md5(c.encode()).hexdigest()) for c in reference_chunks(t, 2000, 200)] for i, _, t in rows}
+    assert sorted(map(tuple, CATALOGUE["chunk_whole"](spark, str(tmp_path)).collect())) == [(i, f"chunk_{k:04d}", *c) for i in chunks for k, c in enumerate(chunks[i])]
     want = []
     for source in ("even", "odd"):
-        pages = [(i, n) for i, s, _ in rows if s == source for n in chunks[i]]
-        want += [(source, i, f"chunk_{k:04d}", n) for k, (i, n) in enumerate(pages)]
+        pages = [(i, c) for i, s, _ in rows if s == source for c in chunks[i]]
+        want += [(source, i, f"chunk_{k:04d}", *c) for k, (i, c) in enumerate(pages)]
     got = CATALOGUE["doc_renumber_whole"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got), key=lambda r: (r[0], r[2])) == want and max(len(c) for c in chunks.values()) > 1
 
@@ -106,7 +107,7 @@ def test_parse_and_repair(spark):
 def test_cut_answers_of_every_shape_keep_their_first_item(spark):
     sf = "/root/testdata/sf0.001"
     events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id", "event_type", "props").collect()
-    want = sorted((e.event_id, f"u{e.user_id}", e.event_type, str(json.loads(e.props)["k"])) for e in events)
+    want = sorted((e.event_id, f"u{e.user_id}", e.event_type, str(json.loads(e.props)["k"]), e.event_id % 4) for e in events)
     assert {e.event_id % 12 for e in events} == set(range(12))
     assert sorted(map(tuple, CATALOGUE["json_repair_shapes"](spark, sf).collect())) == want
 
