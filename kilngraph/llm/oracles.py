@@ -64,5 +64,56 @@ WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.pos < p.n_turns AND p.pos = f.n_turns
 """
 
 
+OP12 = rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({FOLD}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS a FROM documents),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM (SELECT r, lang, source, unnest(a) AS term FROM d) GROUP BY lang, source, term),
+v AS MATERIALIZED (SELECT lang, term, sum(n)::BIGINT AS n FROM c GROUP BY lang, term HAVING sum(docs) >= 10),
+k AS MATERIALIZED (SELECT c.lang, c.source, c.term, c.n FROM c JOIN v ON c.lang = v.lang AND c.term = v.term),
+l AS (SELECT lang, count(*) AS terms, sum(n) AS total FROM v GROUP BY lang),
+gk AS (SELECT lang, source, sum(n) AS total FROM k GROUP BY lang, source),
+g AS MATERIALIZED (SELECT d.lang, d.source, coalesce(gk.total, 0) AS total FROM (SELECT DISTINCT lang, source FROM d) d LEFT JOIN gk ON d.lang = gk.lang AND d.source = gk.source),
+p AS MATERIALIZED (SELECT g.lang, g.source, v.term, coalesce(k.n, 0) AS n,
+             1 + (1000000000::HUGEINT * (coalesce(k.n, 0) + 2)) // (g.total + 2 * l.terms)::HUGEINT AS p,
+             1 + (1000000000::HUGEINT * (v.n + 2)) // (l.total + 2 * l.terms)::HUGEINT AS q
+      FROM g JOIN l ON g.lang = l.lang JOIN v ON v.lang = g.lang LEFT JOIN k ON k.lang = g.lang AND k.source = g.source AND k.term = v.term),
+f AS (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value
+      FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY x.lang, x.source, y.source),
+e AS (SELECT a.lang, a.source, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+t AS (SELECT lang, source, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INTEGER AS rank FROM e
+UNION ALL
+SELECT * FROM (SELECT lang, source, 'term' AS part, item, value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INTEGER AS rank FROM t) WHERE rank <= 10
+"""
+
+
+def _op11() -> str:
+    """Four rounds over four part positions, written out; components are doubles that hold whole numbers, so sums and products are exact."""
+    steps = []
+    for n in range(5):
+        steps.append(f"""a{n} AS MATERIALIZED (SELECT vec_id, p, v, d.e AS e, d.d AS d FROM (
+  SELECT x.vec_id, x.p, x.v, min({{'d': x.s - 2 * list_dot_product(x.v, b.v) + b.s, 'e': b.e}}) AS d FROM x JOIN b{n} b ON x.p = b.p GROUP BY x.vec_id, x.p, x.v))""")
+        if n < 4:
+            steps.append(f"""m{n} AS (SELECT p, e, i, floor(sum(w) / count(*)) AS w FROM (SELECT p, e, unnest(range(len(v))) AS i, unnest(v) AS w FROM a{n}) GROUP BY p, e, i),
+n{n} AS (SELECT p, e, list(w ORDER BY i) AS v FROM m{n} GROUP BY p, e),
+b{n + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(n.v, b.v) AS v, list_dot_product(coalesce(n.v, b.v), coalesce(n.v, b.v)) AS s FROM b{n} b LEFT JOIN n{n} n ON b.p = n.p AND b.e = n.e)""")
+    return f"""
+WITH k AS MATERIALIZED (SELECT vec_id, label, [floor(1024 * x::DOUBLE) for x in embedding] AS v FROM embeddings
+     WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+q AS (SELECT vec_id, p, v[p * len(v) // 4 + 1 : (p + 1) * len(v) // 4] AS v FROM k, (SELECT unnest(range(4)) AS p)),
+x AS MATERIALIZED (SELECT vec_id, p, v, list_dot_product(v, v) AS s FROM q),
+o AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM k),
+b0 AS MATERIALIZED (SELECT x.p, o.e, x.v, x.s FROM x JOIN o ON x.vec_id = o.vec_id WHERE o.e < 256),
+{", ".join(steps)},
+r AS (SELECT vec_id, string_agg(lpad(lower(to_hex(e)), 2, '0'), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a4 GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(w::BIGINT::VARCHAR, ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM (SELECT p, e, unnest(range(len(v))) AS i, unnest(v) AS w FROM b4))
+SELECT k.vec_id, r.code, r.error, (sum(r.error) OVER (PARTITION BY k.label))::BIGINT AS label_error, h.codebooks_sha256
+FROM k JOIN r ON k.vec_id = r.vec_id, h
+"""
+
+
+OP11 = _op11()
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3, "op5_line_dedup": OP5, "op6_warc": OP6, "op7_chat_format": OP7, "op9_decontamination": OP9}
+    return {"op3_exact_dedup": OP3, "op5_line_dedup": OP5, "op6_warc": OP6, "op7_chat_format": OP7, "op9_decontamination": OP9, "op11_vector_codes": OP11, "op12_source_divergence": OP12}

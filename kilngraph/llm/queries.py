@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilngraph.llm import chat, decontaminate, exact_dedup, language_model, licenses, line_dedup, mixing, near_dedup, toxicity, warc
+from kilngraph.llm import chat, decontaminate, exact_dedup, language_model, licenses, line_dedup, mixing, near_dedup, secret_scan, source_divergence, toxicity, vector_codes, warc
 from kilngraph.llm.storage import table
 
 
@@ -52,5 +52,22 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return vector_codes.with_label_error(coded).select("vec_id", vector_codes.hex_code(F.col("code")).alias("code"), "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secret_scan.scan(table(spark, sf_dir, "documents"))
+    of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    counts = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in secret_scan.KINDS]
+    base = F.sha2(secret_scan.listing(of(*secret_scan.KINDS[:3])), 256).alias("base_sha256")
+    return rows.select("doc_id", *counts[:3], base, secret_scan.listing(F.col("spans")).alias("spans"), counts[3])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_language_model, op3_exact_dedup, op4_toxicity, op5_line_dedup, op6_warc, op7_chat_format, op8_source_mix, op9_decontamination, op10_license_scan)}
+    return {f.__name__: f for f in (op1_minhash, op2_language_model, op3_exact_dedup, op4_toxicity, op5_line_dedup, op6_warc, op7_chat_format, op8_source_mix, op9_decontamination, op10_license_scan, op11_vector_codes, op12_source_divergence, op13_secret_scan)}
