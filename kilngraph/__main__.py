@@ -1,7 +1,7 @@
 """Command line: parse documents, extract triples, normalise, build or append to a graph store, report.
 
-    python -m kilngraph documents --files FOLDER --parser MODULE:FUNCTION --out FOLDER [--images] [--layout]
-    python -m kilngraph extract --intermediate FOLDER --model MODULE:FUNCTION --out FOLDER [--graph FOLDER] [--aliases FILE] [--limit N] [--mode full|append] [--dry-run]
+    python -m kilngraph documents --files FOLDER --parser MODULE:FUNCTION --out FOLDER [--images] [--layout] [--errors FOLDER]
+    python -m kilngraph extract --intermediate FOLDER --model MODULE:FUNCTION --out FOLDER [--graph FOLDER] [--answers FOLDER] [--aliases FILE] [--limit N] [--mode full|append] [--dry-run]
     python -m kilngraph build --triples FILE --graph FOLDER [--aliases FILE] [--mode full|append] [--limit N] [--dry-run]
     python -m kilngraph report --triples FILE [--aliases FILE] [--limit N] [--out FOLDER] [--stats-only]
     python -m kilngraph stats --graph FOLDER
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from kilngraph.functions import fixed_values as fixed
 from kilngraph.lineage import cut
 from kilngraph.operators import chunking, documents, graph, linking, normalising
-from kilngraph.sources import readers, sinks
+from kilngraph.sources import answers, readers, sinks
 
 
 def _hook(name: str) -> Callable:
@@ -49,16 +49,19 @@ def _store(spark: SparkSession, args: argparse.Namespace, triples: DataFrame) ->
 
 def _documents(spark: SparkSession, args: argparse.Namespace) -> None:
     files = readers.binary_files(spark, args.files, readers.IMAGE_GLOB if args.images else readers.PDF_GLOB)
-    pages = readers.parse_pages(files, _hook(args.parser))
-    pages = cut(readers.image_text(pages) if args.images else readers.page_text(pages, layout=args.layout))
+    found, errors = readers.parsed(readers.parse_pages(files, _hook(args.parser)))
+    pages = cut(readers.image_text(found) if args.images else readers.page_text(found, layout=args.layout))
     sinks.write_intermediate(documents.intermediate(pages), args.out)
-    pages.where("error is not null").select("path", "error").show(100, truncate=False)
+    if args.errors:
+        sinks.write_json(errors, args.errors)
+    errors.show(100, truncate=False)
 
 
 def _extract(spark: SparkSession, args: argparse.Namespace) -> None:
     files = readers.intermediate(spark, args.intermediate)
     # Written once: a model is not to be asked again by a later step.
-    raw = cut(documents.extract(files, _hook(args.model), most_chunks=args.limit))
+    store = answers.AnswerStore(spark, args.answers) if args.answers else None
+    raw = cut(documents.extract(files, _hook(args.model), most_chunks=args.limit, store=store))
     triples = cut(normalising.deduplicate(normalising.normalise(raw, _index(spark, args))))
     sinks.write_json(triples, f"{args.out}/by_file", by="source_file")
     sinks.write_json(triples, f"{args.out}/all")
@@ -92,12 +95,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
             sub.add_argument("--dry-run", action="store_true")
         if name == "extract":
             sub.add_argument("--graph")
+            sub.add_argument("--answers")
         if name == "report":
             sub.add_argument("--out")
             sub.add_argument("--stats-only", action="store_true")
         if name == "documents":
             sub.add_argument("--images", action="store_true")
             sub.add_argument("--layout", action="store_true")
+            sub.add_argument("--errors")
         if name == "clear":
             sub.add_argument("--yes", action="store_true")
     args = parser.parse_args(argv)

@@ -1,17 +1,22 @@
 """Documents to triples as one job: pages and tables, chunks, prompts, model calls, parsing, provenance, normalisation.
 
 Every step is a projection or an explode, but for the numbering of chunks (by document), the order of the triples (one
-range sort) and the deduplication.  Models and parsers are injected.
+range sort) and the deduplication.  Models and parsers are injected; answers are read from an answer store, so each
+distinct prompt is asked once, and the sort reads written answers, not the model.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kilngraph.functions import tables as M
 from kilngraph.functions import text as T
+from kilngraph.lineage import cut, shared_root
 from kilngraph.operators import chunking, extraction, normalising
+from kilngraph.sources.answers import AnswerStore
 
 TEXT_TEMPLATE = "Extract every stated fact of the text as a JSON array of objects with subject, relation and object.\n\nText:\n{text}"
 TABLE_TEMPLATE = "Extract every value of the table, with its unit, as a JSON array of objects with subject, relation and object.\n\nTable:\n{table_markdown}\n\nContext: {context}"
@@ -20,7 +25,10 @@ TABLE_ROWS = 3
 
 
 def intermediate(pages: DataFrame, doc_col: str = "path") -> DataFrame:
-    """source_file, chunks, tables per document, the form of intermediate files; noise chunks go, tables get a context."""
+    """source_file, chunks, tables per document, the form of intermediate files; noise chunks go, tables get a context.
+
+    ``pages`` are read twice: a frame that parses files is to be written first (``readers.parsed``).
+    """
     name = F.element_at(F.split(doc_col, "/"), -1)
     chunks = chunking.usable(chunking.split_pages(pages.select(doc_col, "page_num", "text"), doc_col, "page_num"))
     chunk = F.struct("chunk_index", F.struct("chunk_id", T.strip(F.col("content")).alias("content"), "page_num", name.alias("source_file")).alias("c"))
@@ -47,14 +55,18 @@ def table_prompts(files: DataFrame, template: str = TABLE_TEMPLATE, most_rows: i
     return rows.select("source_file", "place", "segment", "page_num", F.lit(None).cast("string").alias("chunk_id"), "table_id", prompt.alias("prompt"))
 
 
-def extract(files: DataFrame, generator: extraction.Generator, *, text_template: str = TEXT_TEMPLATE, table_template: str = TABLE_TEMPLATE, most_chunks: int | None = None) -> DataFrame:
-    """Raw triples of intermediate rows with seq: by file, text before tables, in reading order."""
+def extract(files: DataFrame, generator: extraction.Generator, *, text_template: str = TEXT_TEMPLATE, table_template: str = TABLE_TEMPLATE, most_chunks: int | None = None, store: AnswerStore | None = None) -> DataFrame:
+    """Raw triples of intermediate rows with seq: by file, text before tables, in reading order.
+
+    Without a ``store`` the answers live in a work folder of this run.
+    """
+    store = store or AnswerStore(files.sparkSession, f"{shared_root(files.sparkSession)}/answers-{uuid.uuid4().hex}")
     keys = ("source_file", "place", "segment", "page_num", "chunk_id", "table_id")
     parts = []
     for kind, prompts, tokens in (("text", text_prompts(files, text_template, most_chunks), extraction.TEXT_TOKENS), ("tabular", table_prompts(files, table_template), extraction.TABLE_TOKENS)):
-        answers = extraction.generate(prompts, generator, max_tokens=tokens)
+        answers = store.ask(cut(prompts), generator, tokens)
         parts.append(extraction.extract(answers, provenance=keys, data_type=kind if kind == "tabular" else None).withColumn("is_table", F.lit(kind == "tabular")))
-    rows = parts[0].unionByName(parts[1])
+    rows = cut(parts[0].unionByName(parts[1]))
     # A range sort numbers rows in reading order: the partitions are in order, and so are the rows of each.
     rows = rows.orderBy("source_file", "is_table", "place", "segment", "pos", "subject", "relation", "object").withColumn("seq", F.monotonically_increasing_id())
     return rows.drop("is_table", "place", "segment", "pos")

@@ -219,7 +219,8 @@ def page_method(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def docs_to_triples(spark: SparkSession, sf: str) -> DataFrame:
     """Files to pages and tables, chunks, prompts, recorded answers and raw triples with provenance."""
-    files = documents.intermediate(readers.page_text(bind.file_pages(spark, sf), layout=True))
+    pages, _ = readers.parsed(bind.file_pages(spark, sf))
+    files = documents.intermediate(cut(readers.page_text(pages, layout=True)))
     rows = documents.extract(files, bind.recorded_answers)
     return rows.select("source_file", "page_num", "table_id", "data_type", "subject", "relation", "object", "confidence")
 

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kilngraph import schemas
 from kilngraph.functions import tables as M
 from kilngraph.functions import text as T
+from kilngraph.lineage import cut
 
 #: File name patterns of the binary sources.
 PDF_GLOB, IMAGE_GLOB = "*.[pP][dD][fF]", "*.{jpg,jpeg,png,bmp,tiff,tif,webp,JPG,JPEG,PNG,BMP,TIFF,TIF,WEBP}"
@@ -26,6 +28,30 @@ def binary_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
 
 
 PAGE = "page_num int, native_text string, ocr_text string, found_tables array<struct<markdown:string,html:string>>, boxes array<struct<label:string,bbox:array<double>>>, error string"
+PAGE_COLUMNS = ["path", "page_num", "native_text", "ocr_text", "found_tables", "boxes", "error"]
+PAGE_ARROW = pa.schema(
+    [
+        ("path", pa.string()),
+        ("page_num", pa.int32()),
+        ("native_text", pa.string()),
+        ("ocr_text", pa.string()),
+        ("found_tables", pa.list_(pa.struct([("markdown", pa.string()), ("html", pa.string())]))),
+        ("boxes", pa.list_(pa.struct([("label", pa.string()), ("bbox", pa.list_(pa.float64()))]))),
+        ("error", pa.string()),
+    ]
+)
+
+
+def page_row(path: str, i: int, p: dict) -> tuple:
+    """The row of a parser's page: any of page_num, native_text, ocr_text or rec_texts, tables and boxes."""
+    lines = p.get("ocr_text") if "ocr_text" in p else "\n".join(str(t) for t in p["rec_texts"] if t) if "rec_texts" in p else None
+    found = [{"markdown": t.get("markdown"), "html": t.get("html")} for t in p.get("tables") or []]
+    boxes = [{"label": x.get("label"), "bbox": [float(v) for v in x.get("bbox") or []]} for x in p.get("boxes") or []]
+    return (path, p.get("page_num", i + 1), p.get("native_text"), lines, found, boxes, None)
+
+
+def error_row(path: str, error: Exception) -> tuple:
+    return (path, 0, None, None, [], [], f"{type(error).__name__}: {error}"[:500])
 
 
 def parse_pages(files: DataFrame, parser: PageParser) -> DataFrame:
@@ -35,13 +61,6 @@ def parse_pages(files: DataFrame, parser: PageParser) -> DataFrame:
     markdown and html) and boxes (dicts with label and bbox).  A parser object may hold its engine: it is made once a
     worker process if it is a function with the attribute ``once``, which is then called without arguments.
     """
-    columns = ["path", *(x.split(" ")[0] for x in PAGE.split(", ") if " " in x)]
-
-    def page(path: str, i: int, p: dict) -> tuple:
-        lines = p.get("ocr_text") if "ocr_text" in p else "\n".join(str(t) for t in p["rec_texts"] if t) if "rec_texts" in p else None
-        found = [{"markdown": t.get("markdown"), "html": t.get("html")} for t in p.get("tables") or []]
-        boxes = [{"label": x.get("label"), "bbox": [float(v) for v in x.get("bbox") or []]} for x in p.get("boxes") or []]
-        return (path, p.get("page_num", i + 1), p.get("native_text"), lines, found, boxes, None)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parse = parser.once() if hasattr(parser, "once") else parser
@@ -49,14 +68,21 @@ def parse_pages(files: DataFrame, parser: PageParser) -> DataFrame:
             rows = []
             for path, content in zip(frame["path"], frame["content"], strict=True):
                 try:
-                    rows += [page(path, i, p) for i, p in enumerate(parse(bytes(content)))]
+                    rows += [page_row(path, i, p) for i, p in enumerate(parse(bytes(content)))]
                 except Exception as error:  # noqa: BLE001  a broken file must not end the job
-                    rows.append((path, 0, None, None, [], [], f"{type(error).__name__}: {error}"[:500]))
-            yield pd.DataFrame(rows, columns=columns)
+                    rows.append(error_row(path, error))
+            yield pd.DataFrame(rows, columns=PAGE_COLUMNS)
 
     return files.mapInPandas(run, f"path string, {PAGE}")
 
 
+def parsed(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pages, errors): ``pages`` written once, so that every file meets its parser once, and path and error of files
+    that could not be read, each of which keeps one page without text."""
+    rows = cut(pages)
+    return rows, rows.where("error is not null").select("path", "error")
+
+
 def page_tables(pages: DataFrame, published: bool = False) -> DataFrame:
     """``pages`` with ``tables``: the recognised tables of each page, numbered, blank ones left out."""
     found = F.filter(F.transform("found_tables", lambda t, i: M.table_result(t["markdown"], t["html"], F.col("page_num"), i, published)), lambda t: t.isNotNull())
