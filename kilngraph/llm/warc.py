@@ -27,6 +27,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs
@@ -38,6 +39,8 @@ from kilngraph.llm.storage import materialise, new_folder
 #: Uncompressed bytes after which a member, and compressed bytes after which an archive, is closed.
 MEMBER_BYTES, ARCHIVE_BYTES = 8_000_000, 256_000_000
 LEAST_BYTES = 0
+#: Payloads that at least this share of the rows have are joined map-side, so as many at most are broadcast.
+HEAVY_PAYLOADS = 1024
 WARC_DATE = "2024-01-01T00:00:00Z"
 
 # Fixed values of the ZIP format: signatures, struct layouts and saturated fields.
@@ -175,12 +178,12 @@ class RangeFile:
 
 
 def record_id(page_id: Any) -> str:
-    return f"<urn:page:{'null' if page_id is None else page_id}>"
+    """The record's name: the id percent-encoded, so that any text comes back; a null id has a form that no id takes."""
+    return "<urn:nopage>" if page_id is None else f"<urn:page:{quote(str(page_id), safe='')}>"
 
 
 def page_of(urn: str) -> str | None:
-    value = urn.strip("<>").rpartition(":")[2]
-    return None if value == "null" else value
+    return None if urn == "<urn:nopage>" else unquote(urn.removeprefix("<urn:page:").removesuffix(">"))
 
 
 def warc_record(page_id: Any, url: str | None, payload: bytes, digest: str, refers_to: tuple[Any] | None) -> bytes:
@@ -309,19 +312,33 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     # One row per payload that is shared by several rows: the response's page, and how many rows repeat that very page.
     groups = groups.where(F.col("bytes") >= least_bytes).groupBy("sha1", "page_id").agg(F.count("*").alias("same"))
     groups = groups.groupBy("sha1").agg(F.sum("same").alias("rows"), F.max(F.struct("page_id", "same")).alias("top")).where("rows > 1")
-    groups = materialise(groups.select(F.col("sha1").alias("group_sha1"), F.col("top.page_id").alias("top_id"), F.col("top.same").alias("top_rows"), F.lit(True).alias("shared")), "warc-groups")
-    joined = rows.join(groups, F.col("sha1") == F.col("group_sha1"), "left")
+    groups = materialise(groups.select(F.col("sha1").alias("group_sha1"), "rows", F.col("top.page_id").alias("top_id"), F.col("top.same").alias("top_rows"), F.lit(True).alias("shared")), "warc-groups")
+    joined = _with_groups(rows, groups)
     is_top = F.col("page_id").eqNullSafe(F.col("top_id"))
     once = joined.where(F.col("shared").isNull() | (F.col("top_rows") == 1) | ~is_top).withColumn("revisit", F.col("shared").isNotNull() & ~is_top)
     # Rows that repeat the response's page exactly: one of them stays the response.  Usually there are none.
     again = rows.join(groups.where("top_rows > 1"), F.col("sha1") == F.col("group_sha1")).where(is_top)
     again = again.withColumn("revisit", F.row_number().over(Window.partitionBy("sha1").orderBy(F.lit(0))) > 1)
-    both = once.unionByName(again).withColumn("refers_to", F.when(F.col("revisit"), F.col("top_id")))
-    both = both.select("page_id", "url", "html", "sha1", "revisit", "refers_to")
+    refers_to = F.when(F.col("revisit"), F.col("top_id")).alias("refers_to")
+    once, again = (part.select("page_id", "url", "html", "sha1", "revisit", refers_to) for part in (once, again))
+    both = once.unionByName(again)
     manifest = both.mapInArrow(_write(new_folder(spark, "warc"), member_bytes, archive_bytes, force_zip64), "path string, records long")
     return materialise(manifest, "warc-manifest")
 
 
+def _with_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``rows`` with the columns of their group, null without one; no task gathers the rows of a frequent payload."""
+    least = max(2, -(-(groups.agg(F.sum("rows")).first()[0] or 0) // HEAVY_PAYLOADS))
+    heavy, light = groups.where(F.col("rows") >= least), groups.where(F.col("rows") < least)
+    found = rows.join(F.broadcast(heavy), F.col("sha1") == F.col("group_sha1"), "left")
+    # Rows that have their group meet no light one: they are spread by a key of their own.
+    names = [c for c in groups.columns if c != "group_sha1"]
+    light = light.select("group_sha1", *(F.col(c).alias(f"light_{c}") for c in names)).withColumnRenamed("group_sha1", "light_sha1")
+    key = F.when(F.col("shared").isNull(), F.col("sha1")).otherwise(F.concat(F.lit("-"), F.col("page_id").cast("string")).cast("binary"))
+    found = found.join(light, key == F.col("light_sha1"), "left")
+    return found.select(*rows.columns, *(F.coalesce(c, f"light_{c}").alias(c) for c in names))
+
+
 def read_archives(manifest: DataFrame, id_type: str = "bigint", with_payload: bool = False) -> DataFrame:
     """The records of the manifest's archives, one task per group of archives."""
     spark = manifest.sparkSession

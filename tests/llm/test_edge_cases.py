@@ -203,6 +203,25 @@ def test_warc(spark):
     assert warc.archive_round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_text_ids(spark):
+    ids = ["a:b", "c:b", "null", None, "", "<x>", "50%", "%3A", "two\r\nlines", "ü/é", "urn:page:1"]
+    pages = spark.createDataFrame([(i, "u", "same" if k % 2 else f"own {k}", "x") for k, i in enumerate(ids)], "page_id string, url string, html string, rows string")
+    got = warc.archive_round_trip(pages).collect()
+    top = max((i for k, i in enumerate(ids) if k % 2 and i is not None), key=lambda i: i.encode())
+    want = [(i, "revisit" if k % 2 and i != top else "response", top if k % 2 and i != top else None) for k, i in enumerate(ids)]
+    assert sorted(map(str, ((r.page_id, r.record_type, r.refers_to) for r in got))) == sorted(map(str, want))
+
+
+def test_warc_frequent_payloads_are_joined_map_side(spark, monkeypatch):
+    monkeypatch.setattr(warc, "HEAVY_PAYLOADS", 3)
+    rows = [(i, "u", "hot" if i % 3 == 0 else f"pair {i // 6}" if i % 3 == 1 else f"own {i}") for i in range(90)]
+    got = warc.archive_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    last = {}
+    for i, _, html in rows:
+        last[html] = max(last.get(html, i), i)
+    assert sorted((r.page_id, r.record_type, r.refers_to or -1) for r in got) == sorted((i, "response" if last[h] == i else "revisit", -1 if last[h] == i else last[h]) for i, _, h in rows)
+
+
 def test_zip_is_readable_by_others(tmp_path):
     import io
     import zipfile
