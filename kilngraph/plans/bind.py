@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilngraph.lineage import cut
+from kilngraph.lineage import cut, shared_root
 from kilngraph.operators import extraction, graph, linking, normalising
 from kilngraph.sources import readers
+from kilngraph.sources.graph_store import GraphStore
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,6 +97,15 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir)[2]
 
 
+def new_store(spark: SparkSession) -> GraphStore:
+    """An empty graph store in the shared work folder."""
+    return GraphStore(spark, f"{shared_root(spark)}/graph-{uuid.uuid4().hex}")
+
+
+def no_edges(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "src string, rel string, dst string, year int")
+
+
 def star_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The star schema as a graph: world - region - nation - customer and supplier."""
     nation, customer, supplier = (table(spark, sf_dir, t) for t in ("nation", "customer", "supplier"))

@@ -330,7 +330,10 @@ def upsert_nodes(spark: SparkSession, sf: str) -> DataFrame:
     old = table(spark, sf, "customer").select(F.concat(F.lit("C"), "c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("value"))
     new = table(spark, sf, "customer").where("c_custkey % 2 = 0").select(F.concat(F.lit("C"), "c_custkey").alias("id"), F.lit(None).cast("string").alias("name"), F.concat(F.lit("new "), "c_mktsegment").alias("value"))
     added = table(spark, sf, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit(None).cast("string").alias("value"))
-    return graph.upsert_nodes(old, new.unionByName(added))
+    store = bind.new_store(spark)
+    store.write_full(old, bind.no_edges(spark))
+    store.append(new.unionByName(added), bind.no_edges(spark))
+    return store.nodes()
 
 
 @query
@@ -339,7 +342,10 @@ def upsert_edges(spark: SparkSession, sf: str) -> DataFrame:
     old = bind.edges(spark, sf)
     nodes = bind.nodes(spark, sf).where("label <> 'River'")
     new = old.where("year is not null").withColumn("confidence", F.lit(1.0)).select(graph.EDGE_COLUMNS)
-    return graph.upsert_edges(old.select(graph.EDGE_COLUMNS), new, nodes).select("src", "rel", "dst", "year", "confidence")
+    store = bind.new_store(spark)
+    store.write_full(nodes, old.select(graph.EDGE_COLUMNS))
+    store.append(nodes.limit(0), new)
+    return store.edges().select("src", "rel", "dst", "year", "confidence")
 
 
 @query

@@ -1,13 +1,13 @@
-"""Sinks: intermediate files, per-file and summary triples, graph tables (full, append, dry run), deletion."""
+"""Sinks: intermediate files, per-file and summary triples; ``GraphStore`` (full, append, dry run, deletion) is in ``graph_store``."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kilngraph.operators import graph
+from kilngraph.sources.graph_store import GraphStore
+
+__all__ = ["GraphStore", "write_intermediate", "write_json", "write_parsed", "write_tables", "write_text_per_document"]
 
 
 def write_json(rows: DataFrame, path: str, by: str | None = None) -> None:
@@ -42,62 +42,3 @@ def write_parsed(documents: DataFrame, pages: DataFrame, path: str, doc_col: str
 def write_text_per_document(rows: DataFrame, path: str, doc_col: str, text_col: str) -> None:
     """Plain text, one folder per document."""
     rows.select(F.col(doc_col), F.col(text_col).alias("value")).write.mode("overwrite").partitionBy(doc_col).text(path)
-
-
-@dataclass
-class GraphStore:
-    """Node and edge tables as Parquet generations below ``root``; a write makes a new generation, then switches to it.
-
-    Readers of the old generation are undisturbed; the switch is one small file with the current generation's number.
-    """
-
-    spark: SparkSession
-    root: str
-
-    def _fs(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _path(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-
-    def generation(self) -> int | None:
-        found = [int(s.getPath().getName().removeprefix("current-")) for s in self._fs().listStatus(self._path(".")) if s.getPath().getName().startswith("current-")] if self._fs().exists(self._path(".")) else []
-        return max(found, default=None)
-
-    def nodes(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{self.generation()}/nodes")
-
-    def edges(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{self.generation()}/edges")
-
-    def _switch(self, nodes: DataFrame, edges: DataFrame) -> None:
-        now = self.generation()
-        new = 0 if now is None else now + 1
-        nodes.write.mode("overwrite").partitionBy("label").parquet(f"{self.root}/{new}/nodes")
-        edges.write.mode("overwrite").parquet(f"{self.root}/{new}/edges")
-        self._fs().create(self._path(f"current-{new}")).close()
-        if now is not None:
-            self._fs().delete(self._path(f"current-{now}"), False)
-            if now > 0:  # the generation before stays for readers that have just started
-                self._fs().delete(self._path(str(now - 1)), True)
-
-    def write_full(self, nodes: DataFrame, edges: DataFrame) -> None:
-        self._switch(nodes, edges)
-
-    def append(self, nodes: DataFrame, edges: DataFrame) -> None:
-        """Keyed upsert: known ids and edges are updated, new ones added; replaying the same rows changes nothing."""
-        if self.generation() is None:
-            return self._switch(nodes, edges)
-        merged = graph.upsert_nodes(self.nodes().select(graph.NODE_COLUMNS), nodes.select(graph.NODE_COLUMNS))
-        self._switch(merged, graph.upsert_edges(self.edges(), edges, merged))
-        return None
-
-    def dry_run(self, nodes: DataFrame, edges: DataFrame) -> dict[str, int]:
-        """What a write would hold, without writing."""
-        return {"nodes": nodes.count(), "edges": edges.count()}
-
-    def delete_all(self, confirm: bool = False) -> None:
-        if not confirm:
-            raise ValueError("deleting the graph needs confirm=True")
-        self._fs().delete(self._path("."), True)
