@@ -177,26 +177,37 @@ def deduplicate(triples: DataFrame, with_relation: bool = False) -> DataFrame:
     ``with_relation`` adds the relation id to the key, so that two indicators with one value stay apart.
     """
     key = ["subject", "year", "object", *["relation_id"] * with_relation]
-    dated = F.col("relation").rlike("\\d{4}年").cast("int")
-    best = Window.partitionBy(*key).orderBy(dated.desc(), F.col("confidence").desc(), "seq", "part")
-    return triples.withColumn("__place", F.row_number().over(best)).where("__place = 1").drop("__place")
+    rest = [c for c in triples.columns if c not in key]
+    # max_by combines map-side, so a key that most rows share is one row per task.
+    best = F.max_by(F.struct(*rest), preference()).alias("best")
+    return triples.groupBy(*key).agg(best).select(*[c if c in key else F.col("best")[c].alias(c) for c in triples.columns])
 
 
-def statistics(raw: DataFrame, normalised: DataFrame, kept: DataFrame) -> DataFrame:
-    """One row of counters over one run."""
-    count = lambda c: F.count_if(c).alias
-    before = raw.agg(F.count("*").alias("total"))
-    after = normalised.agg(
-        count(F.col("rel_method") == "exact")("relations_exact"),
-        count(F.col("rel_method").startswith("keyword"))("relations_keyword"),
-        count(F.col("rel_method").isin("heuristic", "none"))("relations_unmatched"),
-        count(F.col("subject_new"))("entities_new"),
-        count(F.col("object_type") == "numerical_value")("objects_numerical"),
-        count(F.col("object_type") == "entity_reference")("objects_entity"),
-        count(F.col("part") > 0)("split_added"),
-        F.count("*").alias("normalised"),
-    )
-    return before.join(after).join(kept.agg(F.count("*").alias("kept"))).withColumn("deduplicated", F.col("normalised") - F.col("kept"))
+def preference() -> Column:
+    """What the best of several equal statements is greatest by: a year in the phrase, confidence, and being the first."""
+    dated = F.coalesce(F.col("relation").rlike("\\d{4}年"), F.lit(False)).cast("int")
+    return F.struct(dated.alias("dated"), F.col("confidence"), (-F.col("seq")).alias("seq"), (-F.col("part")).alias("part"))
+
+
+def statistics(raw: DataFrame, normalised: DataFrame) -> DataFrame:
+    """One row of counters over one run; ``normalised`` is read once.
+
+    Counters are added up per key of the deduplication, which a task combines first, so the number of keys is the number
+    of triples that stay, and no second pass is needed.
+    """
+    counters = {
+        "relations_exact": F.col("rel_method") == "exact",
+        "relations_keyword": F.col("rel_method").startswith("keyword"),
+        "relations_unmatched": F.col("rel_method").isin("heuristic", "none"),
+        "entities_new": F.col("subject_new"),
+        "objects_numerical": F.col("object_type") == "numerical_value",
+        "objects_entity": F.col("object_type") == "entity_reference",
+        "split_added": F.col("part") > 0,
+    }
+    keys = normalised.groupBy("subject", "year", "object").agg(*[F.count_if(c).alias(n) for n, c in counters.items()], F.count("*").alias("normalised"))
+    total = [F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in (*counters, "normalised")]
+    after = keys.agg(*total, F.count("*").alias("kept"))
+    return raw.agg(F.count("*").alias("total")).join(after).withColumn("deduplicated", F.col("normalised") - F.col("kept"))
 
 
 def report(triples: DataFrame, most: int = 20) -> DataFrame:

@@ -84,10 +84,23 @@ def trace_document(nodes: DataFrame, edges: DataFrame, document: str, most: int
 
 
 def search_triples(nodes: DataFrame, edges: DataFrame, keyword: str, most: int = 50) -> DataFrame:
-    """Triples whose subject or object name contains the keyword, by confidence; missing confidence first."""
-    rows = edges.join(_as(nodes, "s", "id", "name"), F.col("src") == F.col("s_id")).join(_as(nodes, "o", "id", "name"), F.col("dst") == F.col("o_id"))
-    rows = rows.where(F.contains("s_name", F.lit(keyword)) | F.contains("o_name", F.lit(keyword)))
-    return rows.select(F.col("s_name").alias("subject"), F.col("rel").alias("predicate"), F.col("o_name").alias("object"), "confidence", "src", "dst").orderBy(F.col("confidence").desc_nulls_first(), "src", "predicate", "dst").limit(most)
+    """Triples whose subject or object name contains the keyword, by confidence; missing confidence first.
+
+    Names are filtered first; only edges with such an end meet the names of both their ends.
+    """
+    hit = nodes.where(F.contains("name", F.lit(keyword))).select(F.col("id").alias("hit"))
+    return triples_at(nodes, edges, hit, most)
+
+
+def triples_at(nodes: DataFrame, edges: DataFrame, hit: DataFrame, most: int = 50) -> DataFrame:
+    """Triples with an end in ``hit`` (a column of ids), by confidence; missing confidence first."""
+    hit = hit.toDF("hit")
+    by_subject, by_object = F.col("src") == F.col("hit"), F.col("dst") == F.col("hit")
+    rows = edges.join(hit, by_subject, "left_semi").unionByName(edges.join(hit, by_object, "left_semi").join(hit, by_subject, "left_anti"))
+    # The best rows are picked before names are joined.
+    rows = rows.select("src", F.col("rel").alias("predicate"), "dst", "confidence").orderBy(F.col("confidence").desc_nulls_first(), "src", "predicate", "dst").limit(most)
+    rows = rows.join(_as(nodes, "s", "id", "name"), F.col("src") == F.col("s_id")).join(_as(nodes, "o", "id", "name"), F.col("dst") == F.col("o_id"))
+    return rows.select(F.col("s_name").alias("subject"), "predicate", F.col("o_name").alias("object"), "confidence", "src", "dst").orderBy(F.col("confidence").desc_nulls_first(), "src", "predicate", "dst")
 
 
 CONSTRAINT_RELATIONS = [x for ids in fixed.CONSTRAINT_IDS.values() for x in ids]

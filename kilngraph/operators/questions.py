@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from kilngraph.operators.queries import _as
 
-MOST_ROWS, SHOWN_ROWS = 20, 8
+MOST_ROWS, SHOWN_ROWS, PLAIN_ROWS = 20, 8, 5
 
 
 @dataclass(frozen=True)
@@ -55,13 +55,21 @@ def described(slots: Slots, most: int = MOST_ROWS) -> str:
     return f"facts where {' and '.join(parts) or 'true'}, newest first, at most {most}"
 
 
-def answer(rows: DataFrame, question: str, most: int = SHOWN_ROWS) -> DataFrame:
-    """One row with the answer: up to eight bullet lines and a note on how many there are."""
-    order = Window.orderBy(F.col("year").desc_nulls_last(), "entity", "indicator", "value")  # at most MOST_ROWS rows
-    name = F.concat(F.col("entity"), F.when(F.col("year").isNotNull(), F.concat(F.lit("("), F.col("year").cast("string"), F.lit("年)"))).otherwise(""))
-    line = F.concat(F.lit("• "), F.concat_ws(" | ", name, F.nullif("indicator", F.lit("")), F.nullif("value", F.lit(""))))
-    numbered = rows.withColumn("n", F.row_number().over(order)).select("n", line.alias("line"))
-    shown = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("n") <= most, F.struct("n", "line")))), lambda x: x["line"]), "\n")
+def answer(rows: DataFrame, question: str, most: int = SHOWN_ROWS, most_plain: int = PLAIN_ROWS) -> DataFrame:
+    """One row with the answer: up to eight bullet lines and a note on how many rows there are.
+
+    A line shows what the row has of entity (or name), year, indicator and value; rows of other columns, or without any
+    of these, are shown as ``column: value`` instead, five at most.
+    """
+    known = lambda *names: next((F.nullif(F.col(c).cast("string"), F.lit("")) for c in names if c in rows.columns), F.lit(None).cast("string"))
+    entity, indicator, value, year = known("entity", "name"), known("indicator"), known("value"), known("year")
+    keys = [F.col("year").desc_nulls_last()] * ("year" in rows.columns) + [F.col(c) for c in ("entity", "name", "indicator", "value") if c in rows.columns] or [F.col(c) for c in rows.columns]
+    name = F.when(entity.isNull(), None).otherwise(F.concat(entity, F.when(year.isNotNull(), F.concat(F.lit("("), year, F.lit("年)"))).otherwise("")))
+    line = F.nullif(F.concat_ws(" | ", name, indicator, value), F.lit(""))
+    plain = F.concat_ws(", ", *[F.concat(F.lit(f"{c}: "), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("null"))) for c in rows.columns])
+    numbered = rows.select(F.row_number().over(Window.orderBy(*keys)).alias("n"), line.alias("line"), plain.alias("plain"))  # at most MOST_ROWS rows
+    listed = lambda column, top: F.array_join(F.transform(F.array_sort(F.collect_list(F.when((F.col("n") <= top) & F.col(column).isNotNull(), F.struct("n", F.concat(F.lit("• "), F.col(column)).alias("x"))))), lambda x: x["x"]), "\n")
+    shown = F.coalesce(F.nullif(listed("line", most), F.lit("")), listed("plain", most_plain))
     note = F.when(F.count("*") > most, F.concat(F.lit("\n... 共 "), F.count("*").cast("string"), F.lit(" 条结果"))).otherwise("")
     none = F.lit(f"未找到与「{question}」相关的数据，请尝试换个问法。")
     return numbered.agg(F.when(F.count("*") == 0, none).otherwise(F.concat(shown, note)).alias("answer"), F.count("*").alias("n_rows"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,6 +107,23 @@ def no_edges(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "src string, rel string, dst string, year int")
 
 
+def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords of one to many characters: names of nations, regions and segments, and ends of customers' and suppliers' names."""
+    parts = [("nation", F.col("n_name")), ("region", F.col("r_name")), ("customer", F.col("c_mktsegment")), ("customer", F.right("c_name", F.lit(3))), ("supplier", F.right("s_name", F.lit(2))), ("supplier", F.right("s_name", F.lit(1))), ("customer", F.concat(F.right("c_name", F.lit(2)), F.lit("水")))]
+    return reduce(DataFrame.unionByName, [table(spark, sf_dir, t).select(c.alias("keyword")) for t, c in parts]).distinct()
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """c_custkey, text: a question about every customer's reservoir or station."""
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("水库", "水文站", "河", "")]), (F.col("c_custkey") % 4 + 1).cast("int"))
+    what = F.element_at(F.array(*[F.lit(x) for x in ("供水量", "降水量", "总库容", "水位", "别的")]), (F.col("c_custkey") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.concat((F.col("c_custkey") % 8 + 1992).cast("string"), F.lit("年"), "c_name", kind, F.lit("的"), what, F.lit("是多少？2001")).alias("text"))
+
+
+def indicators(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(x,) for x in ("供水", "供水量", "降水", "库容", "总库容", "位")], "name string")
+
+
 def star_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The star schema as a graph: world - region - nation - customer and supplier."""
     nation, customer, supplier = (table(spark, sf_dir, t) for t in ("nation", "customer", "supplier"))

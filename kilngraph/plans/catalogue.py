@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,10 +14,11 @@ from kilngraph.functions import fixed_values as fixed
 from kilngraph.functions import rules
 from kilngraph.functions import tables as M
 from kilngraph.functions import text as T
-from kilngraph.lineage import cut
-from kilngraph.operators import chunking, documents, extraction, formulation, graph, linking, normalising, paths, training
+from kilngraph.lineage import cut, shared_root
+from kilngraph.operators import chunking, documents, extraction, formulation, graph, linking, mentions, normalising, paths, training
 from kilngraph.operators import queries as R
 from kilngraph.operators import questions as L
+from kilngraph.operators.substrings import SubstringIndex
 from kilngraph.plans import bind
 from kilngraph.sources import readers
 from kilngraph.plans.bind import table
@@ -302,8 +304,7 @@ def match_rate(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def norm_stats(spark: SparkSession, sf: str) -> DataFrame:
-    rows = cut(bind.normalised(spark, sf))  # read twice
-    return normalising.statistics(bind.raw_triples(spark, sf), rows, normalising.deduplicate(rows))
+    return normalising.statistics(bind.raw_triples(spark, sf), bind.normalised(spark, sf))
 
 
 @query
@@ -385,6 +386,14 @@ def name_search(spark: SparkSession, sf: str) -> DataFrame:
     return R.search_names(bind.nodes(spark, sf), "#00000001", "Reservoir").select("id", "name")
 
 
+@query
+def substring_search(spark: SparkSession, sf: str) -> DataFrame:
+    """How many node names hold each of many keywords, long and short, and the first of them, through the gram index."""
+    index = SubstringIndex.build(bind.nodes(spark, sf), f"{shared_root(spark)}/grams-{uuid.uuid4().hex}")
+    rows = index.find(bind.keywords(spark, sf))
+    return rows.groupBy("keyword").agg(F.count("*").alias("n"), F.min("text").alias("first_name"))
+
+
 @query
 def label_scan(spark: SparkSession, sf: str) -> DataFrame:
     return R.scan_label(bind.nodes(spark, sf), "HydrologicalStation").select("id", "name")
@@ -595,6 +604,27 @@ def nlq_answer(spark: SparkSession, sf: str) -> DataFrame:
     return L.ask(bind.nodes(spark, sf), bind.edges(spark, sf), "1997年NATION_7供水多少？", filler)
 
 
+@query
+def question_slots(spark: SparkSession, sf: str) -> DataFrame:
+    """A question about every customer: the longest node name, the longest indicator and the years in it."""
+    rows = mentions.slots(bind.questions(spark, sf), bind.nodes(spark, sf), bind.indicators(spark), ["c_custkey"])
+    return rows.select("c_custkey", "entity", "indicator", F.array_join(F.transform("years", lambda y: y.cast("string")), ",").alias("years"))
+
+
+@query
+def question_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """The facts that answer each of these questions."""
+    found = mentions.slots(bind.questions(spark, sf), bind.nodes(spark, sf), bind.indicators(spark), ["c_custkey"])
+    return mentions.facts(bind.nodes(spark, sf), bind.edges(spark, sf), found, ["c_custkey"])
+
+
+@query
+def conversation_mentions(spark: SparkSession, sf: str) -> DataFrame:
+    """The longest word of the benchmark that each turn of each conversation holds, anywhere in its text."""
+    words = table(spark, sf, "benchmark").select(F.explode(F.split("text", "[^A-Za-z]+")).alias("name")).where(F.length("name") >= 6)
+    return mentions.longest(table(spark, sf, "conversations"), words, ["conv_id", "turn"])
+
+
 @query
 def nlq_empty(spark: SparkSession, sf: str) -> DataFrame:
     filler = L.keyword_filler(["NATION_7"], ["供水"])

@@ -225,6 +225,8 @@ ORACLES["neighbors_collect"] = f"""{_G} SELECT r.id, r.name, coalesce(string_agg
 ORACLES["linked_constraints"] = f"{_G} SELECT rel, relation_id, confidence, t.name AS t_name, t.value AS t_value FROM edges JOIN nodes t ON t.id = dst WHERE src = 'Reservoir_' || md5('Reservoir:Customer#000000007水库') AND t.label = 'Constraint'"
 ORACLES["zone_names"] = f"{_G} SELECT name, id FROM nodes WHERE label = 'WaterResourceZone'"
 ORACLES["name_search"] = f"{_G} SELECT id, name FROM nodes WHERE label = 'Reservoir' AND contains(name, '#00000001') ORDER BY name, id LIMIT 20"
+_KEYWORDS = "k AS (SELECT n_name AS keyword FROM nation UNION SELECT r_name FROM region UNION SELECT c_mktsegment FROM customer UNION SELECT right(c_name, 3) FROM customer UNION SELECT right(s_name, 2) FROM supplier UNION SELECT right(s_name, 1) FROM supplier UNION SELECT right(c_name, 2) || '水' FROM customer)"
+ORACLES["substring_search"] = f"{_G}, {_KEYWORDS} SELECT keyword, count(*) AS n, min(name) AS first_name FROM nodes JOIN k ON contains(name, keyword) GROUP BY keyword"
 ORACLES["label_scan"] = f"{_G} SELECT id, name FROM nodes WHERE label = 'HydrologicalStation' ORDER BY name, id LIMIT 50"
 ORACLES["reservoir_list"] = f"{_G} SELECT r.id, r.name, o.name AS neighbour FROM nodes r LEFT JOIN (SELECT src, n.name FROM edges JOIN nodes n ON n.id = dst WHERE n.label = 'River') o ON o.src = r.id WHERE r.label = 'Reservoir' ORDER BY r.name, r.id, o.name NULLS FIRST LIMIT 200"
 _SERIES = lambda where, cols, most: f"{_G} SELECT {cols} FROM edges e JOIN nodes s ON s.id = e.src JOIN nodes d ON d.id = e.dst WHERE e.year IS NOT NULL AND d.label = 'AnnualHydrologyData' AND {where} ORDER BY e.year DESC, s.id, e.rel, d.value LIMIT {most}"
@@ -311,6 +313,17 @@ ORACLES["nlq_answer"] = f"""{_G}, f AS (SELECT s.name AS entity, rel, coalesce(o
   WHERE contains(s.name, 'NATION_7') AND contains(rel, '供水') AND e.year = 1997 ORDER BY e.year DESC, entity, rel, value LIMIT 20),
 n AS (SELECT *, row_number() OVER (ORDER BY year DESC, entity, rel, value) AS i FROM f)
 SELECT CASE WHEN count(*) = 0 THEN '未找到与「1997年NATION_7供水多少？」相关的数据，请尝试换个问法。' ELSE string_agg('• ' || entity || '(' || year || '年) | ' || rel || ' | ' || value, chr(10) ORDER BY i) FILTER (i <= 8) || CASE WHEN count(*) > 8 THEN chr(10) || '... 共 ' || count(*) || ' 条结果' ELSE '' END END AS answer, count(*) AS n_rows FROM n"""
+_ASKED = """w(name) AS (VALUES ('供水'), ('供水量'), ('降水'), ('库容'), ('总库容'), ('位')),
+qs AS (SELECT c_custkey, (c_custkey % 8 + 1992)::VARCHAR || '年' || c_name || ['水库', '水文站', '河', ''][c_custkey % 4 + 1] || '的' || ['供水量', '降水量', '总库容', '水位', '别的'][c_custkey % 5 + 1] || '是多少？2001' AS text FROM customer),
+en AS (SELECT c_custkey, name, row_number() OVER (PARTITION BY c_custkey ORDER BY length(name) DESC, name) AS r FROM qs JOIN (SELECT DISTINCT name FROM nodes WHERE name <> '') x ON contains(text, name)),
+ind AS (SELECT c_custkey, name, row_number() OVER (PARTITION BY c_custkey ORDER BY length(name) DESC, name) AS r FROM qs JOIN w ON contains(text, name)),
+sl AS (SELECT qs.c_custkey, en.name AS entity, ind.name AS indicator, c_custkey % 8 + 1992 AS year FROM qs LEFT JOIN (SELECT * FROM en WHERE r = 1) en USING (c_custkey) LEFT JOIN (SELECT * FROM ind WHERE r = 1) ind USING (c_custkey))"""
+ORACLES["question_slots"] = f"{_G}, {_ASKED} SELECT c_custkey, entity, indicator, year::VARCHAR || ',2001' AS years FROM sl"
+ORACLES["question_facts"] = f"""{_G}, {_ASKED} SELECT c_custkey, entity, rel AS phrase, coalesce(o.value, o.name) AS value, e.year FROM sl JOIN nodes s ON s.name = entity JOIN edges e ON e.src = s.id JOIN nodes o ON o.id = e.dst
+  WHERE (sl.indicator IS NULL OR contains(rel, sl.indicator)) AND e.year IN (sl.year, 2001) QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY e.year DESC NULLS LAST, rel, coalesce(o.value, o.name)) <= 20"""
+ORACLES["conversation_mentions"] = """WITH w AS (SELECT DISTINCT name FROM (SELECT unnest(regexp_split_to_array(text, '[^A-Za-z]+')) AS name FROM benchmark) WHERE length(name) >= 6),
+m AS (SELECT conv_id, turn, name FROM conversations JOIN w ON contains(text, name)), b AS (SELECT conv_id, turn, name AS mention FROM m QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY length(name) DESC, name) = 1)
+SELECT conv_id, turn, mention FROM conversations LEFT JOIN b USING (conv_id, turn)"""
 ORACLES["nlq_empty"] = "SELECT '未找到与「2090年NATION_7供水多少？」相关的数据，请尝试换个问法。' AS answer, 0::BIGINT AS n_rows"
 ORACLES["training_examples"] = f"""SELECT event_id, '<start_of_turn>system' || chr(10) || {text(fixed.CHAT_SYSTEM)} || '<end_of_turn>' || chr(10) || '<start_of_turn>user' || chr(10) || 'event ' || event_id || '<end_of_turn>' || chr(10) || '<start_of_turn>model' || chr(10)
   || '[{{"subject":"u' || user_id || '","relation":"' || event_type || '","object":"' || json_extract_string(props, '$.k') || '"}}]<end_of_turn>' AS example FROM events"""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from kilngraph.functions import fixed_values as fixed
 from kilngraph.operators import formulation, graph, paths, queries, questions
+from kilngraph.sources.graph_store import GraphStore
 
 MOST_BATCH = 10
 
@@ -37,17 +38,45 @@ def respond(read: Callable[[], Any]) -> dict[str, Any]:
 
 
 class GraphService:
-    """Named reads over one pair of node and edge tables; both are cached on first use."""
+    """Named reads over node and edge tables: a pair of frames, which are cached until ``close``, or a graph store.
 
-    def __init__(self, nodes: DataFrame, edges: DataFrame):
-        self.nodes, self.edges = nodes.cache(), edges.cache()
+    Over a store nothing is cached: a read that names nodes or a document reads the files of their buckets (``_near``), any
+    other one the tables as the newest snapshot has them.
+    """
+
+    def __init__(self, nodes: DataFrame | None = None, edges: DataFrame | None = None, store: GraphStore | None = None):
+        self.store = store
+        self._tables = None if store else (nodes.cache(), edges.cache())
+
+    @property
+    def nodes(self) -> DataFrame:
+        return self.store.nodes() if self.store else self._tables[0]
+
+    @property
+    def edges(self) -> DataFrame:
+        return self.store.edges() if self.store else self._tables[1]
+
+    def _near(self, ids: list[str] | None) -> tuple[DataFrame, DataFrame]:
+        """Nodes and edges that hold at least ``ids``, what leaves them, and the nodes there."""
+        return self.store.around(ids) if self.store and ids else (self.nodes, self.edges)
+
+    def close(self) -> None:
+        """Let cached tables go."""
+        for table in self._tables or ():
+            table.unpersist()
+
+    def __enter__(self) -> GraphService:
+        return self
+
+    def __exit__(self, *_: Any) -> None:
+        self.close()
 
     # Lists and lookups -------------------------------------------------------------------------------------------
     def reservoirs(self, limit: int = 50) -> DataFrame:
         return queries.list_with_neighbours(self.nodes, self.edges, "Reservoir", ("River", "HydrologicalStation"), self._limit(limit, 200))
 
     def reservoir(self, node: str) -> dict[str, Any]:
-        rows = [r.asDict(recursive=True) for r in queries.neighbours(self.nodes, self.edges, node).take(1)]
+        rows = [r.asDict(recursive=True) for r in queries.neighbours(*self._near([node]), node).take(1)]
         return envelope(rows[0]) if rows else envelope(None, 404, "not found")
 
     def search_reservoirs(self, name: str, limit: int = 20) -> DataFrame:
@@ -56,28 +85,31 @@ class GraphService:
         return queries.search_names(self.nodes, name, "Reservoir", self._limit(limit, 100))
 
     def rules(self, node: str) -> DataFrame:
-        return queries.linked_to(self.nodes, self.edges, node, "DispatchRule")
+        return queries.linked_to(*self._near([node]), node, "DispatchRule")
 
     def raw_constraints(self, node: str) -> DataFrame:
-        return queries.linked_to(self.nodes, self.edges, node, "Constraint")
+        return queries.linked_to(*self._near([node]), node, "Constraint")
 
     def stations(self, limit: int = 50) -> DataFrame:
         return queries.scan_label(self.nodes, "HydrologicalStation", self._limit(limit, 200))
 
     def station_data(self, node: str, year: int | None = None, indicator: str | None = None) -> DataFrame:
-        return queries.series(self.nodes, self.edges, node, "HydrologicalStation", year, indicator)
+        return queries.series(*self._near([node]), node, "HydrologicalStation", year, indicator)
 
     def zones(self) -> DataFrame:
         return self.nodes.where("label = 'WaterResourceZone'").select("name", "id").orderBy("name", "id")
 
     def zone_data(self, zone: str | None = None, year: int | None = None) -> DataFrame:
-        return queries.series(self.nodes, self.edges, zone, "WaterResourceZone", year)
+        return queries.series(*self._near([zone] if zone else None), zone, "WaterResourceZone", year)
 
     # Knowledge ---------------------------------------------------------------------------------------------------
     def search(self, keyword: str, limit: int = 50) -> DataFrame:
         return queries.search_triples(self.nodes, self.edges, keyword, self._limit(limit, 200))
 
     def trace(self, document: str, limit: int = 100) -> DataFrame:
+        if self.store:
+            edges = self.store.edges_of_document(document)
+            return queries.trace_document(self.store.ends_of(edges), edges, document, self._limit(limit, 500))
         return queries.trace_document(self.nodes, self.edges, document, self._limit(limit, 500))
 
     def path(self, start: str, end: str, depth: int = paths.MAX_DEPTH) -> DataFrame:
@@ -97,12 +129,13 @@ class GraphService:
         """id, name, ord of the listed nodes; a node that is missing is named by its id."""
         if not 0 < len(ids) <= MOST_BATCH:
             raise ValueError(f"from 1 to {MOST_BATCH} ids")
-        order = self.nodes.sparkSession.createDataFrame([(x, i + 1) for i, x in enumerate(ids)], "wanted string, ord int")
-        return order.join(self.nodes, F.col("id") == F.col("wanted"), "left").select(F.col("wanted").alias("id"), F.coalesce("name", "wanted").alias("name"), "ord")
+        spark = self.store.spark if self.store else self.nodes.sparkSession
+        order = spark.createDataFrame([(x, i + 1) for i, x in enumerate(ids)], "wanted string, ord int")
+        return order.join(self.store.nodes_with(ids) if self.store else self.nodes, F.col("id") == F.col("wanted"), "left").select(F.col("wanted").alias("id"), F.coalesce("name", "wanted").alias("name"), "ord")
 
     def constraints(self, ids: list[str], category: str | None = None, year: int | None = None) -> DataFrame:
         self._entities(ids)
-        rows = queries.constraints_of(self.nodes, self.edges, ids, fixed.CONSTRAINT_WORDS, fixed.ANNUAL_WORDS)
+        rows = queries.constraints_of(*self._near(ids), ids, fixed.CONSTRAINT_WORDS, fixed.ANNUAL_WORDS)
         rows = rows if year is None else rows.where(F.col("year") == year)
         order = Window.partitionBy("src").orderBy(F.col("t_label").desc(), "rel", "dst", "year")
         shaped = rows.select(F.col("src").alias("entity"), F.row_number().over(order).alias("ord"), F.col("rel").alias("relation"), "relation_id", F.col("t_name").alias("name"), F.col("t_variable").alias("variable"), F.col("t_indicator").alias("indicator"), F.lit(None).cast("string").alias("operator"), F.col("t_value").alias("value"), F.col("t_unit").alias("unit"), "source_doc", "confidence")
@@ -110,7 +143,7 @@ class GraphService:
         return done if category is None else done.where(F.col("category") == category)
 
     def parameters(self, ids: list[str]) -> DataFrame:
-        rows = queries.parameters_of(self.nodes, self.edges, ids).withColumnRenamed("src", "entity")
+        rows = queries.parameters_of(*self._near(ids), ids).withColumnRenamed("src", "entity")
         return formulation.format_parameters(rows)
 
     def hydrology(self, ids: list[str], words: list[str] | None = None, year: int | None = None) -> DataFrame:
@@ -119,11 +152,11 @@ class GraphService:
     def formulate(self, ids: list[str], include_hydrology: bool = True, include_rules: bool = True, year: int | None = None) -> DataFrame:
         """One nested row per entity; series and dispatch rules are left out on request."""
         series = self.hydrology(ids, year=year) if include_hydrology else None
-        rules = queries.dispatch_rules_of(self.nodes, self.edges, ids) if include_rules else None
+        rules = queries.dispatch_rules_of(*self._near(ids), ids) if include_rules else None
         return formulation.formulate(self._entities(ids), self.constraints(ids, year=year), self.parameters(ids), series, rules)
 
     def formulate_one(self, node: str, **options: Any) -> dict[str, Any]:
-        if self.nodes.where(F.col("id") == node).isEmpty():
+        if self._near([node])[0].where(F.col("id") == node).isEmpty():
             raise LookupError(f"no node {node}")
         return self.formulate([node], **options).first().asDict(recursive=True)
 

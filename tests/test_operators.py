@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kilngraph.functions import tables as M
 from kilngraph.functions import text as T
-from kilngraph.operators import chunking, extraction, formulation, graph, normalising, paths, training
+from kilngraph.operators import chunking, extraction, formulation, graph, normalising, paths, questions, training
 from kilngraph.plans.catalogue import CATALOGUE
 from kilngraph.sources.config import Config
 
@@ -200,3 +200,11 @@ def test_streaming_append_is_idempotent(spark, tmp_path):
     for n in range(2):  # a new checkpoint replays everything
         append_stream(spark.readStream.schema(RAW).json(str(folder)), store, str(tmp_path / f"ck{n}"), availableNow=True).awaitTermination(120)
     assert store.nodes().count() == 2 and store.edges().count() == 1
+
+
+def test_answers_of_any_columns(spark):
+    plain = questions.answer(spark.createDataFrame([(i, None if i % 2 else "x") for i in range(9)], "count int, `odd col` string"), "q").first()
+    assert plain.answer == "\n".join(f"• count: {i}, odd col: {'null' if i % 2 else 'x'}" for i in range(5)) + "\n... 共 9 条结果" and plain.n_rows == 9
+    named = questions.answer(spark.createDataFrame([("a", 2020, None), ("", None, "7"), ("", None, "")], "name string, year int, value string"), "q").first()
+    assert named.answer == "• a(2020年)\n• 7"
+    assert questions.answer(spark.createDataFrame([], "x int"), "问").first().answer.startswith("未找到与「问」")

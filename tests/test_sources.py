@@ -46,6 +46,16 @@ def test_files_to_graph_to_service(spark, tmp_path, capsys):
     filler = questions.keyword_filler(["兰州"], ["降水"])
     assert "兰州水文站(2024年)" in service.ask("兰州2024年降水？", filler)["data"]["answer"]
     assert service.stats().where("label = 'total_edges'").first().n == 5
+    # The same reads over the store itself, which read the files of the nodes concerned.
+    direct = GraphService(store=store)
+    rows = lambda frame: sorted(map(str, frame.collect()))
+    for read in (lambda s: s.raw_constraints(dam), lambda s: s.constraints([dam]), lambda s: s.parameters([dam]), lambda s: s.trace("b2024.pdf"), lambda s: s.stations(), lambda s: s.formulate([dam]), lambda s: s.station_data(ids["兰州水文站"]), lambda s: s.stats()):
+        assert rows(read(direct)) == rows(read(service))
+    assert direct.reservoir(dam) == service.reservoir(dam) and direct.reservoir("none")["code"] == 404
+    assert len(direct.raw_constraints(dam).inputFiles()) < len(direct.nodes.inputFiles()) + len(direct.edges.inputFiles())
+    with service:
+        pass
+    assert not service.nodes.is_cached
 
 
 def test_pages_with_a_broken_file(spark, tmp_path):
