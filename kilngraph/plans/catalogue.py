@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from kilngraph.lineage import cut, shared_root
 from kilngraph.operators import chunking, documents, extraction, formulation, graph, linking, mentions, normalising, paths, training
 from kilngraph.operators import queries as R
 from kilngraph.operators import questions as L
+from kilngraph.operators.patterns import Node, Step, match
 from kilngraph.operators.substrings import SubstringIndex
 from kilngraph.plans import bind
 from kilngraph.sources import readers
@@ -394,6 +396,30 @@ def substring_search(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("keyword").agg(F.count("*").alias("n"), F.min("text").alias("first_name"))
 
 
+@query
+def pattern_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Facts of all nodes whose name holds a word, by phrase and years, newest first."""
+    rows = match(bind.nodes(spark, sf), bind.edges(spark, sf), [Node(contains="NATION_1"), Step(contains=("供水", "用水"), years=(1995, 1996, 1997)), Node()])
+    return rows.select(F.col("n0_name").alias("entity"), F.col("e1_rel").alias("phrase"), F.coalesce("n2_value", "n2_name").alias("value"), F.col("e1_year").alias("year"))
+
+
+@query
+def pattern_shared_river(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of a reservoir and a station on one river, and how many such rivers there are."""
+    located = Step(contains="所在河流")
+    rows = match(bind.nodes(spark, sf), bind.edges(spark, sf), [Node(label="Reservoir"), located, Node(label="River"), replace(located, back=True), Node(label="HydrologicalStation")])
+    return rows.groupBy(F.col("n0_name").alias("reservoir"), F.col("n4_name").alias("station")).agg(F.countDistinct("n2_id").alias("rivers"))
+
+
+@query
+def pattern_reachable(spark: SparkSession, sf: str) -> DataFrame:
+    """Regions and the world within three hops of every supplier, up the star schema."""
+    edges = bind.star_edges(spark, sf)
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumns({"label": F.substring("id", 1, 1), "name": F.col("id")})
+    rows = match(nodes, edges, [Node(label="S"), Step(hops=(2, 3)), Node(label=("R", "W"))])
+    return rows.select(F.col("n0_id").alias("supplier"), F.col("n2_id").alias("place"), "e1_hops")
+
+
 @query
 def label_scan(spark: SparkSession, sf: str) -> DataFrame:
     return R.scan_label(bind.nodes(spark, sf), "HydrologicalStation").select("id", "name")

@@ -225,6 +225,10 @@ ORACLES["neighbors_collect"] = f"""{_G} SELECT r.id, r.name, coalesce(string_agg
 ORACLES["linked_constraints"] = f"{_G} SELECT rel, relation_id, confidence, t.name AS t_name, t.value AS t_value FROM edges JOIN nodes t ON t.id = dst WHERE src = 'Reservoir_' || md5('Reservoir:Customer#000000007水库') AND t.label = 'Constraint'"
 ORACLES["zone_names"] = f"{_G} SELECT name, id FROM nodes WHERE label = 'WaterResourceZone'"
 ORACLES["name_search"] = f"{_G} SELECT id, name FROM nodes WHERE label = 'Reservoir' AND contains(name, '#00000001') ORDER BY name, id LIMIT 20"
+ORACLES["pattern_facts"] = f"{_G} SELECT s.name AS entity, rel AS phrase, coalesce(o.value, o.name) AS value, e.year FROM edges e JOIN nodes s ON s.id = src JOIN nodes o ON o.id = dst WHERE contains(s.name, 'NATION_1') AND (contains(rel, '供水') OR contains(rel, '用水')) AND e.year IN (1995, 1996, 1997)"
+ORACLES["pattern_shared_river"] = f"""{_G} SELECT r.name AS reservoir, s.name AS station, count(DISTINCT v.id) AS rivers FROM edges a JOIN nodes r ON r.id = a.src JOIN nodes v ON v.id = a.dst JOIN edges b ON b.dst = v.id JOIN nodes s ON s.id = b.src
+  WHERE r.label = 'Reservoir' AND v.label = 'River' AND s.label = 'HydrologicalStation' AND contains(a.rel, '所在河流') AND contains(b.rel, '所在河流') GROUP BY r.name, s.name"""
+ORACLES["pattern_reachable"] = """SELECT 'S' || s_suppkey AS supplier, 'R' || n_regionkey AS place, 2 AS e1_hops FROM supplier JOIN nation ON n_nationkey = s_nationkey UNION ALL SELECT 'S' || s_suppkey, 'W', 3 FROM supplier"""
 _KEYWORDS = "k AS (SELECT n_name AS keyword FROM nation UNION SELECT r_name FROM region UNION SELECT c_mktsegment FROM customer UNION SELECT right(c_name, 3) FROM customer UNION SELECT right(s_name, 2) FROM supplier UNION SELECT right(s_name, 1) FROM supplier UNION SELECT right(c_name, 2) || '水' FROM customer)"
 ORACLES["substring_search"] = f"{_G}, {_KEYWORDS} SELECT keyword, count(*) AS n, min(name) AS first_name FROM nodes JOIN k ON contains(name, keyword) GROUP BY keyword"
 ORACLES["label_scan"] = f"{_G} SELECT id, name FROM nodes WHERE label = 'HydrologicalStation' ORDER BY name, id LIMIT 50"
