@@ -46,27 +46,31 @@ def html_to_markdown(html: Column) -> Column:
 
 def embed_units(markdown: Column) -> Column:
     """Move a header's "(unit)" behind every value with a digit in its column."""
-    lines = F.split(strip(markdown), "\n")
-    headers = _cells(F.element_at(lines, 1))
-    units = F.transform(headers, lambda h: F.nullif(F.regexp_extract(h, _UNIT, 1), F.lit("")))
-    has_unit = F.exists(units, lambda u: u.isNotNull())
-    head = _line(F.transform(headers, lambda h: strip(F.regexp_replace(h, "\\s*\\([^)]+\\)$", ""))))
 
-    def row(line: Column) -> Column:
+    def row(line: Column, units: Column) -> Column:
         return _line(F.transform(_cells(line), lambda c, i: F.when(F.get(units, i).isNotNull() & c.rlike("\\d"), F.concat(c, F.get(units, i))).otherwise(c)))
 
-    body = F.transform(F.slice(lines, F.lit(3), F.greatest(F.size(lines) - 2, F.lit(0))), row)
-    text = F.array_join(F.concat(F.array(head, F.element_at(lines, 2)), body), "\n")
-    return F.when((F.size(lines) < 2) | ~has_unit, markdown).otherwise(text)
+    def moved(lines: Column, headers: Column, units: Column) -> Column:
+        head = _line(F.transform(headers, lambda h: strip(F.regexp_replace(h, "\\s*\\([^)]+\\)$", ""))))
+        body = F.transform(F.slice(lines, F.lit(3), F.greatest(F.size(lines) - 2, F.lit(0))), lambda line: row(line, units))
+        text = F.array_join(F.concat(F.array(head, F.element_at(lines, 2)), body), "\n")
+        return F.when((F.size(lines) < 2) | ~F.exists(units, lambda u: u.isNotNull()), markdown).otherwise(text)
+
+    units_of = lambda headers: F.transform(headers, lambda h: F.nullif(F.regexp_extract(h, _UNIT, 1), F.lit("")))
+    # Bound, so that the lines and units of a table are found once and not again for each of its cells.
+    return bound(F.split(strip(markdown), "\n"), lambda lines: bound(_cells(F.element_at(lines, 1)), lambda headers: bound(units_of(headers), lambda units: moved(lines, headers, units))))
 
 
 def split_rows(markdown: Column, most: int = 8) -> Column:
     """Tables of at most ``most`` data rows each, every one with the header lines."""
-    lines = F.split(strip(markdown), "\n")
-    n = F.size(lines) - 2
-    starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(most))
-    parts = F.transform(starts, lambda i: F.array_join(F.concat(F.slice(lines, 1, 2), F.slice(lines, i + 3, F.lit(most))), "\n"))
-    return F.when(n <= most, F.array(markdown)).otherwise(parts)
+
+    def parts(lines: Column) -> Column:
+        n = F.size(lines) - 2
+        starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(most))
+        cut = F.transform(starts, lambda i: F.array_join(F.concat(F.slice(lines, 1, 2), F.slice(lines, i + 3, F.lit(most))), "\n"))
+        return F.when(n <= most, F.array(markdown)).otherwise(cut)
+
+    return bound(F.split(strip(markdown), "\n"), parts)
 
 
 def table_result(markdown: Column, html: Column, page: Column, ordinal: Column, published: bool = False) -> Column:

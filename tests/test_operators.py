@@ -179,6 +179,24 @@ def test_shortest_paths(spark):
     assert paths.shortest_paths(edges, "a", "a").first().depth == 0
 
 
+def test_shortest_paths_against_a_plain_search(spark):
+    import itertools
+    import random
+
+    draw = random.Random(6)
+    rows = [(f"n{draw.randrange(14)}", f"n{draw.randrange(14)}", draw.choice("xy")) for _ in range(17)] + [("lone", "pair", "z")]
+    edges = spark.createDataFrame(rows, "src string, dst string, rel string")
+    near = {}
+    for a, b, r in rows:
+        near.setdefault(a, set()).add((b, r)), near.setdefault(b, set()).add((a, r))
+    for start, end in [*itertools.islice(itertools.combinations(sorted(near), 2), 0, 60, 9), ("n1", "lone"), ("pair", "lone")]:
+        walks, want = [([start], [])], []
+        for _ in range(4):
+            walks = [([*n, b], [*r, x]) for n, r in walks for b, x in near[n[-1]] if b not in n]
+            want = want or sorted(w for w in walks if w[0][-1] == end)[:5]
+        assert [(r.nodes, r.rels) for r in paths.shortest_paths(edges, start, end).collect()] == want
+
+
 def test_response_mask(spark):
     rows = spark.createDataFrame([(1, [5, 1, 2, 7], [1, 2]), (2, [5, 6], [1, 2]), (3, [1], [1, 2])], "i int, t array<int>, m array<int>")
     got = {r.i: r.labels for r in training.mask_prompt(rows, "t", "m").collect()}
