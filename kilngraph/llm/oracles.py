@@ -64,6 +64,19 @@ WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.pos < p.n_turns AND p.pos = f.n_turns
 """
 
 
+OP1 = rf"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({FOLD}, '[^\x20\x09-\x0D]+') AS a FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT r, hash(CASE WHEN len(a) = 1 THEN a[1] ELSE a[i] || ' ' || a[i + 1] END) AS g FROM d, range(1, greatest(len(a), 2)) t(i) WHERE len(a) > 0),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+w AS MATERIALIZED (SELECT s.r, s.g, n.n FROM s JOIN n ON n.r = s.r),
+p AS MATERIALIZED (SELECT x.r AS a, y.r AS b FROM w x JOIN w y ON x.g = y.g AND x.r < y.r AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)
+      GROUP BY x.r, y.r, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+e AS MATERIALIZED (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+c(r, other) AS (SELECT r, r FROM d UNION SELECT c.r, e.b FROM c JOIN e ON e.a = c.other)
+SELECT d.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(o.doc_id) AS component_id, d.doc_id = min(o.doc_id) AS kept
+FROM d JOIN c ON c.r = d.r JOIN d o ON o.r = c.other LEFT JOIN n ON n.r = d.r GROUP BY d.r, d.doc_id
+"""
+
 OP12 = rf"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({FOLD}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS a FROM documents),
 c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM (SELECT r, lang, source, unnest(a) AS term FROM d) GROUP BY lang, source, term),
@@ -116,4 +129,4 @@ OP11 = _op11()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3, "op5_line_dedup": OP5, "op6_warc": OP6, "op7_chat_format": OP7, "op9_decontamination": OP9, "op11_vector_codes": OP11, "op12_source_divergence": OP12}
+    return {"op1_minhash": OP1, "op3_exact_dedup": OP3, "op5_line_dedup": OP5, "op6_warc": OP6, "op7_chat_format": OP7, "op9_decontamination": OP9, "op11_vector_codes": OP11, "op12_source_divergence": OP12}
