@@ -65,6 +65,39 @@ def noise_flag(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", T.is_noise(text).alias("is_noise"), T.keep_chunk(text).alias("keep"))
 
 
+def _mixed(text: Column) -> Column:
+    """Text with lines in Chinese: blanks between characters, dashes, garbled and meaningless lines, short lines."""
+    return F.concat_ws("\n", F.lit("水 库\n调 度"), F.lit("\n\n—— 流域--"), F.lit("!!!!!!!!!!!!!!!!!!!!水"), F.lit("**"), F.lit("a"), F.translate(text, "abcdefgh", "水库调度流域河站"))
+
+
+@query
+def clean_text_mixed(spark: SparkSession, sf: str) -> DataFrame:
+    """Cleaning of texts whose letters are partly Chinese characters."""
+    return table(spark, sf, "documents").select("doc_id", F.md5(T.clean(_mixed(F.col("text"))).cast("binary")).alias("digest"))
+
+
+@query
+def noise_flag_mixed(spark: SparkSession, sf: str) -> DataFrame:
+    """The noise test on Chinese and mixed texts, long and short, with and without numbers."""
+    kind, text = F.col("doc_id") % 5, F.col("text")
+    rows = table(spark, sf, "documents").select("doc_id", F.when(kind == 0, text).when(kind == 1, F.translate(text, "abcdefgh", "水库调度流域河站")).when(kind == 2, F.concat(F.lit("短 2020 "), "doc_id")).when(kind == 3, F.concat(F.repeat(F.lit("x1 "), (F.col("doc_id") % 50).cast("int")), F.lit("水"))).otherwise(F.translate(text, "z", "水")).alias("t"))
+    return rows.select("doc_id", T.is_noise(F.col("t")).alias("is_noise"), T.keep_chunk(F.col("t")).alias("keep"))
+
+
+@query
+def solver_document_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole solver document of all brands for one year, one row per variable, constraint and value of a series."""
+    constraints = formulation.format_constraints(bind.part_constraints(spark, sf))
+    series = bind.nation_series(spark, sf, "p_brand").where("year = 1996")
+    row = cut(formulation.solver_document(_brands(spark, sf), constraints, formulation.format_parameters(bind.part_parameters(spark, sf)), series, 1996))
+    text = lambda *columns: F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns])
+    variables = row.select(F.explode("variables").alias("x")).select(F.lit("variable").alias("part"), text("x.symbol", "x.name", "x.lower", "x.upper", "x.unit").alias("line"))
+    rules = row.select(F.explode("constraints").alias("x")).select(F.lit("constraint").alias("part"), text("x.expression", "x.type", "x.description").alias("line"))
+    values = row.select(F.explode("time_series").alias("entity", "of")).select("entity", F.explode("of").alias("indicator", "rows")).select("entity", "indicator", F.explode("rows").alias("x"))
+    values = values.select(F.lit("series").alias("part"), text("entity", "indicator", "x.year", "x.value", "x.unit").alias("line"))
+    return variables.unionByName(rules).unionByName(values).groupBy("part", "line").agg(F.count("*").alias("n"))
+
+
 @query
 def extract_numbers(spark: SparkSession, sf: str) -> DataFrame:
     n = T.numbers(F.col("text"))

@@ -111,6 +111,20 @@ ORACLES["clean_lines"] = f"SELECT doc_id, coalesce(t, '') AS text FROM documents
 ORACLES["clean_text"] = f"SELECT doc_id, md5(coalesce({_STRIP('replace(t, ' + text('--') + ', ' + text('—') + ')')}, '')) AS digest FROM documents LEFT JOIN {_CLEANED(_FIXES)} USING (doc_id)"
 _NOISE = f"(length(text) < 10 OR len(regexp_extract_all(text, '-?[0-9]+\\.?[0-9]*')) < 2 OR length(text) < 100)"
 ORACLES["noise_flag"] = f"SELECT doc_id, {_NOISE} AS is_noise, length({_STRIP('text')}) >= 20 AND NOT {_NOISE} AS keep FROM documents"
+_LETTERS = lambda c: f"translate({c}, 'abcdefgh', '水库调度流域河站')"
+_MIXED = f"concat_ws(chr(10), '水 库' || chr(10) || '调 度', chr(10) || chr(10) || '—— 流域--', '!!!!!!!!!!!!!!!!!!!!水', '**', 'a', {_LETTERS('text')})"
+_MIXED_FIXED = _MIXED
+for _wrong, _right in sorted(fixed.TEXT_FIXES, key=lambda p: -len(p[0])):
+    _MIXED_FIXED = f"replace({_MIXED_FIXED}, {text(_wrong)}, {text(_right)})"
+_HAN = "[\\x{4e00}-\\x{9fff}]"
+_N_OF = lambda c, chars: f"len(regexp_extract_all({c}, '{chars}'))"
+_CLOSED = lambda c: f"regexp_replace({c}, '({_HAN})\\s+({_HAN})', '\\1\\2', 'g')"
+_MIXED_LINES = f"""(SELECT doc_id, string_agg(l, chr(10) ORDER BY i) AS t FROM (SELECT doc_id, i, {_STRIP('a[i]')} AS l FROM (SELECT doc_id, string_split({_MIXED_FIXED}, chr(10)) AS a FROM documents), range(1, len(a) + 1) r(i))
+  WHERE length(l) > 0 AND NOT (length(l) > 5 AND ({_N_OF('l', _HAN)} + {_N_OF('l', '[\\p{L}\\p{N}]')}) / length(l) < 0.1) AND NOT (length(l) < 3 AND {_N_OF('l', '[\\p{L}\\p{N}]')} = 0) GROUP BY doc_id)"""
+ORACLES["clean_text_mixed"] = f"SELECT doc_id, md5({_STRIP('replace(replace(' + _CLOSED(_CLOSED('t')) + ', ' + text('——') + ', ' + text('—') + '), ' + text('--') + ', ' + text('—') + ')')}) AS digest FROM {_MIXED_LINES}"
+_NOISY = f"(length(t) < 10 OR ({_N_OF('t', _HAN)} = 0 AND {_N_OF('t', '-?[0-9]+\\.?[0-9]*')} < 2) OR ({_N_OF('t', _HAN)} / greatest(length({_STRIP('t')}), 1) < 0.03 AND length(t) < 100))"
+ORACLES["noise_flag_mixed"] = f"""SELECT doc_id, {_NOISY} AS is_noise, length({_STRIP('t')}) >= 20 AND NOT {_NOISY} AS keep FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN text WHEN 1 THEN {_LETTERS('text')}
+  WHEN 2 THEN '短 2020 ' || doc_id WHEN 3 THEN repeat('x1 ', (doc_id % 50)::INT) || '水' ELSE translate(text, 'z', '水') END AS t FROM documents)"""
 ORACLES["extract_numbers"] = "SELECT doc_id, len(n) AS n, coalesce(n[1], 0) AS first, coalesce(list_max(n), 0) AS largest FROM (SELECT doc_id, list_transform(regexp_extract_all(text, '-?[0-9]+\\.?[0-9]*'), lambda x: x::DOUBLE) AS n FROM documents)"
 ORACLES["strip_frame"] = "SELECT doc_id, CASE WHEN len(a) > 3 THEN length(array_to_string(a[2 : len(a) - 1], chr(10))) ELSE length(text) END AS n FROM (SELECT doc_id, text, string_split(text, chr(10)) AS a FROM documents)"
 ORACLES["chunk_force"] = f"SELECT doc_id, md5(c) AS digest FROM (SELECT doc_id, {_STRIP('substr(text, i + 1, 500)')} AS c FROM documents, range(0, greatest(length(text), 1), 400) r(i)) WHERE c <> ''"
@@ -165,11 +179,14 @@ ORACLES["json_repair"] = f"SELECT event_id, {_EVENT} FROM events"
 ORACLES["json_repair_shapes"] = f"SELECT event_id, {_EVENT}, (event_id % 4)::INT AS shape FROM events"
 _TALKS = "SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS page FROM conversations"
 _TABLE = "'| name | size(mm) |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || p_name || ' | ' || p_size || ' |', chr(10) ORDER BY p_partkey, p_name, p_size::VARCHAR)"
-ORACLES["page_results"] = f"""SELECT 'conv_' || conv_id || '.json' AS source_file, page::INT AS page_num, true AS is_empty, 0 AS char_count, 0 AS n_tables, 0 AS n_images, md5('') AS markdown FROM ({_TALKS})
-  UNION ALL SELECT p_brand || '.pdf', 1, false, 0, 1, 0, md5({_TABLE}) FROM part GROUP BY p_brand"""
+_PAGE = "'页眉' || chr(10) || coalesce(text, '') || chr(10) || '记录' || conv_id || '第' || turn || '轮，供水量公报，水文站流域年度用水耗水统计结果登记备查' || chr(10) || '页脚'"
+_SCAN = "'页眉' || chr(10) || p_brand || '材料尺寸清单，以毫米计，供各地校核登记使用' || chr(10) || '页脚'"
+ORACLES["page_results"] = f"""SELECT 'conv_' || conv_id || '.json' AS source_file, page::INT AS page_num, length(plain) < 10 AS is_empty, length(plain)::INT AS char_count, 0 AS n_tables, 0 AS n_images, md5(plain) AS markdown
+  FROM (SELECT conv_id, page, CASE WHEN (conv_id + turn) % 3 = 0 THEN {_PAGE} ELSE '' END AS plain FROM ({_TALKS}))
+  UNION ALL SELECT p_brand || '.pdf', 1, false, length({_SCAN})::INT, 1, 1, md5({_SCAN} || chr(10) || chr(10) || {_TABLE}) FROM part GROUP BY p_brand"""
 ORACLES["page_tables"] = "SELECT 'tables/' || p_brand || '.pdf' AS path, 'layout' AS method, 'tbl_p1_00' AS table_id, 1 AS page_num, 'name¦size(mm)' AS headers, count(*)::INT AS row_count, 2 AS col_count FROM part GROUP BY p_brand"
-ORACLES["page_method"] = f"""SELECT 'talks/conv_' || conv_id || '.json' AS path, page::INT AS page_num, 'page' AS engine, 'native' AS method, false AS is_noise FROM ({_TALKS})
-  UNION ALL SELECT DISTINCT 'tables/' || p_brand || '.pdf', 1, 'layout', 'layout', true FROM part"""
+ORACLES["page_method"] = f"""SELECT 'talks/conv_' || conv_id || '.json' AS path, page::INT AS page_num, 'page' AS engine, CASE WHEN (conv_id + turn) % 3 = 0 THEN 'ocr' ELSE 'native' END AS method, false AS is_noise FROM ({_TALKS})
+  UNION ALL SELECT DISTINCT 'tables/' || p_brand || '.pdf', 1, 'layout', 'layout', false FROM part"""
 ORACLES["docs_to_triples"] = f"""SELECT 'conv_' || conv_id || '.json' AS source_file, page::INT AS page_num, NULL AS table_id, 'text' AS data_type, '记录' || conv_id AS subject, '2024年供水量为' AS relation, turn || '亿m³' AS object, 0.85::DOUBLE AS confidence FROM ({_TALKS})
   UNION ALL SELECT p_brand || '.pdf', 1, 'tbl_p1_00', 'tabular', p_name, '尺寸为', p_size || 'mm', 0.85::DOUBLE FROM part"""
 ORACLES["limit_chunks"] = "SELECT conv_id, turn, length(text) AS n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations) WHERE i <= 2"
@@ -303,6 +320,12 @@ _SHIPPED = "(SELECT p_brand AS entity, year(l_shipdate) AS y, count(*) AS n FROM
 _N_CONS = "(SELECT count(*) FROM pc WHERE operator <> 'unknown') + (SELECT count(*) FROM pa)"
 ORACLES["solver_document"] = f"""WITH {_DV}, {_BR}, ob(category, description, direction) AS (VALUES {_OBJ}) SELECT (SELECT count(*) FROM dv)::INT AS n_variables, ({_N_CONS})::INT AS n_constraints, (SELECT count(DISTINCT entity) FROM {_SHIPPED} WHERE y = 1996)::INT AS n_entities,
   (SELECT string_agg(DISTINCT direction || '_' || description, '¦' ORDER BY direction || '_' || description) FROM pc JOIN ob USING (category)) AS hints, (SELECT count(*) FROM br) AS reservoir_count, ({_N_CONS})::INT AS constraint_count, '1996' AS years"""
+ORACLES["solver_document_parts"] = f"""WITH {_DV}, {_BR}, lines AS (
+  SELECT 'variable' AS part, concat_ws('|', symbol || '_' || i, 'name of ' || entity || '_' || vname, coalesce(lower::VARCHAR, '-'), coalesce(upper::VARCHAR, '-'), coalesce(unit, '-')) AS line FROM dv JOIN br USING (entity)
+  UNION ALL SELECT 'constraint', concat_ws('|', concat_ws(' ', {_SYM} || '_' || i, operator, value::VARCHAR, nullif(unit, '')), category, name) FROM pc JOIN br USING (entity) WHERE operator <> 'unknown'
+  UNION ALL SELECT 'constraint', 'Z_' || i || ' >= ' || dead || '|water_level|name of ' || entity || ' 死水位约束' FROM pa JOIN br USING (entity)
+  UNION ALL SELECT 'series', 'name of ' || entity || '|出货量|' || y || '|' || n || '|件' FROM {_SHIPPED} WHERE y = 1996)
+SELECT part, line, count(*) AS n FROM lines GROUP BY part, line"""
 ORACLES["formulation_nested"] = f"""WITH {_DV}, {_RULES}, ob(category, description, direction) AS (VALUES {_OBJ}), rk(category, vname, symbol, vunit, rank) AS (VALUES {', '.join(f'({text(c)}, {text(n)}, {text(s)}, {text(u)}, {i})' for i, (c, n, s, u) in enumerate(fixed.VARIABLES))}),
 cr AS (SELECT entity, 'c_' || lpad(n::VARCHAR, greatest(3, length(n::VARCHAR))::INT, '0') AS id, {_EXPR} AS expression, category FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY ord) AS n FROM pc)),
 c AS (SELECT entity, string_agg(id || '|' || expression || '|' || category, '¦' ORDER BY id) AS constraints FROM cr GROUP BY entity),
