@@ -1,15 +1,20 @@
 """Benchmark decontamination with training suffix arrays.
 
-Each task cuts its documents into shards and builds suffix arrays over a shard's words: the starts of all suffixes, sorted
-by as many words as a window has.  Names for blocks of 1, 2, 4, 8 words (prefix doubling) make that sort, and every
-comparison, one of small integers.  Every suffix of every benchmark item that starts a window is binary-searched in the
-array, all suffixes of a block of items at once: the range of equal prefixes gives all places where the window occurs
-verbatim.  Hits whose document place and item place advance together are one verbatim match; the longest of each document
-is reported with its item and both places.  Nothing is shuffled; memory is bounded by the shard (or by one document).
-
-The benchmark travels as a broadcast of about ``BLOCK_BYTES`` of text.  A larger benchmark is split into blocks of whole
-items, of which the driver holds one at a time; the blocks are searched one after the other over all documents, and the
-marks so far ride along in work tables.
+Each task cuts its documents into shards of bounded text and builds, once per shard, a suffix array over all the shard's
+words: the starts of all suffixes of all documents in full lexicographic order.  Words become small integers; as many of
+them as fit are packed into one number, by which suffixes are sorted first; what is still equal is refined by doubling.
+Every block of benchmark items is then searched in the arrays that are at hand, all its suffixes at once:
+
+* Windows: binary search of every suffix that starts a window gives the range of suffixes that begin with it, hence every
+  place where it occurs verbatim; these places are marked, and the items noted.
+* Longest matches: every suffix of every item is binary-searched for its place in the array; a document's suffix then has
+  its longest match with one of its two neighbours among them, however short it is.  The longest one of each document is
+  reported with its item and both places.
+
+Nothing is shuffled, and no text is written: a task holds ``GROUP_SHARDS`` shards with their arrays and marks, and one
+block of the benchmark at a time.  A benchmark of about ``BLOCK_BYTES`` of text is one block and travels as a broadcast; a
+larger one is cut into blocks of whole items, which lie as files in the shared work folder and are read in turn, once for
+each group of shards.
 
 Defined cases: null or empty texts have no words, no hits and are not contaminated; items without words have no window;
 an item of fewer words than the window is one window; items with a null id mark words but are not listed; repeated rows
@@ -21,31 +26,47 @@ further columns are kept by ``decontaminate``.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from kilngraph.llm.storage import discard, fresh, materialise, slices
+from kilngraph.llm.storage import discard, materialise, new_folder, slices
 
 WINDOW_WORDS = 13
 #: A document is contaminated if hit words * HIT_FACTOR >= words.
 HIT_FACTOR = 20
-#: Text of a shard, and most benchmark text in one broadcast.
-SHARD_BYTES, BLOCK_BYTES = 2_000_000, 4_000_000
-#: Pairs of matching places that are followed at once; more are followed word by word.
-MOST_PAIRS = 2_000_000
+#: Text of a shard, shards that are searched together, and most benchmark text in one block.
+SHARD_BYTES, GROUP_SHARDS, BLOCK_BYTES = 2_000_000, 12, 4_000_000
 #: Words are runs of 0-9, a-z and everything beyond ASCII, after lower-casing A-Z; on UTF-8 bytes this is one table.
 FOLD = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
+_FOLDED = np.frombuffer(FOLD, np.uint8)
 
 
 def words(text: bytes | None) -> list[bytes]:
     return text.translate(FOLD).split() if text else []
 
 
+def word_array(texts: list[bytes]) -> tuple[np.ndarray, pa.BinaryArray]:
+    """The words of all texts in order, and how many each text has."""
+    data = _FOLDED[np.frombuffer(b" ".join(texts), np.uint8)]
+    inside = data != 0x20
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    at = np.flatnonzero(begins)
+    # Word bytes lie side by side once the others are gone; a word ends where the next begins.
+    offsets = np.append(np.cumsum(inside)[at] - 1 if len(at) else at, inside.sum()).astype(np.int32)
+    found = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside].tobytes())])
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return np.diff(np.searchsorted(at, ends), prepend=0), found
+
+
 def _known_ahead(tokens: np.ndarray) -> np.ndarray:
     """From each place, the number of tokens up to the next 0."""
     at = np.arange(len(tokens))
@@ -60,247 +81,321 @@ def _expand(begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class SuffixArray:
-    """Suffixes of a token sequence, sorted by their first words, one array per window size; token 0 matches nothing.
+    """All suffixes of a token sequence in full order; a suffix ends before the next token 0, which matches nothing.
 
-    Block names of 2^j words are dense integers in the blocks' lexicographic order.  A window of s words is the pair of
-    names of its first and of its last 2^j words (2^j <= s < 2^(j+1)), and pairs sort as the windows do.
+    ``bits`` is enough for any token of this and of the sequences it is compared with; ``per`` tokens are one key.
     """
 
-    def __init__(self, tokens: np.ndarray, depth: int):
-        ahead = _known_ahead(tokens)
-        self.ahead, self.names, self.keys = ahead, [tokens], []
-        while 2 << len(self.keys) <= depth:
-            half, last = 1 << len(self.keys), self.names[-1]
-            at = np.flatnonzero(ahead >= 2 * half)
-            width = int(last.max(initial=0)) + 1
-            keys, names = np.unique(last[at] * width + last[at + half], return_inverse=True)
-            self.keys.append((keys, width))
-            self.names.append(np.zeros(len(tokens), np.int64))
-            self.names[-1][at] = names.reshape(-1) + 1
-
-    def find(self, query: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Binary search of the windows query[i : i + size], i in ``at``: (order, low, high), places are order[low:high]."""
-        level = size.bit_length() - 1
-        span, names = 1 << level, self.names[level]
-        starts = np.flatnonzero(self.ahead >= size)
-        width = int(names.max(initial=0)) + 1
-        keys = names[starts] * width + names[starts + size - span]
-        order = np.argsort(keys, kind="stable")
-        keys, order = keys[order], starts[order]
-        first, last = self._named(query, at, level), self._named(query, at + size - span, level)
-        want = np.where((first > 0) & (last > 0), first * width + last, -1)
-        return order, np.searchsorted(keys, want), np.searchsorted(keys, want, side="right")
-
-    def _named(self, query: np.ndarray, at: np.ndarray, level: int) -> np.ndarray:
-        """This sequence's names for the blocks of 2^level words of another, 0 for blocks that it doesn't have."""
-        if not level:
-            return query[at]
-        out = np.zeros(len(at), np.int64)
-        first = self._named(query, at, level - 1)
-        alive = np.flatnonzero(first)
-        second = self._named(query, at[alive] + (1 << (level - 1)), level - 1)
-        keys, width = self.keys[level - 1]
-        alive, second = alive[second > 0], second[second > 0]
-        # A token of the other sequence may lie beyond this one's tokens; it then equals none.
-        fits = (first[alive] < width) & (second < width)
-        alive, want = alive[fits], first[alive[fits]] * width + second[fits]
-        place = np.searchsorted(keys, want)
-        same = np.flatnonzero(place < len(keys))
-        same = same[keys[place[same]] == want[same]]
-        out[alive[same]] = place[same] + 1
-        return out
+    def __init__(self, tokens: np.ndarray, bits: int):
+        self.tokens, self.bits, self.per = tokens, bits, max(1, 62 // bits)
+        self.ahead = _known_ahead(tokens)
+        self.keys = np.zeros(len(tokens) + 1, np.int64)
+        for i in range(self.per):
+            there = np.zeros(len(tokens), np.int64)
+            alive = self.ahead > i
+            there[alive] = tokens[np.flatnonzero(alive) + i]
+            self.keys[:-1] |= there << (bits * (self.per - 1 - i))
+        starts = np.flatnonzero(tokens)
+        self.order = starts[np.argsort(self.keys[starts], kind="stable")]
+        self._refine()
+        self.first = self.keys[self.order]
+
+    def _refine(self) -> None:
+        """Sort suffixes that are equal so far by what follows, twice as far each time; ended ones stay equal."""
+        order, keys, done = self.order, self.keys[self.order], self.per
+        if not len(order):
+            return
+        new = np.concatenate(([True], keys[1:] != keys[:-1]))
+        rank = np.zeros(len(self.tokens) + 1, np.int64)
+        rank[order] = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0)) + 1
+        size = np.diff(np.append(np.flatnonzero(new), len(order)))
+        rows = np.flatnonzero(np.repeat(size, size) > 1)
+        while True:
+            rows = rows[self.ahead[order[rows]] >= done]  # the rest are whole suffixes, equal for good
+            if not len(rows):
+                return
+            at = order[rows]
+            group, after = rank[at], rank[np.minimum(at + done, len(self.tokens))]
+            turn = np.lexsort((after, group))
+            # Places of a group that are given anew: those of its members that go on, behind those that have ended.
+            at, group, after = at[turn], group[turn], after[turn]
+            order[rows] = at
+            begin = np.concatenate(([True], group[1:] != group[:-1]))
+            split = begin | np.concatenate(([True], after[1:] != after[:-1]))
+            # A subgroup's rank is the place of its first member; the places are those in ``rows``, which keep their order.
+            rank[at] = np.maximum.accumulate(np.where(split, rows, -1)) + 1
+            many = np.diff(np.append(np.flatnonzero(split), len(rows)))
+            rows = rows[np.repeat(many, many) > 1]
+            done *= 2
+
+    def key(self, at: np.ndarray, offset) -> np.ndarray:
+        """The key of each suffix from ``offset`` on, 0 behind its end."""
+        return np.where(offset < self.ahead[at], self.keys[np.minimum(at + offset, len(self.tokens))], 0)
+
+    def _bisect(self, low: np.ndarray, high: np.ndarray, offset: int, key: np.ndarray, right: bool) -> np.ndarray:
+        """In [low, high) the first suffix whose key from ``offset`` on is not below (or is above) ``key``."""
+        low, high = low.copy(), high.copy()
+        while True:
+            open_ = np.flatnonzero(low < high)
+            if not len(open_):
+                return low
+            middle = (low[open_] + high[open_]) >> 1
+            have = self.key(self.order[middle], offset)
+            up = have <= key[open_] if right else have < key[open_]
+            low[open_[up]] = middle[up] + 1
+            high[open_[~up]] = middle[~up]
+
+    def ranges(self, query: SuffixArray, at: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """[low, high) in ``order``: the suffixes that begin with the first ``depth`` tokens of query's suffixes ``at``."""
+        low, high = np.zeros(len(at), np.int64), np.full(len(at), len(self.order))
+        alive, offset = np.arange(len(at)), 0
+        while len(alive):
+            left = np.minimum(depth[alive] - offset, self.per)
+            free = (np.int64(1) << (self.bits * (self.per - left))) - 1  # bits of tokens beyond the depth
+            key = query.key(at[alive], offset) & ~free
+            if offset:
+                a = self._bisect(low[alive], high[alive], offset, key, False)
+                b = self._bisect(low[alive], high[alive], offset, key | free, True)
+            else:
+                a, b = np.searchsorted(self.first, key), np.searchsorted(self.first, key | free, side="right")
+            low[alive], high[alive] = a, b
+            offset += self.per
+            alive = alive[(b > a) & (depth[alive] > offset)]
+        return low, high
+
+    def places(self, query: SuffixArray, at: np.ndarray) -> np.ndarray:
+        """Where in ``order`` query's suffixes ``at`` belong: the number of suffixes that sort before each."""
+        low, high = np.zeros(len(at), np.int64), np.full(len(at), len(self.order))
+        alive, offset = np.arange(len(at)), 0
+        while len(alive):
+            key = query.key(at[alive], offset)
+            if offset:
+                a = self._bisect(low[alive], high[alive], offset, key, False)
+                b = self._bisect(low[alive], high[alive], offset, key, True)
+            else:
+                a, b = np.searchsorted(self.first, key), np.searchsorted(self.first, key, side="right")
+            low[alive], high[alive] = a, b
+            offset += self.per
+            alive = alive[(b > a) & (query.ahead[at[alive]] >= offset)]
+        return low
+
+    def common(self, at: np.ndarray, other: SuffixArray, there: np.ndarray) -> np.ndarray:
+        """How many tokens suffixes of both sequences have in common from their beginning."""
+        most = np.minimum(self.ahead[at], other.ahead[there])
+        out, alive, offset = np.zeros(len(at), np.int64), np.arange(len(at)), 0
+        while len(alive):
+            differ = self.key(at[alive], offset) ^ other.key(there[alive], offset)
+            same = sum((differ >> (self.bits * (self.per - 1 - i)) == 0).astype(np.int64) for i in range(self.per))
+            out[alive] += same
+            offset += self.per
+            alive = alive[(same == self.per) & (most[alive] > offset)]
+        return np.minimum(out, most)
+
+
+class Shard:
+    """Documents as one sequence of word numbers with its suffix array, and what has been found in them."""
+
+    def __init__(self, texts: list[bytes | None]):
+        self.lengths, found = word_array([t or b"" for t in texts])
+        coded = found.dictionary_encode()
+        self.words = coded.dictionary
+        self.ends = np.cumsum(self.lengths + 1)
+        tokens = np.zeros(int(self.ends[-1]) if len(texts) else 0, np.int64)
+        inside = np.ones(len(tokens), bool)
+        inside[self.ends - 1] = False
+        tokens[inside] = coded.indices.to_numpy().astype(np.int64) + 1
+        self.array = SuffixArray(tokens, (len(self.words) + 1).bit_length())
+        self.hit = np.zeros(len(tokens), bool)
+        self.items: list[set[str]] = [set() for _ in texts]
+        self.best: list[tuple] = [(0, -1, None, -1)] * len(texts)
+
+    def document(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.ends, places, side="right")
+
+    def search(self, block: Benchmark) -> None:
+        """Mark the windows of a block, note their items, and keep each document's longest match."""
+        array = self.array
+        number = pc.index_in(block.words, value_set=self.words).fill_null(-1).to_numpy().astype(np.int64) + 1
+        query = SuffixArray(np.append(0, number)[block.tokens], array.bits)
+        if not (len(query.order) and len(array.order)):
+            return
+        for size, at in block.starts.items():
+            at = at[query.ahead[at] >= size]  # with a word that the shard lacks, a window occurs nowhere in it
+            low, high = array.ranges(query, at, np.full(len(at), size))
+            self._mark(block, at, low, high, size)
+        self._longest(block, query)
+
+    def _mark(self, block: Benchmark, at: np.ndarray, low: np.ndarray, high: np.ndarray, size: int) -> None:
+        some = np.flatnonzero(high > low)
+        if not len(some):
+            return
+        # Equal windows find the same range; its places are marked once, for the items of all of them.
+        ranges, one, which = np.unique(low[some], return_index=True, return_inverse=True)
+        row, places = _expand(ranges, high[some][one] - ranges)
+        places = self.array.order[places]
+        change = np.bincount(places, minlength=len(self.hit) + 1) - np.bincount(places + size, minlength=len(self.hit) + 1)
+        self.hit |= np.cumsum(change)[:-1] > 0
+        owners: list[set[str]] = [set() for _ in ranges]
+        for r, i in zip(which.reshape(-1).tolist(), block.item_of(at[some]).tolist(), strict=True):
+            if block.items[i] is not None:
+                owners[r].add(block.items[i])
+        for r, d in np.unique(np.stack([row, self.document(places)], 1), axis=0).tolist():
+            self.items[d] |= owners[r]
+
+    def _longest(self, block: Benchmark, query: SuffixArray) -> None:
+        """A suffix's longest match is with its neighbour before or behind it among all suffixes of the block."""
+        array = self.array
+        ahead = np.searchsorted(array.places(query, query.order), np.arange(len(array.order)), side="right")
+        length = np.zeros(len(array.order), np.int64)
+        for shift in (-1, 0):
+            have = np.flatnonzero((ahead + shift >= 0) & (ahead + shift < len(query.order)))
+            length[have] = np.maximum(length[have], array.common(array.order[have], query, query.order[ahead[have] + shift]))
+        some = np.flatnonzero(length)
+        places, length = array.order[some], length[some]
+        own = self.document(places)
+        turn = np.lexsort((places, -length, own))
+        first = turn[np.unique(own[turn], return_index=True)[1]]
+        own, places, length = own[first], places[first], length[first]
+        # Of the block's suffixes that begin with the match, the one of the least item and place, which are in order.
+        low, high = query.ranges(array, places, length)
+        for d, p, n, a, b in zip(own.tolist(), places.tolist(), length.tolist(), low.tolist(), high.tolist(), strict=True):
+            place = p - (int(self.ends[d]) - int(self.lengths[d]) - 1)
+            if n > self.best[d][0] or (n == self.best[d][0] and place < self.best[d][1]):
+                i = int(query.order[a:b].min())
+                item = int(block.item_of(np.array([i]))[0])
+                self.best[d] = (n, place, block.items[item], i - int(block.begins[item]))
+
+    def results(self) -> list[tuple]:
+        """For each text: hit mask over its words, item ids, and words, place, item and item place of the longest match."""
+        return [(self.hit[e - n - 1 : e - 1], sorted(self.items[i]), *self.best[i]) for i, (e, n) in enumerate(zip(self.ends.tolist(), self.lengths.tolist(), strict=True))]
 
 
 class Benchmark:
-    """A block of items as one token sequence over a vocabulary of its own; token 0 is any other word or an item's end."""
+    """A block of items as one sequence of word numbers; 0 is an item's end."""
 
     def __init__(self, items: list[tuple[str | None, bytes | None]], window: int = WINDOW_WORDS):
-        self.vocabulary: dict[bytes, int] = {}
+        vocabulary: dict[bytes, int] = {}
         stream: list[int] = []
         starts: dict[int, list[np.ndarray]] = {}
         self.items: list[str | None] = []
-        self.begins: list[int] = []
+        begins: list[int] = []
         for item, text in sorted(items, key=lambda x: (x[0] is None, x[0] or "", x[1] or b"")):
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
+            ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words(text)]
             if ids:
                 size = min(window, len(ids))
                 starts.setdefault(size, []).append(len(stream) + np.arange(len(ids) - size + 1))
                 self.items.append(item)
-                self.begins.append(len(stream))
+                begins.append(len(stream))
                 stream += [*ids, 0]
-        self.tokens = np.array(stream, np.int64)
+        self.words = pa.array(list(vocabulary), pa.binary())
+        self.tokens, self.begins = np.array(stream, np.int64), np.array(begins, np.int64)
         self.starts = {size: np.concatenate(at) for size, at in sorted(starts.items())}
 
-    def search(self, texts: list[bytes | None]) -> list[tuple]:
-        """For each text: hit mask over its words, item ids, and words, place, item and item place of the longest match."""
-        get, lengths, stream = self.vocabulary.get, [], []
-        for text in texts:
-            ids = [get(w, 0) for w in words(text)]
-            lengths.append(len(ids))
-            stream += ids
-            stream.append(0)
-        tokens = np.array(stream, np.int64)
-        ends = np.cumsum(np.array(lengths, np.int64) + 1)
-        hit = np.zeros(len(tokens) + 1, np.int64)
-        found: list[set[str]] = [set() for _ in texts]
-        best = [(0, -1, None, -1)] * len(texts)
-        array = SuffixArray(tokens, max(self.starts, default=1))
-        begins = np.array(self.begins, np.int64)
-        for size, at in self.starts.items():
-            order, low, high = array.find(self.tokens, at, size)
-            some = np.flatnonzero(high > low)
-            if not len(some):
-                continue
-            # Equal windows find the same range; its places are marked once, for the items of all of them.
-            ranges, one, which = np.unique(low[some], return_index=True, return_inverse=True)
-            row, places = _expand(ranges, high[some][one] - ranges)
-            places = order[places]
-            hit[: len(tokens)] += np.bincount(places, minlength=len(tokens))
-            hit -= np.bincount(places + size, minlength=len(hit))
-            owners: list[set[str]] = [set() for _ in ranges]
-            for r, i in zip(which.reshape(-1).tolist(), (np.searchsorted(begins, at[some], side="right") - 1).tolist(), strict=True):
-                if self.items[i] is not None:
-                    owners[r].add(self.items[i])
-            for r, d in np.unique(np.stack([row, np.searchsorted(ends, places, side="right")], 1), axis=0).tolist():
-                found[d] |= owners[r]
-            self._longest(best, ends, lengths, order, at[some], low[some], high[some], size, begins)
-        mask = np.cumsum(hit)[: len(tokens)] > 0
-        return [(mask[ends[i] - n - 1 : ends[i] - 1], sorted(found[i]), *best[i]) for i, n in enumerate(lengths)]
-
-    def _longest(self, best: list[tuple], ends, lengths, order, at, low, high, size: int, begins) -> None:
-        """Follow matching places (document p, item i) while both advance together; keep each document's longest."""
-
-        def keep(p: np.ndarray, i: np.ndarray, runs: np.ndarray) -> None:
-            """A match of ``runs`` windows that begins at document place p and item place i."""
-            d = np.searchsorted(ends, p, side="right")
-            turn = np.lexsort((i, p, -runs, d))
-            for k in turn[np.unique(d[turn], return_index=True)[1]]:
-                n, own = int(runs[k]) + size - 1, int(d[k])
-                place = int(p[k] - (ends[own] - lengths[own] - 1))
-                if n > best[own][0] or (n == best[own][0] and place < best[own][1]):
-                    item = int(np.searchsorted(begins, i[k], side="right") - 1)
-                    best[own] = (n, place, self.items[item], int(i[k] - begins[item]))
-
-        if (high - low).sum() <= MOST_PAIRS:
-            row, place = _expand(low, high - low)
-            p, i = order[place], at[row]
-            turn = np.lexsort((p, p - i))
-            p, i = p[turn], i[turn]
-            new = np.flatnonzero(np.concatenate([[True], (np.diff(p) != 1) | (np.diff(i) != 1)]))
-            keep(p[new], i[new], np.diff(np.append(new, len(p))))
-            return
-        # Many places times many items: one document place after the other, with the matches that end there.
-        by_low = np.argsort(low, kind="stable")
-        lows = low[by_low]
-        where = np.concatenate([np.arange(b, e) for b, e in np.unique(np.stack([low, high], 1), axis=0).tolist()])
-        which = {int(order[k]): k for k in where.tolist()}
-        first_of = np.unique(np.stack([low, high], 1), axis=0)
-        open_i, open_from, last = np.empty(0, np.int64), np.empty(0, np.int64), -2
-        for p in [*sorted(which), None]:
-            if p is None:
-                now = np.empty(0, np.int64)
-            else:
-                start = first_of[np.searchsorted(first_of[:, 0], which[p], side="right") - 1, 0]
-                now = np.sort(at[by_low[np.searchsorted(lows, start) : np.searchsorted(lows, start, side="right")]])
-            carried = np.isin(open_i + 1, now) if p == last + 1 else np.zeros(len(open_i), bool)
-            done = ~carried
-            if done.any():
-                keep(open_from[done], open_i[done] - (last - open_from[done]), last - open_from[done] + 1)
-            begun = np.full(len(now), -1 if p is None else p)
-            if carried.any():
-                begun[np.searchsorted(now, open_i[carried] + 1)] = open_from[carried]
-            open_i, open_from, last = now, begun, p
-
-
-#: What a block of items adds to a document; the mask becomes a count after the last block.
-MARKS = {"__n_hit": "binary", "__items": "array<string>", "__n_words": "long", "__longest": "long", "__longest_at": "long", "__longest_item": "string", "__longest_item_at": "long"}
+    def item_of(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.begins, at, side="right") - 1
 
+    def search(self, texts: list[bytes | None]) -> list[tuple]:
+        """The results of one shard of ``texts``."""
+        shard = Shard(texts)
+        shard.search(self)
+        return shard.results()
 
-def _mark(block, text_col: str, marks: tuple[str, ...], schema: pa.Schema, last: bool, shard_bytes: int):
-    """The function that searches one block; it adds or updates the columns ``marks``."""
-    mask_col, items_col, words_col, *long_cols = marks
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, text_col, shard_bytes):
-                old = [batch.column(c).to_pylist() for c in (mask_col, items_col, *long_cols)] if mask_col in batch.schema.names else None
-                rows = []
-                for i, (own, items, *longest) in enumerate(block.value.search(batch.column(text_col).cast(pa.binary()).to_pylist())):
-                    if old:
-                        own = own | np.unpackbits(np.frombuffer(old[0][i], np.uint8), count=len(own)).astype(bool)
-                        items = sorted({*items, *old[1][i]})
-                        before = [c[i] for c in old[2:]]
-                        longest = longest if longest[0] > before[0] or (longest[0] == before[0] and longest[1] < before[1]) else before
-                    rows.append((np.int64(own.sum()).item() if last else np.packbits(own).tobytes(), items, len(own), *longest))
-                got = {c: batch.column(c) for c in batch.schema.names}
-                got |= {c: pa.array([r[k] for r in rows], schema.field(c).type) for k, c in enumerate(marks)}
-                yield pa.RecordBatch.from_arrays([got[f.name].cast(f.type) for f in schema], schema=schema)
-
-    return run
-
-
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, most_bytes: int) -> tuple[int, Iterator[list[tuple[str | None, bytes | None]]]]:
-    """How many blocks of whole items there are, and the blocks, read one at a time; a longer item is a block."""
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, most_bytes: int, window: int) -> Callable[[], Iterator[Benchmark]]:
+    """A function for tasks that gives the blocks in turn: one from a broadcast, several from files in the work folder."""
+    spark = benchmark.sparkSession
     rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = 1 if size <= most_bytes else 2 * -(-size // most_bytes)
     rows = rows.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(parts)))
-
-    def read() -> Iterator[list[tuple[str | None, bytes | None]]]:
-        kept = rows if parts == 1 else materialise(rows, "benchmark-blocks")
+    # Repeated items add nothing; distinct ones of a block are about ``most_bytes`` at most, a longer item is a block.
+    read = lambda kept, part: Benchmark([(r.item, bytes(r.text) if r.text is not None else None) for r in kept.where(F.col("part") == part).distinct().collect()], window)
+    if parts == 1:
+        one = spark.sparkContext.broadcast(read(rows, 0))
+        return lambda: iter([one.value])
+    folder, kept = new_folder(spark, "benchmark"), materialise(rows, "benchmark-blocks")
+    system, inner = pyarrow.fs.FileSystem.from_uri(folder)
+    system.create_dir(inner, recursive=True)
+    for part in range(parts):
+        with system.open_output_stream(f"{inner}/{part:06d}") as file:
+            file.write(pickle.dumps(read(kept, part)))
+    discard(kept)
+
+    def blocks() -> Iterator[Benchmark]:
+        system, inner = pyarrow.fs.FileSystem.from_uri(folder)
         for part in range(parts):
-            # Repeated items add nothing; distinct ones of a block are about ``most_bytes`` at most.
-            yield [(r.item, bytes(r.text) if r.text is not None else None) for r in kept.where(F.col("part") == part).distinct().collect()]
-        discard(kept)
-
-    return parts, read()
-
-
-def _marked(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, *, keep_text: bool, window: int, block_bytes: int, shard_bytes: int) -> tuple[DataFrame, tuple[str, ...]]:
-    spark = docs.sparkSession
-    marks = tuple(fresh(docs.columns, x) for x in MARKS)
-    count, blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
-    df, before = docs, None
-    for i, items in enumerate(blocks):
-        last = i == count - 1
-        block = spark.sparkContext.broadcast(Benchmark(items, window))
-        fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if keep_text or not last or f.name != text_col]
-        ddl = ", ".join([*fields, *(f"`{m}` {'long' if last and kind == 'binary' else kind}" for m, kind in zip(marks, MARKS.values(), strict=True))])
-        arrow = to_arrow_schema(spark.createDataFrame([], ddl).schema)
-        df = df.mapInArrow(_mark(block, text_col, marks, arrow, last, shard_bytes), ddl)
-        if not last:
-            df = materialise(df, "benchmark-marks")
-            discard(before)
-            before = df
-    return df, marks
+            with system.open_input_file(f"{inner}/{part:06d}") as file:
+                yield pickle.loads(file.read())
+
+    return blocks
+
+
+def _searched(batches: Iterator[pa.RecordBatch], text_col: str, blocks: Callable[[], Iterator[Benchmark]], shard_bytes: int, group: int = GROUP_SHARDS) -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
+    """Every shard with its results; a group of shards is searched for one block after the other."""
+    held: list[tuple[pa.RecordBatch, Shard]] = []
+
+    def searched() -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
+        for block in blocks() if held else ():
+            for _, shard in held:
+                shard.search(block)
+        yield from ((batch, shard.results()) for batch, shard in held)
+        held.clear()
+
+    for whole in batches:
+        for batch in slices(whole, text_col, shard_bytes):
+            held.append((batch, Shard(batch.column(text_col).cast(pa.binary()).to_pylist())))
+            if len(held) >= group:
+                yield from searched()
+    yield from searched()
+
+
+#: What ``contamination`` finds in a document.
+FOUND = "n_words long, n_hit long, items array<string>, longest_match long, longest_match_at long, longest_item string, longest_item_at long"
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, window: int = WINDOW_WORDS, factor: int = HIT_FACTOR, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per document: words, hit words, items found, the verdict, and the longest verbatim match with its places.
 
-    ``longest_match`` counts words, from word ``longest_match_at`` of the document and ``longest_item_at`` of ``longest_item``.
+    ``longest_match`` counts words, from word ``longest_match_at`` of the document and ``longest_item_at`` of
+    ``longest_item``; it may be shorter than a window, and is 0 (at -1) where no word is shared.
     """
-    rows, (hit, items, n, longest, at, item, item_at) = _marked(docs.select(id_col, text_col), benchmark, text_col, item_col, item_text_col, keep_text=False, window=window, block_bytes=block_bytes, shard_bytes=shard_bytes)
-    joined = F.array_join(F.array_sort(items), ",")
-    return rows.select(
-        id_col,
-        F.col(n).alias("n_words"),
-        F.col(hit).alias("n_hit"),
-        F.size(items).cast("long").alias("n_items"),
-        F.sha2(joined.cast("binary"), 256).alias("items_sha256"),
-        ((F.col(hit) > 0) & (F.col(hit) * factor >= F.col(n))).alias("contaminated"),
-        F.col(longest).alias("longest_match"),
-        F.col(at).alias("longest_match_at"),
-        F.col(item).alias("longest_item"),
-        F.col(item_at).alias("longest_item_at"),
-        F.col(items).alias("items"),
+    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes, window)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    ddl = f"id {rows.schema['id'].dataType.simpleString()}, {FOUND}"
+    schema = to_arrow_schema(docs.sparkSession.createDataFrame([], ddl).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, results in _searched(batches, "text", blocks, shard_bytes):
+            found = [(len(mask), int(mask.sum()), items, *longest) for mask, items, *longest in results]
+            columns = [pa.array([f[i] for f in found], schema.field(i + 1).type) for i in range(len(schema) - 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], schema=schema)
+
+    got = rows.mapInArrow(run, ddl)
+    return got.select(
+        F.col("id").alias(id_col),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"),
+        ((F.col("n_hit") > 0) & (F.col("n_hit") * factor >= F.col("n_words"))).alias("contaminated"),
+        "longest_match",
+        "longest_match_at",
+        "longest_item",
+        "longest_item_at",
+        "items",
     )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, window: int = WINDOW_WORDS, factor: int = HIT_FACTOR, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, all columns unchanged."""
-    rows, (hit, _, n, *_) = _marked(docs, benchmark, text_col, item_col, item_text_col, keep_text=True, window=window, block_bytes=block_bytes, shard_bytes=shard_bytes)
-    return rows.where(~((F.col(hit) > 0) & (F.col(hit) * factor >= F.col(n)))).select(docs.columns)
+    blocks, text_name = _blocks(benchmark, item_col, item_text_col, block_bytes, window), docs.select(text_col).columns[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, results in _searched(batches, text_name, blocks, shard_bytes):
+            hits = [(len(mask), int(mask.sum())) for mask, *_ in results]
+            yield batch.filter(pa.array([not (hit and hit * factor >= n) for n, hit in hits], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def brute_force(texts: list[str | None], items: list[tuple[str | None, str | None]], window: int = WINDOW_WORDS) -> list[tuple[int, int, int, str]]:
@@ -321,8 +416,8 @@ def brute_force(texts: list[str | None], items: list[tuple[str | None, str | Non
     return out
 
 
-def brute_longest(text: str | None, items: list[tuple[str | None, str | None]], window: int = WINDOW_WORDS) -> int:
-    """Words of the longest verbatim match that holds a whole window, by plain comparison, for tests."""
+def brute_longest(text: str | None, items: list[tuple[str | None, str | None]]) -> int:
+    """Words of the longest verbatim match, by plain comparison, for tests."""
     have, longest = words((text or "").encode()), 0
     for _, t in items:
         own = words((t or "").encode())
@@ -331,6 +426,5 @@ def brute_longest(text: str | None, items: list[tuple[str | None, str | None]],
                 n = 0
                 while p + n < len(have) and i + n < len(own) and have[p + n] == own[i + n]:
                     n += 1
-                if own and n >= min(window, len(own)):
-                    longest = max(longest, n)
+                longest = max(longest, n)
     return longest
