@@ -62,7 +62,9 @@ def _extract(spark: SparkSession, args: argparse.Namespace) -> None:
     # Written once: a model is not to be asked again by a later step.
     store = answers.AnswerStore(spark, args.answers) if args.answers else None
     raw = cut(documents.extract(files, _hook(args.model), most_chunks=args.limit, store=store))
-    triples = cut(normalising.deduplicate(normalising.normalise(raw, _index(spark, args))))
+    rows, counters = normalising.observed(normalising.normalise(raw, _index(spark, args)))
+    triples = cut(normalising.deduplicate(rows))
+    print(counters.get)
     sinks.write_json(triples, f"{args.out}/by_file", by="source_file")
     sinks.write_json(triples, f"{args.out}/all")
     normalising.match_rate(raw).show()

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from kilngraph.functions import fixed_values as fixed
@@ -189,13 +189,9 @@ def preference() -> Column:
     return F.struct(dated.alias("dated"), F.col("confidence"), (-F.col("seq")).alias("seq"), (-F.col("part")).alias("part"))
 
 
-def statistics(raw: DataFrame, normalised: DataFrame) -> DataFrame:
-    """One row of counters over one run; ``normalised`` is read once.
-
-    Counters are added up per key of the deduplication, which a task combines first, so the number of keys is the number
-    of triples that stay, and no second pass is needed.
-    """
-    counters = {
+def _counters() -> dict[str, Column]:
+    """Counters over normalised rows."""
+    return {
         "relations_exact": F.col("rel_method") == "exact",
         "relations_keyword": F.col("rel_method").startswith("keyword"),
         "relations_unmatched": F.col("rel_method").isin("heuristic", "none"),
@@ -204,6 +200,25 @@ def statistics(raw: DataFrame, normalised: DataFrame) -> DataFrame:
         "objects_entity": F.col("object_type") == "entity_reference",
         "split_added": F.col("part") > 0,
     }
+
+
+def observed(normalised: DataFrame, name: str = "normalised") -> tuple[DataFrame, Observation]:
+    """``normalised`` with its counters observed: whatever writes it fills them in its own pass, streams batch by batch.
+
+    A stage that is run again after a lost executor may count its rows again; ``statistics`` never does.
+    """
+    watch = Observation(name)
+    counted = [F.count_if(c).alias(n) for n, c in _counters().items()]
+    return normalised.observe(watch, *counted, F.count(F.lit(1)).alias("normalised")), watch
+
+
+def statistics(raw: DataFrame, normalised: DataFrame) -> DataFrame:
+    """One row of counters over one run; ``normalised`` is read once.
+
+    Counters are added up per key of the deduplication, which a task combines first, so the number of keys is the number
+    of triples that stay, and no second pass is needed.
+    """
+    counters = _counters()
     keys = normalised.groupBy("subject", "year", "object").agg(*[F.count_if(c).alias(n) for n, c in counters.items()], F.count("*").alias("normalised"))
     total = [F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in (*counters, "normalised")]
     after = keys.agg(*total, F.count("*").alias("kept"))

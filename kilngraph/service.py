@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from kilngraph.functions import fixed_values as fixed
 from kilngraph.operators import formulation, graph, paths, queries, questions
+from kilngraph.operators.substrings import SubstringIndex
 from kilngraph.sources.graph_store import GraphStore
 
 MOST_BATCH = 10
@@ -41,11 +42,12 @@ class GraphService:
     """Named reads over node and edge tables: a pair of frames, which are cached until ``close``, or a graph store.
 
     Over a store nothing is cached: a read that names nodes or a document reads the files of their buckets (``_near``), any
-    other one the tables as the newest snapshot has them.
+    other one the tables as the newest snapshot has them.  With an index of ``names`` over it (built when the store was
+    written, see ``index_names``) searches read the postings of the keyword and the edges of what they find.
     """
 
-    def __init__(self, nodes: DataFrame | None = None, edges: DataFrame | None = None, store: GraphStore | None = None):
-        self.store = store
+    def __init__(self, nodes: DataFrame | None = None, edges: DataFrame | None = None, store: GraphStore | None = None, names: SubstringIndex | None = None):
+        self.store, self.names = store, names
         self._tables = None if store else (nodes.cache(), edges.cache())
 
     @property
@@ -71,6 +73,10 @@ class GraphService:
     def __exit__(self, *_: Any) -> None:
         self.close()
 
+    def index_names(self, root: str) -> GraphService:
+        """This service with a substring index of the store's names, written to ``root``."""
+        return GraphService(store=self.store, names=SubstringIndex.build(self.store.nodes(), root))
+
     # Lists and lookups -------------------------------------------------------------------------------------------
     def reservoirs(self, limit: int = 50) -> DataFrame:
         return queries.list_with_neighbours(self.nodes, self.edges, "Reservoir", ("River", "HydrologicalStation"), self._limit(limit, 200))
@@ -82,7 +88,11 @@ class GraphService:
     def search_reservoirs(self, name: str, limit: int = 20) -> DataFrame:
         if not name:
             raise ValueError("name must not be empty")
-        return queries.search_names(self.nodes, name, "Reservoir", self._limit(limit, 100))
+        nodes = self.nodes
+        if self.store and self.names:
+            found = self.names.search(name).select("key").distinct()
+            nodes = self.store.nodes_among(found)
+        return queries.search_names(nodes, name, "Reservoir", self._limit(limit, 100))
 
     def rules(self, node: str) -> DataFrame:
         return queries.linked_to(*self._near([node]), node, "DispatchRule")
@@ -104,6 +114,10 @@ class GraphService:
 
     # Knowledge ---------------------------------------------------------------------------------------------------
     def search(self, keyword: str, limit: int = 50) -> DataFrame:
+        if self.store and self.names:
+            hit = self.names.search(keyword).select("key").distinct()
+            edges = self.store.edges_touching(hit)
+            return queries.triples_at(self.nodes, edges, hit, self._limit(limit, 200))
         return queries.search_triples(self.nodes, self.edges, keyword, self._limit(limit, 200))
 
     def trace(self, document: str, limit: int = 100) -> DataFrame:

@@ -6,8 +6,8 @@ Layout below ``root``:
     data/<write>.json                            a snapshot: for every table and bucket the folders that make it up
     commits/<number>                             a small file that names the snapshot of that number
 
-Nodes lie in the bucket of their id, edges in that of their source; two index tables lead from names to ids and from
-source documents to buckets of edges.  An upsert writes its rows alone; a reader merges a bucket's folders by key (the
+Nodes lie in the bucket of their id, edges in that of their source; three index tables lead from names to ids, and from
+source documents and from targets to buckets of edges.  An upsert writes its rows alone; a reader merges a bucket's folders by key (the
 last non-null value of a node's column, the last row of an edge), in one aggregation that combines map-side, and reads
 buckets without changes as they are.  A bucket with more than ``most_changes`` changes is rewritten, no other one is.
 Replaying a write changes nothing, so a stream's batch may be delivered twice.
@@ -49,6 +49,7 @@ TABLES = {
     "edges": ("src", ("src", "rel", "dst", "year"), ("src", "source_doc")),
     "names": ("name", ("name", "id"), ("name",)),
     "documents": ("source_doc", ("source_doc", "at"), ("source_doc",)),
+    "targets": ("dst", ("dst", "at"), ("dst",)),
 }
 WRITE, ORDER = "__write", "__order"
 
@@ -181,11 +182,12 @@ class GraphStore:
         return rows
 
     def _parts(self, nodes: DataFrame, edges: DataFrame, buckets: int) -> dict[str, DataFrame]:
-        """The rows of all four tables."""
+        """The rows of all tables."""
         parts = {"nodes": nodes, "edges": edges}
         parts["names"] = nodes.where("name is not null").select("name", "id").distinct() if "name" in nodes.columns else nodes.select(F.lit("").alias("name"), "id").where("false")
         document = F.col("source_doc") if "source_doc" in edges.columns else F.lit(None).cast("string")
         parts["documents"] = edges.select(document.alias("source_doc"), self._bucket(F.col("src"), buckets).alias("at")).where("source_doc is not null").distinct()
+        parts["targets"] = edges.select("dst", self._bucket(F.col("src"), buckets).alias("at")).where("dst is not null").distinct()
         return parts
 
     def write_full(self, nodes: DataFrame, edges: DataFrame) -> int:
@@ -307,6 +309,12 @@ class GraphStore:
         now = self.snapshot()
         return self._scan("nodes", now, self._buckets_of(ids, now)).where(F.col("id").isin(ids))
 
+    def nodes_among(self, ids: DataFrame) -> DataFrame:
+        """The nodes of ``ids`` (a column of ids), from their buckets."""
+        now, ids = self.snapshot(), ids.toDF("wanted")
+        at = [str(r.b) for r in ids.select(self._bucket(F.col("wanted"), now["buckets"]).alias("b")).distinct().collect()]
+        return self._scan("nodes", now, at).join(ids, F.col("id") == F.col("wanted"), "left_semi")
+
     def edges_from(self, ids: list[str]) -> DataFrame:
         """The edges that leave ``ids``, from their buckets."""
         now = self.snapshot()
@@ -325,6 +333,13 @@ class GraphStore:
         at = self._scan("documents", now, self._buckets_of([document], now)).where(F.col("source_doc") == document).select("at").distinct()
         return self._scan("edges", now, [str(r["at"]) for r in at.collect()]).where(F.col("source_doc") == document)
 
+    def edges_touching(self, ids: DataFrame) -> DataFrame:
+        """The edges that leave or reach any of ``ids`` (a column of ids), from their buckets; other edges may be among them."""
+        now, ids = self.snapshot(), ids.toDF("id")
+        mine = [str(r.b) for r in ids.select(self._bucket(F.col("id"), now["buckets"]).alias("b")).distinct().collect()]
+        reached = self._scan("targets", now, mine).join(ids, F.col("dst") == F.col("id"), "left_semi").select("at").distinct()
+        return self._scan("edges", now, {*mine, *(str(r["at"]) for r in reached.collect())})
+
     def ends_of(self, edges: DataFrame) -> DataFrame:
         """The nodes at both ends of ``edges`` (few), from their buckets."""
         now = self.snapshot()

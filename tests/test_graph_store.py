@@ -84,6 +84,10 @@ def test_lookups_read_the_files_concerned(spark, tmp_path, store):
     found = store.edges_of_document("doc4")
     want = {r.src for r in store.edges().where("source_doc = 'doc4'").collect()}
     assert {r.src for r in found.collect()} == want and read(found) == {f"bucket={b}" for b in store._buckets_of(want, now)} < read(store.edges())
+    hit = spark.createDataFrame([("n119",)], "hit string")
+    touching = store.edges_touching(hit)
+    assert {(r.src, r.dst) for r in touching.where("src = 'n119' or dst = 'n119'").collect()} == {(r.src, r.dst) for r in store.edges().where("src = 'n119' or dst = 'n119'").collect()}
+    assert len(read(touching)) <= 2 < len(read(store.edges())) and [r.id for r in store.nodes_among(hit).collect()] == ["n119"]
     near_nodes, near_edges = store.around(["n17"])
     assert {r.id for r in near_nodes.collect()} == {"n17", "n119"} and near_edges.count() == 1
     assert store.nodes_named("nobody").isEmpty() and store.edges_of_document("none").isEmpty() and store.nodes_with(["none"]).isEmpty()

@@ -226,3 +226,11 @@ def test_answers_of_any_columns(spark):
     named = questions.answer(spark.createDataFrame([("a", 2020, None), ("", None, "7"), ("", None, "")], "name string, year int, value string"), "q").first()
     assert named.answer == "• a(2020年)\n• 7"
     assert questions.answer(spark.createDataFrame([], "x int"), "问").first().answer.startswith("未找到与「问」")
+
+
+def test_observed_counters_equal_the_statistics(spark, tmp_path):
+    raw = spark.createDataFrame([(i, f"s{i % 5}水库", ["总库容为", "2020年供水量为", "odd"][i % 3], ["5亿m³", "甲河、乙河", "黄河"][i % 3], "", 0.9, "d") for i in range(30)], RAW)
+    rows, watch = normalising.observed(normalising.normalise(raw))
+    normalising.deduplicate(rows).write.parquet(str(tmp_path / "out"))
+    found = normalising.statistics(raw, normalising.normalise(raw)).first().asDict()
+    assert watch.get == {k: found[k] for k in watch.get} and found["total"] == 30 and found["kept"] == spark.read.parquet(str(tmp_path / "out")).count() == found["normalised"] - found["deduplicated"]

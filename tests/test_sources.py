@@ -53,6 +53,9 @@ def test_files_to_graph_to_service(spark, tmp_path, capsys):
         assert rows(read(direct)) == rows(read(service))
     assert direct.reservoir(dam) == service.reservoir(dam) and direct.reservoir("none")["code"] == 404
     assert len(direct.raw_constraints(dam).inputFiles()) < len(direct.nodes.inputFiles()) + len(direct.edges.inputFiles())
+    indexed = direct.index_names(str(tmp_path / "names"))
+    for keyword in ("黄河", "水", "兰州水", "none"):
+        assert rows(indexed.search(keyword)) == rows(service.search(keyword)) and rows(indexed.search_reservoirs(keyword)) == rows(service.search_reservoirs(keyword).select(indexed.nodes.columns))
     with service:
         pass
     assert not service.nodes.is_cached
