@@ -11,8 +11,8 @@ among them every key word, with at most ``INSERTED`` times the template's words
    of the document holds enough of the template's words, and all its key words.
 3. Alignment.  Within the band that the allowed breaks can reach, the best alignment that inserts no more words than
    allowed is found (most key words, then most words, then the shortest span) and held against the rule above.
-4. A match is void if a word that names another licence (``QUALIFIERS``) stands inside it, or if a negation stands up to
-   ``NEGATED`` words before it in the same sentence.  "or version 3", "OR Apache-2.0" and the like behind a match name
+4. A match is void if a word that names another licence (``QUALIFIERS``) stands inside it, if a negation stands up to
+   ``NEGATED`` words before it in the same sentence, or if it is one of few words (``SHORT``) with a sentence's end inside.  "or version 3", "OR Apache-2.0" and the like behind a match name
    further licences, which are reported with places of their own.
 
 The index is a fixed table of some kilobytes and travels with the code; documents are scanned in one pass without a
@@ -42,6 +42,8 @@ from kilngraph.llm.storage import slices
 COVERAGE, INSERTED = 0.8, 0.1
 #: Words before a match that are searched for a negation.
 NEGATED = 4
+#: Templates of at most so many words match within a sentence only.
+SHORT = 4
 
 # Licence names and the notices and passages by which they are recognised; key words between asterisks.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -49,7 +51,9 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Released under the *MIT* License.",
         "Licensed under the *MIT* License.",
         "This project is licensed under the terms of the *MIT* license.",
+        "*MIT* *License*",
         "*Permission* is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, *sublicense*, and/or sell copies of the Software",
+        "*Permission* is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, *sublicense*, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ),
     "Apache-2.0": (
         "Licensed under the *Apache* License, Version *2.0*.",
@@ -59,12 +63,16 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "GPL-3.0": (
         "licensed under the *GNU* *General* Public License, version *3*.",
         "Licensed under the *GPLv3*.",
+        "*GNU* *GPL*, version *3*",
+        "*GNU* *GPL* *v3*",
         "*GNU* *GENERAL* PUBLIC LICENSE Version *3*, 29 June 2007",
         "This program is free software: you can redistribute it and/or modify it under the terms of the *GNU* *General* Public License as published by the Free Software Foundation, either version *3* of the License, or (at your option) any later version.",
     ),
     "GPL-2.0": (
         "licensed under the *GNU* *General* Public License, version *2*.",
         "Licensed under the *GPLv2*.",
+        "*GNU* *GPL*, version *2*",
+        "*GNU* *GPL* *v2*",
         "*GNU* *GENERAL* PUBLIC LICENSE Version *2*, June 1991",
         "This program is free software; you can redistribute it and/or modify it under the terms of the *GNU* *General* Public License as published by the Free Software Foundation; either version *2* of the License, or (at your option) any later version.",
     ),
@@ -82,25 +90,31 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "If a copy of the *MPL* was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/",
     ),
     "ISC": ("Licensed under the *ISC* License.", "*Permission* to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this *permission* notice appear in all copies."),
-    "CC-BY": ("Licensed under *CC* *BY* *4.0*.", "licensed under a *Creative* *Commons* *Attribution* *4.0* International License."),
+    "CC-BY": ("Licensed under *CC* *BY* *4.0*.", "*CC* *BY* *4.0*", "*CC* *BY* *3.0*", "licensed under a *Creative* *Commons* *Attribution* *4.0* International License."),
     "CC-BY-SA": ("Licensed under *CC* *BY-SA* *4.0*.", "licensed under a *Creative* *Commons* *Attribution-ShareAlike* *4.0* International License."),
     "CC-BY-NC": ("Licensed under *CC* *BY-NC* *4.0*.", "licensed under a *Creative* *Commons* *Attribution-NonCommercial* *4.0* International License."),
     "CC-BY-ND": ("Licensed under *CC* *BY-ND* *4.0*.", "licensed under a *Creative* *Commons* *Attribution-NoDerivatives* *4.0* International License."),
     "CC-BY-NC-SA": ("Licensed under *CC* *BY-NC-SA* *4.0*.", "licensed under a *Creative* *Commons* *Attribution-NonCommercial-ShareAlike* *4.0* International License."),
     "CC-BY-NC-ND": ("Licensed under *CC* *BY-NC-ND* *4.0*.", "licensed under a *Creative* *Commons* *Attribution-NonCommercial-NoDerivatives* *4.0* International License."),
     "CC0": ("To the extent possible under law, the author has *waived* all *copyright* and related or neighboring rights to this work.", "*Creative* *Commons* Legal Code *CC0* *1.0* Universal"),
+    "BSL-1.0": (
+        "*Boost* *Software* *License*",
+        "*Permission* is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare *derivative* works of the Software, and to permit third-parties to whom the Software is furnished to do so",
+    ),
+    "Zlib": ("Licensed under the *zlib* License.", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to *alter* it and *redistribute* it freely, subject to the following restrictions"),
     "Unlicense": ("This is free and *unencumbered* software released into the public *domain*.",),
 }
 #: SPDX identifiers and the licence each names.
 SPDX: dict[str, str] = {
     "MIT": "MIT", "Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2.0", "GPL-2.0-only": "GPL-2.0", "GPL-2.0-or-later": "GPL-2.0", "GPL-3.0": "GPL-3.0", "GPL-3.0-only": "GPL-3.0", "GPL-3.0-or-later": "GPL-3.0",
     "LGPL-2.1-only": "LGPL-2.1", "LGPL-2.1-or-later": "LGPL-2.1", "LGPL-3.0-only": "LGPL-3.0", "LGPL-3.0-or-later": "LGPL-3.0", "AGPL-3.0-only": "AGPL-3.0", "AGPL-3.0-or-later": "AGPL-3.0",
-    "BSD-2-Clause": "BSD", "BSD-3-Clause": "BSD", "MPL-2.0": "MPL-2.0", "ISC": "ISC", "CC-BY-4.0": "CC-BY", "CC-BY-SA-4.0": "CC-BY-SA", "CC-BY-NC-4.0": "CC-BY-NC", "CC-BY-ND-4.0": "CC-BY-ND", "CC0-1.0": "CC0", "Unlicense": "Unlicense",
+    "BSD-2-Clause": "BSD", "BSD-3-Clause": "BSD", "MPL-2.0": "MPL-2.0", "ISC": "ISC", "CC-BY-4.0": "CC-BY", "CC-BY-SA-4.0": "CC-BY-SA", "CC-BY-NC-4.0": "CC-BY-NC", "CC-BY-ND-4.0": "CC-BY-ND", "CC0-1.0": "CC0", "Unlicense": "Unlicense", "BSL-1.0": "BSL-1.0", "Zlib": "Zlib", "CC-BY-3.0": "CC-BY", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3.0", "AGPL-3.0": "AGPL-3.0",
 }
 #: Words that turn a licence's name into another's, negations, and what ends a sentence.
 QUALIFIERS = frozenset("affero lesser library nc nd sa sharealike noncommercial noderivatives noderivs".split())
 NEGATIONS = frozenset("not never no neither nor cannot isn aren wasn weren without".split())
 SENTENCE_END = re.compile(rb"[.!?;:\n]")
+SENTENCE_BREAK = re.compile(rb"[.!?;]\s")
 #: Words are runs of letters and digits, lower-cased; everything beyond ASCII is a word character.
 _FOLD = bytes(c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -266,6 +280,8 @@ def scan_text(index: TemplateIndex, text: bytes | None) -> list[tuple[str, int,
             continue
         if any(w.decode(errors="replace") in NEGATIONS and not SENTENCE_END.search(text[spans[first - b][1] : spans[first][0]]) for b in range(1, NEGATED + 1) if first - b >= 0 for w in [split[first - b]]):
             continue
+        if len(template.ids) <= SHORT and SENTENCE_BREAK.search(text[spans[first][0] : spans[last][0]]):
+            continue
         if all(last < k[3] or first > k[4] for k in kept):
             kept.append((template.family, template.number, share, first, last))
             tag = split[first : first + 3] == [b"spdx", b"license", b"identifier"]

@@ -23,7 +23,18 @@ def found(text: str) -> list[str]:
         ("This work is licensed under the GNU General Public License, version 4.", []),
         ("Licensed under CC BY-ND 4.0.", ["CC-BY-ND"]),
         ("Licensed under CC BY 4.0.", ["CC-BY"]),
-        ("Licensed under CC BY 3.0.", []),
+        ("Licensed under CC BY 3.0.", ["CC-BY"]),
+        ("Licensed under CC BY 9.0.", []),
+        ("MIT License", ["MIT"]),
+        ("The MIT License (MIT)", ["MIT"]),
+        ("under the GNU GPL, version 2", ["GPL-2.0"]),
+        ("Licensed under the GNU GPL v3", ["GPL-3.0"]),
+        ("GNU GPL, version 2 or version 3", ["GPL-2.0", "GPL-3.0"]),
+        ("CC BY 3.0", ["CC-BY"]),
+        ("Boost Software License", ["BSL-1.0"]),
+        ("SPDX-License-Identifier: BSL-1.0", ["BSL-1.0"]),
+        ("we visited MIT. License plates differ", []),
+        ("not under the MIT License", []),
         ("we were not licensed under the terms of the general license of the city", []),
         ("This is not licensed under the MIT License.", []),
         ("It is not ours. Licensed under the MIT License.", ["MIT"]),
@@ -85,3 +96,12 @@ def test_alignment_equals_all_subsequences(monkeypatch):
                         best = max(best, (sum(template.keys[i] for i in own), size, place[0] - place[-1]))
         matched, keys, first, last = licenses.align(template, words, 1)
         assert (keys, matched, first - last) == best
+
+
+def test_a_whole_body_with_edits_is_one_match():
+    body = licenses.TEMPLATES["MIT"][-1].replace("*", "").split()
+    assert len(body) > 150
+    edited = [*body[:20], *body[22:70], *body[72:120], "other", *body[120:]]
+    for words, least in ((body, 1.0), (edited, 0.97)):
+        ((family, number, share, first, last, *_),) = licenses.scan_text(INDEX, f"Copyright (c) someone\n{' '.join(words)}\nint main() {{}}".encode())
+        assert (family, number) == ("MIT", len(licenses.TEMPLATES["MIT"]) - 1) and least <= share <= 1 and last - first + 1 >= len(words)
