@@ -11,10 +11,9 @@ Every block of benchmark items is then searched in the arrays that are at hand,
   its longest match with one of its two neighbours among them, however short it is.  The longest one of each document is
   reported with its item and both places.
 
-Nothing is shuffled, and no text is written: a task holds ``GROUP_SHARDS`` shards with their arrays and marks, and one
-block of the benchmark at a time.  A benchmark of about ``BLOCK_BYTES`` of text is one block and travels as a broadcast; a
-larger one is cut into blocks of whole items, which lie as files in the shared work folder and are read in turn, once for
-each group of shards.
+Nothing is shuffled, and no text is written.  A benchmark of about ``BLOCK_BYTES`` of text is one block and travels as a
+broadcast; a task then holds one shard at a time.  A larger one is cut into blocks of whole items, which lie as files in
+the shared work folder; a task holds ``GROUP_SHARDS`` shards with their arrays and marks, and reads the blocks in turn.
 
 Defined cases: null or empty texts have no words, no hits and are not contaminated; items without words have no window;
 an item of fewer words than the window is one window; items with a null id mark words but are not listed; repeated rows
@@ -88,7 +87,7 @@ class SuffixArray:
 
     def __init__(self, tokens: np.ndarray, bits: int):
         self.tokens, self.bits, self.per = tokens, bits, max(1, 62 // bits)
-        self.ahead = _known_ahead(tokens)
+        self.ahead = _known_ahead(tokens).astype(np.int32)
         self.keys = np.zeros(len(tokens) + 1, np.int64)
         for i in range(self.per):
             there = np.zeros(len(tokens), np.int64)
@@ -96,7 +95,7 @@ class SuffixArray:
             there[alive] = tokens[np.flatnonzero(alive) + i]
             self.keys[:-1] |= there << (bits * (self.per - 1 - i))
         starts = np.flatnonzero(tokens)
-        self.order = starts[np.argsort(self.keys[starts], kind="stable")]
+        self.order = starts[np.argsort(self.keys[starts], kind="stable")].astype(np.int32)
         self._refine()
         self.first = self.keys[self.order]
 
@@ -301,8 +300,9 @@ class Benchmark:
         return shard.results()
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, most_bytes: int, window: int) -> Callable[[], Iterator[Benchmark]]:
-    """A function for tasks that gives the blocks in turn: one from a broadcast, several from files in the work folder."""
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, most_bytes: int, window: int) -> tuple[Callable[[], Iterator[Benchmark]], int]:
+    """A function for tasks that gives the blocks in turn, one from a broadcast, several from files in the work folder; and
+    how many shards are worth holding for it."""
     spark = benchmark.sparkSession
     rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -312,7 +312,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, most_bytes: int,
     read = lambda kept, part: Benchmark([(r.item, bytes(r.text) if r.text is not None else None) for r in kept.where(F.col("part") == part).distinct().collect()], window)
     if parts == 1:
         one = spark.sparkContext.broadcast(read(rows, 0))
-        return lambda: iter([one.value])
+        return lambda: iter([one.value]), 1
     folder, kept = new_folder(spark, "benchmark"), materialise(rows, "benchmark-blocks")
     system, inner = pyarrow.fs.FileSystem.from_uri(folder)
     system.create_dir(inner, recursive=True)
@@ -327,10 +327,10 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, most_bytes: int,
             with system.open_input_file(f"{inner}/{part:06d}") as file:
                 yield pickle.loads(file.read())
 
-    return blocks
+    return blocks, GROUP_SHARDS
 
 
-def _searched(batches: Iterator[pa.RecordBatch], text_col: str, blocks: Callable[[], Iterator[Benchmark]], shard_bytes: int, group: int = GROUP_SHARDS) -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
+def _searched(batches: Iterator[pa.RecordBatch], text_col: str, blocks: Callable[[], Iterator[Benchmark]], shard_bytes: int, group: int) -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
     """Every shard with its results; a group of shards is searched for one block after the other."""
     held: list[tuple[pa.RecordBatch, Shard]] = []
 
@@ -359,13 +359,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ``longest_match`` counts words, from word ``longest_match_at`` of the document and ``longest_item_at`` of
     ``longest_item``; it may be shorter than a window, and is 0 (at -1) where no word is shared.
     """
-    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes, window)
+    blocks, group = _blocks(benchmark, item_col, item_text_col, block_bytes, window)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     ddl = f"id {rows.schema['id'].dataType.simpleString()}, {FOUND}"
     schema = to_arrow_schema(docs.sparkSession.createDataFrame([], ddl).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, results in _searched(batches, "text", blocks, shard_bytes):
+        for batch, results in _searched(batches, "text", blocks, shard_bytes, group):
             found = [(len(mask), int(mask.sum()), items, *longest) for mask, items, *longest in results]
             columns = [pa.array([f[i] for f in found], schema.field(i + 1).type) for i in range(len(schema) - 1)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], schema=schema)
@@ -388,10 +388,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, window: int = WINDOW_WORDS, factor: int = HIT_FACTOR, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, all columns unchanged."""
-    blocks, text_name = _blocks(benchmark, item_col, item_text_col, block_bytes, window), docs.select(text_col).columns[0]
+    blocks, group = _blocks(benchmark, item_col, item_text_col, block_bytes, window)
+    text_name = docs.select(text_col).columns[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, results in _searched(batches, text_name, blocks, shard_bytes):
+        for batch, results in _searched(batches, text_name, blocks, shard_bytes, group):
             hits = [(len(mask), int(mask.sum())) for mask, *_ in results]
             yield batch.filter(pa.array([not (hit and hit * factor >= n) for n, hit in hits], pa.bool_()))
 
