@@ -23,10 +23,14 @@ def table_rows(markdown: Column) -> Column:
 
 def parse_markdown(markdown: Column) -> Column:
     """struct(headers, rows, row_count, col_count), or null without a table line."""
-    rows = table_rows(markdown)
-    headers = F.element_at(rows, 1)
-    body = F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0)))
-    return F.when(F.size(rows) > 0, F.struct(headers.alias("headers"), body.alias("rows"), F.size(body).alias("row_count"), F.size(headers).alias("col_count")))
+
+    def shaped(rows: Column) -> Column:
+        headers = F.element_at(rows, 1)
+        body = F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0)))
+        return F.when(F.size(rows) > 0, F.struct(headers.alias("headers"), body.alias("rows"), (F.size(rows) - 1).alias("row_count"), F.size(headers).alias("col_count")))
+
+    # Bound, so that the lines of a table are split once.
+    return bound(table_rows(markdown), shaped)
 
 
 def _line(cells: Column) -> Column:
