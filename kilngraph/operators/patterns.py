@@ -21,6 +21,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kilngraph.lineage import cut
+from kilngraph.operators.linking import bounded
+
 NODE_SHOWN, EDGE_SHOWN = ("id", "label", "name", "value", "unit"), ("rel", "relation_id", "year", "confidence", "source_doc")
 
 
@@ -111,3 +114,37 @@ def match(nodes: DataFrame, edges: DataFrame, path: list[Node | Step]) -> DataFr
         sides = sides.select("a", "b", *[F.col(c).alias(f"e{step}_{c}") for c in columns])
         rows = rows.join(sides, F.col(f"n{here}_id") == F.col("a")).drop("a").join(node(there), F.col("b") == F.col(f"n{there}_id")).drop("b")
     return rows
+
+
+#: Ends of a block of ``shared``: a task forms the pairs of two blocks.
+BLOCK = 2048
+
+
+def _met(nodes: DataFrame, edges: DataFrame, end: Node, step: Step, middle: Node, side: str) -> DataFrame:
+    """Names of the ends, the middle nodes that each meets, and the name's block among the names that meet the same ones."""
+    rows = match(nodes, edges, [end, step, middle]).select(F.col("n0_name").alias(side), F.col("n2_id").alias("at")).distinct()
+    rows = cut(rows.groupBy(side).agg(F.array_sort(F.collect_list("at")).alias(f"{side}_met")))
+    blocks = bounded(cut(rows.groupBy(f"{side}_met").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(f"{side}_blocks"))))
+    rows = rows.join(blocks, f"{side}_met")
+    return rows.withColumn(f"{side}_block", F.pmod(F.xxhash64(side), F.col(f"{side}_blocks")).cast("int"))
+
+
+def shared(nodes: DataFrame, edges: DataFrame, left: Node, right: Node, middle: Node, step: Step) -> DataFrame:
+    """left, right (names), n: pairs of ends with ``step`` to a common middle node, and how many such nodes there are.
+
+    The same rows as a match of left, step, middle, the step back, right with a count of distinct middle nodes, but no pair
+    is shuffled: names that meet the same middle nodes form a class, counts are found between classes, and names meet
+    last, block by block, so that a row per pair is formed only as it is returned.
+    """
+    met = {side: _met(nodes, edges, end, step, middle, side) for side, end in (("left", left), ("right", right))}
+    classes = {side: cut(rows.select(f"{side}_met", f"{side}_blocks").distinct()) for side, rows in met.items()}
+    a, b = (c.select("*", F.explode(f"{side}_met").alias("at")) for side, c in classes.items())
+    counts = a.join(b, "at").groupBy("left_met", "left_blocks", "right_met", "right_blocks").agg(F.count("*").alias("n"))
+    pairs = bounded(cut(counts.withColumn("pair", F.monotonically_increasing_id())))
+    one = met["left"].select("left", "left_met", "left_block").join(pairs.select("pair", "n", "left_met", "right_blocks"), "left_met")
+    two = met["right"].select("right", "right_met", "right_block").join(pairs.select("pair", "right_met", "left_blocks"), "right_met")
+    each = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    one = one.select("left", "n", "pair", "left_block", each("right_blocks").alias("right_block"))
+    two = two.select("right", "pair", "right_block", each("left_blocks").alias("left_block"))
+    # A hint, so that blocks are dealt to tasks however few bytes they have.
+    return one.join(two.hint("shuffle_hash"), ["pair", "left_block", "right_block"]).select("left", "right", "n")

@@ -1,5 +1,10 @@
 """Queries whose shuffles, memory or tasks once grew faster than their input."""
 
+import json
+
+from kilngraph.operators import extraction, mentions, patterns, queries
+from kilngraph.operators.substrings import SubstringIndex
+from kilngraph.plans import bind
 from kilngraph.plans.catalogue import CATALOGUE
 
 SF = "/root/testdata/sf0.001"
@@ -14,3 +19,17 @@ def test_rows_of_a_parsed_table_do_not_carry_their_table(spark):
     assert plan.count("regexp_replace(regexp_replace(") == 1  # the lines are split once
     kept = next(line for line in plan.split("\n") if "Generate posexplode" in line)
     assert " t#" not in kept and "markdown#" not in kept and "[4]" in kept  # the fifth column, the exploded one, is left out
+
+
+def test_pairs_of_ends_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(patterns, "BLOCK", 3)
+    ends = [(f"{k}{i}", k, f"{k}{i}") for k in "RS" for i in range(20)]
+    nodes = spark.createDataFrame([*ends, *[(f"V{j}", "V", f"v{j}") for j in range(4)]], "id string, label string, name string")
+    links = [(f"{k}{i}", "on", f"V{j}", y) for k in "RS" for i in range(1, 20) for j in {i % 4, i % 3} for y in (1, 2)]
+    edges = spark.createDataFrame(links, "src string, rel string, dst string, year int")
+    left, right, middle = (patterns.Node(label=x) for x in "RSV")
+    frame = patterns.shared(nodes, edges, left, right, middle, patterns.Step(contains="on"))
+    met = lambda i: {i % 4, i % 3}
+    want = sorted((f"R{a}", f"S{b}", len(met(a) & met(b))) for a in range(1, 20) for b in range(1, 20) if met(a) & met(b))
+    assert sorted(map(tuple, frame.collect())) == want
+    assert optimised(frame).count("Aggregate") == 0  # pairs are only joined
