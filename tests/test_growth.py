@@ -33,3 +33,12 @@ def test_pairs_of_ends_are_not_shuffled(spark, monkeypatch):
     want = sorted((f"R{a}", f"S{b}", len(met(a) & met(b))) for a in range(1, 20) for b in range(1, 20) if met(a) & met(b))
     assert sorted(map(tuple, frame.collect())) == want
     assert optimised(frame).count("Aggregate") == 0  # pairs are only joined
+
+
+def test_places_hand_on_their_first_facts_only(spark):
+    nodes = [(f"R{i}", "Reservoir", "r", None, None) for i in range(3)] + [(f"S{i}", "HydrologicalStation", "s", None, None) for i in range(30)] + [("V", "River", "v", None, None)]
+    nodes += [(f"D{i}", "AnnualHydrologyData", "d", f"{i:02d}", "mm") for i in range(30)]
+    edges = [(f"R{i}", "on", "V", "LOCATED_ON", None) for i in range(3)] + [(f"S{i}", "on", "V", "LOCATED_ON", None) for i in range(30)] + [(f"S{i}", "rain", f"D{29 - i}", "ANNUAL_PRECIPITATION", 2000 + i) for i in range(30)]
+    frame = queries.series_or_neighbours(spark.createDataFrame(nodes, "id string, label string, name string, value string, unit string"), spark.createDataFrame(edges, "src string, rel string, dst string, relation_id string, year int"), most=4)
+    assert sorted((r.entity, r.station, r.year, r.value) for r in frame.collect()) == [(f"R{i}", f"S{j}", 2000 + j, f"{29 - j:02d}") for i in range(3) for j in range(4)]
+    assert optimised(frame).count("WindowGroupLimit") == 2  # of places, and of entities
