@@ -21,6 +21,11 @@ def test_rows_of_a_parsed_table_do_not_carry_their_table(spark):
     assert " t#" not in kept and "markdown#" not in kept and "[4]" in kept  # the fifth column, the exploded one, is left out
 
 
+def test_answers_and_orders_are_dealt_to_all_tasks(spark):
+    for frame in (CATALOGUE["json_repair"](spark, SF), bind.raw_triples(spark, SF)):
+        assert "RepartitionByExpression" in optimised(frame)
+
+
 def test_pairs_of_ends_are_not_shuffled(spark, monkeypatch):
     monkeypatch.setattr(patterns, "BLOCK", 3)
     ends = [(f"{k}{i}", k, f"{k}{i}") for k in "RS" for i in range(20)]
