@@ -1,7 +1,8 @@
 """Dictionary names in texts, by an Aho-Corasick automaton: one pass over the texts for any number of names.
 
-The automaton is built in the worker from at most ``MOST_NAMES`` names, which is all that a task is sent; a larger
-dictionary is split by hash, one pass per part, and the passes' findings are joined by text.
+The automaton is built in the worker from at most ``MOST_NAMES`` names, which is all that a task is sent.  Names of a larger
+dictionary are found by a join instead, so that texts are not read once per part of it: the pieces of a text that have the
+length, the first and the last character of some name are joined with the names.
 
 Defined cases: null and empty names are left out, names that repeat count once; a null text mentions nothing; search is
 by code points and minds case; repeated rows each get their result; further columns are ignored, whatever their names.
@@ -10,7 +11,6 @@ by code points and minds case; repeated rows each get their result; further colu
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kilngraph.lineage import cut
+from kilngraph.operators.linking import bounded
 
 #: Names of one automaton.
 MOST_NAMES = 200_000
@@ -48,16 +49,26 @@ def _finder(names: list[str]):
 
 
 def _spans(texts: DataFrame, names: DataFrame, most_names: int) -> DataFrame:
-    """row, spans: all occurrences in each text, from one pass per part of the dictionary."""
-    many = names.count()
-    parts = max(1, -(-many // most_names))
-    passes = []
-    for part in range(parts):
-        mine = [r.name for r in names.where(F.pmod(F.xxhash64("name"), F.lit(parts)) == part).collect()]  # about most_names
-        passes.append(texts.select("row", "text").mapInArrow(_finder(mine), "row long, spans array<struct<start:int,end:int>>"))
-    if parts == 1:
-        return passes[0]
-    return reduce(DataFrame.unionByName, passes).groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    """row, spans: all occurrences in each text."""
+    if names.count() > most_names:
+        return _joined_spans(texts, names)
+    mine = [r.name for r in names.collect()]  # most_names at most
+    return texts.select("row", "text").mapInArrow(_finder(mine), "row long, spans array<struct<start:int,end:int>>")
+
+
+def _joined_spans(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """row, spans: all occurrences in each text, by joining pieces of texts with names."""
+    ends = lambda c: (F.substring(c, 1, 1).alias("first"), F.right(F.col(c), F.lit(1)).alias("last"))
+    shapes = bounded(cut(names.select(F.length("name").alias("n"), *ends("name")).distinct()))
+    # Dealt out, as each text becomes many pieces.
+    at = texts.where("text <> ''").select("row", "text").repartition("row").select("row", "text", F.explode(F.sequence(F.lit(1), F.length("text"))).alias("at"))
+    pieces = at.withColumn("first", F.substring("text", F.col("at"), F.lit(1))).join(shapes, "first")
+    pieces = pieces.where((F.col("at") + F.col("n") - 1 <= F.length("text")) & (F.substring("text", F.col("at") + F.col("n") - 1, F.lit(1)) == F.col("last")))
+    pieces = pieces.select("row", "at", "n", F.substring("text", F.col("at"), F.col("n")).alias("name"))
+    span = F.struct((F.col("at") - 1).alias("start"), (F.col("at") - 1 + F.col("n")).alias("end"))
+    found = pieces.join(names, "name").groupBy("row").agg(F.collect_list(span).alias("spans"))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    return texts.select("row").join(found, "row", "left").select("row", F.coalesce("spans", none).alias("spans"))
 
 
 def _prepared(texts: DataFrame, names: DataFrame, id_cols: list[str], text_col: str, name_col: str) -> tuple[DataFrame, DataFrame]:

@@ -21,6 +21,15 @@ def test_rows_of_a_parsed_table_do_not_carry_their_table(spark):
     assert " t#" not in kept and "markdown#" not in kept and "[4]" in kept  # the fifth column, the exploded one, is left out
 
 
+def test_a_dictionary_of_many_parts_reads_texts_once(spark):
+    texts = spark.range(40).selectExpr("id as i", "concat('n', id, '水库') as text")
+    names = spark.range(30).selectExpr("concat('n', id) as name")
+    frame = mentions.longest(texts, names, ["i"], most_names=3)
+    assert optimised(frame).count("MapInArrow") == 0  # ten passes before
+    want = {i: max((n for n in (f"n{j}" for j in range(30)) if n in f"n{i}水库"), key=len, default=None) for i in range(40)}
+    assert {r.i: r.mention for r in frame.collect()} == want
+
+
 def test_answers_and_orders_are_dealt_to_all_tasks(spark):
     for frame in (CATALOGUE["json_repair"](spark, SF), bind.raw_triples(spark, SF)):
         assert "RepartitionByExpression" in optimised(frame)
