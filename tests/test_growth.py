@@ -56,3 +56,13 @@ def test_places_hand_on_their_first_facts_only(spark):
     frame = queries.series_or_neighbours(spark.createDataFrame(nodes, "id string, label string, name string, value string, unit string"), spark.createDataFrame(edges, "src string, rel string, dst string, relation_id string, year int"), most=4)
     assert sorted((r.entity, r.station, r.year, r.value) for r in frame.collect()) == [(f"R{i}", f"S{j}", 2000 + j, f"{29 - j:02d}") for i in range(3) for j in range(4)]
     assert optimised(frame).count("WindowGroupLimit") == 2  # of places, and of entities
+
+
+def test_keywords_are_counted_by_numbers_of_texts(spark, tmp_path):
+    names = ["b7", "a77", "77", "x", "水7库77", None, ""]
+    rows = spark.createDataFrame(list(enumerate(names)), "id long, name string").repartition(3)
+    index = SubstringIndex.build(rows, str(tmp_path / "i"))
+    words = ["7", "77", "水7库", "水7库7", "zz", "", None, "b7"]
+    got = sorted(map(tuple, index.summary(spark.createDataFrame([(w,) for w in words * 2], "keyword string")).collect()))
+    want = sorted((w, len(h), min(h)) for w in words if w for h in [[n for n in names if n and w in n]] if h)
+    assert got == want
