@@ -56,6 +56,10 @@ def _unfence(text: Column) -> Column:
     return F.when(text.startswith("```"), strip(inner)).otherwise(text)
 
 
+#: Strings whole, and every other character that a value may end with.
+_ENDS = re.compile(r'"(?:[^"\\]|\\.)*"|[}\]0-9elNy]', re.DOTALL)
+
+
 def repair_array(text: str | None) -> str | None:
     """The longest readable beginning of a cut-off JSON array, closed by counting brackets; None if there is none."""
     if not text:
@@ -65,17 +69,10 @@ def repair_array(text: str | None) -> str | None:
         return None
     except json.JSONDecodeError as error:
         head = text[: error.pos].rstrip()
-    # Brackets are counted from the left once; every cut is then closed by what is open at that point.
-    opens: list[tuple[int, int]] = [(0, 0)]
-    for ch in head:
-        braces, brackets = opens[-1]
-        opens.append((braces + (ch == "{") - (ch == "}"), brackets + (ch == "[") - (ch == "]")))
-    for cut in range(len(head), 0, -1):
-        attempt = head[:cut].rstrip()
-        if not attempt or attempt[-1] in ",:{" or attempt[-1] not in '}]"0123456789elNy':
-            continue
-        braces, brackets = opens[len(attempt)]
-        fixed_text = attempt + "}" * braces + "]" * brackets
+    # What precedes the error has been read, so a cut within one of its strings leaves that string open; the others end values.
+    for cut in [m.end() for m in _ENDS.finditer(head)][::-1]:
+        attempt = head[:cut]
+        fixed_text = attempt + "}" * (attempt.count("{") - attempt.count("}")) + "]" * (attempt.count("[") - attempt.count("]"))
         try:
             if isinstance(json.loads(fixed_text), list):
                 return fixed_text

@@ -30,6 +30,17 @@ def test_a_dictionary_of_many_parts_reads_texts_once(spark):
     assert {r.i: r.mention for r in frame.collect()} == want
 
 
+def test_repair_tries_ends_of_values_only(monkeypatch):
+    tried, loads = [], json.loads
+    monkeypatch.setattr(extraction.json, "loads", lambda text: tried.append(text) or loads(text))
+    item = '{"subject": "a0 \\" lonely", "relation": "elNy 0123456789", "object": "1"}'
+    second = item[: item.index(', "object"')] + "}"
+    for text, want in [(f"[{item}, " + item[:-3], f"[{item}, {second}]"), (f"[{item}, " + item[:5], f"[{item}]"), ("[1, 2", "[1, 2]"), ('["\\u', None), ("[nul", None)]:
+        tried.clear()
+        assert extraction.repair_array(text) == want
+        assert len(tried) < 12  # one for every letter e, l, N, y and digit before
+
+
 def test_answers_and_orders_are_dealt_to_all_tasks(spark):
     for frame in (CATALOGUE["json_repair"](spark, SF), bind.raw_triples(spark, SF)):
         assert "RepartitionByExpression" in optimised(frame)
