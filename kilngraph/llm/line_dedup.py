@@ -30,19 +30,25 @@ from kilngraph.llm.storage import discard, materialise
 
 #: Similar means intersection * SHARE[1] >= union * SHARE[0].
 SHARE = (4, 5)
-#: Entries of the rarity table, a byte each, and entries that are counted together on the way to the driver.
-RARITY_ENTRIES, RARITY_BLOCK = 1 << 20, 1 << 12
+#: Entries of the rarity table.  It is part of the plan, which the driver holds and logs many times over, so it stays small.
+RARITY_ENTRIES = 1 << 17
 #: Bits of a word's hash that serve as join key below its rarity.
 KEY_BITS = 56
 #: Tables of at most so many rows of one number are broadcast; longer ones are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 SPACE, NOT_BLANK = "[\\x20\\x09-\\x0D]+", "[^\\x20\\x09-\\x0D]"
+#: Blanks inside a line other than U+0020.
+OTHER_BLANKS = "\t\x0b\x0c\r"
 
 
 def word_set(line: Column) -> Column:
     """Distinct 64-bit hashes of the words of a lower-cased line that has any, sorted."""
-    words = F.split(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), SPACE)
-    return F.sort_array(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
+    other = F.lit(False)
+    for blank in "\n" + OTHER_BLANKS:
+        other = other | F.contains(line, F.lit(blank))
+    # A split by one plain character takes a sixth of the time of one by a class; its empty words go by their hash.
+    words = F.split(F.when(other, F.regexp_replace(line, SPACE, " ")).otherwise(line), " ")
+    return F.sort_array(F.array_remove(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), F.xxhash64(F.lit(""))))
 
 
 def _if_few(df: DataFrame) -> DataFrame:
@@ -50,6 +56,11 @@ def _if_few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _parity(skip: int) -> Column:
+    """Each word flips the bit that six bits of its hash name, after the lowest ``skip``."""
+    return F.expr(f"aggregate(words, 0L, (a, w) -> a ^ shiftleft(1L, cast(shiftright(w, {skip}) & 63 as int)))" if skip else "aggregate(words, 0L, (a, w) -> a ^ shiftleft(1L, cast(w & 63 as int)))")
+
+
 def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """cid, words, n, parity and the place (id, doc, line_no) of the first line of each class."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -57,8 +68,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     named = lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
     first = named.groupBy("h1", "h2").agg(F.min(F.struct("id", "doc", "line_no", "line")).alias("f"))
     first = first.select("f.id", "f.doc", "f.line_no", word_set(F.col("f.line")).alias("words"))
-    parity = F.expr("aggregate(words, 0L, (a, w) -> a ^ shiftleft(1L, cast(w & 63 as int)))")
-    return materialise(first.withColumns({"n": F.size("words"), "parity": parity, "cid": F.monotonically_increasing_id()}), "line-classes", compression="zstd")
+    return materialise(first.withColumns({"n": F.size("words"), "parity": _parity(0), "cid": F.monotonically_increasing_id()}), "line-classes", compression="zstd")
 
 
 def _alike(x: str, y: str) -> Column:
@@ -72,8 +82,13 @@ def _alike(x: str, y: str) -> Column:
 def _settled(classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The later class of every pair whose full word sets are similar; ``pairs`` is a written table of cids a, b in any order."""
     wanted = materialise(pairs.select(F.col("a").alias("want")).unionByName(pairs.select(F.col("b").alias("want"))).distinct(), "line-wanted")
-    sets = materialise(classes.join(_if_few(wanted), F.col("cid") == F.col("want"), "left_semi").select("cid", "id", "doc", "line_no", "words"), "line-sets", compression="zstd")
+    sets = materialise(classes.join(_if_few(wanted), F.col("cid") == F.col("want"), "left_semi").select("cid", "id", "doc", "line_no", "n", "words", *[_parity(bits).alias(f"p{bits}") for bits in (6, 12)]), "line-sets", compression="zstd")
+    # Two more parity filters, on other bits of the hashes, so that few pairs carry word sets through a shuffle.
     rows = pairs
+    for c in ("a", "b"):
+        rows = rows.join(sets.select(F.col("cid").alias(f"cid_{c}"), *[F.col(x).alias(f"{c}_{x}") for x in ("n", "p6", "p12")]), F.col(c) == F.col(f"cid_{c}"))
+    rows = rows.withColumnsRenamed({"a_p6": "a_parity", "b_p6": "b_parity"}).where(_alike("a_", "b_")).drop("a_parity", "b_parity")
+    rows = rows.withColumnsRenamed({"a_p12": "a_parity", "b_p12": "b_parity"}).where(_alike("a_", "b_")).select("a", "b")
     for c in ("a", "b"):
         side = sets.select(F.col("cid").alias(f"cid_{c}"), F.struct("id", "doc", "line_no").alias(f"at_{c}"), F.col("words").alias(f"set_{c}"))
         rows = rows.join(side, F.col(c) == F.col(f"cid_{c}")).drop(f"cid_{c}")
@@ -91,9 +106,10 @@ def _near_copies(classes: DataFrame) -> DataFrame:
     tail = lambda back: F.when(n >= 6, F.xxhash64(F.lit(back), F.slice("words", n - back, F.lit(3))))
     keys = F.array(F.xxhash64(F.lit(1), F.slice("words", 1, 3)), F.when(n >= 6, F.xxhash64(F.lit(4), F.slice("words", 4, 3))), tail(2), tail(5))
     rows = classes.where("n > 3").select(F.explode(F.array_compact(keys)).alias("key"), "id", "line_no", "cid", "n", "parity")
-    hubs = rows.groupBy("key").agg(F.min(F.struct("id", "line_no", "cid", "n", "parity")).alias("h"), F.count("*").alias("under")).where("under > 1")
-    hubs = hubs.select(F.col("key").alias("hub_key"), F.col("h.cid").alias("h_cid"), F.col("h.n").alias("h_n"), F.col("h.parity").alias("h_parity"))
-    pairs = rows.join(hubs, F.col("key") == F.col("hub_key")).where((F.col("cid") != F.col("h_cid")) & _alike("", "h_"))
+    # The first row under a key is its earliest class: one shuffle and one sort find it and meet it with the others.
+    under = Window.partitionBy("key").orderBy("id", "line_no", "cid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumns({f"h_{c}": F.first(c).over(under) for c in ("cid", "n", "parity")})
+    pairs = rows.where((F.col("cid") != F.col("h_cid")) & _alike("", "h_"))
     pairs = materialise(pairs.select(F.col("cid").alias("a"), F.col("h_cid").alias("b")).distinct(), "line-stars")
     found = _settled(classes, pairs)
     discard(pairs)
@@ -105,20 +121,19 @@ def _entry(word: Column) -> Column:
 
 
 def _rarity(classes: DataFrame) -> Column:
-    """Level of each entry's word count, from 1 (counted once) to 127, 0 for entries without words: a constant array.
-
-    Eight levels are packed into a number.
-    """
+    """Level of each entry's word count, from 1 (counted once) to 127, 0 for entries without words: a constant array."""
     words = classes.select(F.explode("words").alias("w")).groupBy(_entry(F.col("w")).alias("entry")).agg(F.count("*").alias("n"))
     level = F.least(F.lit(127), F.floor(F.log2(F.col("n").cast("double")) * 4) + 1).cast("int")
-    code = F.lpad(F.hex((F.col("entry") % RARITY_BLOCK * 256 + level)), 6, "0")
-    blocks = words.groupBy((F.col("entry") / RARITY_BLOCK).cast("int").alias("block")).agg(F.array_join(F.collect_list(code), "").alias("codes"))
-    table = bytearray(RARITY_ENTRIES)
-    for block, codes in blocks.collect():  # RARITY_ENTRIES / RARITY_BLOCK rows, of three bytes an entry
-        data, base = bytes.fromhex(codes), block * RARITY_BLOCK
-        for i in range(0, len(data), 3):
-            table[base + (data[i] << 8 | data[i + 1])] = data[i + 2]
-    return F.split(F.lit(",".join(map(str, memoryview(table).cast("q")))), ",").cast("array<bigint>")
+    table = [0] * RARITY_ENTRIES
+    for entry, of in words.select(F.col("entry").cast("int"), level).collect():  # at most RARITY_ENTRIES rows
+        table[entry] = of
+    return F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
+
+
+def _place(classes: DataFrame) -> Column:
+    """A number that never falls from a class to a later one: whole ids themselves, 0 for ids of any other type."""
+    whole = dict(classes.dtypes)["id"] in ("tinyint", "smallint", "int", "bigint")
+    return F.coalesce(F.col("id").cast("long"), F.lit(-(1 << 63))) if whole else F.lit(0).cast("long")
 
 
 #: Places of n, pos and the two flags in a posting's packed number.
@@ -126,19 +141,18 @@ _N, _POS = 28, 2
 
 
 def _prefixes(classes: DataFrame, settled: DataFrame) -> DataFrame:
-    """word, cid, id, line_no, parity, info for each prefix word; info holds n, pos, whether open, whether in the short prefix."""
+    """word, cid, place, parity, info for each prefix word; info holds n, pos, whether open, whether in the short prefix."""
     num, den = SHARE
     levels = _rarity(classes)
-    level = lambda w: F.call_function("shiftright", F.get(levels, F.shiftright(_entry(w), 3).cast("int")), F.shiftleft(w.bitwiseAND(7), 3).cast("int")).bitwiseAND(127)
-    key = lambda w: F.shiftleft(level(w), KEY_BITS).bitwiseOR(F.shiftrightunsigned(w, 64 - KEY_BITS))
+    key = lambda w: F.shiftleft(F.get(levels, _entry(w).cast("int")), KEY_BITS).bitwiseOR(F.shiftrightunsigned(w, 64 - KEY_BITS))
     rows = classes.join(_if_few(settled), F.col("cid") == F.col("done"), "left")
     n = F.col("n").cast("long")
     up = lambda a, b: F.floor((a * n + (b - 1)) / F.lit(b)).cast("int")  # noqa: E731  a * n / b, rounded up
     length, short = n.cast("int") - up(num, den) + 1, n.cast("int") - up(2 * num, num + den) + 1
-    rows = rows.select("cid", "id", "line_no", "n", "parity", short.alias("short"), F.col("done").isNull().cast("long").alias("open"), F.posexplode(F.slice(F.sort_array(F.transform("words", key)), F.lit(1), length)).alias("pos", "word"))
+    rows = rows.select("cid", _place(classes).alias("place"), "n", "parity", short.alias("short"), F.col("done").isNull().cast("long").alias("open"), F.posexplode(F.slice(F.sort_array(F.transform("words", key)), F.lit(1), length)).alias("pos", "word"))
     once = F.shiftright("word", KEY_BITS) == 1
     info = F.shiftleft(n, _N).bitwiseOR(F.shiftleft(F.col("pos").cast("long"), _POS)).bitwiseOR(F.col("open") * 2).bitwiseOR((F.col("pos") < F.col("short")).cast("long"))
-    return rows.where(~once).select("word", "cid", "id", "line_no", "parity", info.alias("info"))
+    return rows.where(~once).select("word", "cid", "place", "parity", info.alias("info"))
 
 
 def _similar_to_earlier(classes: DataFrame, settled: DataFrame) -> DataFrame:
@@ -149,14 +163,16 @@ def _similar_to_earlier(classes: DataFrame, settled: DataFrame) -> DataFrame:
     part = lambda s: {"n": F.shiftright(F.col(f"{s}info"), _N), "pos": F.shiftright(F.col(f"{s}info"), _POS).bitwiseAND((1 << (_N - _POS)) - 1), "open": F.col(f"{s}info").bitwiseAND(2), "short": F.col(f"{s}info").bitwiseAND(1)}
     a, b = part("x_"), part("y_")
     # No condition is on one side alone and both sides read the same columns, so one shuffle serves both.
-    before = (F.struct("y_id", "y_line_no") <= F.struct("x_id", "x_line_no")) & (F.col("x_cid") != F.col("y_cid")) & (a["open"] * b["n"] > 0)
+    # Of two classes with one place each meets the other; which is later is seen when their sets are compared.
+    before = (F.col("y_place") <= F.col("x_place")) & (F.col("x_cid") != F.col("y_cid")) & (a["open"] * b["n"] > 0)
     larger = (a["n"] > b["n"]) | ((a["n"] == b["n"]) & (F.col("x_cid") > F.col("y_cid")))
     before = before & (F.when(larger, b["short"]).otherwise(a["short"]) == 1) & (den * F.least(a["n"], b["n"]) >= num * F.greatest(a["n"], b["n"]))
     overlap = 1 + F.least(a["n"] - 1 - a["pos"], b["n"] - 1 - b["pos"])
     fits = (num + den) * overlap >= num * (a["n"] + b["n"])
     differ = F.bit_count(F.col("x_parity").bitwiseXOR(F.col("y_parity")))
     near = (num + den) * (a["n"] + b["n"] - differ) >= 2 * num * (a["n"] + b["n"])
-    pairs = x.join(y, (F.col("x_word") == F.col("y_word")) & before & fits & near)
+    # The parity filter comes first: most rows under a word fail it.
+    pairs = x.join(y, (F.col("x_word") == F.col("y_word")) & near & before & fits)
     pairs = materialise(pairs.select(F.col("x_cid").alias("a"), F.col("y_cid").alias("b"), differ.alias("differ")).distinct(), "line-pairs")
     likely = materialise(pairs.groupBy("a").agg(F.min(F.shiftleft(F.col("differ").cast("long"), 56).bitwiseOR(F.col("b"))).alias("best")).select("a", F.col("best").bitwiseAND((1 << 56) - 1).alias("b")), "line-likely")
     first = _settled(classes, likely)
