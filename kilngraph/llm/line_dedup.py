@@ -80,7 +80,7 @@ def _alike(x: str, y: str) -> Column:
 
 
 def _settled(classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The later class of every pair whose full word sets are similar; ``pairs`` is a written table of cids a, b in any order."""
+    """The later class of every pair whose full word sets are similar; ``pairs`` is a written table of cids a, b in any order, or a part of one."""
     wanted = materialise(pairs.select(F.col("a").alias("want")).unionByName(pairs.select(F.col("b").alias("want"))).distinct(), "line-wanted")
     sets = materialise(classes.join(_if_few(wanted), F.col("cid") == F.col("want"), "left_semi").select("cid", "id", "doc", "line_no", "n", "words", *[_parity(bits).alias(f"p{bits}") for bits in (6, 12)]), "line-sets", compression="zstd")
     # Two more parity filters, on other bits of the hashes, so that few pairs carry word sets through a shuffle.
@@ -179,9 +179,10 @@ def _similar_to_earlier(classes: DataFrame, settled: DataFrame) -> DataFrame:
     rest = pairs.join(_if_few(first), F.col("a") == F.col("done"), "left_anti").join(likely.withColumnsRenamed({"a": "la", "b": "lb"}), (F.col("a") == F.col("la")) & (F.col("b") == F.col("lb")), "left_anti")
     rest = materialise(rest.select("a", "b"), "line-rest")
     discard(pairs, likely)
-    second = _settled(classes, rest)
+    # One half after the other, so that only half the pairs' word sets are on disk at once.
+    halves = [_settled(classes, rest.where(F.col("a").bitwiseAND(1) == half)) for half in (0, 1)]
     discard(rest)
-    return first.unionByName(second)
+    return first.unionByName(halves[0]).unionByName(halves[1])
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
