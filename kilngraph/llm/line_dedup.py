@@ -6,16 +6,15 @@ A line's set is its distinct words (runs of anything but U+0020 and U+0009-U+000
 1. Lines with equal lower-cased text form a class; its first line stands for it, every later one is removed.  The shuffle
    that finds them carries the text, which is shorter than its words' hashes.  A class is stored with its words' 64-bit
    hashes, distinct and sorted; all later steps compare these.
-2. Near copies are settled first, without forming their pairs: classes that share one of up to four keys (three
-   neighbouring word hashes from the low or high end) are compared with the earliest class under that key.
+2. Near copies are settled first, without forming their pairs: classes that share one of up to two keys (the
+   three lowest or highest word hashes) are compared with the earliest class under that key.
 3. The words of a class are ordered by rarity.  Rarity is read from word counts over all classes in a hashed table of
    fixed size; words that share an entry are ordered by hash.  Any fixed order gives exact results.
 4. Prefix filter: of two similar lines, the smaller has a common word among its n - ceil(8n/9) + 1 rarest, the larger
    among its n - ceil(4n/5) + 1 rarest.  Every class that is not settled meets all earlier classes under these words (a
    word that occurs once meets nothing and is left out); a pair must pass the length filter, the positional filter, and a
-   parity filter: each word flips one of 64 bits, and as many bits as differ must fit into the allowed difference.
-5. Candidate pairs are verified on the full word sets: of each class the likeliest partner first, then all partners of
-   the classes that are still open.
+   parity filter: each word flips one of 128 bits, and as many bits as differ must fit into the allowed difference.
+5. Candidate pairs are verified on the full word sets, after one more parity filter on other bits of the hashes.
 
 Defined cases: a null text is the empty text; lines without words stay; a null id ranks first; rows that repeat id and
 text are one document, reported each; an empty table gives an empty result; further columns are ignored.
@@ -23,6 +22,9 @@ text are one document, reported each; an empty table gives an empty result; furt
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +34,10 @@ from kilngraph.llm.storage import discard, materialise
 SHARE = (4, 5)
 #: Entries of the rarity table.  It is part of the plan, which the driver holds and logs many times over, so it stays small.
 RARITY_ENTRIES = 1 << 17
+#: Entries of the rarity table that one 64-bit number holds, and the bits of each.
+PACKED, LEVEL_BITS = 16, 4
 #: Bits of a word's hash that serve as join key below its rarity.
-KEY_BITS = 56
+KEY_BITS = 64 - LEVEL_BITS
 #: Tables of at most so many rows of one number are broadcast; longer ones are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 SPACE, NOT_BLANK = "[\\x20\\x09-\\x0D]+", "[^\\x20\\x09-\\x0D]"
@@ -56,39 +60,51 @@ def _if_few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _parity(skip: int) -> Column:
-    """Each word flips the bit that six bits of its hash name, after the lowest ``skip``."""
-    return F.expr(f"aggregate(words, 0L, (a, w) -> a ^ shiftleft(1L, cast(shiftright(w, {skip}) & 63 as int)))" if skip else "aggregate(words, 0L, (a, w) -> a ^ shiftleft(1L, cast(w & 63 as int)))")
+def _parity(skip: int, name: str) -> dict[str, Column]:
+    """128 bits in two columns: each word flips the bit that seven bits of its hash name, after the lowest ``skip``."""
+    flip = f"a ^ shiftleft(1L, cast({f'shiftright(w, {skip})' if skip else 'w'} & 63 as int))"
+    upper = f"if(w & {1 << (skip + 6)}L = 0L, a, {flip})"
+    return {f"{name}{i}": F.expr(f"aggregate(words, 0L, (a, w) -> {step})") for i, step in ((1, flip), (2, upper))}
+
+
+def _differ(x: str, y: str) -> Column:
+    """Bits that differ between columns x1, x2 and y1, y2 of ``_parity``."""
+    one, two = (F.col(f"{x}{i}").bitwiseXOR(F.col(f"{y}{i}")) for i in (1, 2))
+    return F.bit_count(two) + F.bit_count(one.bitwiseXOR(two))
+
+
+def _keys(n: Column) -> Column:
+    """Hashes of the three lowest and the three highest words."""
+    low, high = F.xxhash64(F.lit(1), F.slice("words", 1, 3)), F.xxhash64(F.lit(2), F.slice("words", -3, 3))
+    return F.when(n > 5, F.array(low, high)).when(n > 3, F.array(low))
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """cid, words, n, parity and the place (id, doc, line_no) of the first line of each class."""
+    """cid, words, n, two parity words, keys of near copies and the place (id, doc, line_no) of the first line of each class."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     lines = rows.select("id", F.xxhash64("text").alias("doc"), F.posexplode(F.split(F.lower("text"), "\n")).alias("line_no", "line")).where(F.col("line").rlike(NOT_BLANK))
     named = lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
     first = named.groupBy("h1", "h2").agg(F.min(F.struct("id", "doc", "line_no", "line")).alias("f"))
     first = first.select("f.id", "f.doc", "f.line_no", word_set(F.col("f.line")).alias("words"))
-    return materialise(first.withColumns({"n": F.size("words"), "parity": _parity(0), "cid": F.monotonically_increasing_id()}), "line-classes", compression="zstd")
+    return materialise(first.withColumns({"n": F.size("words"), **_parity(0, "p"), "keys": _keys(F.size("words")), "cid": F.monotonically_increasing_id()}), "line-classes", compression="zstd")
 
 
 def _alike(x: str, y: str) -> Column:
-    """Length and parity filters for columns x_n, x_parity and y_n, y_parity."""
+    """Length and parity filters for columns n, p1 and p2 with prefixes x and y."""
     num, den = SHARE
     n_x, n_y = F.col(f"{x}n").cast("long"), F.col(f"{y}n").cast("long")
-    differ = F.bit_count(F.col(f"{x}parity").bitwiseXOR(F.col(f"{y}parity")))
-    return (den * F.least(n_x, n_y) >= num * F.greatest(n_x, n_y)) & ((num + den) * (n_x + n_y - differ) >= 2 * num * (n_x + n_y))
+    return (den * F.least(n_x, n_y) >= num * F.greatest(n_x, n_y)) & ((num + den) * (n_x + n_y - _differ(f"{x}p", f"{y}p")) >= 2 * num * (n_x + n_y))
 
 
 def _settled(classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The later class of every pair whose full word sets are similar; ``pairs`` is a written table of cids a, b in any order, or a part of one."""
     wanted = materialise(pairs.select(F.col("a").alias("want")).unionByName(pairs.select(F.col("b").alias("want"))).distinct(), "line-wanted")
-    sets = materialise(classes.join(_if_few(wanted), F.col("cid") == F.col("want"), "left_semi").select("cid", "id", "doc", "line_no", "n", "words", *[_parity(bits).alias(f"p{bits}") for bits in (6, 12)]), "line-sets", compression="zstd")
-    # Two more parity filters, on other bits of the hashes, so that few pairs carry word sets through a shuffle.
+    sets = materialise(classes.join(_if_few(wanted), F.col("cid") == F.col("want"), "left_semi").select("cid", "id", "doc", "line_no", "n", "words", *[v.alias(k) for k, v in _parity(7, "p").items()]), "line-sets", compression="zstd")
+    # One more parity filter, on other bits of the hashes, so that few pairs carry word sets through a shuffle.
     rows = pairs
     for c in ("a", "b"):
-        rows = rows.join(sets.select(F.col("cid").alias(f"cid_{c}"), *[F.col(x).alias(f"{c}_{x}") for x in ("n", "p6", "p12")]), F.col(c) == F.col(f"cid_{c}"))
-    rows = rows.withColumnsRenamed({"a_p6": "a_parity", "b_p6": "b_parity"}).where(_alike("a_", "b_")).drop("a_parity", "b_parity")
-    rows = rows.withColumnsRenamed({"a_p12": "a_parity", "b_p12": "b_parity"}).where(_alike("a_", "b_")).select("a", "b")
+        rows = rows.join(sets.select(F.col("cid").alias(f"cid_{c}"), *[F.col(x).alias(f"{c}_{x}") for x in ("n", "p1", "p2")]), F.col(c) == F.col(f"cid_{c}"))
+    rows = rows.where(_alike("a_", "b_")).select("a", "b")
     for c in ("a", "b"):
         side = sets.select(F.col("cid").alias(f"cid_{c}"), F.struct("id", "doc", "line_no").alias(f"at_{c}"), F.col("words").alias(f"set_{c}"))
         rows = rows.join(side, F.col(c) == F.col(f"cid_{c}")).drop(f"cid_{c}")
@@ -102,13 +118,10 @@ def _settled(classes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def _near_copies(classes: DataFrame) -> DataFrame:
     """cids (done) of classes that the earliest class under one of their keys is similar to."""
-    n = F.col("n")
-    tail = lambda back: F.when(n >= 6, F.xxhash64(F.lit(back), F.slice("words", n - back, F.lit(3))))
-    keys = F.array(F.xxhash64(F.lit(1), F.slice("words", 1, 3)), F.when(n >= 6, F.xxhash64(F.lit(4), F.slice("words", 4, 3))), tail(2), tail(5))
-    rows = classes.where("n > 3").select(F.explode(F.array_compact(keys)).alias("key"), "id", "line_no", "cid", "n", "parity")
+    rows = classes.select(F.explode("keys").alias("key"), "id", "line_no", "cid", "n", "p1", "p2")
     # The first row under a key is its earliest class: one shuffle and one sort find it and meet it with the others.
     under = Window.partitionBy("key").orderBy("id", "line_no", "cid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumns({f"h_{c}": F.first(c).over(under) for c in ("cid", "n", "parity")})
+    rows = rows.withColumns({f"h_{c}": F.first(c).over(under) for c in ("cid", "n", "p1", "p2")})
     pairs = rows.where((F.col("cid") != F.col("h_cid")) & _alike("", "h_"))
     pairs = materialise(pairs.select(F.col("cid").alias("a"), F.col("h_cid").alias("b")).distinct(), "line-stars")
     found = _settled(classes, pairs)
@@ -120,20 +133,17 @@ def _entry(word: Column) -> Column:
     return word.bitwiseAND(RARITY_ENTRIES - 1)
 
 
-def _rarity(classes: DataFrame) -> Column:
-    """Level of each entry's word count, from 1 (counted once) to 127, 0 for entries without words: a constant array."""
-    words = classes.select(F.explode("words").alias("w")).groupBy(_entry(F.col("w")).alias("entry")).agg(F.count("*").alias("n"))
-    level = F.least(F.lit(127), F.floor(F.log2(F.col("n").cast("double")) * 4) + 1).cast("int")
-    table = [0] * RARITY_ENTRIES
-    for entry, of in words.select(F.col("entry").cast("int"), level).collect():  # at most RARITY_ENTRIES rows
-        table[entry] = of
-    return F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
-
-
-def _place(classes: DataFrame) -> Column:
-    """A number that never falls from a class to a later one: whole ids themselves, 0 for ids of any other type."""
-    whole = dict(classes.dtypes)["id"] in ("tinyint", "smallint", "int", "bigint")
-    return F.coalesce(F.col("id").cast("long"), F.lit(-(1 << 63))) if whole else F.lit(0).cast("long")
+def _rarity(classes: DataFrame) -> Callable[[Column], Column]:
+    """Level of a word by its entry's word count, as a function: 0 for an entry counted once, then 1 to 15 by powers of 2 about the mean."""
+    words = classes.select(F.explode("words").alias("w")).groupBy(_entry(F.col("w")).cast("int").alias("entry")).agg(F.count("*").alias("n"))
+    counts = words.collect()  # at most RARITY_ENTRIES rows
+    mean = sum(n for _, n in counts) / max(1, len(counts))
+    table = [0] * (RARITY_ENTRIES // PACKED)
+    for entry, n in counts:
+        level = 0 if n == 1 else min(15, max(1, math.floor(math.log2(n / mean)) + 4))
+        table[entry // PACKED] |= level << LEVEL_BITS * (entry % PACKED)
+    packed = F.split(F.lit(",".join(str(x - (x >> 63 << 64)) for x in table)), ",").cast("array<bigint>")
+    return lambda w: F.call_function("shiftright", F.get(packed, F.shiftright(_entry(w), 4).cast("int")), (w.bitwiseAND(PACKED - 1) * LEVEL_BITS).cast("int"))
 
 
 #: Places of n, pos and the two flags in a posting's packed number.
@@ -141,18 +151,19 @@ _N, _POS = 28, 2
 
 
 def _prefixes(classes: DataFrame, settled: DataFrame) -> DataFrame:
-    """word, cid, place, parity, info for each prefix word; info holds n, pos, whether open, whether in the short prefix."""
+    """word, cid, two parity words, info for each prefix word; info holds n, pos, whether open, whether in the short prefix."""
     num, den = SHARE
-    levels = _rarity(classes)
-    key = lambda w: F.shiftleft(F.get(levels, _entry(w).cast("int")), KEY_BITS).bitwiseOR(F.shiftrightunsigned(w, 64 - KEY_BITS))
+    level = _rarity(classes)
+    # The shift to the left drops the other entries; turning the highest bit makes signed order that of the levels.
+    key = lambda w: F.shiftleft(level(w), KEY_BITS).bitwiseXOR(F.lit(-(1 << 63))).bitwiseOR(F.shiftrightunsigned(w, LEVEL_BITS))
     rows = classes.join(_if_few(settled), F.col("cid") == F.col("done"), "left")
     n = F.col("n").cast("long")
     up = lambda a, b: F.floor((a * n + (b - 1)) / F.lit(b)).cast("int")  # noqa: E731  a * n / b, rounded up
     length, short = n.cast("int") - up(num, den) + 1, n.cast("int") - up(2 * num, num + den) + 1
-    rows = rows.select("cid", _place(classes).alias("place"), "n", "parity", short.alias("short"), F.col("done").isNull().cast("long").alias("open"), F.posexplode(F.slice(F.sort_array(F.transform("words", key)), F.lit(1), length)).alias("pos", "word"))
-    once = F.shiftright("word", KEY_BITS) == 1
+    rows = rows.select("cid", "n", "p1", "p2", short.alias("short"), F.col("done").isNull().cast("long").alias("open"), F.posexplode(F.slice(F.sort_array(F.transform("words", key)), F.lit(1), length)).alias("pos", "word"))
+    once = F.shiftright("word", KEY_BITS) == -(1 << LEVEL_BITS - 1)
     info = F.shiftleft(n, _N).bitwiseOR(F.shiftleft(F.col("pos").cast("long"), _POS)).bitwiseOR(F.col("open") * 2).bitwiseOR((F.col("pos") < F.col("short")).cast("long"))
-    return rows.where(~once).select("word", "cid", "place", "parity", info.alias("info"))
+    return rows.where(~once).select("word", "cid", "p1", "p2", info.alias("info"))
 
 
 def _similar_to_earlier(classes: DataFrame, settled: DataFrame) -> DataFrame:
@@ -163,36 +174,29 @@ def _similar_to_earlier(classes: DataFrame, settled: DataFrame) -> DataFrame:
     part = lambda s: {"n": F.shiftright(F.col(f"{s}info"), _N), "pos": F.shiftright(F.col(f"{s}info"), _POS).bitwiseAND((1 << (_N - _POS)) - 1), "open": F.col(f"{s}info").bitwiseAND(2), "short": F.col(f"{s}info").bitwiseAND(1)}
     a, b = part("x_"), part("y_")
     # No condition is on one side alone and both sides read the same columns, so one shuffle serves both.
-    # Of two classes with one place each meets the other; which is later is seen when their sets are compared.
-    before = (F.col("y_place") <= F.col("x_place")) & (F.col("x_cid") != F.col("y_cid")) & (a["open"] * b["n"] > 0)
-    larger = (a["n"] > b["n"]) | ((a["n"] == b["n"]) & (F.col("x_cid") > F.col("y_cid")))
-    before = before & (F.when(larger, b["short"]).otherwise(a["short"]) == 1) & (den * F.least(a["n"], b["n"]) >= num * F.greatest(a["n"], b["n"]))
+    # A pair is met once, in the order of cids; which class is later is seen when their sets are compared.
+    once = (F.col("x_cid") > F.col("y_cid")) & (a["open"] + b["open"] > 0)
+    larger = a["n"] >= b["n"]
+    sized = (F.when(larger, b["short"]).otherwise(a["short"]) == 1) & (den * F.least(a["n"], b["n"]) >= num * F.greatest(a["n"], b["n"]))
     overlap = 1 + F.least(a["n"] - 1 - a["pos"], b["n"] - 1 - b["pos"])
     fits = (num + den) * overlap >= num * (a["n"] + b["n"])
-    differ = F.bit_count(F.col("x_parity").bitwiseXOR(F.col("y_parity")))
-    near = (num + den) * (a["n"] + b["n"] - differ) >= 2 * num * (a["n"] + b["n"])
-    # The parity filter comes first: most rows under a word fail it.
-    pairs = x.join(y, (F.col("x_word") == F.col("y_word")) & near & before & fits)
-    pairs = materialise(pairs.select(F.col("x_cid").alias("a"), F.col("y_cid").alias("b"), differ.alias("differ")).distinct(), "line-pairs")
-    likely = materialise(pairs.groupBy("a").agg(F.min(F.shiftleft(F.col("differ").cast("long"), 56).bitwiseOR(F.col("b"))).alias("best")).select("a", F.col("best").bitwiseAND((1 << 56) - 1).alias("b")), "line-likely")
-    first = _settled(classes, likely)
-    rest = pairs.join(_if_few(first), F.col("a") == F.col("done"), "left_anti").join(likely.withColumnsRenamed({"a": "la", "b": "lb"}), (F.col("a") == F.col("la")) & (F.col("b") == F.col("lb")), "left_anti")
-    rest = materialise(rest.select("a", "b"), "line-rest")
-    discard(pairs, likely)
-    # One half after the other, so that only half the pairs' word sets are on disk at once.
-    halves = [_settled(classes, rest.where(F.col("a").bitwiseAND(1) == half)) for half in (0, 1)]
-    discard(rest)
-    return first.unionByName(halves[0]).unionByName(halves[1])
+    near = (num + den) * (a["n"] + b["n"] - _differ("x_p", "y_p")) >= 2 * num * (a["n"] + b["n"])
+    # The parity filter comes early: most rows under a word fail it.
+    pairs = x.join(y, (F.col("x_word") == F.col("y_word")) & near & once & sized & fits)
+    pairs = materialise(pairs.select(F.col("x_cid").alias("a"), F.col("y_cid").alias("b")).distinct(), "line-pairs")
+    found = _settled(classes, pairs)
+    discard(pairs)
+    return found
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_lines, n_removed and the text of the lines that stay."""
     classes = _classes(docs, id_col, text_col)
     copies = _near_copies(classes)
-    gone = copies.unionByName(_similar_to_earlier(classes, copies)).distinct()
-    stay = classes.select("cid", "id", "doc", "line_no").join(gone, F.col("cid") == F.col("done"), "left_anti")
+    gone = materialise(copies.unionByName(_similar_to_earlier(classes, copies)).distinct(), "line-gone")
+    stay = classes.select("cid", "id", "doc", "line_no").join(_if_few(gone), F.col("cid") == F.col("done"), "left_anti")
     stay = materialise(stay.groupBy(F.col("id").alias("stay_id"), F.col("doc").alias("stay_doc")).agg(F.collect_list("line_no").alias("stay")), "line-stay")
-    discard(classes)
+    discard(classes, copies, gone)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("doc"), text.alias("text"))
     rows = rows.join(stay, (F.col("doc") == F.col("stay_doc")) & F.col("id").eqNullSafe(F.col("stay_id")), "left").withColumn("lines", F.split("text", "\n"))

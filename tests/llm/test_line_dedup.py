@@ -31,3 +31,26 @@ def test_ids_of_any_type_and_blanks_of_any_kind(spark):
     for docs, ids in ((whole, lambda i: i), (whole.withColumn("doc_id", F.col("doc_id").cast("string")), str), (whole.withColumn("doc_id", F.col("doc_id").cast("double")), float)):
         got = line_dedup.deduplicate(docs).collect()
         assert sorted(str((r.doc_id, r.text)) for r in got) == brute_lines([(ids(i), text) for i, text in rows])
+
+
+def test_few_pairs_of_unlike_long_lines_are_verified(spark, monkeypatch):
+    draw = random.Random(7)
+    lines = [draw.sample(range(4000), 140) for _ in range(160)]
+    lines += [[*line[:133], *range(9000 + 7 * i, 9007 + 7 * i)] for i, line in enumerate(lines[:20])]
+    rows = [(i, " ".join(f"w{w}" for w in line)) for i, line in enumerate(lines)]
+    pairs, write = [], line_dedup.materialise
+
+    def counted(df, name, **more):
+        out = write(df, name, **more)
+        if name == "line-pairs":
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialise", counted)
+    # No near copies are settled first, so that all pairs meet under their words.
+    monkeypatch.setattr(line_dedup, "_near_copies", lambda classes: spark.createDataFrame([], "done long"))
+    monkeypatch.setattr(line_dedup, "_if_few", lambda df: df)
+    got = line_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(str((r.doc_id, r.text)) for r in got) == brute_lines(rows)
+    assert sum(r.n_removed for r in got) == 20
+    assert len(pairs) == 1 and 20 <= pairs[0] < 100
