@@ -6,8 +6,8 @@ A line's set is its distinct words (runs of anything but U+0020 and U+0009-U+000
 1. Lines with equal lower-cased text form a class; its first line stands for it, every later one is removed.  The shuffle
    that finds them carries the text, which is shorter than its words' hashes.  A class is stored with its words' 64-bit
    hashes, distinct and sorted; all later steps compare these.
-2. Near copies are settled first, without forming their pairs: classes that share one of up to two keys (the
-   three lowest or highest word hashes) are compared with the earliest class under that key.
+2. Near copies are settled first, without forming their pairs: classes that share one of up to four keys (three
+   neighbouring word hashes from the low or high end) are compared with the earliest class under that key.
 3. The words of a class are ordered by rarity.  Rarity is read from word counts over all classes in a hashed table of
    fixed size; words that share an entry are ordered by hash.  Any fixed order gives exact results.
 4. Prefix filter: of two similar lines, the smaller has a common word among its n - ceil(8n/9) + 1 rarest, the larger
@@ -74,9 +74,9 @@ def _differ(x: str, y: str) -> Column:
 
 
 def _keys(n: Column) -> Column:
-    """Hashes of the three lowest and the three highest words."""
-    low, high = F.xxhash64(F.lit(1), F.slice("words", 1, 3)), F.xxhash64(F.lit(2), F.slice("words", -3, 3))
-    return F.when(n > 5, F.array(low, high)).when(n > 3, F.array(low))
+    """Hashes of three neighbouring words: the two lowest and the two highest threes."""
+    three = [F.xxhash64(F.lit(i), F.slice("words", start, 3)) for i, start in enumerate((1, 4, -3, -6))]
+    return F.when(n > 5, F.array(*three)).when(n > 3, F.array(three[0]))
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
